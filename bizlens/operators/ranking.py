@@ -45,6 +45,20 @@ def _group_match(part_cols: Sequence[str], row) -> Column:
     return cond
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                   how: str = "inner", broadcast_right: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where NULL matches NULL (grouping-set keys)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys],
+                     *[c for c in right.columns if c not in keys])
+    if broadcast_right:
+        r = F.broadcast(r)
+    cond = None
+    for c in keys:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    return left.join(r, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def bucket_column(df: DataFrame, order_col: str, part_cols: Sequence[str],
                   rows_per_bucket: int) -> Column:
     """Ordered range bucket per group (0 when the group is small)."""
@@ -82,7 +96,7 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
     off = tot.select(*part_cols, "_b", *[F.coalesce(F.sum(f"_{w}_bt").over(off_w), F.lit(0))
                                          .alias(f"_{w}_off") for w in weights])
     # ``off`` has (#groups x #buckets) rows, both known on the driver: a bounded broadcast.
-    y = x.join(F.broadcast(off), [*part_cols, "_b"]) if part_cols else x.join(F.broadcast(off), "_b")
+    y = join_null_safe(x, off, [*part_cols, "_b"], broadcast_right=True)
     return y.select(*df.columns, *[(F.col(f"_{w}_off") + F.col(f"_{w}_loc")).alias(f"{w}_below")
                                    for w in weights])
 
@@ -100,7 +114,7 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
         .groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
     ps = prefix_sums(counts, value_col, ["_n"], part_cols, rows_per_bucket=rows_per_bucket)
     totals = counts.groupBy(*part_cols).agg(F.sum("_n").alias("n"))
-    j = ps.join(totals, part_cols)
+    j = join_null_safe(ps, totals, part_cols)
     hit = None
     sel = []
     for name, f in picks.items():
@@ -109,7 +123,7 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
         hit = inside if hit is None else hit | inside
         sel.append(F.max(F.when(inside, F.col(value_col))).alias(name))
     found = j.where(hit).groupBy(*part_cols).agg(*sel)
-    out = totals.join(found, part_cols, "left")
+    out = join_null_safe(totals, found, part_cols, "left")
     return out.drop("_g") if glob else out
 
 

@@ -180,3 +180,123 @@ def weekly_sql(params: dict) -> dict[str, str]:
         "(week, category), (week, region, channel), (week, region), (week, channel), (week)))")
     q["week_index"] = with_views("weeks") + "SELECT week, CAST(week_idx AS INTEGER) AS week_idx FROM weeks"
     return q
+
+
+def accounts_sql(params: dict) -> dict[str, str]:
+    from ..operators.accounts import DORM_BINS, PREFERRED_CONTRACTS
+    V = with_views("acct") + (", c AS (SELECT id, plan, region, contract, mrr, dorm, churned, risk FROM acct "
+                              "WHERE id IS NOT NULL AND plan IS NOT NULL AND region IS NOT NULL AND contract IS NOT NULL "
+                              "AND mrr IS NOT NULL AND dorm IS NOT NULL AND churned IS NOT NULL AND risk IS NOT NULL)\n")
+    rate = lambda a, b: f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0)"
+    q: dict[str, str] = {}
+    q["contract_dropna"] = V + "SELECT * FROM c"
+    f = params["account_filter"]
+    conds = " AND ".join([f"{k} = '{v}'" for k, v in f.items() if v is not None]) or "true"
+    q["account_filter"] = V + f"SELECT * FROM c WHERE {conds}"
+    q["churn_by_plan"] = V + (
+        f"SELECT plan, n, churners, {rnd_sql(rate('churners', 'n'), 6)} AS churn_rate, "
+        f"CASE WHEN {rate('churners', 'n')} > 0.15 THEN 'risk' WHEN {rate('churners', 'n')} > 0.06 THEN 'watch' ELSE 'hold' END AS severity "
+        "FROM (SELECT plan, count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners FROM c GROUP BY plan)")
+    lv = params["churn_by_plan_fixed"]["levels"]
+    vals = ", ".join(f"({i}, '{v}')" for i, v in enumerate(lv))
+    q["churn_by_plan_fixed"] = V + (
+        f"SELECT o.pos, o.plan, a.n, {rnd_sql('CAST(a.churners AS DOUBLE) / nullif(CAST(a.n AS DOUBLE), 0)', 6)} AS churn_rate "
+        f"FROM (SELECT CAST(pos AS INTEGER) AS pos, plan FROM (VALUES {vals}) v(pos, plan)) o "
+        "LEFT JOIN (SELECT plan, count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners FROM c GROUP BY plan) a ON a.plan = o.plan")
+    arms = " ".join(f"WHEN dorm BETWEEN {lo} AND {hi} THEN {i}" for i, (lo, hi, _) in enumerate(DORM_BINS))
+    labs = " ".join(f"WHEN bin = {i} THEN '{lab}'" for i, (_, _, lab) in enumerate(DORM_BINS))
+    q["churn_by_dormancy"] = V + (
+        f"SELECT CAST(bin AS INTEGER) AS bin, CASE {labs} END AS bucket, n, churners, {rnd_sql(rate('churners', 'n'), 6)} AS churn_rate "
+        f"FROM (SELECT CASE {arms} END AS bin, count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners FROM c "
+        f"WHERE (CASE {arms} END) IS NOT NULL GROUP BY 1)")
+    parts = []
+    for d, r in params["outreach_at_threshold"]["thresholds"]:
+        hit = f"dorm >= {d} AND risk >= {float(r)}"
+        parts.append(
+            f"SELECT {d} AS dorm_min, {float(r)} AS risk_min, count(*) FILTER (WHERE {hit}) AS flagged, "
+            f"{rnd_sql(rate(f'count(*) FILTER (WHERE {hit})', 'count(*)'), 6)} AS share_flagged, "
+            f"CAST(coalesce(sum(churned) FILTER (WHERE {hit}), 0) AS BIGINT) AS caught, "
+            f"{rnd_sql(rate(f'coalesce(sum(churned) FILTER (WHERE {hit}), 0)', 'sum(churned)'), 6)} AS capture, "
+            f"{rnd_sql(rate(f'coalesce(sum(churned) FILTER (WHERE {hit}), 0)', f'count(*) FILTER (WHERE {hit})'), 6)} AS hit_rate, "
+            f"{rnd_sql(f'coalesce(sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE {hit}), 0)', 2)} AS mrr_covered FROM c")
+    q["outreach_at_threshold"] = V + " UNION ALL ".join(parts)
+    q["outreach_grid"] = V + (
+        ", g AS (SELECT d, r FROM range(0, 91) t(d), range(0, 96) u(r)),\n"
+        "f AS (SELECT g.d, g.r, count(c.id) AS hn, coalesce(sum(c.churned), 0) AS hc, "
+        "coalesce(sum(CAST(c.mrr AS DECIMAL(18,2))), 0) AS hm FROM g LEFT JOIN c ON c.dorm >= g.d AND c.risk >= g.r / 100.0 GROUP BY g.d, g.r),\n"
+        "t AS (SELECT count(*) AS n, sum(churned) AS churners FROM c)\n"
+        f"SELECT CAST(d AS INTEGER) AS dorm_min, CAST(r AS INTEGER) AS risk_pct, CAST(hn AS BIGINT) AS flagged, "
+        f"{rnd_sql(rate('hn', 'n'), 6)} AS share_flagged, CAST(hc AS BIGINT) AS caught, "
+        f"{rnd_sql(rate('hc', 'churners'), 6)} AS capture, {rnd_sql(rate('hc', 'hn'), 6)} AS hit_rate, "
+        f"{rnd_sql('hm', 2)} AS mrr_covered FROM f, t")
+    kpi = lambda keys, src, med: (
+        f"SELECT {keys}n, churners, {rnd_sql(rate('churners', 'n'), 6)} AS churn_rate, {rnd_sql('mrr_sum', 2)} AS mrr_sum, "
+        f"{rnd_sql('mrr_lost', 2)} AS mrr_lost, {rnd_sql(rate('mrr_lost', 'mrr_sum'), 6)} AS lost_share, "
+        f"coalesce({med}, 0.0) AS median_mrr FROM {src}")
+    q["account_kpis"] = V + (
+        ", a AS (SELECT count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners, sum(CAST(mrr AS DECIMAL(18,2))) AS mrr_sum, "
+        "coalesce(sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE churned = 1), 0) AS mrr_lost FROM c),\n"
+        "m AS (SELECT mrr AS med FROM (SELECT mrr, row_number() OVER (ORDER BY mrr) - 1 AS i, count(*) OVER () AS k FROM c) WHERE i = k // 2)\n"
+        + kpi("", "a LEFT JOIN m ON true", "m.med"))
+    q["account_cube_all"] = V + (
+        ", a AS (SELECT CAST(grouping(plan, region, contract) AS BIGINT) AS gid, plan, region, contract, count(*) AS n, "
+        "CAST(sum(churned) AS BIGINT) AS churners, sum(CAST(mrr AS DECIMAL(18,2))) AS mrr_sum, "
+        "coalesce(sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE churned = 1), 0) AS mrr_lost FROM c GROUP BY CUBE (plan, region, contract)),\n"
+        "e AS (SELECT CAST(m AS BIGINT) AS gid, CASE WHEN m & 4 = 0 THEN plan END AS plan, CASE WHEN m & 2 = 0 THEN region END AS region, "
+        "CASE WHEN m & 1 = 0 THEN contract END AS contract, mrr FROM c, range(0, 8) t(m)),\n"
+        "r AS (SELECT *, row_number() OVER (PARTITION BY gid, plan, region, contract ORDER BY mrr) - 1 AS i, "
+        "count(*) OVER (PARTITION BY gid, plan, region, contract) AS k FROM e),\n"
+        "m AS (SELECT gid, plan, region, contract, mrr AS med FROM r WHERE i = k // 2)\n"
+        + kpi("a.gid, a.plan, a.region, a.contract, ", "a LEFT JOIN m ON a.gid = m.gid AND a.plan IS NOT DISTINCT FROM m.plan "
+              "AND a.region IS NOT DISTINCT FROM m.region AND a.contract IS NOT DISTINCT FROM m.contract", "m.med"))
+    k = params["top_risk_accounts"]["k"]
+    q["top_risk_accounts"] = V + f"SELECT id, plan, region, mrr, dorm, risk, churned FROM c ORDER BY risk DESC, id LIMIT {k}"
+    q["decile_capture"] = V + (
+        ", r AS (SELECT *, row_number() OVER (ORDER BY risk DESC, id) AS rk, count(*) OVER () AS n, sum(churned) OVER () AS tc FROM c)\n"
+        f"SELECT CAST(count(*) FILTER (WHERE rk <= n // 10) AS BIGINT) AS top_n, "
+        f"{rnd_sql('coalesce(sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE rk <= n // 10), 0)', 2)} AS mrr_at_risk, "
+        f"CAST(coalesce(sum(churned) FILTER (WHERE rk <= n // 10), 0) AS BIGINT) AS churners_captured, "
+        f"{rnd_sql(rate('coalesce(sum(churned) FILTER (WHERE rk <= n // 10), 0)', 'max(tc)'), 6)} AS capture FROM r")
+    q["dict_plan_by_median"] = V + (
+        f"SELECT plan, {rnd_sql('med', 4)} AS median_mrr, CAST(row_number() OVER (ORDER BY med, plan) - 1 AS INTEGER) AS code "
+        "FROM (SELECT plan, quantile_cont(mrr, 0.5) AS med FROM c GROUP BY plan)")
+    q["dict_alpha"] = V + ("SELECT region AS value, CAST(row_number() OVER (ORDER BY region) - 1 AS INTEGER) AS code "
+                           "FROM (SELECT DISTINCT region FROM c)")
+    pref = ", ".join(f"'{p}'" for p in PREFERRED_CONTRACTS)
+    q["dict_preferred"] = V + (
+        "SELECT contract AS value, CAST(row_number() OVER (ORDER BY nullif(list_position([" + pref + "], contract), 0) "
+        "NULLS LAST, contract) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT contract FROM c)")
+    cap = params["cube_sample_cap"]["cap"]
+    q["cube_sample_cap"] = V + f"SELECT * FROM c ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {cap}"
+    acap = params["account_cube"]["cap"]
+    q["account_cube"] = V + (
+        f", capped AS (SELECT * FROM c ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {acap}),\n"
+        "pc AS (SELECT plan, row_number() OVER (ORDER BY med, plan) - 1 AS plan_code FROM (SELECT plan, quantile_cont(mrr, 0.5) AS med FROM c GROUP BY plan)),\n"
+        "rc AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS region_code FROM (SELECT DISTINCT region FROM c)),\n"
+        "cc AS (SELECT contract, row_number() OVER (ORDER BY nullif(list_position([" + pref + "], contract), 0) NULLS LAST, contract) - 1 AS contract_code "
+        "FROM (SELECT DISTINCT contract FROM c))\n"
+        "SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS ordinal, id, CAST(plan_code AS INTEGER) AS plan_code, "
+        "CAST(region_code AS INTEGER) AS region_code, CAST(contract_code AS INTEGER) AS contract_code, "
+        f"{rnd_sql('mrr', 2)} AS mrr, dorm, churned, {rnd_sql('risk', 4)} AS risk "
+        "FROM capped JOIN pc USING (plan) JOIN rc USING (region) JOIN cc USING (contract)")
+    usd = lambda x: f"'$' || format('{{:,}}', CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT))"
+    pct = lambda x: f"printf('%.1f%%', round(CAST({x} AS DOUBLE) * 100 * 10.0) / 10.0)"
+    q["report_kpi_lines"] = V + (
+        ", a AS (SELECT count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners, sum(CAST(mrr AS DECIMAL(18,2))) AS mrr_sum, "
+        "coalesce(sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE churned = 1), 0) AS mrr_lost FROM c),\n"
+        "m AS (SELECT mrr AS med FROM (SELECT mrr, row_number() OVER (ORDER BY mrr) - 1 AS i, count(*) OVER () AS k FROM c) WHERE i = k // 2),\n"
+        "k AS (SELECT n, churners, round(" + rate('churners', 'n') + " * 1e6) / 1e6 AS churn_rate, round(CAST(mrr_sum AS DOUBLE) * 100) / 100 AS mrr_sum, "
+        "round(CAST(mrr_lost AS DOUBLE) * 100) / 100 AS mrr_lost, round(" + rate('mrr_lost', 'mrr_sum') + " * 1e6) / 1e6 AS lost_share, "
+        "coalesce(m.med, 0.0) AS median_mrr FROM a LEFT JOIN m ON true)\n"
+        "SELECT * FROM (SELECT 1 AS line_no, 'Accounts: ' || format('{:,}', n) AS text FROM k UNION ALL "
+        f"SELECT 2, 'Churn rate: ' || {pct('churn_rate')} || ' (' || format('{{:,}}', churners) || ' of ' || format('{{:,}}', n) || ' accounts)' FROM k UNION ALL "
+        f"SELECT 3, 'Monthly revenue: ' || {usd('mrr_sum')} FROM k UNION ALL "
+        f"SELECT 4, 'MRR lost to churn: ' || {usd('mrr_lost')} || ' (' || {pct('lost_share')} || ' of selected revenue)' FROM k UNION ALL "
+        f"SELECT 5, 'Median MRR: ' || {usd('median_mrr')} FROM k)")
+    la, lb = params["level_ratio"]["level_a"], params["level_ratio"]["level_b"]
+    q["level_ratio"] = V + (
+        f", a AS (SELECT CAST(sum(churned) FILTER (WHERE plan = '{la}') AS DOUBLE) / nullif(count(*) FILTER (WHERE plan = '{la}'), 0) AS ra, "
+        f"CAST(sum(churned) FILTER (WHERE plan = '{lb}') AS DOUBLE) / nullif(count(*) FILTER (WHERE plan = '{lb}'), 0) AS rb FROM c)\n"
+        f"SELECT '{la}' AS level_a, '{lb}' AS level_b, {rnd_sql('ra', 6)} AS rate_a, {rnd_sql('rb', 6)} AS rate_b, "
+        f"{rnd_sql('ra / nullif(rb, 0)', 6)} AS ratio FROM a")
+    return q

@@ -40,7 +40,7 @@ ACCT = f"""acct AS (
     SELECT g.c_custkey AS id, g.c_mktsegment AS plan, g.r_name AS region,
            CASE WHEN coalesce(n_past, 0) <= 6 THEN 'monthly'
                 WHEN n_past <= 11 THEN 'annual' ELSE 'multi-year' END AS contract,
-           CAST(s_past AS DOUBLE) / nullif(n_past, 0) AS mrr,
+           round(CAST(s_past AS DOUBLE) / nullif(n_past, 0) * 100.0) / 100.0 AS mrr,
            CAST(date_diff('day', last_past, t0) // 7 AS BIGINT) AS dorm,
            CAST(CASE WHEN coalesce(n_future, 0) = 0 THEN 1 ELSE 0 END AS INTEGER) AS churned,
            ('0x' || substr(md5(CAST(g.c_custkey AS VARCHAR)), 1, 8))::BIGINT % 100 AS bucket

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.metrics import scaled_watch
+from ..operators import accounts as A
 from ..operators import weekly as W
 from ..sources.tables import Tables
 from . import views
@@ -27,6 +28,14 @@ PARAMS = {
     "fraud_early_late": {"category": "1-URGENT", "split_idx": 14},
     "segment_table": {"warn_refund": 0.012},
     "movers": {"watch": scaled_watch(MOVER_GUARD_SCALE), "top": 7},
+    "account_filter": {"plan": "BUILDING", "region": None, "contract": "multi-year"},
+    "churn_by_plan_fixed": {"levels": ["HOUSEHOLD", "AUTOMOBILE", "BUILDING", "FURNITURE",
+                                       "MACHINERY", "GOVERNMENT"]},
+    "outreach_at_threshold": {"thresholds": [(14, 0.30), (30, 0.30)]},
+    "top_risk_accounts": {"k": 12},
+    "cube_sample_cap": {"cap": 500},
+    "account_cube": {"cap": 50_000},
+    "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
 }
 
 
@@ -94,8 +103,32 @@ query("paid_vs_blended_cac")(_wk(lambda c: W.paid_vs_blended_cac(c.wk, c.weeks))
 query("weekly_cube_all")(_wk(lambda c: W.weekly_cube_all(c.wk)))
 
 
+# ------------------------------------------------------------------ accounts (family C)
+query("contract_dropna")(_wk(lambda c: A.clean(c.acct)))
+query("account_filter")(_wk(lambda c: A.account_filter(c.acct, **PARAMS["account_filter"])))
+query("churn_by_plan")(_wk(lambda c: A.churn_by_plan(c.acct)))
+query("churn_by_plan_fixed")(_wk(lambda c: A.churn_by_plan_fixed(c.spark, c.acct,
+                                                                 PARAMS["churn_by_plan_fixed"]["levels"])))
+query("churn_by_dormancy")(_wk(lambda c: A.churn_by_dormancy(c.acct)))
+query("outreach_at_threshold")(_wk(lambda c: A.outreach_at_threshold(
+    c.acct, PARAMS["outreach_at_threshold"]["thresholds"])))
+query("outreach_grid")(_wk(lambda c: A.outreach_grid(c.spark, c.acct)))
+query("account_kpis")(_wk(lambda c: A.account_kpis(c.acct)))
+query("account_cube_all")(_wk(lambda c: A.account_cube_all(c.acct)))
+query("top_risk_accounts")(_wk(lambda c: A.top_risk_accounts(c.acct, PARAMS["top_risk_accounts"]["k"])))
+query("decile_capture")(_wk(lambda c: A.decile_capture(c.acct)))
+query("dict_plan_by_median")(_wk(lambda c: A.dict_plan_by_median(c.acct)))
+query("dict_alpha")(_wk(lambda c: A.dict_alpha(c.acct, "region")))
+query("dict_preferred")(_wk(lambda c: A.dict_preferred(c.acct)))
+query("cube_sample_cap")(_wk(lambda c: A.cube_sample_cap(c.acct, PARAMS["cube_sample_cap"]["cap"])))
+query("account_cube")(_wk(lambda c: A.account_cube(c.acct, PARAMS["account_cube"]["cap"])))
+query("report_kpi_lines")(_wk(lambda c: A.report_kpi_lines(c.acct)))
+query("level_ratio")(_wk(lambda c: A.level_ratio(c.acct, **PARAMS["level_ratio"])))
+
+
 def oracle() -> dict[str, str]:
-    from .oracle import weekly_sql
+    from .oracle import accounts_sql, weekly_sql
     out: dict[str, str] = {}
     out.update(weekly_sql(PARAMS))
+    out.update(accounts_sql(PARAMS))
     return out

@@ -89,7 +89,7 @@ def acct(t: Tables) -> DataFrame:
         F.col("r_name").alias("region"),
         F.when(n_past <= 6, "monthly").when(n_past <= 11, "annual").otherwise("multi-year")
         .alias("contract"),
-        F.try_divide(dbl("s_past"), F.col("n_past")).alias("mrr"),
+        rnd(F.try_divide(dbl("s_past"), F.col("n_past")), 2).alias("mrr"),
         dorm.alias("dorm"),
         churned.cast("int").alias("churned"),
         bucket.alias("_bucket"))
