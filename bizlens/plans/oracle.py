@@ -300,3 +300,72 @@ def accounts_sql(params: dict) -> dict[str, str]:
         f"SELECT '{la}' AS level_a, '{lb}' AS level_b, {rnd_sql('ra', 6)} AS rate_a, {rnd_sql('rb', 6)} AS rate_b, "
         f"{rnd_sql('ra / nullif(rb, 0)', 6)} AS ratio FROM a")
     return q
+
+
+def retention_sql(params: dict) -> dict[str, str]:
+    from ..operators.retention import SRC_NAMES
+    V = with_views("sub", "wk", "weeks")
+    coh = "(signup < 0 AND (churn IS NULL OR churn >= 0))"
+    act = f"({coh} AND active = 1)"
+    r = lambda a, b: rnd_sql(f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0)", 6)
+    q: dict[str, str] = {}
+    q["nrr_cohort"] = V + f"SELECT account_id, region, signup, churn, active, prior, mrr FROM sub WHERE {coh}"
+    q["retention_kpis"] = V + (
+        f"SELECT gid, region, cohort, retained, {rnd_sql('coalesce(start_mrr, 0)', 2)} AS start_mrr, "
+        f"{r('end_mrr', 'start_mrr')} AS nrr, {r('grr_mrr', 'start_mrr')} AS grr, {r('retained', 'cohort')} AS logo FROM ("
+        "SELECT CAST(grouping(region) AS BIGINT) AS gid, region, "
+        f"sum(CAST(prior AS DECIMAL(18,2))) FILTER (WHERE {coh}) AS start_mrr, "
+        f"sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE {act}) AS end_mrr, "
+        f"sum(least(CAST(mrr AS DECIMAL(18,2)), CAST(prior AS DECIMAL(18,2)))) FILTER (WHERE {act}) AS grr_mrr, "
+        f"count(*) FILTER (WHERE {coh}) AS cohort, count(*) FILTER (WHERE {act}) AS retained "
+        "FROM sub GROUP BY GROUPING SETS ((region), ()))")
+    q["unit_economics"] = V + (
+        ", a AS (SELECT CAST(grouping(region) AS BIGINT) AS gid, region, count(*) AS accounts, "
+        "count(*) FILTER (WHERE active = 1) AS active, sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE active = 1) AS mrr, "
+        "sum(CAST(cac AS DECIMAL(18,2))) AS cac_sum, count(*) FILTER (WHERE active = 0) AS churned, "
+        "sum(tenure) FILTER (WHERE active = 0) AS tenure_sum FROM sub GROUP BY GROUPING SETS ((region), ())),\n"
+        "b AS (SELECT *, coalesce(CAST(mrr AS DOUBLE) / nullif(CAST(active AS DOUBLE), 0), 0) AS arpa, "
+        "coalesce(CAST(cac_sum AS DOUBLE) / nullif(CAST(accounts AS DOUBLE), 0), 0) AS cac_m, "
+        "coalesce((CAST(tenure_sum AS DOUBLE) / nullif(CAST(churned AS DOUBLE), 0)) / 4.33, 0) AS ten_m FROM a),\n"
+        "c AS (SELECT *, arpa * 0.78 * ten_m AS ltv FROM b)\n"
+        f"SELECT gid, region, accounts, active, churned, {rnd_sql('coalesce(CAST(mrr AS DOUBLE), 0) * 12', 2)} AS arr, "
+        f"{rnd_sql('arpa', 6)} AS arpa, {rnd_sql('cac_m', 6)} AS cac, {rnd_sql('ten_m', 6)} AS tenure_months, "
+        f"{rnd_sql('ltv', 6)} AS ltv, {rnd_sql('cac_m / nullif(arpa * 0.78, 0)', 6)} AS cac_payback_months, "
+        f"{rnd_sql('ltv / nullif(cac_m, 0)', 6)} AS ltv_cac FROM c")
+    q["retention_curve"] = V + (
+        ", g AS (SELECT channel, t FROM (SELECT DISTINCT channel FROM sub), range(0, 53) r(t)),\n"
+        "c AS (SELECT g.channel, g.t, count(s.account_id) AS at_risk, count(s.account_id) FILTER (WHERE s.tenure >= g.t) AS retained "
+        f"FROM g LEFT JOIN sub s ON s.channel = g.channel AND {26} - s.signup >= g.t GROUP BY g.channel, g.t),\n"
+        "d AS (SELECT *, CASE WHEN at_risk > 0 THEN CAST(retained AS DOUBLE) / at_risk END AS raw FROM c)\n"
+        "SELECT channel, CAST(t AS INTEGER) AS t, CAST(at_risk AS BIGINT) AS at_risk, CAST(retained AS BIGINT) AS retained, "
+        f"{rnd_sql('coalesce(last_value(raw IGNORE NULLS) OVER (PARTITION BY channel ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1.0)', 6)} AS rate FROM d")
+    q["sub_region_semi"] = V + "SELECT * FROM sub WHERE region IN (SELECT region FROM wk)"
+    dict_cte = (
+        ", d AS (SELECT dim, value, total, CAST(row_number() OVER (PARTITION BY dim ORDER BY total DESC, value) - 1 AS INTEGER) AS code FROM ("
+        "SELECT 'category' AS dim, category AS value, CAST(sum(gdv) AS DOUBLE) AS total FROM wk GROUP BY category UNION ALL "
+        "SELECT 'region', region, CAST(sum(gdv) AS DOUBLE) FROM wk GROUP BY region UNION ALL "
+        "SELECT 'channel', channel, CAST(sum(camp) AS DOUBLE) FROM wk GROUP BY channel))\n")
+    q["dict_by_sum"] = V + dict_cte + f"SELECT dim, value, {rnd_sql('total', 4)} AS total, code FROM d"
+    fields = ["camp", "funded", "fast", "goal", "gdv", "don", "donors", "retdon", "fromdon", "repeatorg",
+              "tips", "procrev", "proccost", "rev", "refunds", "refamt", "cb", "fraud"]
+    cols = ", ".join(f"CAST(round_even({f}, 0) AS BIGINT) AS {f}" if f in MONEY_SUMS else f"CAST({f} AS BIGINT) AS {f}"
+                     for f in fields)
+    q["weekly_cube"] = V + dict_cte + (
+        f"SELECT CAST(weeks.week_idx AS INTEGER) AS w, dc.code AS cat, dr.code AS reg, dh.code AS ch, {cols}, "
+        "paydays_x100 / 100 AS paydays, paid, CAST(spend AS BIGINT) AS spend FROM wk JOIN weeks USING (week) "
+        "JOIN d dc ON dc.dim = 'category' AND dc.value = wk.category JOIN d dr ON dr.dim = 'region' AND dr.value = wk.region "
+        "JOIN d dh ON dh.dim = 'channel' AND dh.value = wk.channel")
+    q["sub_cube"] = V + dict_cte + (
+        ", s AS (SELECT * FROM sub WHERE region IN (SELECT region FROM wk)),\n"
+        "t AS (SELECT tier, CAST(row_number() OVER (ORDER BY tier) - 1 AS INTEGER) AS tier_code FROM (SELECT DISTINCT tier FROM s)),\n"
+        "h AS (SELECT channel, CAST(row_number() OVER (ORDER BY channel) - 1 AS INTEGER) AS channel_code FROM (SELECT DISTINCT channel FROM s))\n"
+        "SELECT account_id, t.tier_code AS tier, dr.code AS reg, h.channel_code AS ch, signup, churn, active, tenure, "
+        f"{rnd_sql('prior', 2)} AS prior, {rnd_sql('mrr', 2)} AS mrr, {rnd_sql('cac', 2)} AS cac "
+        "FROM s JOIN t USING (tier) JOIN h USING (channel) JOIN d dr ON dr.dim = 'region' AND dr.value = s.region")
+    money = {"goal", "gdv", "tips", "procrev", "proccost", "rev", "refamt"}
+    ren = ", ".join(
+        (f"{rnd_sql(k, 4)} AS {v}" if k in money else
+         ("paydays_x100 / 100 AS payout_days" if k == "paydays" else f"{k} AS {v}"))
+        for k, v in SRC_NAMES.items())
+    q["wk_rename"] = V + f"SELECT week, category, region, channel, {ren} FROM wk"
+    return q

@@ -134,7 +134,7 @@ SUB = f"""sub AS (
   SELECT account_id, tier, region, channel, signup, churn,
          CAST(CASE WHEN churn IS NULL THEN 1 ELSE 0 END AS INTEGER) AS active,
          CAST(greatest(coalesce(churn, {LAST_WEEK}) - signup, 0) AS BIGINT) AS tenure,
-         prior, coalesce(mrr_after, prior) AS mrr,
+         round(prior * 100.0) / 100.0 AS prior, round(coalesce(mrr_after, prior) * 100.0) / 100.0 AS mrr,
          CAST({_case('channel', SUB_CAC)} AS DOUBLE) AS cac
   FROM y)"""
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.metrics import scaled_watch
 from ..operators import accounts as A
+from ..operators import retention as R
 from ..operators import weekly as W
 from ..sources.tables import Tables
 from . import views
@@ -125,10 +126,22 @@ query("account_cube")(_wk(lambda c: A.account_cube(c.acct, PARAMS["account_cube"
 query("report_kpi_lines")(_wk(lambda c: A.report_kpi_lines(c.acct)))
 query("level_ratio")(_wk(lambda c: A.level_ratio(c.acct, **PARAMS["level_ratio"])))
 
+# ------------------------------------------------------------------ retention (family E)
+query("nrr_cohort")(_wk(lambda c: R.nrr_cohort(c.sub)))
+query("retention_kpis")(_wk(lambda c: R.retention_kpis(c.sub)))
+query("unit_economics")(_wk(lambda c: R.unit_economics(c.sub)))
+query("retention_curve")(_wk(lambda c: R.retention_curve(c.sub)))
+query("sub_region_semi")(_wk(lambda c: R.sub_region_semi(c.sub, c.wk)))
+query("dict_by_sum")(_wk(lambda c: R.dict_by_sum(c.wk)))
+query("weekly_cube")(_wk(lambda c: R.weekly_cube(c.wk, c.weeks)))
+query("sub_cube")(_wk(lambda c: R.sub_cube(c.sub, c.wk)))
+query("wk_rename")(_wk(lambda c: R.wk_rename(c.wk)))
+
 
 def oracle() -> dict[str, str]:
-    from .oracle import accounts_sql, weekly_sql
+    from .oracle import accounts_sql, retention_sql, weekly_sql
     out: dict[str, str] = {}
     out.update(weekly_sql(PARAMS))
     out.update(accounts_sql(PARAMS))
+    out.update(retention_sql(PARAMS))
     return out

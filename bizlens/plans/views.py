@@ -228,8 +228,8 @@ def sub(t: Tables) -> DataFrame:
         F.col("first.o_orderpriority").alias("channel"),
         F.col("signup"),
         F.when(churn_at <= LAST_WEEK, churn_at).alias("churn"),
-        prior.alias("prior"),
-        F.coalesce(F.try_divide(dbl("s_after"), F.col("n_after")), prior).alias("mrr"))
+        rnd(prior, 2).alias("prior"),
+        rnd(F.coalesce(F.try_divide(dbl("s_after"), F.col("n_after")), prior), 2).alias("mrr"))
     return y.select(
         "account_id", "tier", "region", "channel", "signup", "churn",
         F.when(F.col("churn").isNull(), 1).otherwise(0).cast("int").alias("active"),
