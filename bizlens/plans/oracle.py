@@ -369,3 +369,111 @@ def retention_sql(params: dict) -> dict[str, str]:
         for k, v in SRC_NAMES.items())
     q["wk_rename"] = V + f"SELECT week, category, region, channel, {ren} FROM wk"
     return q
+
+
+# The orders schema as Spark names its types (for the profile oracle).
+ORDERS_SCHEMA = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
+                 ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+ACCT_SCHEMA = [("id", "bigint"), ("plan", "string"), ("region", "string"), ("contract", "string"),
+               ("mrr", "double"), ("dorm", "bigint"), ("churned", "int"), ("risk", "double"), ("leak_flag", "int")]
+
+
+def _missing(c, t):
+    return f"({c} IS NULL OR isnan({c}))" if t == "double" else f"({c} IS NULL)"
+
+
+def auc_sql(src: str, score: str, y: str, label: str) -> str:
+    """Average-rank Mann-Whitney AUC of one score column as a SELECT."""
+    return (
+        f"SELECT '{label}' AS column, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS auc, "
+        "CAST(P AS BIGINT) AS n_pos, CAST(N AS BIGINT) AS n_neg FROM ("
+        f"SELECT sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS sr, sum(y) AS P, count(*) - sum(y) AS N FROM ("
+        f"SELECT {y} AS y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r "
+        f"FROM (SELECT CAST({score} AS DOUBLE) AS s, {y} FROM {src}) WHERE s IS NOT NULL AND NOT isnan(s)))")
+
+
+def profile_checks_sql(params: dict) -> dict[str, str]:
+    q: dict[str, str] = {}
+    cols = ORDERS_SCHEMA
+    q["profile_shape"] = f"SELECT 'orders' AS \"table\", count(*) AS n_rows, {len(cols)} AS n_cols FROM orders"
+    q["profile_columns"] = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS column, '{t}' AS dtype, "
+        f"{rnd_sql(f'avg(CASE WHEN {_missing(c, t)} THEN 1.0 ELSE 0.0 END) * 100', 2)} AS null_pct FROM orders"
+        for i, (c, t) in enumerate(cols))
+    q["profile_distinct"] = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM orders" for i, (c, t) in enumerate(cols))
+    num = [(c, t) for c, t in cols if t in ("bigint", "double", "int")]
+    q["profile_numeric"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS column, {rnd_sql(f'min({c})', 3)} AS min, {rnd_sql(f'quantile_cont({c}, 0.25)', 3)} AS p25, "
+        f"{rnd_sql(f'quantile_cont({c}, 0.5)', 3)} AS median, {rnd_sql(f'quantile_cont({c}, 0.75)', 3)} AS p75, "
+        f"{rnd_sql(f'max({c})', 3)} AS max, {rnd_sql(f'avg({c})', 3)} AS mean FROM orders WHERE {c} IS NOT NULL"
+        for c, t in num)
+    txt = [(c, t) for c, t in cols if (c, t) not in num]
+    q["profile_top_values"] = (
+        "SELECT \"column\", value, count FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) AS k FROM ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM orders "
+                             f"WHERE {c} IS NOT NULL GROUP BY 2" for c, t in txt)
+        + ")) WHERE k <= 8")
+    q["profile_likely_ids"] = (
+        "SELECT \"column\", n_unique FROM (" + " UNION ALL ".join(
+            f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM orders" for c, t in cols)
+        + ") WHERE n_unique > (SELECT count(*) FROM orders) * 0.95")
+    dates = [(c, t) for c, t in cols if t in ("string", "timestamp_ntz", "date", "timestamp")]
+    q["profile_likely_dates"] = " UNION ALL ".join(
+        (f"SELECT '{c}' AS column, {rnd_sql('coalesce(s, 0.0)', 4)} AS parse_share, coalesce(s, 0.0) > 0.9 AS likely_date FROM ("
+         + (f"SELECT CASE WHEN count({c}) > 0 THEN 1.0 END AS s FROM orders" if t != "string" else
+            f"SELECT CAST(count(try_cast({c} AS TIMESTAMP)) AS DOUBLE) / nullif(CAST(count({c}) AS DOUBLE), 0) AS s FROM orders")
+         + ")") for c, t in dates)
+    tgt = params["profile_target"]["target"]
+    q["profile_target"] = (
+        f"SELECT CAST({tgt} AS VARCHAR) AS value, {rnd_sql(f'count(*) / (SELECT count(*) FROM orders)', 4)} AS share, "
+        f"(SELECT count(DISTINCT {tgt}) FROM orders) = 2 AS is_binary FROM orders GROUP BY {tgt} "
+        f"ORDER BY count(*) DESC, {tgt} NULLS FIRST LIMIT 10")
+    dup = lambda name, keys, src: (
+        f"SELECT '{name}' AS dataset, sum(n) AS rows, sum(n - 1) AS surplus, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS members "
+        f"FROM (SELECT count(*) AS n FROM {src} GROUP BY {keys})")
+    both = (dup("documents.text", "text", "documents") + " UNION ALL "
+            + dup("lineitem.l_orderkey,l_linenumber", "l_orderkey, l_linenumber", "lineitem"))
+    q["dup_surplus"] = f"SELECT dataset, CAST(rows AS BIGINT) AS rows, CAST(surplus AS BIGINT) AS surplus FROM ({both})"
+    q["dup_members"] = f"SELECT dataset, CAST(rows AS BIGINT) AS rows, CAST(members AS BIGINT) AS members FROM ({both})"
+    q["label_feature_join"] = ("SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang, d.source "
+                               "FROM labels l JOIN documents d ON l.doc_id = d.doc_id")
+    # checks on the account snapshot (target churned)
+    V = with_views("acct")
+    q["rank_auc"] = V + f"SELECT {rnd_sql('auc', 6)} AS auc, n_pos, n_neg FROM ({auc_sql('acct', 'risk', 'churned', 'risk')})"
+    parts = []
+    for c, t in ACCT_SCHEMA:
+        if c == "churned":
+            continue
+        if t == "string":
+            score = f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c}) - 1 END"
+            src = f"(SELECT {score} AS sc, churned FROM acct)"
+            parts.append(auc_sql(src, "sc", "churned", c))
+        else:
+            parts.append(auc_sql("acct", c, "churned", c))
+    q["leakage_scan"] = V + (
+        f"SELECT \"column\", {rnd_sql('greatest(auc, 1 - auc)', 4)} AS univariate_auc, greatest(auc, 1 - auc) >= 0.9 AS flagged "
+        f"FROM ({' UNION ALL '.join(parts)})")
+    longv = " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, churned AS y FROM acct"
+                               for c, t in ACCT_SCHEMA if c != "churned")
+    lv = (f", lg AS ({longv}),\n"
+          "elig AS (SELECT \"column\" FROM lg WHERE value IS NOT NULL GROUP BY \"column\" HAVING count(DISTINCT value) <= 20),\n"
+          "lv AS (SELECT \"column\", value, min(y) AS ymin, max(y) AS ymax FROM lg WHERE value IS NOT NULL AND y IS NOT NULL "
+          "AND \"column\" IN (SELECT \"column\" FROM elig) GROUP BY \"column\", value)\n")
+    q["one_sided_columns"] = V + lv + (
+        "SELECT \"column\", count(*) AS n_levels, bool_and(ymin = ymax) AND min(ymin) <> max(ymax) AS one_sided FROM lv GROUP BY \"column\"")
+    q["one_sided_levels"] = V + lv + "SELECT \"column\", value, ymin AS only_class FROM lv WHERE ymin = ymax"
+    q["baselines"] = V + (
+        f"SELECT {rnd_sql('greatest(p, 1 - p)', 4)} AS majority_class_accuracy, {rnd_sql('p', 4)} AS positive_rate, "
+        "0.5 AS random_auc FROM (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM acct)")
+    allc = ", ".join(c for c, _ in ACCT_SCHEMA)
+    q["validity_verdict"] = V + lv + (
+        f", sus AS (SELECT count(*) AS k FROM ({' UNION ALL '.join(parts)}) WHERE greatest(auc, 1 - auc) >= 0.9),\n"
+        "one AS (SELECT count(*) AS k FROM (SELECT \"column\" FROM lv GROUP BY \"column\" HAVING bool_and(ymin = ymax) AND min(ymin) <> max(ymax))),\n"
+        f"dup AS (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM acct GROUP BY {allc}))\n"
+        "SELECT (SELECT count(*) FROM acct) AS n_rows, dup.k AS duplicate_rows, sus.k AS n_suspects, one.k AS n_one_sided, "
+        "CASE WHEN sus.k = 0 AND one.k = 0 THEN 'clean' ELSE 'review_required' END AS verdict FROM sus, one, dup")
+    q["crosstab"] = V + ("SELECT contract AS value, count(*) FILTER (WHERE churned = 0) AS n_0, "
+                         "count(*) FILTER (WHERE churned = 1) AS n_1 FROM acct WHERE contract IS NOT NULL "
+                         "AND churned IS NOT NULL GROUP BY contract")
+    return q

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.metrics import scaled_watch
 from ..operators import accounts as A
+from ..operators import checks as C
+from ..operators import profile as P
 from ..operators import retention as R
 from ..operators import weekly as W
 from ..sources.tables import Tables
@@ -37,7 +39,9 @@ PARAMS = {
     "cube_sample_cap": {"cap": 500},
     "account_cube": {"cap": 50_000},
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
+    "profile_target": {"target": "o_orderstatus"},
 }
+PROFILED = "orders"
 
 
 def query(name: str):
@@ -137,11 +141,57 @@ query("weekly_cube")(_wk(lambda c: R.weekly_cube(c.wk, c.weeks)))
 query("sub_cube")(_wk(lambda c: R.sub_cube(c.sub, c.wk)))
 query("wk_rename")(_wk(lambda c: R.wk_rename(c.wk)))
 
+# ------------------------------------------------------------------ profile (family A)
+def _prof(fn):
+    return lambda spark, d: fn(getattr(Tables(spark, d), PROFILED))
+
+
+query("profile_shape")(_prof(lambda df: P.profile_shape(df, PROFILED)))
+query("profile_columns")(_prof(P.profile_columns))
+query("profile_distinct")(_prof(P.profile_distinct))
+query("profile_numeric")(_prof(P.profile_numeric))
+query("profile_top_values")(_prof(P.profile_top_values))
+query("profile_likely_ids")(_prof(P.profile_likely_ids))
+query("profile_likely_dates")(_prof(P.profile_likely_dates))
+query("profile_target")(_prof(lambda df: P.profile_target(df, PARAMS["profile_target"]["target"])))
+
+
+def _dups(spark, d):
+    t = Tables(spark, d)
+    return P.duplicate_counts(t.documents.select("text"), "documents.text").unionByName(
+        P.duplicate_counts(t.lineitem.select("l_orderkey", "l_linenumber"),
+                           "lineitem.l_orderkey,l_linenumber"))
+
+
+query("dup_surplus")(lambda spark, d: _dups(spark, d).select("dataset", "rows", "surplus"))
+query("dup_members")(lambda spark, d: _dups(spark, d).select("dataset", "rows", "members"))
+
+
+def _label_features(spark, d):
+    t = Tables(spark, d)
+    return t.labels.join(t.documents.select("doc_id", "n_chars", "lang", "source"), "doc_id") \
+        .select("doc_id", "quality", "toxic", "n_chars", "lang", "source")
+
+
+query("label_feature_join")(_label_features)
+
+# ------------------------------------------------------------------ validity checks (family B)
+query("rank_auc")(_wk(lambda c: __import__("bizlens.operators.ranking", fromlist=["x"]).rank_auc(
+    c.acct, "risk", "churned").select(__import__("bizlens.functions.numeric", fromlist=["x"]).rnd("auc", 6)
+                                      .alias("auc"), "n_pos", "n_neg")))
+query("leakage_scan")(_wk(lambda c: C.leakage_scan(c.acct, "churned")))
+query("one_sided_columns")(_wk(lambda c: C.one_sided_columns(c.acct, "churned")))
+query("one_sided_levels")(_wk(lambda c: C.one_sided_levels(c.acct, "churned")))
+query("baselines")(_wk(lambda c: C.baselines(c.acct, "churned")))
+query("validity_verdict")(_wk(lambda c: C.validity_verdict(c.acct, "churned")))
+query("crosstab")(_wk(lambda c: C.crosstab(c.acct, "contract", "churned")))
+
 
 def oracle() -> dict[str, str]:
-    from .oracle import accounts_sql, retention_sql, weekly_sql
+    from .oracle import accounts_sql, profile_checks_sql, retention_sql, weekly_sql
     out: dict[str, str] = {}
     out.update(weekly_sql(PARAMS))
     out.update(accounts_sql(PARAMS))
     out.update(retention_sql(PARAMS))
+    out.update(profile_checks_sql(PARAMS))
     return out
