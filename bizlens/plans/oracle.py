@@ -477,3 +477,69 @@ def profile_checks_sql(params: dict) -> dict[str, str]:
                          "count(*) FILTER (WHERE churned = 1) AS n_1 FROM acct WHERE contract IS NOT NULL "
                          "AND churned IS NOT NULL GROUP BY contract")
     return q
+
+
+def text_sql(params: dict) -> dict[str, str]:
+    from ..functions.metrics import ratio_sql
+    from ..functions.text import CASE_FIXES, HTML_ESCAPES, MAX_OUTPUT_CHARS, TRUNCATION_MARKER
+    q: dict[str, str] = {}
+    esc = "coalesce(CAST(text AS VARCHAR), '')"
+    for a, b in HTML_ESCAPES:
+        esc = f"replace({esc}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
+    q["html_escape"] = f"SELECT doc_id, {esc} AS escaped FROM documents"
+    half = MAX_OUTPUT_CHARS // 2
+    marker = TRUNCATION_MARKER.replace("\n", "' || chr(10) || '")
+    tr = f"CASE WHEN length(text) > {MAX_OUTPUT_CHARS} THEN left(text, {half}) || '{marker}' || right(text, {half}) ELSE text END"
+    q["truncate_middle"] = f"SELECT doc_id, {tr} AS truncated, length({tr}) AS n_chars_out FROM documents"
+    q["collapse_ws"] = r"SELECT doc_id, regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g') AS collapsed FROM documents"
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    fence = r"(?s)```(?:json)?\s*(.*?)```"
+    braces = r"(?s)[\{\[].*[\}\]]"
+    q["json_recover"] = (
+        "WITH w AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'error: ' || event_type "
+        "WHEN event_id % 3 = 0 THEN '```json' || chr(10) || props || chr(10) || '```' "
+        "WHEN event_id % 3 = 1 THEN 'Result: ' || props || ' (end)' ELSE props END AS raw FROM events),\n"
+        f"a AS (SELECT event_id, {strip('raw')} AS raw FROM w),\n"
+        f"b AS (SELECT event_id, CASE WHEN regexp_matches(raw, '{fence}') THEN {strip(f'regexp_extract(raw, {chr(39)}{fence}{chr(39)}, 1)')} "
+        "ELSE raw END AS t FROM a),\n"
+        f"c AS (SELECT event_id, t, regexp_extract(t, '{braces}', 0) AS span FROM b),\n"
+        "d AS (SELECT event_id, CASE WHEN json_valid(t) THEN t WHEN span <> '' AND json_valid(span) THEN span END AS recovered FROM c)\n"
+        "SELECT event_id, recovered, CAST(json_extract_string(recovered, '$.k') AS INTEGER) AS k, recovered IS NOT NULL AS ok FROM d")
+    q["transcript_pack"] = (
+        "SELECT conv_id, count(*) AS n_turns, string_agg('--- step ' || CAST(turn AS VARCHAR) || ' (' || role || '):' || chr(10) "
+        "|| left(coalesce(text, ''), 1800), chr(10) || chr(10) ORDER BY turn) AS pack FROM ("
+        "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 8 GROUP BY conv_id")
+    V = with_views("wk")
+    pct = lambda x, d: f"printf('%.{d}f%%', round(CAST({x} AS DOUBLE) * 100 * {float(10 ** d)}) / {float(10 ** d)})"
+    ints = lambda x: f"format('{{:,}}', CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT))"
+    q["format_metrics"] = V + (
+        f"SELECT week, {pct(ratio_sql('fundedRate'), 1)} AS funded_rate, {pct(ratio_sql('takeRate'), 2)} AS take_rate, "
+        f"{ints('don')} AS donations, '$' || printf('%.2f', round({ratio_sql('avgDonation')} * 100.0) / 100.0) AS avg_donation, "
+        "CASE WHEN CAST(gdv AS DOUBLE) >= 1e6 THEN '$' || printf('%.2f', round(CAST(gdv AS DOUBLE) / 1e6 * 100.0) / 100.0) || 'M' "
+        "WHEN CAST(gdv AS DOUBLE) >= 1e3 THEN '$' || printf('%.0f', round(CAST(gdv AS DOUBLE) / 1e3)) || 'K' "
+        f"ELSE '$' || {ints('gdv')} END AS gdv, '$' || {ints('rev')} AS net_revenue "
+        f"FROM ({agg('week')})")
+    q["format_dates"] = (with_views("weeks") +
+                         "SELECT week, strftime(week, '%b %-d, %Y') AS label, strftime(week, '%m/%d') AS axis FROM weeks")
+    x = "(CAST(o_totalprice AS DECIMAL(18,2)) * 0.125)"
+    q["scalar_rounding"] = (f"SELECT o_orderkey, {rnd_sql(x, 5)} AS x, {rnd_sql(f'round_even({x}, 2)', 5)} AS half_even, "
+                            f"{rnd_sql(f'round({x}, 2)', 5)} AS half_up, CAST(floor({x} + 0.5) AS BIGINT) AS js_round FROM orders")
+    q["bin_right_closed"] = with_views("acct") + (
+        "SELECT id, dorm * 1.5 AS x, CASE WHEN dorm * 1.5 >= 0 AND dorm * 1.5 <= 7 THEN '0-7' "
+        "WHEN dorm * 1.5 > 7 AND dorm * 1.5 <= 14 THEN '8-14' WHEN dorm * 1.5 > 14 AND dorm * 1.5 <= 30 THEN '15-30' "
+        "WHEN dorm * 1.5 > 30 AND dorm * 1.5 <= 60 THEN '31-60' WHEN dorm * 1.5 > 60 AND dorm * 1.5 <= 200 THEN '60+' END AS bin FROM acct")
+    title = ("array_to_string(list_transform(string_split(lower(raw), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')")
+    fix = title
+    for a, b in CASE_FIXES.items():
+        fix = f"CASE WHEN {fix} = '{a}' THEN '{b}' ELSE {fix} END"
+    q["clean_category_case"] = with_views("geo") + (
+        f"SELECT c_custkey, raw, {fix} AS cleaned FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN lower(r_name) "
+        "ELSE r_name END AS raw FROM geo)")
+    oh = params["one_hot_dummy_na"]["levels"]
+    cols = ["id"]
+    for c, levels in oh.items():
+        for lv in levels:
+            cols.append(f"CASE WHEN {c} = '{lv}' THEN 1 ELSE 0 END AS \"{c}_{lv}\"")
+        cols.append(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS \"{c}_nan\"")
+    q["one_hot_dummy_na"] = with_views("acct") + f"SELECT {', '.join(cols)} FROM acct"
+    return q

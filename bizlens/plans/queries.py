@@ -15,6 +15,7 @@ from ..operators import accounts as A
 from ..operators import checks as C
 from ..operators import profile as P
 from ..operators import retention as R
+from ..operators import textjobs as X
 from ..operators import weekly as W
 from ..sources.tables import Tables
 from . import views
@@ -40,6 +41,11 @@ PARAMS = {
     "account_cube": {"cap": 50_000},
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
     "profile_target": {"target": "o_orderstatus"},
+    # TPC-H market segments and region names, and the contract classes.
+    "one_hot_dummy_na": {"levels": {
+        "plan": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+        "region": ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"],
+        "contract": ["annual", "monthly", "multi-year"]}},
 }
 PROFILED = "orders"
 
@@ -186,12 +192,30 @@ query("baselines")(_wk(lambda c: C.baselines(c.acct, "churned")))
 query("validity_verdict")(_wk(lambda c: C.validity_verdict(c.acct, "churned")))
 query("crosstab")(_wk(lambda c: C.crosstab(c.acct, "contract", "churned")))
 
+# ------------------------------------------------------------------ text and scalar jobs
+def _tbl(name, fn):
+    return lambda spark, d: fn(getattr(Tables(spark, d), name))
+
+
+query("html_escape")(_tbl("documents", X.html_escape))
+query("truncate_middle")(_tbl("documents", X.truncate_middle))
+query("collapse_ws")(_tbl("documents", X.collapse_ws))
+query("json_recover")(_tbl("events", X.json_recover))
+query("transcript_pack")(_tbl("conversations", X.transcript_pack))
+query("scalar_rounding")(_tbl("orders", X.scalar_rounding))
+query("format_metrics")(_wk(lambda c: X.format_metrics(c.wk)))
+query("format_dates")(_wk(lambda c: X.format_dates(c.weeks)))
+query("bin_right_closed")(_wk(lambda c: X.bin_right_closed(c.acct)))
+query("clean_category_case")(_wk(lambda c: X.clean_category_case(views.customer_geo(c.t))))
+query("one_hot_dummy_na")(_wk(lambda c: X.one_hot_dummy_na(c.acct, "id", ["plan", "region", "contract"])))
+
 
 def oracle() -> dict[str, str]:
-    from .oracle import accounts_sql, profile_checks_sql, retention_sql, weekly_sql
+    from .oracle import accounts_sql, profile_checks_sql, retention_sql, text_sql, weekly_sql
     out: dict[str, str] = {}
     out.update(weekly_sql(PARAMS))
     out.update(accounts_sql(PARAMS))
     out.update(retention_sql(PARAMS))
     out.update(profile_checks_sql(PARAMS))
+    out.update(text_sql(PARAMS))
     return out
