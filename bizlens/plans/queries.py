@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from ..functions.metrics import scaled_watch
 from ..operators import accounts as A
@@ -209,13 +210,73 @@ query("bin_right_closed")(_wk(lambda c: X.bin_right_closed(c.acct)))
 query("clean_category_case")(_wk(lambda c: X.clean_category_case(views.customer_geo(c.t))))
 query("one_hot_dummy_na")(_wk(lambda c: X.one_hot_dummy_na(c.acct, "id", ["plan", "region", "contract"])))
 
+# ------------------------------------------------------------------ sources and sinks
+ACCT_SCHEMA = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("plan", T.StringType()),
+    T.StructField("region", T.StringType()), T.StructField("contract", T.StringType()),
+    T.StructField("mrr", T.DoubleType()), T.StructField("dorm", T.LongType()),
+    T.StructField("churned", T.IntegerType()), T.StructField("risk", T.DoubleType())])
+
+
+def _csv_roundtrip(spark, d):
+    """CSV sink without index, then a CSV scan with an explicit schema."""
+    from ..sources.files import read_csv, write_csv
+    from ..sources.scratch import scratch_path
+    path = scratch_path(spark, "acct-csv")
+    write_csv(A.clean(Ctx(spark, d).acct), path)
+    return read_csv(spark, path, ACCT_SCHEMA)
+
+
+def _json_roundtrip(spark, d):
+    """JSON-lines sink of the weekly measures, read back with its schema."""
+    from ..sources.files import read_json, write_json
+    from ..sources.scratch import scratch_path
+    df = W.weekly_measures(Ctx(spark, d).wk)
+    path = scratch_path(spark, "weekly-json")
+    write_json(df, path)
+    return read_json(spark, path, df.schema).select(*df.columns)
+
+
+query("scan_csv_roundtrip")(_csv_roundtrip)
+query("scan_json_roundtrip")(_json_roundtrip)
+
+# ------------------------------------------------------------------ scoring (family F)
+_MODELS: dict = {}
+
+
+def churn_model(spark, d):
+    """One fitted model per (session, data dir): the three scoring reports share it."""
+    from ..operators.scoring import ChurnModel
+    key = (id(spark), d)
+    if key not in _MODELS:
+        _MODELS[key] = ChurnModel(Ctx(spark, d).acct, "id", "churned")
+    return _MODELS[key]
+
+
+def _split(spark, d):
+    from ..operators.scoring import stratified_split
+    return stratified_split(Ctx(spark, d).acct, "id", "churned")
+
+
+query("stratified_split")(_split)
+query("churn_model_scores")(lambda spark, d: churn_model(spark, d).scores())
+query("model_auc")(lambda spark, d: churn_model(spark, d).holdout_auc())
+query("permutation_importance")(lambda spark, d: churn_model(spark, d).permutation_importance())
+
 
 def oracle() -> dict[str, str]:
     from .oracle import accounts_sql, profile_checks_sql, retention_sql, text_sql, weekly_sql
+    from .oracle_views import with_views
     out: dict[str, str] = {}
     out.update(weekly_sql(PARAMS))
     out.update(accounts_sql(PARAMS))
     out.update(retention_sql(PARAMS))
     out.update(profile_checks_sql(PARAMS))
     out.update(text_sql(PARAMS))
+    out["scan_csv_roundtrip"] = out["contract_dropna"]
+    out["scan_json_roundtrip"] = out["weekly_measures"]
+    out["stratified_split"] = with_views("acct") + (
+        "SELECT id, churned, CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY h, id) - 1 < "
+        "ceil(count(*) OVER (PARTITION BY churned) * 0.25) THEN 'test' ELSE 'train' END AS split FROM ("
+        "SELECT id, churned, ('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 15))::BIGINT AS h FROM acct)")
     return out
