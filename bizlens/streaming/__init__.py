@@ -1,0 +1,3 @@
+"""No streaming operators: the reference reads complete files only, so nothing here is
+owed.  The weekly registry is additive and would run unchanged on a ``readStream``
+source with a watermark; that extension is deliberately not built."""

@@ -63,6 +63,8 @@ def _key(row):
 
 
 def compare(spark_df, con, sql, digits: int = 9):
+    import os
+    digits = int(os.environ.get("COMPARE_DIGITS", digits))
     """Returns (ok, message).  Exact match on normalised values."""
     sc, sr = rows_of_spark(spark_df, digits)
     dc, dr = rows_of_duck(con, sql, digits)
