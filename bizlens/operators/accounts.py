@@ -303,3 +303,28 @@ def level_ratio(acct: DataFrame, level_a: str, level_b: str) -> DataFrame:
     return a.select(F.lit(level_a).alias("level_a"), F.lit(level_b).alias("level_b"),
                     rnd(ra, 6).alias("rate_a"), rnd(rb, 6).alias("rate_b"),
                     rnd(F.try_divide(ra, rb), 6).alias("ratio"))
+
+
+def scope_sentence(acct: DataFrame, plan=None, region=None, contract=None) -> DataFrame:
+    """Filtered count sentence (A14): "<n> <plan> <contract> accounts in <region>"."""
+    x = account_filter(acct, plan, region, contract)
+    bits = " ".join(v for v in (plan, contract) if v is not None)
+    where = region if region is not None else "all regions"
+    n = x.agg(F.count(F.lit(1)).alias("n"))
+    text = F.concat_ws(" ", F.format_number(F.col("n"), 0), F.lit(bits), F.lit("accounts in"), F.lit(where))
+    return n.select("n", F.regexp_replace(text, "\\s+", " ").alias("sentence"))
+
+
+def dup_bucket(col: str = "id") -> F.Column:
+    return F.conv(F.substring(F.md5(F.col(col).cast("string")), 1, 8), 16, 10).cast("bigint") % 100
+
+
+def union_all_dupes(acct: DataFrame, pct: int = 5) -> DataFrame:
+    """Rows plus planted exact copies of a deterministic ``pct`` % subset (K7)."""
+    x = clean(acct)
+    return x.unionByName(x.where(dup_bucket() < pct))
+
+
+def dedupe(acct: DataFrame, pct: int = 5) -> DataFrame:
+    """Full-row de-duplication (K6) of the table with planted copies."""
+    return union_all_dupes(acct, pct).dropDuplicates()

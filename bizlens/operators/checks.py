@@ -118,3 +118,44 @@ def validity_verdict(df: DataFrame, target: str) -> DataFrame:
     return df.sparkSession.range(1).select(
         n.alias("n_rows"), d.cast("bigint").alias("duplicate_rows"), s.alias("n_suspects"),
         o.alias("n_one_sided"), verdict.alias("verdict"))
+
+
+def validity_report(df: DataFrame, target: str) -> DataFrame:
+    """Text rendering of the gate (C8): one row per line, built from the aggregated
+    check results only (a handful of rows)."""
+    from pyspark.sql import Window
+    n = df.agg(F.count(F.lit(1))).scalar()
+    dup = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")) \
+        .agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).scalar()
+    b = baselines(df, target)
+    spark = df.sparkSession
+    head = b.select(
+        F.explode(F.array(
+            F.struct(F.lit(1).alias("line_no"),
+                     F.concat(F.lit("Rows: "), n.cast("string"), F.lit("  Duplicates: "), dup.cast("string"))
+                     .alias("text")),
+            F.struct(F.lit(2).alias("line_no"),
+                     F.concat(F.lit("Baselines to beat: majority-class accuracy "),
+                              F.col("majority_class_accuracy").cast("string"),
+                              F.lit(", AUC 0.5. Positive rate "), F.col("positive_rate").cast("string"),
+                              F.lit(".")).alias("text")))).alias("l")).select("l.*")
+    scan = leakage_scan(df, target).where("flagged")
+    # suspects and class-pure columns are per-column results: a few rows at most
+    sus = scan.select((F.lit(10) + F.row_number().over(
+        Window.orderBy(F.desc("univariate_auc"), "column"))).alias("line_no"),
+        F.concat(F.lit("  - "), F.col("column"), F.lit("  univariate AUC "),
+                 F.col("univariate_auc").cast("string")).alias("text"))
+    n_sus = scan.agg(F.count(F.lit(1))).scalar()
+    sus_head = spark.range(1).where(n_sus > 0).select(
+        F.lit(10).alias("line_no"),
+        F.lit("LEAKAGE SUSPECTS (single column predicts the target almost perfectly):").alias("text"))
+    one = one_sided_columns(df, target).where("one_sided")
+    one_line = one.agg(F.array_join(F.array_sort(F.collect_list("column")), ", ").alias("cols"),
+                       F.count(F.lit(1)).alias("k")).where(F.col("k") > 0).select(
+        F.lit(1000).alias("line_no"),
+        F.concat(F.lit("COLUMNS THAT ONLY EVER OCCUR IN ONE CLASS (almost certainly recorded "
+                       "after the outcome): "), F.col("cols")).alias("text"))
+    n_one = one.agg(F.count(F.lit(1))).scalar()
+    clean = spark.range(1).where((n_sus == 0) & (n_one == 0)).select(
+        F.lit(2000).alias("line_no"), F.lit("No leakage detected.").alias("text"))
+    return head.unionByName(sus_head).unionByName(sus).unionByName(one_line).unionByName(clean)

@@ -543,3 +543,54 @@ def text_sql(params: dict) -> dict[str, str]:
         cols.append(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS \"{c}_nan\"")
     q["one_hot_dummy_na"] = with_views("acct") + f"SELECT {', '.join(cols)} FROM acct"
     return q
+
+
+def extra_sql(params: dict) -> dict[str, str]:
+    q: dict[str, str] = {}
+    V = with_views("acct") + (", c AS (SELECT id, plan, region, contract, mrr, dorm, churned, risk FROM acct "
+                              "WHERE id IS NOT NULL AND plan IS NOT NULL AND region IS NOT NULL AND contract IS NOT NULL "
+                              "AND mrr IS NOT NULL AND dorm IS NOT NULL AND churned IS NOT NULL AND risk IS NOT NULL)\n")
+    f = params["account_filter"]
+    conds = " AND ".join([f"{k} = '{v}'" for k, v in f.items() if v is not None]) or "true"
+    bits = " ".join(v for v in (f["plan"], f["contract"]) if v is not None)
+    where = f["region"] if f["region"] is not None else "all regions"
+    q["scope_sentence"] = V + (
+        f"SELECT count(*) AS n, regexp_replace(format('{{:,}}', count(*)) || ' {bits} accounts in {where}', '\\s+', ' ', 'g') "
+        f"AS sentence FROM c WHERE {conds}")
+    pct = params["union_all_dupes"]["pct"]
+    dup = (f"SELECT * FROM c UNION ALL SELECT * FROM c WHERE "
+           f"('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8))::BIGINT % 100 < {pct}")
+    q["union_all_dupes"] = V + dup
+    q["dedupe"] = V + f"SELECT DISTINCT * FROM ({dup})"
+    V2 = with_views("acct")
+    parts = []
+    for c, t in ACCT_SCHEMA:
+        if c == "churned":
+            continue
+        if t == "string":
+            score = f"CASE WHEN {c} IS NULL THEN -1 ELSE dense_rank() OVER (ORDER BY {c}) - 1 END"
+            parts.append(auc_sql(f"(SELECT {score} AS sc, churned FROM acct)", "sc", "churned", c))
+        else:
+            parts.append(auc_sql("acct", c, "churned", c))
+    longv = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, churned AS y FROM acct"
+                               for c, t in ACCT_SCHEMA if c != "churned")
+    allc = ", ".join(c for c, _ in ACCT_SCHEMA)
+    q["validity_report"] = V2 + (
+        f", s AS (SELECT \"column\" AS col, {rnd_sql('greatest(auc, 1 - auc)', 4)} AS a FROM ({' UNION ALL '.join(parts)}) "
+        "WHERE greatest(auc, 1 - auc) >= 0.9),\n"
+        f"lg AS ({longv}),\n"
+        "elig AS (SELECT col FROM lg WHERE value IS NOT NULL GROUP BY col HAVING count(DISTINCT value) <= 20),\n"
+        "lv AS (SELECT col, value, min(y) AS ymin, max(y) AS ymax FROM lg WHERE value IS NOT NULL AND y IS NOT NULL "
+        "AND col IN (SELECT col FROM elig) GROUP BY col, value),\n"
+        "o AS (SELECT col FROM lv GROUP BY col HAVING bool_and(ymin = ymax) AND min(ymin) <> max(ymax)),\n"
+        f"d AS (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM acct GROUP BY {allc})),\n"
+        "b AS (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM acct)\n"
+        "SELECT 1 AS line_no, 'Rows: ' || CAST((SELECT count(*) FROM acct) AS VARCHAR) || '  Duplicates: ' || CAST(d.k AS VARCHAR) AS text FROM d "
+        "UNION ALL SELECT 2, 'Baselines to beat: majority-class accuracy ' || CAST(" + rnd_sql('greatest(p, 1 - p)', 4)
+        + " AS VARCHAR) || ', AUC 0.5. Positive rate ' || CAST(" + rnd_sql('p', 4) + " AS VARCHAR) || '.' FROM b "
+        "UNION ALL SELECT 10, 'LEAKAGE SUSPECTS (single column predicts the target almost perfectly):' WHERE (SELECT count(*) FROM s) > 0 "
+        "UNION ALL SELECT 10 + row_number() OVER (ORDER BY a DESC, col), '  - ' || col || '  univariate AUC ' || CAST(a AS VARCHAR) FROM s "
+        "UNION ALL SELECT 1000, 'COLUMNS THAT ONLY EVER OCCUR IN ONE CLASS (almost certainly recorded after the outcome): ' "
+        "|| string_agg(col, ', ' ORDER BY col) FROM o HAVING count(*) > 0 "
+        "UNION ALL SELECT 2000, 'No leakage detected.' WHERE (SELECT count(*) FROM s) = 0 AND (SELECT count(*) FROM o) = 0")
+    return q

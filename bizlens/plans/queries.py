@@ -43,6 +43,7 @@ PARAMS = {
     "account_cube": {"cap": 50_000},
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
     "profile_target": {"target": "o_orderstatus"},
+    "union_all_dupes": {"pct": 5},
     # TPC-H market segments and region names, and the contract classes.
     "one_hot_dummy_na": {"levels": {
         "plan": ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
@@ -156,6 +157,9 @@ query("cube_sample_cap")(_wk(lambda c: A.cube_sample_cap(c.acct, PARAMS["cube_sa
 query("account_cube")(_wk(lambda c: A.account_cube(c.acct, PARAMS["account_cube"]["cap"])))
 query("report_kpi_lines")(_wk(lambda c: A.report_kpi_lines(c.acct)))
 query("level_ratio")(_wk(lambda c: A.level_ratio(c.acct, **PARAMS["level_ratio"])))
+query("scope_sentence")(_wk(lambda c: A.scope_sentence(c.acct, **PARAMS["account_filter"])))
+query("union_all_dupes")(_wk(lambda c: A.union_all_dupes(c.acct, PARAMS["union_all_dupes"]["pct"])))
+query("dedupe")(_wk(lambda c: A.dedupe(c.acct, PARAMS["union_all_dupes"]["pct"])))
 
 # ------------------------------------------------------------------ retention (family E)
 query("nrr_cohort")(_wk(lambda c: R.nrr_cohort(c.sub)))
@@ -212,6 +216,7 @@ query("one_sided_levels")(_wk(lambda c: C.one_sided_levels(c.acct, "churned")))
 query("baselines")(_wk(lambda c: C.baselines(c.acct, "churned")))
 query("validity_verdict")(_wk(lambda c: C.validity_verdict(c.acct, "churned")))
 query("crosstab")(_wk(lambda c: C.crosstab(c.acct, "contract", "churned")))
+query("validity_report")(_wk(lambda c: C.validity_report(c.acct, "churned")))
 
 # ------------------------------------------------------------------ text and scalar jobs
 def _tbl(name, fn):
@@ -285,7 +290,7 @@ query("permutation_importance")(lambda spark, d: churn_model(spark, d).permutati
 
 
 def oracle() -> dict[str, str]:
-    from .oracle import accounts_sql, profile_checks_sql, retention_sql, text_sql, weekly_sql
+    from .oracle import accounts_sql, extra_sql, profile_checks_sql, retention_sql, text_sql, weekly_sql
     from .oracle_views import with_views
     out: dict[str, str] = {}
     out.update(weekly_sql(PARAMS))
@@ -293,6 +298,7 @@ def oracle() -> dict[str, str]:
     out.update(retention_sql(PARAMS))
     out.update(profile_checks_sql(PARAMS))
     out.update(text_sql(PARAMS))
+    out.update(extra_sql(PARAMS))
     out["scan_csv_roundtrip"] = out["contract_dropna"]
     out["scan_json_roundtrip"] = out["weekly_measures"]
     out["stratified_split"] = with_views("acct") + (
