@@ -60,11 +60,11 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def bucket_column(df: DataFrame, order_col: str, part_cols: Sequence[str],
-                  rows_per_bucket: int) -> Column:
-    """Ordered range bucket per group (0 when the group is small)."""
+                  rows_per_bucket: int) -> Column | None:
+    """Ordered range bucket per group; None when every group fits one bucket."""
     sizes = df.groupBy(*part_cols).count().where(F.col("count") > rows_per_bucket).collect()
     if not sizes:
-        return F.lit(0)
+        return None
     expr = None
     for row in sizes:
         nb = int(math.ceil(row["count"] / rows_per_bucket))
@@ -87,7 +87,13 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
     part_cols = list(part_cols)
     key = (-F.col(order_col)) if descending else F.col(order_col)
     x = df.withColumn("_k", key)
-    x = x.withColumn("_b", bucket_column(x, "_k", part_cols, rows_per_bucket))
+    bucket = bucket_column(x, "_k", part_cols, rows_per_bucket)
+    if bucket is None:
+        # every group fits one bucket: a plain running sum per group, no offsets
+        w = Window.partitionBy(*part_cols).orderBy("_k").rowsBetween(_UNB, -1)
+        return x.select(*df.columns, *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"{c}_below")
+                                       for c in weights])
+    x = x.withColumn("_b", bucket)
     local_w = Window.partitionBy(*part_cols, "_b").orderBy("_k").rowsBetween(_UNB, -1)
     x = x.select("*", *[F.coalesce(F.sum(w).over(local_w), F.lit(0)).alias(f"_{w}_loc")
                         for w in weights])
@@ -107,14 +113,15 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
     """For each group, the values at 0-based ranks ``picks[name](N)`` (ascending,
     nulls excluded).  Returns ``part_cols + [n] + picks``."""
     part_cols = list(part_cols)
-    glob = not part_cols
-    if glob:  # one constant group key keeps a single code path (no cross join)
-        df, part_cols = df.withColumn("_g", F.lit(0)), ["_g"]
     counts = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))) \
         .groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
     ps = prefix_sums(counts, value_col, ["_n"], part_cols, rows_per_bucket=rows_per_bucket)
-    totals = counts.groupBy(*part_cols).agg(F.sum("_n").alias("n"))
-    j = join_null_safe(ps, totals, part_cols)
+    if part_cols:
+        totals = counts.groupBy(*part_cols).agg(F.sum("_n").alias("n"))
+        j = join_null_safe(ps, totals, part_cols)
+    else:  # one group: its size is a scalar subquery, no join at all
+        n_all = F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0).cast("bigint"))
+        j = ps.withColumn("n", n_all)
     hit = None
     sel = []
     for name, f in picks.items():
@@ -122,9 +129,10 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
         inside = (F.col("_n_below") <= k) & (k < F.col("_n_below") + F.col("_n"))
         hit = inside if hit is None else hit | inside
         sel.append(F.max(F.when(inside, F.col(value_col))).alias(name))
-    found = j.where(hit).groupBy(*part_cols).agg(*sel)
-    out = join_null_safe(totals, found, part_cols, "left")
-    return out.drop("_g") if glob else out
+    if part_cols:
+        found = j.where(hit).groupBy(*part_cols).agg(*sel)
+        return join_null_safe(totals, found, part_cols, "left")
+    return j.where(hit).agg(*sel).select(n_all.alias("n"), *picks.keys())
 
 
 def quantiles(df: DataFrame, value_col: str, qs: dict[str, float], part_cols: Sequence[str] = (),
