@@ -26,9 +26,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
+ROWS_PER_BUCKET_CONF = "bizlens.ranking.rowsPerBucket"
 _UNB = Window.unboundedPreceding
 
 
+def _rows_per_bucket(df: DataFrame, given: int | None) -> int:
+    """Bucket size: explicit argument, else the session setting, else 2M rows."""
+    if given is not None:
+        return given
+    return int(df.sparkSession.conf.get(ROWS_PER_BUCKET_CONF, str(DEFAULT_ROWS_PER_BUCKET)))
+
+
 def _bsearch(v: Column, bounds: list, lo: int, hi: int) -> Column:
     if lo == hi:
         return F.lit(lo)
@@ -80,11 +88,12 @@ def bucket_column(df: DataFrame, order_col: str, part_cols: Sequence[str],
 
 def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
                 part_cols: Sequence[str] = (), descending: bool = False,
-                rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                rows_per_bucket: int | None = None) -> DataFrame:
     """Adds ``<w>_below``: sum of ``w`` over rows strictly before this one along
     ``order_col`` (numeric) within ``part_cols``.  Rows must be unique per
     ``(part_cols, order_col)``."""
     part_cols = list(part_cols)
+    rows_per_bucket = _rows_per_bucket(df, rows_per_bucket)
     key = (-F.col(order_col)) if descending else F.col(order_col)
     x = df.withColumn("_k", key)
     bucket = bucket_column(x, "_k", part_cols, rows_per_bucket)
@@ -109,7 +118,7 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
 
 def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[Column], Column]],
                      part_cols: Sequence[str] = (),
-                     rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+                     rows_per_bucket: int | None = None) -> DataFrame:
     """For each group, the values at 0-based ranks ``picks[name](N)`` (ascending,
     nulls excluded).  Returns ``part_cols + [n] + picks``."""
     part_cols = list(part_cols)
@@ -136,7 +145,7 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
 
 
 def quantiles(df: DataFrame, value_col: str, qs: dict[str, float], part_cols: Sequence[str] = (),
-              rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+              rows_per_bucket: int | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/NumPy default)."""
     picks = {}
     for name, q in qs.items():
@@ -153,7 +162,7 @@ def quantiles(df: DataFrame, value_col: str, qs: dict[str, float], part_cols: Se
 
 def rank_auc(long_df: DataFrame, score_col: str, label_col: str,
              part_cols: Sequence[str] = (),
-             rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET) -> DataFrame:
+             rows_per_bucket: int | None = None) -> DataFrame:
     """Mann-Whitney AUC with average ranks for ties, per group; 0.5 when a class
     is empty; NULL/NaN scores are dropped (pairwise deletion).  Exact integer
     arithmetic: 2U = sum_pos(2*below + n + 1) - P(P+1)."""

@@ -39,3 +39,20 @@ def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
     assert df.columns == ["week", "region", "metric", "value", "prev", "delta", "direction"]
+
+
+RANKED = ["rank_auc", "leakage_scan", "profile_numeric", "account_kpis", "account_cube_all", "decile_capture",
+          "dict_plan_by_median", "stratified_split", "validity_report"]
+
+
+@pytest.mark.parametrize("name", RANKED)
+def test_ranked_queries_multi_bucket(spark, con, name):
+    """The at-scale path of the ranking core (many range buckets per group) on the
+    real tables: force tiny buckets and compare with the oracle again."""
+    from bizlens.operators.ranking import ROWS_PER_BUCKET_CONF
+    spark.conf.set(ROWS_PER_BUCKET_CONF, "97")
+    try:
+        ok, msg = compare(QUERIES[name](spark, SF_ORACLE), con, ORACLE[name])
+    finally:
+        spark.conf.unset(ROWS_PER_BUCKET_CONF)
+    assert ok, msg
