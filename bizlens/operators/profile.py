@@ -68,7 +68,16 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return long_values(df, columns).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def profile_distinct(df: DataFrame) -> DataFrame:
+def profile_distinct(df: DataFrame, approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """Exact distinct counts from the long (column, value) aggregate; ``approx`` uses
+    HyperLogLog++ sketches in one wide aggregate instead (no shuffle of values)."""
+    if approx:
+        fields = df.schema.fields
+        a = df.agg(*[F.approx_count_distinct(F.when(~_missing(f), F.col(f.name)), rsd).alias(f"d{i}")
+                     for i, f in enumerate(fields)])
+        rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("column"),
+                                  F.col(f"d{i}").alias("n_unique")) for i, f in enumerate(fields)])
+        return a.select(F.explode(rows).alias("r")).select("r.pos", "r.column", "r.n_unique")
     counts = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
     names = df.sparkSession.createDataFrame([(i, f.name) for i, f in enumerate(df.schema.fields)],
                                             "pos int, column string")
@@ -76,16 +85,24 @@ def profile_distinct(df: DataFrame) -> DataFrame:
         "pos", "column", F.coalesce("n_unique", F.lit(0)).cast("bigint").alias("n_unique"))
 
 
-def profile_numeric(df: DataFrame, digits: int = 3) -> DataFrame:
+def profile_numeric(df: DataFrame, digits: int = 3, approx: bool = False,
+                    accuracy: int = 10_000) -> DataFrame:
     """min, quartiles (linear interpolation), max and mean of numeric columns that
-    have any value; rounded to ``digits``."""
+    have any value; rounded to ``digits``.  ``approx`` swaps the exact quartiles for
+    ``percentile_approx`` (one sketch per column, no ranking jobs)."""
     num = [f for f in df.schema.fields if is_numeric(f.dataType)]
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"),
                                F.when(~_missing(f), F.col(f.name).cast("double")).alias("x")) for f in num])
     long = df.select(F.explode(cells).alias("c")).select("c.column", "c.x").where(F.col("x").isNotNull())
     basic = long.groupBy("column").agg(F.min("x").alias("min"), F.max("x").alias("max"),
                                        F.avg("x").alias("mean"))
-    q = quantiles(long, "x", {"p25": 0.25, "median": 0.5, "p75": 0.75}, ["column"])
+    if approx:
+        q = long.groupBy("column").agg(
+            F.percentile_approx("x", [0.25, 0.5, 0.75], accuracy).alias("_q"))
+        q = q.select("column", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("median"),
+                     F.col("_q")[2].alias("p75"))
+    else:
+        q = quantiles(long, "x", {"p25": 0.25, "median": 0.5, "p75": 0.75}, ["column"])
     j = basic.join(q, "column")
     return j.select("column", *[rnd(c, digits).alias(c) for c in ("min", "p25", "median", "p75", "max", "mean")])
 

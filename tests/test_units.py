@@ -206,3 +206,18 @@ def test_repartition_invariance(spark):
     a = sorted(W.weekly_measures(wk).collect())
     b = sorted(W.weekly_measures(wk.repartition(3, "channel")).collect())
     assert a == b
+
+
+def test_profile_approx_options_close_to_exact(spark):
+    from tests.conftest import SF_SMALL
+    from bizlens.sources.tables import Tables
+    li = Tables(spark, SF_SMALL).lineitem
+    ex = {r["column"]: r["n_unique"] for r in P.profile_distinct(li).collect()}
+    ap = {r["column"]: r["n_unique"] for r in P.profile_distinct(li, approx=True).collect()}
+    for c, v in ex.items():
+        assert abs(ap[c] - v) <= max(2, 0.05 * v)
+    exq = {r["column"]: r for r in P.profile_numeric(li).collect()}
+    apq = {r["column"]: r for r in P.profile_numeric(li, approx=True).collect()}
+    for c in exq:   # the sketch returns a data value: it must sit inside the exact quartiles
+        assert exq[c]["p25"] <= apq[c]["median"] <= exq[c]["p75"]
+        assert (exq[c]["min"], exq[c]["max"]) == (apq[c]["min"], apq[c]["max"])
