@@ -272,7 +272,7 @@ _MODELS: dict = {}
 def churn_model(spark, d):
     """One fitted model per (session, data dir): the three scoring reports share it."""
     from ..operators.scoring import ChurnModel
-    key = (id(spark), d)
+    key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
         _MODELS[key] = ChurnModel(Ctx(spark, d).acct, "id", "churned")
     return _MODELS[key]

@@ -221,3 +221,30 @@ def test_profile_approx_options_close_to_exact(spark):
     for c in exq:   # the sketch returns a data value: it must sit inside the exact quartiles
         assert exq[c]["p25"] <= apq[c]["median"] <= exq[c]["p75"]
         assert (exq[c]["min"], exq[c]["max"]) == (apq[c]["min"], apq[c]["max"])
+
+
+def test_skewed_group_top_k_and_aggregates(spark):
+    """One conversation holds a third of all turns: the salted top-k still returns
+    exactly its last 8 turns in order, and the other groups are unaffected."""
+    from bizlens.operators.textjobs import transcript_pack
+    rows = [(0, t, "user", f"t{t}") for t in range(3000)]
+    rows += [(c, t, "assistant", f"c{c}t{t}") for c in range(1, 601) for t in range(10)]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in transcript_pack(conv).collect()}
+    assert got[0]["n_turns"] == 8
+    assert [ln.split("\n")[1] for ln in got[0]["pack"].split("\n\n")] == [f"t{t}" for t in range(2992, 3000)]
+    assert got[5]["n_turns"] == 8 and got[5]["pack"].startswith("--- step 2 (assistant):\nc5t2")
+
+
+def test_skewed_value_profile_and_auc(spark):
+    """A value holding a third of a column is one row after partial aggregation; the
+    exact quantiles and AUC stay exact with many range buckets."""
+    from bizlens.operators.ranking import quantiles, rank_auc
+    import numpy as np
+    vals = [0.0] * 3000 + [float(i) for i in range(6000)]
+    df = spark.createDataFrame([(v, i % 2) for i, v in enumerate(vals)], "x double, y int")
+    q = quantiles(df, "x", {"p25": .25, "med": .5, "p75": .75}, rows_per_bucket=500).first()
+    assert (q["p25"], q["med"], q["p75"]) == tuple(np.quantile(vals, [.25, .5, .75]))
+    a1 = rank_auc(df, "x", "y", rows_per_bucket=500).first()["auc"]
+    a2 = rank_auc(df, "x", "y").first()["auc"]
+    assert a1 == a2
