@@ -213,7 +213,7 @@ def accounts_sql(params: dict) -> dict[str, str]:
     for d, r in params["outreach_at_threshold"]["thresholds"]:
         hit = f"dorm >= {d} AND risk >= {float(r)}"
         parts.append(
-            f"SELECT {d} AS dorm_min, {float(r)} AS risk_min, count(*) FILTER (WHERE {hit}) AS flagged, "
+            f"SELECT {d} AS dorm_min, CAST({float(r)} AS DOUBLE) AS risk_min, count(*) FILTER (WHERE {hit}) AS flagged, "
             f"{rnd_sql(rate(f'count(*) FILTER (WHERE {hit})', 'count(*)'), 6)} AS share_flagged, "
             f"CAST(coalesce(sum(churned) FILTER (WHERE {hit}), 0) AS BIGINT) AS caught, "
             f"{rnd_sql(rate(f'coalesce(sum(churned) FILTER (WHERE {hit}), 0)', 'sum(churned)'), 6)} AS capture, "
@@ -465,7 +465,7 @@ def profile_checks_sql(params: dict) -> dict[str, str]:
     q["one_sided_levels"] = V + lv + "SELECT \"column\", value, ymin AS only_class FROM lv WHERE ymin = ymax"
     q["baselines"] = V + (
         f"SELECT {rnd_sql('greatest(p, 1 - p)', 4)} AS majority_class_accuracy, {rnd_sql('p', 4)} AS positive_rate, "
-        "0.5 AS random_auc FROM (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM acct)")
+        "CAST(0.5 AS DOUBLE) AS random_auc FROM (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM acct)")
     allc = ", ".join(c for c, _ in ACCT_SCHEMA)
     q["validity_verdict"] = V + lv + (
         f", sus AS (SELECT count(*) AS k FROM ({' UNION ALL '.join(parts)}) WHERE greatest(auc, 1 - auc) >= 0.9),\n"
@@ -490,7 +490,7 @@ def text_sql(params: dict) -> dict[str, str]:
     half = MAX_OUTPUT_CHARS // 2
     marker = TRUNCATION_MARKER.replace("\n", "' || chr(10) || '")
     tr = f"CASE WHEN length(text) > {MAX_OUTPUT_CHARS} THEN left(text, {half}) || '{marker}' || right(text, {half}) ELSE text END"
-    q["truncate_middle"] = f"SELECT doc_id, {tr} AS truncated, length({tr}) AS n_chars_out FROM documents"
+    q["truncate_middle"] = f"SELECT doc_id, {tr} AS truncated, CAST(length({tr}) AS INTEGER) AS n_chars_out FROM documents"
     q["collapse_ws"] = r"SELECT doc_id, regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g') AS collapsed FROM documents"
     strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
     fence = r"(?s)```(?:json)?\s*(.*?)```"
@@ -525,7 +525,7 @@ def text_sql(params: dict) -> dict[str, str]:
     q["scalar_rounding"] = (f"SELECT o_orderkey, {rnd_sql(x, 5)} AS x, {rnd_sql(f'round_even({x}, 2)', 5)} AS half_even, "
                             f"{rnd_sql(f'round({x}, 2)', 5)} AS half_up, CAST(floor({x} + 0.5) AS BIGINT) AS js_round FROM orders")
     q["bin_right_closed"] = with_views("acct") + (
-        "SELECT id, dorm * 1.5 AS x, CASE WHEN dorm * 1.5 >= 0 AND dorm * 1.5 <= 7 THEN '0-7' "
+        "SELECT id, CAST(dorm * 1.5 AS DOUBLE) AS x, CASE WHEN dorm * 1.5 >= 0 AND dorm * 1.5 <= 7 THEN '0-7' "
         "WHEN dorm * 1.5 > 7 AND dorm * 1.5 <= 14 THEN '8-14' WHEN dorm * 1.5 > 14 AND dorm * 1.5 <= 30 THEN '15-30' "
         "WHEN dorm * 1.5 > 30 AND dorm * 1.5 <= 60 THEN '31-60' WHEN dorm * 1.5 > 60 AND dorm * 1.5 <= 200 THEN '60+' END AS bin FROM acct")
     title = ("array_to_string(list_transform(string_split(lower(raw), ' '), lambda w: upper(left(w, 1)) || substr(w, 2)), ' ')")
@@ -585,12 +585,12 @@ def extra_sql(params: dict) -> dict[str, str]:
         "o AS (SELECT col FROM lv GROUP BY col HAVING bool_and(ymin = ymax) AND min(ymin) <> max(ymax)),\n"
         f"d AS (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM acct GROUP BY {allc})),\n"
         "b AS (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM acct)\n"
-        "SELECT 1 AS line_no, 'Rows: ' || CAST((SELECT count(*) FROM acct) AS VARCHAR) || '  Duplicates: ' || CAST(d.k AS VARCHAR) AS text FROM d "
+        "SELECT CAST(line_no AS INTEGER) AS line_no, text FROM (SELECT 1 AS line_no, 'Rows: ' || CAST((SELECT count(*) FROM acct) AS VARCHAR) || '  Duplicates: ' || CAST(d.k AS VARCHAR) AS text FROM d "
         "UNION ALL SELECT 2, 'Baselines to beat: majority-class accuracy ' || CAST(" + rnd_sql('greatest(p, 1 - p)', 4)
         + " AS VARCHAR) || ', AUC 0.5. Positive rate ' || CAST(" + rnd_sql('p', 4) + " AS VARCHAR) || '.' FROM b "
         "UNION ALL SELECT 10, 'LEAKAGE SUSPECTS (single column predicts the target almost perfectly):' WHERE (SELECT count(*) FROM s) > 0 "
         "UNION ALL SELECT 10 + row_number() OVER (ORDER BY a DESC, col), '  - ' || col || '  univariate AUC ' || CAST(a AS VARCHAR) FROM s "
         "UNION ALL SELECT 1000, 'COLUMNS THAT ONLY EVER OCCUR IN ONE CLASS (almost certainly recorded after the outcome): ' "
         "|| string_agg(col, ', ' ORDER BY col) FROM o HAVING count(*) > 0 "
-        "UNION ALL SELECT 2000, 'No leakage detected.' WHERE (SELECT count(*) FROM s) = 0 AND (SELECT count(*) FROM o) = 0")
+        "UNION ALL SELECT 2000, 'No leakage detected.' WHERE (SELECT count(*) FROM s) = 0 AND (SELECT count(*) FROM o) = 0)")
     return q

@@ -78,3 +78,19 @@ def compare(spark_df, con, sql, digits: int = 9):
             diff = [(c, x, y) for c, x, y in zip(sc, a, b) if x != y]
             return False, f"first differing row: {diff[:6]}"
     return True, f"{len(sr)} rows match"
+
+
+def spark_type_name(dt) -> str:
+    from pyspark.sql import types as T
+    m = {T.LongType: "BIGINT", T.IntegerType: "INTEGER", T.DoubleType: "DOUBLE", T.StringType: "VARCHAR",
+         T.DateType: "DATE", T.BooleanType: "BOOLEAN", T.TimestampNTZType: "TIMESTAMP", T.FloatType: "FLOAT",
+         T.ShortType: "SMALLINT", T.ByteType: "TINYINT"}
+    return m.get(type(dt), dt.simpleString())
+
+
+def type_diff(spark_df, con, sql) -> dict:
+    """Columns whose Spark type and DuckDB type differ (name -> (spark, duckdb))."""
+    rel = con.sql(sql)
+    dt = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    st = {f.name: spark_type_name(f.dataType) for f in spark_df.schema.fields}
+    return {c: (st[c], dt.get(c)) for c in st if st[c] != dt.get(c)}

@@ -3,7 +3,7 @@
 
 import pytest
 
-from tests.compare import compare, duck
+from tests.compare import compare, duck, type_diff
 from tests.conftest import SF_ORACLE
 
 import __spark_entry__ as entry_mod
@@ -25,8 +25,10 @@ def test_every_query_is_registered_with_an_oracle_or_is_ml():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_matches_oracle(spark, con, name):
-    ok, msg = compare(QUERIES[name](spark, SF_ORACLE), con, ORACLE[name])
+    df = QUERIES[name](spark, SF_ORACLE)
+    ok, msg = compare(df, con, ORACLE[name])
     assert ok, msg
+    assert type_diff(df, con, ORACLE[name]) == {}
 
 
 @pytest.mark.parametrize("name", ["churn_model_scores", "model_auc", "permutation_importance"])
