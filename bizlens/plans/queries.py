@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..functions.metrics import scaled_watch
+from ..functions.numeric import rnd
 from ..operators import accounts as A
 from ..operators import checks as C
 from ..operators import profile as P
 from ..operators import retention as R
 from ..operators import textjobs as X
 from ..operators import weekly as W
+from ..operators.ranking import rank_auc
 from ..session import ensure_checkpoint_dir
 from ..sources.tables import Tables
 from . import views
@@ -207,9 +209,8 @@ def _label_features(spark, d):
 query("label_feature_join")(_label_features)
 
 # ------------------------------------------------------------------ validity checks (family B)
-query("rank_auc")(_wk(lambda c: __import__("bizlens.operators.ranking", fromlist=["x"]).rank_auc(
-    c.acct, "risk", "churned").select(__import__("bizlens.functions.numeric", fromlist=["x"]).rnd("auc", 6)
-                                      .alias("auc"), "n_pos", "n_neg")))
+query("rank_auc")(_wk(lambda c: rank_auc(c.acct, "risk", "churned").select(
+    rnd("auc", 6).alias("auc"), "n_pos", "n_neg")))
 query("leakage_scan")(_wk(lambda c: C.leakage_scan(c.acct, "churned")))
 query("one_sided_columns")(_wk(lambda c: C.one_sided_columns(c.acct, "churned")))
 query("one_sided_levels")(_wk(lambda c: C.one_sided_levels(c.acct, "churned")))
