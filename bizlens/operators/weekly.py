@@ -200,24 +200,23 @@ def segment_table(wk: DataFrame, weeks: DataFrame, dim: str = "category",
 
 def movers(wk: DataFrame, weeks: DataFrame, watch: list[Watch], top: int = 7) -> DataFrame:
     """Watched metrics x segment, guarded on both weeks, ranked by |relative change|,
-    top ``top`` per week (N6, W10)."""
+    top ``top`` per week (N6, W10).  One dense grid per dimension (not per metric);
+    all metrics of a dimension go long and share a single lag window."""
     parts = []
-    for spec in watch:
-        grid = dense_grid(aggregate(wk, ["week", spec.dim]), weeks, spec.dim)
-        w = Window.partitionBy(spec.dim).orderBy("week_idx")
-        cur_v, cur_g = metric_col(spec.metric), dbl(spec.guard_measure)
-        x = grid.select("week", "week_idx", F.col(spec.dim).alias("segment"),
-                        cur_v.alias("now"), cur_g.alias("g"))
-        x = x.select("*", F.lag("now").over(Window.partitionBy("segment").orderBy("week_idx"))
-                     .alias("before"),
-                     F.lag("g").over(Window.partitionBy("segment").orderBy("week_idx")).alias("g_prev"))
+    for dim in dict.fromkeys(w.dim for w in watch):
+        specs = [w for w in watch if w.dim == dim]
+        grid = dense_grid(aggregate(wk, ["week", dim]), weeks, dim)
+        long = grid.select("week", "week_idx", F.col(dim).alias("segment"), F.explode(F.array(*[
+            F.struct(F.lit(sp.label).alias("metric"), metric_col(sp.metric).alias("now"),
+                     dbl(sp.guard_measure).alias("g"), F.lit(float(sp.guard_min)).alias("gmin"),
+                     F.lit(lower_is_better(sp.metric)).alias("invert"))
+            for sp in specs])).alias("m")).select("week", "week_idx", "segment", "m.*")
+        w = Window.partitionBy("segment", "metric").orderBy("week_idx")
+        x = long.select("*", F.lag("now").over(w).alias("before"), F.lag("g").over(w).alias("g_prev"))
         x = x.where((F.col("week_idx") > 0) & (F.col("before") != 0)
-                    & (F.col("g") >= spec.guard_min) & (F.col("g_prev") >= spec.guard_min))
-        inv = lower_is_better(spec.metric)
-        parts.append(x.select(
-            "week", "segment", F.lit(spec.dim).alias("dim"), F.lit(spec.label).alias("metric"),
-            "now", ((F.col("now") - F.col("before")) / F.col("before")).alias("d"),
-            F.lit(inv).alias("invert")))
+                    & (F.col("g") >= F.col("gmin")) & (F.col("g_prev") >= F.col("gmin")))
+        parts.append(x.select("week", "segment", F.lit(dim).alias("dim"), "metric", "now",
+                              ((F.col("now") - F.col("before")) / F.col("before")).alias("d"), "invert"))
     allm = parts[0]
     for p in parts[1:]:
         allm = allm.unionByName(p)
