@@ -6,12 +6,12 @@ Plan shape: null shares, min/max/mean come from one wide aggregate.  Distinct
 counts and top values come from one long ``(column, value)`` aggregate, so a
 value that holds a third of a column is a single row after partial aggregation
 (no ``count(distinct)`` Expand per column).  Quantiles are exact and distributed
-(``ranking``).  Top-k per column is a take-ordered per column (k rows per task).
+(``ranking``).  Top-k per column is a group-limited window (k rows per task).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,14 +108,16 @@ def profile_numeric(df: DataFrame, digits: int = 3, approx: bool = False,
 
 
 def profile_top_values(df: DataFrame, k: int = MAX_LEVELS) -> DataFrame:
-    """Top k values by frequency of each non-numeric column, ties by value."""
+    """Top k values by frequency of each non-numeric column, ties by value.  One scan
+    and one (column, value) aggregate; the ``row_number() <= k`` filter makes Spark
+    plan a partial WindowGroupLimit before the shuffle, so every map task sends at
+    most k rows per column (a column with billions of distinct values never lands
+    in one task)."""
     cols = [f.name for f in df.schema.fields if not is_numeric(f.dataType)]
     counts = value_counts(df, cols)
-    parts = [counts.where(F.col("column") == c).orderBy(F.desc("n"), F.asc("value")).limit(k) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("column", "value", F.col("n").alias("count"))
+    w = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    return counts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k) \
+        .select("column", "value", F.col("n").alias("count"))
 
 
 def profile_likely_ids(df: DataFrame) -> DataFrame:
