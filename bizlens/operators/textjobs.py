@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.metrics import measure_aggs, ratio_col
-from ..functions.numeric import dbl, half_even, money, rnd
+from ..functions.numeric import half_even, money, rnd
 
 TRANSCRIPT_TURNS = 8
 TRANSCRIPT_CHARS = 1800

@@ -248,3 +248,20 @@ def test_skewed_value_profile_and_auc(spark):
     a1 = rank_auc(df, "x", "y", rows_per_bucket=500).first()["auc"]
     a2 = rank_auc(df, "x", "y").first()["auc"]
     assert a1 == a2
+
+
+def test_csv_inferred_schema_profile(spark, tmp_path):
+    """The profiler's generic entry: a CSV read with inferred types, then the card."""
+    from tests.conftest import SF_SMALL
+    from bizlens.sources.tables import Tables
+    src = Tables(spark, SF_SMALL).customer
+    path = str(tmp_path / "customer_csv")
+    S.write_csv(src, path)
+    df = S.read_csv(spark, path)
+    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    assert types["c_custkey"] in ("int", "bigint") and types["c_mktsegment"] == "string"
+    cols = {r["column"]: r for r in P.profile_columns(df).collect()}
+    assert set(cols) == set(src.columns) and all(r["null_pct"] == 0.0 for r in cols.values())
+    n = src.count()
+    ids = {r["column"] for r in P.profile_likely_ids(df).collect()}
+    assert "c_custkey" in ids and n > 0
