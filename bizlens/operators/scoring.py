@@ -101,7 +101,9 @@ class ChurnModel:
         for c in self.num:
             base = base.withColumn(c, F.col(c).cast("double"))
         split = stratified_split(base, id_col, label).select(id_col, "split")
-        self.data = with_missing_flags(base.join(split, id_col), self.num)
+        # one reliable checkpoint: fitting, scoring and the permutation variants all
+        # read the split feature frame instead of recomputing the ranking jobs
+        self.data = with_missing_flags(base.join(split, id_col), self.num).checkpoint(eager=True)
         train = self.data.where(F.col("split") == "train")
         self.model: PipelineModel = build_pipeline(self.num, self.cat, label).fit(train)
 
