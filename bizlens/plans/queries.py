@@ -65,15 +65,28 @@ def query(name: str):
 _VIEWS: dict = {}
 
 
+def _app_key(spark: SparkSession):
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # e.g. a Spark Connect session has no SparkContext
+        return spark.conf.get("spark.app.id", str(id(spark)))
+
+
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived fact computed once per (application, data dir) and kept as a
     reliable checkpoint in the shared ``spark.checkpoint.dir``: lineage is cut, the
     files survive executor loss, and every report built on the fact reads it
-    instead of recomputing the joins over the base tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    instead of recomputing the joins over the base tables.  Where a session cannot
+    checkpoint (no checkpoint directory reachable), the plan is used as is."""
+    key = (_app_key(spark), sf_dir, name)
     if key not in _VIEWS:
-        ensure_checkpoint_dir(spark)
-        _VIEWS[key] = build().checkpoint(eager=True)
+        try:
+            ensure_checkpoint_dir(spark)
+            _VIEWS[key] = build().checkpoint(eager=True)
+        except Exception as e:  # noqa: BLE001 -- fall back to the unmaterialized plan
+            import warnings
+            warnings.warn(f"view {name} not materialized ({str(e).splitlines()[0][:120]})")
+            _VIEWS[key] = build()
     return _VIEWS[key]
 
 
@@ -273,7 +286,7 @@ _MODELS: dict = {}
 def churn_model(spark, d):
     """One fitted model per (session, data dir): the three scoring reports share it."""
     from ..operators.scoring import ChurnModel
-    key = (spark.sparkContext.applicationId, d)
+    key = (_app_key(spark), d)
     if key not in _MODELS:
         _MODELS[key] = ChurnModel(Ctx(spark, d).acct, "id", "churned")
     return _MODELS[key]
