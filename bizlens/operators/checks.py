@@ -33,28 +33,27 @@ def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
 
 def leakage_long(df: DataFrame, target: str) -> DataFrame:
     """(column, score, y): numeric columns as they are; text columns with at most
-    30 levels as their lexicographic code, NULL text coded -1 (and ranked)."""
+    30 levels as their lexicographic code, NULL text coded -1 (and ranked).  One
+    scan: each text dictionary (<= 30 rows by the check, a bounded broadcast) adds
+    its code column, then all scores are exploded to long form at once."""
+    from pyspark.sql import Window
     fields = [f for f in df.schema.fields if f.name != target]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     nun = _distinct_counts(df, text)
-    parts = []
+    x = df
+    cells = []
     for f in fields:
         if is_numeric(f.dataType):
-            parts.append(df.select(F.lit(f.name).alias("column"), F.col(f.name).cast("double").alias("score"),
-                                   F.col(target).alias("y")))
+            cells.append(F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("double").alias("score")))
         elif f.name in text and nun[f.name] <= MAX_TEXT_LEVELS:
-            # the dictionary has <= 30 rows by the check above: a bounded broadcast
             d = df.select(f.name).where(F.col(f.name).isNotNull()).distinct()
-            from pyspark.sql import Window
-            d = d.select(f.name, (F.row_number().over(Window.orderBy(f.name)) - 1).alias("_code"))
-            coded = df.select(f.name, target).join(F.broadcast(d), f.name, "left")
-            parts.append(coded.select(F.lit(f.name).alias("column"),
-                                      F.coalesce(F.col("_code"), F.lit(-1)).cast("double").alias("score"),
-                                      F.col(target).alias("y")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+            code = f"_code_{len(cells)}"
+            d = d.select(f.name, (F.row_number().over(Window.orderBy(f.name)) - 1).alias(code))
+            x = x.join(F.broadcast(d), f.name, "left")
+            cells.append(F.struct(F.lit(f.name).alias("column"),
+                                  F.coalesce(F.col(code), F.lit(-1)).cast("double").alias("score")))
+    return x.select(F.col(target).alias("y"), F.explode(F.array(*cells)).alias("c")) \
+        .select("c.column", "c.score", "y")
 
 
 def leakage_scan(df: DataFrame, target: str) -> DataFrame:
