@@ -265,3 +265,15 @@ def test_csv_inferred_schema_profile(spark, tmp_path):
     n = src.count()
     ids = {r["column"] for r in P.profile_likely_ids(df).collect()}
     assert "c_custkey" in ids and n > 0
+
+
+def test_export_reports_latest_copy(spark, tmp_path):
+    from tests.conftest import SF_SMALL
+    from bizlens.sources.sinks import export_reports
+    out = str(tmp_path / "reports")
+    paths = export_reports(spark, SF_SMALL, out, ["account_kpis", "churn_by_plan"])
+    paths = export_reports(spark, SF_SMALL, out, ["account_kpis", "churn_by_plan"])   # replaced, not appended
+    assert spark.read.json(paths["account_kpis"]).count() == 1
+    assert spark.read.json(paths["churn_by_plan"]).count() == 5
+    csv = export_reports(spark, SF_SMALL, out, ["top_risk_accounts"], fmt="csv")
+    assert spark.read.option("header", True).csv(csv["top_risk_accounts"]).count() == 12
