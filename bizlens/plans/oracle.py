@@ -374,6 +374,8 @@ def retention_sql(params: dict) -> dict[str, str]:
 # The orders schema as Spark names its types (for the profile oracle).
 ORDERS_SCHEMA = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"),
                  ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
+EVENTS_SCHEMA = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
+                 ("value", "double"), ("props", "string")]
 ACCT_SCHEMA = [("id", "bigint"), ("plan", "string"), ("region", "string"), ("contract", "string"),
                ("mrr", "double"), ("dorm", "bigint"), ("churned", "int"), ("risk", "double"), ("leak_flag", "int")]
 
@@ -392,43 +394,50 @@ def auc_sql(src: str, score: str, y: str, label: str) -> str:
         f"FROM (SELECT CAST({score} AS DOUBLE) AS s, {y} FROM {src}) WHERE s IS NOT NULL AND NOT isnan(s)))")
 
 
-def profile_checks_sql(params: dict) -> dict[str, str]:
+def profile_sql(table: str, cols: list, target: str) -> dict[str, str]:
+    """The eight profile cards of one table, written directly against it."""
     q: dict[str, str] = {}
-    cols = ORDERS_SCHEMA
-    q["profile_shape"] = f"SELECT 'orders' AS \"table\", count(*) AS n_rows, {len(cols)} AS n_cols FROM orders"
+    T = table
+    q["profile_shape"] = f"SELECT '{T}' AS \"table\", count(*) AS n_rows, {len(cols)} AS n_cols FROM {T}"
     q["profile_columns"] = " UNION ALL ".join(
         f"SELECT {i} AS pos, '{c}' AS column, '{t}' AS dtype, "
-        f"{rnd_sql(f'avg(CASE WHEN {_missing(c, t)} THEN 1.0 ELSE 0.0 END) * 100', 2)} AS null_pct FROM orders"
+        f"{rnd_sql(f'avg(CASE WHEN {_missing(c, t)} THEN 1.0 ELSE 0.0 END) * 100', 2)} AS null_pct FROM {T}"
         for i, (c, t) in enumerate(cols))
     q["profile_distinct"] = " UNION ALL ".join(
-        f"SELECT {i} AS pos, '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM orders" for i, (c, t) in enumerate(cols))
+        f"SELECT {i} AS pos, '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM {T}" for i, (c, t) in enumerate(cols))
     num = [(c, t) for c, t in cols if t in ("bigint", "double", "int")]
     q["profile_numeric"] = " UNION ALL ".join(
         f"SELECT '{c}' AS column, {rnd_sql(f'min({c})', 3)} AS min, {rnd_sql(f'quantile_cont({c}, 0.25)', 3)} AS p25, "
         f"{rnd_sql(f'quantile_cont({c}, 0.5)', 3)} AS median, {rnd_sql(f'quantile_cont({c}, 0.75)', 3)} AS p75, "
-        f"{rnd_sql(f'max({c})', 3)} AS max, {rnd_sql(f'avg({c})', 3)} AS mean FROM orders WHERE {c} IS NOT NULL"
+        f"{rnd_sql(f'max({c})', 3)} AS max, {rnd_sql(f'avg({c})', 3)} AS mean FROM {T} WHERE {c} IS NOT NULL"
         for c, t in num)
     txt = [(c, t) for c, t in cols if (c, t) not in num]
     q["profile_top_values"] = (
         "SELECT \"column\", value, count FROM (SELECT *, row_number() OVER (PARTITION BY \"column\" ORDER BY count DESC, value) AS k FROM ("
-        + " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM orders "
+        + " UNION ALL ".join(f"SELECT '{c}' AS column, CAST({c} AS VARCHAR) AS value, count(*) AS count FROM {T} "
                              f"WHERE {c} IS NOT NULL GROUP BY 2" for c, t in txt)
         + ")) WHERE k <= 8")
     q["profile_likely_ids"] = (
         "SELECT \"column\", n_unique FROM (" + " UNION ALL ".join(
-            f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM orders" for c, t in cols)
-        + ") WHERE n_unique > (SELECT count(*) FROM orders) * 0.95")
+            f"SELECT '{c}' AS column, count(DISTINCT {c}) AS n_unique FROM {T}" for c, t in cols)
+        + f") WHERE n_unique > (SELECT count(*) FROM {T}) * 0.95")
     dates = [(c, t) for c, t in cols if t in ("string", "timestamp_ntz", "date", "timestamp")]
     q["profile_likely_dates"] = " UNION ALL ".join(
         (f"SELECT '{c}' AS column, {rnd_sql('coalesce(s, 0.0)', 4)} AS parse_share, coalesce(s, 0.0) > 0.9 AS likely_date FROM ("
-         + (f"SELECT CASE WHEN count({c}) > 0 THEN 1.0 END AS s FROM orders" if t != "string" else
-            f"SELECT CAST(count(try_cast({c} AS TIMESTAMP)) AS DOUBLE) / nullif(CAST(count({c}) AS DOUBLE), 0) AS s FROM orders")
+         + (f"SELECT CASE WHEN count({c}) > 0 THEN 1.0 END AS s FROM {T}" if t != "string" else
+            f"SELECT CAST(count(try_cast({c} AS TIMESTAMP)) AS DOUBLE) / nullif(CAST(count({c}) AS DOUBLE), 0) AS s FROM {T}")
          + ")") for c, t in dates)
-    tgt = params["profile_target"]["target"]
     q["profile_target"] = (
-        f"SELECT CAST({tgt} AS VARCHAR) AS value, {rnd_sql(f'count(*) / (SELECT count(*) FROM orders)', 4)} AS share, "
-        f"(SELECT count(DISTINCT {tgt}) FROM orders) = 2 AS is_binary FROM orders GROUP BY {tgt} "
-        f"ORDER BY count(*) DESC, {tgt} NULLS FIRST LIMIT 10")
+        f"SELECT CAST({target} AS VARCHAR) AS value, {rnd_sql(f'count(*) / (SELECT count(*) FROM {T})', 4)} AS share, "
+        f"(SELECT count(DISTINCT {target}) FROM {T}) = 2 AS is_binary FROM {T} GROUP BY {target} "
+        f"ORDER BY count(*) DESC, {target} NULLS FIRST LIMIT 10")
+    return q
+
+
+def profile_checks_sql(params: dict) -> dict[str, str]:
+    q: dict[str, str] = profile_sql("orders", ORDERS_SCHEMA, params["profile_target"]["target"])
+    for name, sql in profile_sql("events", EVENTS_SCHEMA, params["profile_target_events"]["target"]).items():
+        q[f"{name}_events"] = sql
     dup = lambda name, keys, src: (
         f"SELECT '{name}' AS dataset, sum(n) AS rows, sum(n - 1) AS surplus, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS members "
         f"FROM (SELECT count(*) AS n FROM {src} GROUP BY {keys})")

@@ -45,6 +45,7 @@ PARAMS = {
     "account_cube": {"cap": 50_000},
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
     "profile_target": {"target": "o_orderstatus"},
+    "profile_target_events": {"target": "event_type"},
     "union_all_dupes": {"pct": 5},
     # TPC-H market segments and region names, and the contract classes.
     "one_hot_dummy_na": {"levels": {
@@ -215,6 +216,23 @@ query("profile_likely_dates")(_prof(P.profile_likely_dates))
 query("profile_target")(_prof(lambda df: P.profile_target(df, PARAMS["profile_target"]["target"])))
 
 
+# the same cards over a second, differently shaped table (timestamps with microseconds,
+# a measure, a JSON text column): the profiler is generic
+def _prof_events(fn):
+    return lambda spark, d: fn(Tables(spark, d).events)
+
+
+query("profile_shape_events")(_prof_events(lambda df: P.profile_shape(df, "events")))
+query("profile_columns_events")(_prof_events(P.profile_columns))
+query("profile_distinct_events")(_prof_events(P.profile_distinct))
+query("profile_numeric_events")(_prof_events(P.profile_numeric))
+query("profile_top_values_events")(_prof_events(P.profile_top_values))
+query("profile_likely_ids_events")(_prof_events(P.profile_likely_ids))
+query("profile_likely_dates_events")(_prof_events(P.profile_likely_dates))
+query("profile_target_events")(_prof_events(
+    lambda df: P.profile_target(df, PARAMS["profile_target_events"]["target"])))
+
+
 def _dups(spark, d):
     t = Tables(spark, d)
     return P.duplicate_counts(t.documents.select("text"), "documents.text").unionByName(
