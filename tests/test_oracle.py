@@ -1,6 +1,8 @@
 """Every registered query against its DuckDB oracle on the driver tables at sf0.01
 (the driver's correctness gate, run locally); ML queries get a rows-only check."""
 
+import os
+
 import pytest
 
 from tests.compare import compare, duck, type_diff
@@ -58,3 +60,19 @@ def test_ranked_queries_multi_bucket(spark, con, name):
     finally:
         spark.conf.unset(ROWS_PER_BUCKET_CONF)
     assert ok, msg
+
+
+SF_LARGE = "/root/testdata/sf0.1"
+QUADRATIC_ORACLES = {"outreach_grid", "retention_curve"}   # brute-force theta joins in DuckDB
+
+
+@pytest.mark.skipif(not os.environ.get("ORACLE_SF01"), reason="set ORACLE_SF01=1 (about 4 minutes)")
+def test_all_oracles_at_sf01(spark):
+    """Opt-in: the same exact comparison at 10x the gate's scale."""
+    con = duck(SF_LARGE)
+    bad = []
+    for name in sorted(set(ORACLE) - QUADRATIC_ORACLES):
+        ok, msg = compare(QUERIES[name](spark, SF_LARGE), con, ORACLE[name], 17)
+        if not ok:
+            bad.append((name, msg))
+    assert not bad, bad
