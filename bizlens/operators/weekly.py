@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import (EXTRA, KPI_DELTAS, MONEY_SUMS, RATIOS, SUMS, TREND, Watch,
                                  lower_is_better, measure_aggs, metric_col, ratio_col)
 from ..functions.numeric import dbl, rnd
+from .ranking import join_null_safe
 
 ALL_MEASURES = SUMS + list(EXTRA)
 FLAT_BAND = 0.005
@@ -40,16 +41,26 @@ def with_week_index(df: DataFrame, weeks: DataFrame) -> DataFrame:
     return df.join(weeks.select("week", "week_idx"), "week")
 
 
-def dense_grid(agg: DataFrame, weeks: DataFrame, dim: str) -> DataFrame:
+def dense_grid(agg: DataFrame, weeks: DataFrame, dim: str, with_all: bool = False) -> DataFrame:
     """Every present week x every level of ``dim``; absent cells get zero measures.
-    The level list is a bounded scalar (one array), exploded per week: no join fan-out."""
-    levels = agg.agg(F.array_sort(F.collect_set(dim))).scalar()
+    The level list is a bounded scalar (one array), exploded per week: no join fan-out.
+    With ``with_all`` the input also carries the all-levels rows (``dim`` NULL, from
+    grouping sets) and the grid gets that level too."""
+    levels = agg.where(F.col(dim).isNotNull()).agg(F.array_sort(F.collect_set(dim))).scalar()
+    if with_all:
+        levels = F.concat(levels, F.array(F.lit(None).cast("string")))
     grid = weeks.select("week", "week_idx", F.explode(levels).alias(dim))
-    filled = grid.join(agg, ["week", dim], "left")
+    filled = join_null_safe(grid, agg, ["week", dim], "left") if with_all \
+        else grid.join(agg, ["week", dim], "left")
     return filled.select("week", "week_idx", dim,
                          *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in ALL_MEASURES])
 
 
+def aggregate_with_all(wk: DataFrame, dim: str) -> DataFrame:
+    """Per (week, level) and per week over all levels (``dim`` NULL) in one pass."""
+    return wk.groupingSets([["week", dim], ["week"]], "week", dim).agg(*measure_aggs())
+
+
 def weekly_measures(wk: DataFrame) -> DataFrame:
     return project(aggregate(wk, ["week"]), ["week"], ALL_MEASURES)
 
@@ -108,9 +119,10 @@ def fraud_early_late(wk: DataFrame, weeks: DataFrame, category: str, split_idx:
 
 def wow_delta(wk: DataFrame, weeks: DataFrame, dim: str = "region",
               metrics: list[str] = KPI_DELTAS) -> DataFrame:
-    """Week-over-week change per segment (N2, J4) on the dense grid: NULL when the
-    previous week is missing or zero; flat below 0.5 %; lower-is-better flipped."""
-    grid = dense_grid(aggregate(wk, ["week", dim]), weeks, dim)
+    """Week-over-week change per segment and for all segments (``dim`` NULL)
+    on the dense grid: NULL when the previous week is missing or zero; flat below
+    0.5 %; lower-is-better flipped."""
+    grid = dense_grid(aggregate_with_all(wk, dim), weeks, dim, with_all=True)
     vals = grid.select("week", "week_idx", dim, *[metric_col(m).alias(m) for m in metrics])
     long = vals.select("week", "week_idx", dim, F.explode(F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"),
@@ -148,8 +160,8 @@ def weekly_dense_trend(wk: DataFrame, weeks: DataFrame, dim: str = "region") ->
 
 def trailing_4wk(wk: DataFrame, weeks: DataFrame, dim: str = "region") -> DataFrame:
     """Mean of up to four previous present weeks, current excluded (N3); empty weeks
-    count as zero, NULL at the first week."""
-    grid = dense_grid(aggregate(wk, ["week", dim]), weeks, dim)
+    count as zero, NULL at the first week.  ``dim`` NULL = all levels."""
+    grid = dense_grid(aggregate_with_all(wk, dim), weeks, dim, with_all=True)
     w = Window.partitionBy(dim).orderBy("week_idx").rowsBetween(-4, -1)
     return grid.select("week", dim, *[rnd(F.avg(dbl(m)).over(w), 4).alias(f"{m}_4wk")
                                       for m in ("gdv", "rev", "camp", "don")])

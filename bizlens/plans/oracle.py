@@ -29,14 +29,17 @@ def agg(by: str, src: str = "wk", where: str = "") -> str:
     return f"SELECT {sel}{measure_sql()} FROM {src}{w}{g}"
 
 
-def dense(dim: str) -> str:
-    """CTEs a (aggregate by week, dim) and filled (dense week x level grid)."""
+def dense(dim: str, with_all: bool = False) -> str:
+    """CTEs a (aggregate by week, dim) and filled (dense week x level grid); with
+    ``with_all`` the all-levels rows (dim NULL) join the grid as one more level."""
     fill = ", ".join(f"coalesce(a.{m}, 0) AS {m}" for m in ALL_MEASURES)
-    return (f", a AS ({agg(f'week, {dim}')}),\n"
+    by = f"GROUPING SETS ((week, {dim}), (week))" if with_all else f"week, {dim}"
+    eq = f"a.{dim} IS NOT DISTINCT FROM grid.{dim}" if with_all else f"a.{dim} = grid.{dim}"
+    return (f", a AS (SELECT week, {dim}, {measure_sql()} FROM wk GROUP BY {by}),\n"
             f"grid AS (SELECT w.week, w.week_idx, l.{dim} FROM weeks w "
             f"CROSS JOIN (SELECT DISTINCT {dim} FROM a) l),\n"
             f"filled AS (SELECT grid.week, grid.week_idx, grid.{dim}, {fill} "
-            f"FROM grid LEFT JOIN a ON a.week = grid.week AND a.{dim} = grid.{dim})\n")
+            f"FROM grid LEFT JOIN a ON a.week = grid.week AND {eq})\n")
 
 
 LAST = "(SELECT week FROM weeks WHERE week_idx = (SELECT max(week_idx) FROM weeks))"
@@ -76,7 +79,7 @@ def weekly_sql(params: dict) -> dict[str, str]:
     unions = " UNION ALL ".join(
         f"SELECT week, week_idx, region, '{m}' AS metric, {m} AS value, "
         f"{'true' if lower_is_better(m) else 'false'} AS invert FROM v" for m in KPI_DELTAS)
-    q["wow_delta"] = V + dense("region") + (
+    q["wow_delta"] = V + dense("region", with_all=True) + (
         f", v AS (SELECT week, week_idx, region, {vals} FROM filled),\n"
         f"l AS ({unions}),\n"
         "x AS (SELECT *, lag(value) OVER (PARTITION BY region, metric ORDER BY week_idx) AS prev FROM l),\n"
@@ -98,7 +101,7 @@ def weekly_sql(params: dict) -> dict[str, str]:
     avgs = ", ".join(
         f"{rnd_sql(f'avg(CAST({m} AS DOUBLE)) OVER (PARTITION BY region ORDER BY week_idx ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)', 4)} AS {m}_4wk"
         for m in ("gdv", "rev", "camp", "don"))
-    q["trailing_4wk"] = V + dense("region") + f"SELECT week, region, {avgs} FROM filled"
+    q["trailing_4wk"] = V + dense("region", with_all=True) + f"SELECT week, region, {avgs} FROM filled"
     q["trend"] = V + (f"SELECT week, " + ", ".join(f"{rnd_sql(metric_sql(m), 6)} AS {m}" for m in TREND)
                       + f" FROM ({agg('week')})")
     q["take_rate_split"] = V + f"SELECT {proj(['week'], [], ['tipRate', 'procRate', 'takeRate'])} FROM ({agg('week')})"
