@@ -277,3 +277,15 @@ def test_export_reports_latest_copy(spark, tmp_path):
     assert spark.read.json(paths["churn_by_plan"]).count() == 5
     csv = export_reports(spark, SF_SMALL, out, ["top_risk_accounts"], fmt="csv")
     assert spark.read.option("header", True).csv(csv["top_risk_accounts"]).count() == 12
+
+
+def test_properties_on_driver_data(spark):
+    """Segment shares sum to 1 within each week; surplus copies never exceed members."""
+    from tests.conftest import SF_SMALL
+    from bizlens.plans import queries as Q
+    seg = Q.REGISTRY["segment_table"](spark, SF_SMALL)
+    sums = seg.groupBy("week").agg(F.sum("share").alias("s")).collect()
+    assert sums and all(abs(r["s"] - 1.0) < 1e-5 for r in sums)
+    for r in Q.REGISTRY["dup_surplus"](spark, SF_SMALL).join(
+            Q.REGISTRY["dup_members"](spark, SF_SMALL), ["dataset", "rows"]).collect():
+        assert r["surplus"] <= r["members"] <= r["rows"]
