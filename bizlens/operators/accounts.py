@@ -248,9 +248,15 @@ def dict_preferred(acct: DataFrame, col: str = "contract", preferred=PREFERRED_C
 
 def cube_sample_cap(acct: DataFrame, cap: int = CUBE_ROW_CAP) -> DataFrame:
     """Deterministic row cap for export (S11): the first ``cap`` rows in md5(id)
-    order (a distributed take-ordered, never a global sort)."""
+    order.  A take-ordered with a large cap would merge cap rows from every task
+    in one task; instead each row gets its exact rank from the distributed prefix
+    sum over the 60-bit md5 prefix (hex order = numeric order) and rows below the
+    cap are kept."""
     x = clean(acct)
-    return x.orderBy(F.md5(F.col("id").cast("string")), F.col("id")).limit(cap)
+    h = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    keyed = x.select("*", h.alias("_h"), F.lit(1).alias("_one"))
+    ranked = prefix_sums(keyed, "_h", ["_one"])
+    return ranked.where(F.col("_one_below") < cap).drop("_h", "_one", "_one_below")
 
 
 def account_cube(acct: DataFrame, cap: int = CUBE_ROW_CAP) -> DataFrame:

@@ -46,7 +46,7 @@ def test_entry_smoke(spark):
 
 
 RANKED = ["rank_auc", "leakage_scan", "profile_numeric", "account_kpis", "account_cube_all", "decile_capture",
-          "dict_plan_by_median", "stratified_split", "validity_report"]
+          "dict_plan_by_median", "stratified_split", "validity_report", "cube_sample_cap", "account_cube"]
 
 
 @pytest.mark.parametrize("name", RANKED)
