@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import rnd
-from .profile import is_numeric, long_values
+from .profile import is_numeric, long_cell, long_values
 from .ranking import rank_auc
 
 LEAK_AUC_THRESHOLD = 0.90
@@ -21,14 +21,28 @@ MAX_TEXT_LEVELS = 30      # text columns coded for the leakage scan
 MAX_PURE_LEVELS = 20      # columns tested for class purity
 
 
-def _distinct_counts(df: DataFrame, cols: list[str]) -> dict[str, int]:
-    """Exact distinct non-null counts of a few columns (one job, #columns rows back)."""
+def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
+    """The columns among ``cols`` with at most ``limit`` distinct non-missing values,
+    decided exactly without shuffling the values of wide columns.
+
+    One wide aggregate first takes an HLL++ estimate of every column (sketches merge
+    map-side, no value leaves its task).  Below its switch-over point the sketch
+    reads linear counting over at most as many filled registers as there are
+    values, so a column with <= ``limit`` values can never be estimated above
+    ``2 * limit``; only columns under that bound get the exact count, and their
+    (column, value) shuffle carries a few dozen rows per task at any scale."""
     if not cols:
-        return {}
-    rows = long_values(df, cols).distinct().groupBy("column").count().collect()
-    out = {c: 0 for c in cols}
-    out.update({r["column"]: r["count"] for r in rows})
-    return out
+        return set()
+    fields = {f.name: f for f in df.schema.fields}
+    est = df.agg(*[F.approx_count_distinct(long_cell(fields[c]), 0.01).alias(f"e{i}")
+                   for i, c in enumerate(cols)]).first()
+    cand = [c for i, c in enumerate(cols) if est[f"e{i}"] <= 2 * limit]
+    if not cand:
+        return set()
+    rows = long_values(df, cand).distinct().groupBy("column").count().collect()
+    counts = {c: 0 for c in cand}
+    counts.update({r["column"]: r["count"] for r in rows})
+    return {c for c in cand if counts[c] <= limit}
 
 
 def leakage_long(df: DataFrame, target: str) -> DataFrame:
@@ -39,13 +53,13 @@ def leakage_long(df: DataFrame, target: str) -> DataFrame:
     from pyspark.sql import Window
     fields = [f for f in df.schema.fields if f.name != target]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    nun = _distinct_counts(df, text)
+    coded = low_cardinality(df, text, MAX_TEXT_LEVELS)
     x = df
     cells = []
     for f in fields:
         if is_numeric(f.dataType):
             cells.append(F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("double").alias("score")))
-        elif f.name in text and nun[f.name] <= MAX_TEXT_LEVELS:
+        elif f.name in coded:
             d = df.select(f.name).where(F.col(f.name).isNotNull()).distinct()
             code = f"_code_{len(cells)}"
             d = d.select(f.name, (F.row_number().over(Window.orderBy(f.name)) - 1).alias(code))
@@ -66,8 +80,7 @@ def leakage_scan(df: DataFrame, target: str) -> DataFrame:
 
 def _pure_levels(df: DataFrame, target: str) -> DataFrame:
     cols = [c for c in df.columns if c != target]
-    nun = _distinct_counts(df, cols)
-    eligible = [c for c in cols if nun[c] <= MAX_PURE_LEVELS]
+    eligible = low_cardinality(df, cols, MAX_PURE_LEVELS)
     fields = [f for f in df.schema.fields if f.name in eligible]
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value"))
                       for f in fields])

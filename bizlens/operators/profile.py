@@ -53,11 +53,15 @@ def profile_columns(df: DataFrame) -> DataFrame:
         "r.pos", "r.column", "r.dtype", rnd(F.col("r.m") * 100, 2).alias("null_pct"))
 
 
+def long_cell(field: T.StructField) -> F.Column:
+    """A cell as text, NULL when missing: the value the long format carries."""
+    return F.when(~_missing(field), F.col(field.name).cast("string"))
+
+
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value-as-text) for non-missing cells of the given columns."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"),
-                               F.when(~_missing(f), F.col(f.name).cast("string")).alias("value"))
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), long_cell(f).alias("value"))
                       for f in fields])
     return df.select(F.explode(cells).alias("c")).select("c.column", "c.value") \
         .where(F.col("value").isNotNull())

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 4096         # bounds compiled into the bucket CASE, all groups together
 ROWS_PER_BUCKET_CONF = "bizlens.ranking.rowsPerBucket"
 _UNB = Window.unboundedPreceding
 
@@ -69,21 +70,41 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 def bucket_column(df: DataFrame, order_col: str, part_cols: Sequence[str],
                   rows_per_bucket: int) -> Column | None:
-    """Ordered range bucket per group; None when every group fits one bucket."""
+    """Ordered range bucket per group; None when every group fits one bucket.
+
+    Two small jobs whatever the number of groups: the oversized groups (one row
+    each), then the bounds of all of them in a single ``percentile_approx``
+    aggregate over a common probability grid.  The total bucket count is held
+    to ``MAX_BUCKETS`` by widening the buckets, so the compiled CASE has a
+    fixed size on any input (larger buckets only mean longer window partitions,
+    which spill)."""
+    part_cols = list(part_cols)
     sizes = df.groupBy(*part_cols).count().where(F.col("count") > rows_per_bucket).collect()
     if not sizes:
         return None
+    rows_per_bucket = max(rows_per_bucket, math.ceil(sum(r["count"] for r in sizes) / MAX_BUCKETS))
+    nbs = {tuple(r[c] for c in part_cols): math.ceil(r["count"] / rows_per_bucket) for r in sizes}
+    grid = max(nbs.values())
+    if grid < 2:
+        return None
+    sub = df
+    if part_cols:
+        big = df.sparkSession.createDataFrame(list(nbs), df.select(*part_cols).schema)
+        sub = join_null_safe(df, big, part_cols, "left_semi", broadcast_right=True)
+    probs = [i / grid for i in range(1, grid)]
+    accuracy = max(10_000, 10 * grid)
+    found = sub.groupBy(*part_cols).agg(F.percentile_approx(order_col, probs, accuracy).alias("_q")).collect()
     expr = None
-    for row in sizes:
-        nb = int(math.ceil(row["count"] / rows_per_bucket))
-        probs = [i / nb for i in range(1, nb)]
-        sub = df.where(_group_match(part_cols, row))
-        bounds = sub.agg(F.percentile_approx(order_col, probs, 10_000)).first()[0]
-        bounds = sorted(bounds)
-        b = _bsearch(F.col(order_col), bounds, 0, len(bounds))
+    for row in found:
+        nb = nbs[tuple(row[c] for c in part_cols)]
+        if nb < 2:
+            continue
+        # group bounds at k/nb, read off the common grid (index j is quantile (j+1)/grid)
+        bounds = sorted(row["_q"][round(k * grid / nb) - 1] for k in range(1, nb))
         cond = _group_match(part_cols, row)
+        b = _bsearch(F.col(order_col), bounds, 0, len(bounds))
         expr = F.when(cond, b) if expr is None else expr.when(cond, b)
-    return expr.otherwise(F.lit(0))
+    return None if expr is None else expr.otherwise(F.lit(0))
 
 
 def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],

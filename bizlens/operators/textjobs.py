@@ -17,6 +17,7 @@ from ..functions.numeric import half_even, money, rnd
 
 TRANSCRIPT_TURNS = 8
 TRANSCRIPT_CHARS = 1800
+MAX_DUMMY_LEVELS = 1000    # one-hot: one output column per level
 # Right-closed bins of the reference (lowest edge included).
 BIN_EDGES = [0, 7, 14, 30, 60, 200]
 BIN_LABELS = ["0-7", "8-14", "15-30", "31-60", "60+"]
@@ -121,12 +122,18 @@ def clean_category_case(cust: DataFrame) -> DataFrame:
     return cust.select("c_custkey", raw.alias("raw"), X.title_case(raw).alias("cleaned"))
 
 
-def one_hot_dummy_na(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+def one_hot_dummy_na(df: DataFrame, id_col: str, columns: list[str],
+                     max_levels: int = MAX_DUMMY_LEVELS) -> DataFrame:
     """Indicator column per level plus a missing-value indicator (P14).  The level
-    lists are dictionaries (bounded) read once to fix the output schema."""
+    lists are dictionaries read once to fix the output schema; at most
+    ``max_levels + 1`` of them ever reach the driver, and a column with more levels
+    is refused (one output column per level would not be a usable schema)."""
     outs = [F.col(id_col)]
     for c in columns:
-        levels = sorted(r[0] for r in df.select(c).where(F.col(c).isNotNull()).distinct().collect())
+        got = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
+        if len(got) > max_levels:
+            raise ValueError(f"one-hot of {c!r}: more than {max_levels} levels")
+        levels = sorted(r[0] for r in got)
         for lv in levels:
             outs.append(F.when(F.col(c) == lv, 1).otherwise(0).alias(f"{c}_{lv}"))
         outs.append(F.when(F.col(c).isNull(), 1).otherwise(0).alias(f"{c}_nan"))
