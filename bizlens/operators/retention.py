@@ -114,8 +114,11 @@ def retention_curve(sub: DataFrame, horizon: int = HORIZON, last_week: int = LAS
 
 
 def sub_region_semi(sub: DataFrame, wk: DataFrame) -> DataFrame:
-    """Accounts whose region occurs in the marketplace fact (J3, left semi join)."""
-    return sub.join(wk.select("region"), "region", "left_semi")
+    """Accounts whose region occurs in the marketplace fact (J3, left semi join).
+    The build side is the fact's distinct region list, a dimension dictionary
+    (5 regions by the TPC-H specification): a bounded broadcast, so the account
+    side is never shuffled."""
+    return sub.join(F.broadcast(wk.select("region").distinct()), "region", "left_semi")
 
 
 # ------------------------------------------------------------------ dictionaries and compact cubes
@@ -141,7 +144,7 @@ def weekly_cube(wk: DataFrame, weeks: DataFrame) -> DataFrame:
     """Compact weekly rows (P11): week index and dictionary codes, money to whole
     units (half-even), payout days to 2 dp, counts as integers."""
     d = dict_by_sum(wk)
-    j = wk.join(weeks.select("week", "week_idx"), "week") \
+    j = wk.join(F.broadcast(weeks.select("week", "week_idx")), "week") \
         .join(_codes(d, "category", "category"), "category") \
         .join(_codes(d, "region", "region"), "region") \
         .join(_codes(d, "channel", "channel"), "channel")

@@ -38,7 +38,7 @@ def project(df: DataFrame, keys: list[str], measures: list[str] = (),
 
 
 def with_week_index(df: DataFrame, weeks: DataFrame) -> DataFrame:
-    return df.join(weeks.select("week", "week_idx"), "week")
+    return df.join(F.broadcast(weeks.select("week", "week_idx")), "week")   # calendar-bounded
 
 
 def dense_grid(agg: DataFrame, weeks: DataFrame, dim: str, with_all: bool = False) -> DataFrame:
