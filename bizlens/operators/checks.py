@@ -19,6 +19,7 @@ from .ranking import rank_auc
 LEAK_AUC_THRESHOLD = 0.90
 MAX_TEXT_LEVELS = 30      # text columns coded for the leakage scan
 MAX_PURE_LEVELS = 20      # columns tested for class purity
+SCREEN_MAX_LIMIT = 200    # level limits the 512-register sketch screen decides exactly
 
 
 def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
@@ -26,17 +27,22 @@ def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
     decided exactly without shuffling the values of wide columns.
 
     One wide aggregate first takes an HLL++ estimate of every column (sketches merge
-    map-side, no value leaves its task).  Below its switch-over point the sketch
-    reads linear counting over at most as many filled registers as there are
-    values, so a column with <= ``limit`` values can never be estimated above
-    ``2 * limit``; only columns under that bound get the exact count, and their
-    (column, value) shuffle carries a few dozen rows per task at any scale."""
+    map-side, no value leaves its task).  With rsd 0.05 a sketch has m = 512
+    registers and reads linear counting up to 400; n values fill at most n
+    registers, so a column with n <= ``limit`` values is estimated at most
+    m ln(m / (m - n)) (30.9 for n = 30), below ``2 * limit``.  Only columns under
+    that bound get the exact count, and their (column, value) shuffle carries a
+    few dozen rows per task at any scale.  (A finer sketch would be no more exact
+    and costs seconds of code generation per column: the registers are inlined
+    into the aggregation buffer.)"""
     if not cols:
         return set()
     fields = {f.name: f for f in df.schema.fields}
-    est = df.agg(*[F.approx_count_distinct(long_cell(fields[c]), 0.01).alias(f"e{i}")
-                   for i, c in enumerate(cols)]).first()
-    cand = [c for i, c in enumerate(cols) if est[f"e{i}"] <= 2 * limit]
+    cand = list(cols)
+    if limit <= SCREEN_MAX_LIMIT:
+        est = df.agg(*[F.approx_count_distinct(long_cell(fields[c]), 0.05).alias(f"e{i}")
+                       for i, c in enumerate(cols)]).first()
+        cand = [c for i, c in enumerate(cols) if est[f"e{i}"] <= 2 * limit]
     if not cand:
         return set()
     rows = long_values(df, cand).distinct().groupBy("column").count().collect()

@@ -24,6 +24,14 @@ def test_low_cardinality_exact_at_the_limit(spark):
     assert low_cardinality(df, [], 30) == set()
 
 
+@pytest.mark.parametrize("limit", [20, 200])
+def test_low_cardinality_screen_keeps_every_small_column(spark, limit):
+    """The sketch screen never drops a column that has exactly ``limit`` values."""
+    rows = [(f"x{i % limit}", i % (limit + 1)) for i in range(5 * limit)]
+    df = spark.createDataFrame(rows, "a string, b long")
+    assert low_cardinality(df, ["a", "b"], limit) == {"a"}
+
+
 def _brute_below(rows):
     out = {}
     for g, v, w in rows:
