@@ -160,6 +160,22 @@ def weekly_cube(wk: DataFrame, weeks: DataFrame) -> DataFrame:
     return j.select(*cols)
 
 
+def decode_weekly_cube(cube: DataFrame, wk: DataFrame, weeks: DataFrame) -> DataFrame:
+    """Codes back to labels (J2): the dashboard's lookup of a compact cube row's week,
+    category, region and channel.  The week list is calendar-bounded (broadcast);
+    the level dictionaries are left to AQE, which broadcasts them once measured."""
+    d = dict_by_sum(wk)
+
+    def labels(dim: str, code: str) -> DataFrame:
+        return d.where(F.col("dim") == dim).select(F.col("code").alias(code), F.col("value").alias(dim))
+
+    j = cube.join(F.broadcast(weeks.select(F.col("week_idx").alias("w"), "week")), "w") \
+        .join(labels("category", "cat"), "cat") \
+        .join(labels("region", "reg"), "reg") \
+        .join(labels("channel", "ch"), "ch")
+    return j.select("week", "category", "region", "channel", "camp", "gdv", "don", "spend")
+
+
 def sub_cube(sub: DataFrame, wk: DataFrame) -> DataFrame:
     """Compact account rows (P12): tier/channel alphabetical codes, region coded as
     in the weekly cube, only regions present there (J3); NULL churn stays NULL."""

@@ -365,6 +365,11 @@ def retention_sql(params: dict) -> dict[str, str]:
         "SELECT account_id, t.tier_code AS tier, dr.code AS reg, h.channel_code AS ch, signup, churn, active, tenure, "
         f"{rnd_sql('prior', 2)} AS prior, {rnd_sql('mrr', 2)} AS mrr, {rnd_sql('cac', 2)} AS cac "
         "FROM s JOIN t USING (tier) JOIN h USING (channel) JOIN d dr ON dr.dim = 'region' AND dr.value = s.region")
+    # decode(encode(wk)) is wk at cube precision: checked against the fact itself
+    q["weekly_cube_decoded"] = V + (
+        "SELECT week, category, region, channel, CAST(camp AS BIGINT) AS camp, "
+        "CAST(round_even(gdv, 0) AS BIGINT) AS gdv, CAST(don AS BIGINT) AS don, "
+        "CAST(spend AS BIGINT) AS spend FROM wk")
     money = {"goal", "gdv", "tips", "procrev", "proccost", "rev", "refamt"}
     ren = ", ".join(
         (f"{rnd_sql(k, 4)} AS {v}" if k in money else

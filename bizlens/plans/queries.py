@@ -199,6 +199,7 @@ query("sub_region_semi")(_wk(lambda c: R.sub_region_semi(c.sub, c.wk)))
 query("dict_by_sum")(_wk(lambda c: R.dict_by_sum(c.wk)))
 query("weekly_cube")(_wk(lambda c: R.weekly_cube(c.wk, c.weeks)))
 query("sub_cube")(_wk(lambda c: R.sub_cube(c.sub, c.wk)))
+query("weekly_cube_decoded")(_wk(lambda c: R.decode_weekly_cube(R.weekly_cube(c.wk, c.weeks), c.wk, c.weeks)))
 query("wk_rename")(_wk(lambda c: R.wk_rename(c.wk)))
 
 # ------------------------------------------------------------------ profile (family A)
