@@ -21,6 +21,7 @@ from ..operators import textjobs as X
 from ..operators import weekly as W
 from ..operators.ranking import rank_auc
 from ..session import ensure_checkpoint_dir
+from ..sources.files import read_optional
 from ..sources.tables import Tables
 from . import views
 
@@ -245,13 +246,21 @@ query("dup_surplus")(lambda spark, d: _dups(spark, d).select("dataset", "rows",
 query("dup_members")(lambda spark, d: _dups(spark, d).select("dataset", "rows", "members"))
 
 
-def _label_features(spark, d):
+LABELS_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()),
+                              T.StructField("toxic", T.IntegerType())])
+
+
+def label_features(spark, d, labels_path: str | None = None):
+    """Labels aligned with document features by key (J7).  Labels are an optional
+    input (S4): when the file is absent the result is empty with the same schema."""
     t = Tables(spark, d)
-    return t.labels.join(t.documents.select("doc_id", "n_chars", "lang", "source"), "doc_id") \
+    path = labels_path or f"{t.sf_dir}/labels.parquet"
+    labels = read_optional(spark, path, LABELS_SCHEMA, fmt="parquet")
+    return labels.join(t.documents.select("doc_id", "n_chars", "lang", "source"), "doc_id") \
         .select("doc_id", "quality", "toxic", "n_chars", "lang", "source")
 
 
-query("label_feature_join")(_label_features)
+query("label_feature_join")(label_features)
 
 # ------------------------------------------------------------------ validity checks (family B)
 query("rank_auc")(_wk(lambda c: rank_auc(c.acct, "risk", "churned").select(

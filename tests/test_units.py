@@ -191,6 +191,15 @@ def test_contract_and_optional_sources(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_optional_labels_absent_gives_empty_result(spark, tmp_path):
+    from bizlens.plans.queries import label_features
+    from tests.conftest import SF_SMALL
+    present = label_features(spark, SF_SMALL)
+    absent = label_features(spark, SF_SMALL, str(tmp_path / "no-labels.parquet"))
+    assert present.count() > 0
+    assert absent.count() == 0 and absent.schema == present.schema
+
+
 def test_profile_likely_dates_text(spark):
     df = spark.createDataFrame([("2024-01-0%d" % (i % 9 + 1), "x%d" % i) for i in range(20)], "d string, s string")
     got = {r["column"]: r["likely_date"] for r in P.profile_likely_dates(df).collect()}
