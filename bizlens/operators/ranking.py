@@ -189,12 +189,19 @@ def rank_auc(long_df: DataFrame, score_col: str, label_col: str,
     arithmetic: 2U = sum_pos(2*below + n + 1) - P(P+1)."""
     part_cols = list(part_cols)
     s = F.col(score_col)
-    g = long_df.where(s.isNotNull() & ~F.isnan(s.cast("double"))).groupBy(*part_cols, score_col).agg(
+    valid = s.isNotNull() & ~F.isnan(s.cast("double"))
+    # masked scores collapse to one NULL row per group: the group still gets a row
+    # (AUC 0.5, both classes empty) when none of its scores survive the mask
+    g_all = long_df.groupBy(*part_cols, F.when(valid, s).alias(score_col)).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("long")).alias("_pos"))
+    g = g_all.where(F.col(score_col).isNotNull())
     ps = prefix_sums(g, score_col, ["_n"], part_cols, rows_per_bucket=rows_per_bucket)
     a = ps.groupBy(*part_cols).agg(
         F.sum(F.col("_pos") * (2 * F.col("_n_below") + F.col("_n") + 1)).alias("_s"),
         F.sum("_pos").alias("_P"), F.sum("_n").alias("_N"))
+    if part_cols:
+        a = join_null_safe(g_all.select(*part_cols).distinct(), a, part_cols, "left")
+    a = a.select(*part_cols, *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("_s", "_P", "_N")])
     neg = F.col("_N") - F.col("_P")
     two_u = F.col("_s") - F.col("_P") * (F.col("_P") + 1)
     auc = F.when((F.col("_P") == 0) | (neg == 0), F.lit(0.5)) \

@@ -395,8 +395,9 @@ def _missing(c, t):
 def auc_sql(src: str, score: str, y: str, label: str) -> str:
     """Average-rank Mann-Whitney AUC of one score column as a SELECT."""
     return (
-        f"SELECT '{label}' AS column, CASE WHEN P = 0 OR N = 0 THEN 0.5 ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS auc, "
-        "CAST(P AS BIGINT) AS n_pos, CAST(N AS BIGINT) AS n_neg FROM ("
+        f"SELECT '{label}' AS column, CASE WHEN coalesce(P, 0) = 0 OR coalesce(N, 0) = 0 THEN 0.5 "
+        "ELSE (sr - P * (P + 1) / 2.0) / (P * N) END AS auc, "
+        "CAST(coalesce(P, 0) AS BIGINT) AS n_pos, CAST(coalesce(N, 0) AS BIGINT) AS n_neg FROM ("
         f"SELECT sum(CASE WHEN y = 1 THEN r ELSE 0 END) AS sr, sum(y) AS P, count(*) - sum(y) AS N FROM ("
         f"SELECT {y} AS y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r "
         f"FROM (SELECT CAST({score} AS DOUBLE) AS s, {y} FROM {src}) WHERE s IS NOT NULL AND NOT isnan(s)))")

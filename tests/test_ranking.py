@@ -66,3 +66,30 @@ def test_upper_median(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
     r = order_statistics(df, "x", {"um": lambda n: F.floor(n / 2)}).first()
     assert r["um"] == 3.0
+
+
+from hypothesis import HealthCheck, given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_rows = st.lists(st.tuples(st.sampled_from(["a", "b", None]),
+                           st.one_of(st.none(), st.integers(-3, 3).map(float)),
+                           st.integers(0, 1)), min_size=1, max_size=40)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=_rows, rpb=st.sampled_from([1, 2, 5, 1000]))
+def test_ranking_core_matches_pandas(spark, rows, rpb):
+    """Grouped AUC and linear quantiles on small inputs full of ties, NULL scores,
+    NULL group keys and one-class groups, for every bucket size."""
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    aucs = {r["g"]: r["auc"] for r in rank_auc(df, "s", "y", ["g"], rows_per_bucket=rpb).collect()}
+    meds = {r["g"]: r["med"] for r in
+            quantiles(df, "s", {"med": 0.5}, ["g"], rows_per_bucket=rpb).collect()}
+    for g in {r[0] for r in rows}:
+        sub = [(s, y) for gg, s, y in rows if gg == g]
+        assert aucs[g] == pytest.approx(_auc_ref([s for s, _ in sub], [y for _, y in sub]))
+        vals = pd.Series([s for s, _ in sub if s is not None], dtype=float)
+        if len(vals):
+            assert meds[g] == pytest.approx(vals.quantile(0.5))
+        else:
+            assert meds.get(g) is None

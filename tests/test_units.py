@@ -200,6 +200,15 @@ def test_optional_labels_absent_gives_empty_result(spark, tmp_path):
     assert absent.count() == 0 and absent.schema == present.schema
 
 
+def test_leakage_scan_all_null_column_is_half(spark):
+    """A column with no score left after the NaN/NULL mask reads AUC 0.5 (both
+    classes empty), is listed and not flagged."""
+    df = spark.createDataFrame([(float("nan"), None, i % 2, i) for i in range(10)],
+                               "allnan double, allnull double, churned int, x long")
+    got = {r["column"]: (r["univariate_auc"], r["flagged"]) for r in C.leakage_scan(df, "churned").collect()}
+    assert got["allnan"] == (0.5, False) and got["allnull"] == (0.5, False)
+
+
 def test_profile_likely_dates_text(spark):
     df = spark.createDataFrame([("2024-01-0%d" % (i % 9 + 1), "x%d" % i) for i in range(20)], "d string, s string")
     got = {r["column"]: r["likely_date"] for r in P.profile_likely_dates(df).collect()}
