@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.metrics import MONEY_SUMS
 from ..functions.numeric import dbl, money, rnd
 from ..plans.views import LAST_WEEK
+from .joins import bounded_broadcast
 
 HORIZON = 52                 # retention curve: t = 0..52 weeks
 GROSS_MARGIN = Decimal("0.78")
@@ -115,10 +116,9 @@ def retention_curve(sub: DataFrame, horizon: int = HORIZON, last_week: int = LAS
 
 def sub_region_semi(sub: DataFrame, wk: DataFrame) -> DataFrame:
     """Accounts whose region occurs in the marketplace fact (J3, left semi join).
-    The build side is the fact's distinct region list, a dimension dictionary
-    (5 regions by the TPC-H specification): a bounded broadcast, so the account
-    side is never shuffled."""
-    return sub.join(F.broadcast(wk.select("region").distinct()), "region", "left_semi")
+    The build side is the fact's distinct region list, broadcast behind a row-count
+    check, so the account side is not shuffled."""
+    return sub.join(bounded_broadcast(wk.select("region").distinct()), "region", "left_semi")
 
 
 # ------------------------------------------------------------------ dictionaries and compact cubes
@@ -181,11 +181,14 @@ def sub_cube(sub: DataFrame, wk: DataFrame) -> DataFrame:
     in the weekly cube, only regions present there (J3); NULL churn stays NULL."""
     d = dict_by_sum(wk)
     s = sub_region_semi(sub, wk)
-    tiers = s.select("tier").distinct().select(
-        "tier", (F.row_number().over(Window.orderBy("tier")) - 1).alias("tier_code"))
-    chans = s.select("channel").distinct().select(
-        "channel", (F.row_number().over(Window.orderBy("channel")) - 1).alias("channel_code"))
-    j = s.join(tiers, "tier").join(chans, "channel").join(_codes(d, "region", "region"), "region")
+    # three dictionaries, each materialized once and broadcast behind a row-count
+    # check: the account rows are joined in place, never shuffled
+    tiers = bounded_broadcast(s.select("tier").distinct().select(
+        "tier", (F.row_number().over(Window.orderBy("tier")) - 1).alias("tier_code")))
+    chans = bounded_broadcast(s.select("channel").distinct().select(
+        "channel", (F.row_number().over(Window.orderBy("channel")) - 1).alias("channel_code")))
+    regions = bounded_broadcast(_codes(d, "region", "region"))
+    j = s.join(tiers, "tier").join(chans, "channel").join(regions, "region")
     return j.select("account_id", F.col("tier_code").alias("tier"), F.col("region_code").alias("reg"),
                     F.col("channel_code").alias("ch"), "signup", "churn", "active", "tenure",
                     rnd("prior", 2).alias("prior"), rnd("mrr", 2).alias("mrr"), rnd("cac", 2).alias("cac"))

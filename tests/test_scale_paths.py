@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from bizlens.operators import ranking
 from bizlens.operators.checks import low_cardinality
@@ -75,3 +76,20 @@ def test_one_hot_refuses_unbounded_levels(spark):
     assert len(one_hot_dummy_na(df, "id", ["c"], max_levels=20).columns) == 22
     with pytest.raises(ValueError, match="more than 19 levels"):
         one_hot_dummy_na(df, "id", ["c"], max_levels=19)
+
+
+def test_bounded_broadcast_checks_the_size(spark):
+    from bizlens.operators.joins import bounded_broadcast
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    saved = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        big = spark.range(2000).withColumn("k", F.col("id") % 50)
+        small = spark.range(50).withColumnRenamed("id", "k").withColumn("label", F.col("k") * 10)
+        for limit, expect_broadcast in ((50, True), (49, False)):
+            j = big.join(bounded_broadcast(small, limit), "k")
+            plan = j._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == expect_broadcast
+            assert j.count() == 2000
+    finally:
+        spark.conf.set(conf, saved)
