@@ -22,21 +22,23 @@ MAX_PURE_LEVELS = 20      # columns tested for class purity
 SCREEN_MAX_LIMIT = 200    # level limits the 512-register sketch screen decides exactly
 
 
-def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
-    """The columns among ``cols`` with at most ``limit`` distinct non-missing values,
-    decided exactly without shuffling the values of wide columns.
+def low_cardinality_levels(df: DataFrame, cols: list[str], limit: int) -> dict[str, list[str]]:
+    """The sorted levels (as text) of every column among ``cols`` with at most
+    ``limit`` distinct non-missing values, decided exactly without shuffling the
+    values of wide columns.
 
     One wide aggregate first takes an HLL++ estimate of every column (sketches merge
     map-side, no value leaves its task).  With rsd 0.05 a sketch has m = 512
     registers and reads linear counting up to 400; n values fill at most n
     registers, so a column with n <= ``limit`` values is estimated at most
     m ln(m / (m - n)) (30.9 for n = 30), below ``2 * limit``.  Only columns under
-    that bound get the exact count, and their (column, value) shuffle carries a
-    few dozen rows per task at any scale.  (A finer sketch would be no more exact
-    and costs seconds of code generation per column: the registers are inlined
-    into the aggregation buffer.)"""
+    that bound get the exact pass, whose (column, value) shuffle carries a few dozen
+    rows per task at any scale; it returns the values of the columns whose exact
+    count is within ``limit`` (at most ``limit`` rows per column reach the driver).
+    (A finer sketch would be no more exact and costs seconds of code generation
+    per column: the registers are inlined into the aggregation buffer.)"""
     if not cols:
-        return set()
+        return {}
     fields = {f.name: f for f in df.schema.fields}
     cand = list(cols)
     if limit <= SCREEN_MAX_LIMIT:
@@ -44,35 +46,43 @@ def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
                        for i, c in enumerate(cols)]).first()
         cand = [c for i, c in enumerate(cols) if est[f"e{i}"] <= 2 * limit]
     if not cand:
-        return set()
-    rows = long_values(df, cand).distinct().groupBy("column").count().collect()
-    counts = {c: 0 for c in cand}
-    counts.update({r["column"]: r["count"] for r in rows})
-    return {c for c in cand if counts[c] <= limit}
+        return {}
+    vals = long_values(df, cand).distinct()
+    names = df.sparkSession.createDataFrame([(c,) for c in cand], "column string")
+    n = names.join(vals.groupBy("column").agg(F.count(F.lit(1)).alias("n")), "column", "left")
+    small = n.where(F.coalesce(F.col("n"), F.lit(0)) <= limit).select("column")
+    levels: dict[str, list[str]] = {}
+    for r in small.join(vals, "column", "left").collect():
+        got = levels.setdefault(r["column"], [])
+        if r["value"] is not None:
+            got.append(r["value"])
+    return {c: sorted(v) for c, v in levels.items()}
+
+
+def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
+    """The columns among ``cols`` with at most ``limit`` distinct non-missing values."""
+    return set(low_cardinality_levels(df, cols, limit))
 
 
 def leakage_long(df: DataFrame, target: str) -> DataFrame:
     """(column, score, y): numeric columns as they are; text columns with at most
     30 levels as their lexicographic code, NULL text coded -1 (and ranked).  One
-    scan: each text dictionary (<= 30 rows by the check, a bounded broadcast) adds
-    its code column, then all scores are exploded to long form at once."""
-    from pyspark.sql import Window
+    scan: the level lists come back from the exact level check (<= 30 each), so a
+    text code is a literal CASE over them (no dictionary scan, window or join), and
+    all scores are exploded to long form at once."""
     fields = [f for f in df.schema.fields if f.name != target]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    coded = low_cardinality(df, text, MAX_TEXT_LEVELS)
-    x = df
+    coded = low_cardinality_levels(df, text, MAX_TEXT_LEVELS)
     cells = []
     for f in fields:
         if is_numeric(f.dataType):
             cells.append(F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("double").alias("score")))
         elif f.name in coded:
-            d = df.select(f.name).where(F.col(f.name).isNotNull()).distinct()
-            code = f"_code_{len(cells)}"
-            d = d.select(f.name, (F.row_number().over(Window.orderBy(f.name)) - 1).alias(code))
-            x = x.join(F.broadcast(d), f.name, "left")
-            cells.append(F.struct(F.lit(f.name).alias("column"),
-                                  F.coalesce(F.col(code), F.lit(-1)).cast("double").alias("score")))
-    return x.select(F.col(target).alias("y"), F.explode(F.array(*cells)).alias("c")) \
+            c, code = F.col(f.name), F.lit(-1)
+            for i, v in reversed(list(enumerate(coded[f.name]))):
+                code = F.when(c == F.lit(v), F.lit(i)).otherwise(code)
+            cells.append(F.struct(F.lit(f.name).alias("column"), code.cast("double").alias("score")))
+    return df.select(F.col(target).alias("y"), F.explode(F.array(*cells)).alias("c")) \
         .select("c.column", "c.score", "y")
 
 

@@ -25,6 +25,14 @@ def test_low_cardinality_exact_at_the_limit(spark):
     assert low_cardinality(df, [], 30) == set()
 
 
+def test_low_cardinality_levels_sorted_and_bounded(spark):
+    from bizlens.operators.checks import low_cardinality_levels
+    df = spark.createDataFrame([("b", "x1"), ("a", "x2"), (None, "x3"), ("b", "x4"), ("\u00e9", "x5")],
+                               "t string, u string")
+    got = low_cardinality_levels(df, ["t", "u"], 3)
+    assert got == {"t": ["a", "b", "\u00e9"]}
+
+
 @pytest.mark.parametrize("limit", [20, 200])
 def test_low_cardinality_screen_keeps_every_small_column(spark, limit):
     """The sketch screen never drops a column that has exactly ``limit`` values."""
