@@ -96,7 +96,7 @@ def bucket_column(df: DataFrame, order_col: str, part_cols: Sequence[str],
     found = sub.groupBy(*part_cols).agg(F.percentile_approx(order_col, probs, accuracy).alias("_q")).collect()
     expr = None
     for row in found:
-        nb = nbs[tuple(row[c] for c in part_cols)]
+        nb = nbs.get(tuple(row[c] for c in part_cols), 1)   # a NaN key matches no entry: one bucket
         if nb < 2:
             continue
         # group bounds at k/nb, read off the common grid (index j is quantile (j+1)/grid)
