@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import rnd
+from ..sources.scratch import written_table
 from .checks import leakage_scan
 from .ranking import prefix_sums, rank_auc
 
@@ -101,9 +102,9 @@ class ChurnModel:
         for c in self.num:
             base = base.withColumn(c, F.col(c).cast("double"))
         split = stratified_split(base, id_col, label).select(id_col, "split")
-        # one reliable checkpoint: fitting, scoring and the permutation variants all
-        # read the split feature frame instead of recomputing the ranking jobs
-        self.data = with_missing_flags(base.join(split, id_col), self.num).checkpoint(eager=True)
+        # one written table: fitting, scoring and the permutation variants all read
+        # the split feature frame instead of recomputing the ranking jobs
+        self.data = written_table(with_missing_flags(base.join(split, id_col), self.num), "churn-features")
         train = self.data.where(F.col("split") == "train")
         self.model: PipelineModel = build_pipeline(self.num, self.cat, label).fit(train)
 

@@ -20,8 +20,8 @@ from ..operators import retention as R
 from ..operators import textjobs as X
 from ..operators import weekly as W
 from ..operators.ranking import rank_auc
-from ..session import ensure_checkpoint_dir
 from ..sources.files import read_optional
+from ..sources.scratch import written_table
 from ..sources.tables import Tables
 from . import views
 
@@ -76,17 +76,16 @@ def _app_key(spark: SparkSession):
 
 
 def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A derived fact computed once per (application, data dir) and kept as a
-    reliable checkpoint in the shared ``spark.checkpoint.dir``: lineage is cut, the
-    files survive executor loss, and every report built on the fact reads it
-    instead of recomputing the joins over the base tables.  Where a session cannot
-    checkpoint (no checkpoint directory reachable), the plan is used as is."""
+    """A derived fact computed once per (application, data dir) and written as a
+    parquet table under the shared ``spark.checkpoint.dir``: lineage is cut, the
+    files survive executor loss, and every report built on the fact reads only the
+    columns and row groups it needs instead of recomputing the joins over the base
+    tables.  Where a session cannot write there, the plan is used as is."""
     key = (_app_key(spark), sf_dir, name)
     if key in _VIEWS:
         return _VIEWS[key]
     try:
-        ensure_checkpoint_dir(spark)
-        view = build().checkpoint(eager=True)
+        view = written_table(build(), f"view-{name}")
     except Exception as e:  # noqa: BLE001 -- fall back to the unmaterialized plan
         import warnings
         warnings.warn(f"view {name} not materialized ({str(e).splitlines()[0][:120]})")
