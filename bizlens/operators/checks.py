@@ -64,7 +64,15 @@ def low_cardinality(df: DataFrame, cols: list[str], limit: int) -> set[str]:
     return set(low_cardinality_levels(df, cols, limit))
 
 
-def leakage_long(df: DataFrame, target: str) -> DataFrame:
+def shared_levels(df: DataFrame, target: str) -> dict[str, list[str]]:
+    """One level check for a whole validity report: the leakage scan's text codes
+    (<= 30 levels) and the purity check's columns (<= 20) both read it, so the table
+    is screened once instead of twice."""
+    return low_cardinality_levels(df, [c for c in df.columns if c != target],
+                                  max(MAX_TEXT_LEVELS, MAX_PURE_LEVELS))
+
+
+def leakage_long(df: DataFrame, target: str, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """(column, score, y): numeric columns as they are; text columns with at most
     30 levels as their lexicographic code, NULL text coded -1 (and ranked).  One
     scan: the level lists come back from the exact level check (<= 30 each), so a
@@ -72,7 +80,8 @@ def leakage_long(df: DataFrame, target: str) -> DataFrame:
     all scores are exploded to long form at once."""
     fields = [f for f in df.schema.fields if f.name != target]
     text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    coded = low_cardinality_levels(df, text, MAX_TEXT_LEVELS)
+    coded = low_cardinality_levels(df, text, MAX_TEXT_LEVELS) if levels is None else \
+        {c: v for c, v in levels.items() if c in text and len(v) <= MAX_TEXT_LEVELS}
     cells = []
     for f in fields:
         if is_numeric(f.dataType):
@@ -86,17 +95,18 @@ def leakage_long(df: DataFrame, target: str) -> DataFrame:
         .select("c.column", "c.score", "y")
 
 
-def leakage_scan(df: DataFrame, target: str) -> DataFrame:
+def leakage_scan(df: DataFrame, target: str, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Univariate AUC of every eligible column, direction-free, flagged at >= 0.90."""
-    a = rank_auc(leakage_long(df, target), "score", "y", ["column"])
+    a = rank_auc(leakage_long(df, target, levels), "score", "y", ["column"])
     both = F.greatest(F.col("auc"), 1 - F.col("auc"))
     return a.select("column", rnd(both, 4).alias("univariate_auc"),
                     (both >= LEAK_AUC_THRESHOLD).alias("flagged"))
 
 
-def _pure_levels(df: DataFrame, target: str) -> DataFrame:
+def _pure_levels(df: DataFrame, target: str, levels: dict[str, list[str]] | None = None) -> DataFrame:
     cols = [c for c in df.columns if c != target]
-    eligible = low_cardinality(df, cols, MAX_PURE_LEVELS)
+    eligible = low_cardinality(df, cols, MAX_PURE_LEVELS) if levels is None else \
+        {c for c, v in levels.items() if c in cols and len(v) <= MAX_PURE_LEVELS}
     fields = [f for f in df.schema.fields if f.name in eligible]
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value"))
                       for f in fields])
@@ -105,10 +115,10 @@ def _pure_levels(df: DataFrame, target: str) -> DataFrame:
     return long.groupBy("column", "value").agg(F.min("y").alias("ymin"), F.max("y").alias("ymax"))
 
 
-def one_sided_columns(df: DataFrame, target: str) -> DataFrame:
+def one_sided_columns(df: DataFrame, target: str, levels: dict[str, list[str]] | None = None) -> DataFrame:
     """Columns with <= 20 levels where both classes occur among their non-null rows
     and every level occurs in one class only (the code's definition)."""
-    lv = _pure_levels(df, target)
+    lv = _pure_levels(df, target, levels)
     g = lv.groupBy("column").agg(F.count(F.lit(1)).alias("n_levels"),
                                  F.bool_and(F.col("ymin") == F.col("ymax")).alias("all_pure"),
                                  F.min("ymin").alias("lo"), F.max("ymax").alias("hi"))
@@ -137,8 +147,9 @@ def crosstab(df: DataFrame, col: str, target: str, classes=(0, 1)) -> DataFrame:
 def validity_verdict(df: DataFrame, target: str) -> DataFrame:
     dup = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")) \
         .agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
-    sus = leakage_scan(df, target).where("flagged").agg(F.count(F.lit(1)).alias("n_suspects"))
-    one = one_sided_columns(df, target).where("one_sided").agg(F.count(F.lit(1)).alias("n_one_sided"))
+    levels = shared_levels(df, target)
+    sus = leakage_scan(df, target, levels).where("flagged").agg(F.count(F.lit(1)).alias("n_suspects"))
+    one = one_sided_columns(df, target, levels).where("one_sided").agg(F.count(F.lit(1)).alias("n_one_sided"))
     n = df.agg(F.count(F.lit(1))).scalar()
     s, o = sus.scalar(), one.scalar()
     d = dup.scalar()
@@ -167,7 +178,8 @@ def validity_report(df: DataFrame, target: str) -> DataFrame:
                               F.col("majority_class_accuracy").cast("string"),
                               F.lit(", AUC 0.5. Positive rate "), F.col("positive_rate").cast("string"),
                               F.lit(".")).alias("text")))).alias("l")).select("l.*")
-    scan = leakage_scan(df, target).where("flagged")
+    levels = shared_levels(df, target)
+    scan = leakage_scan(df, target, levels).where("flagged")
     # suspects and class-pure columns are per-column results: a few rows at most
     sus = scan.select((F.lit(10) + F.row_number().over(
         Window.orderBy(F.desc("univariate_auc"), "column"))).alias("line_no"),
@@ -177,7 +189,7 @@ def validity_report(df: DataFrame, target: str) -> DataFrame:
     sus_head = spark.range(1).where(n_sus > 0).select(
         F.lit(10).alias("line_no"),
         F.lit("LEAKAGE SUSPECTS (single column predicts the target almost perfectly):").alias("text"))
-    one = one_sided_columns(df, target).where("one_sided")
+    one = one_sided_columns(df, target, levels).where("one_sided")
     one_line = one.agg(F.array_join(F.array_sort(F.collect_list("column")), ", ").alias("cols"),
                        F.count(F.lit(1)).alias("k")).where(F.col("k") > 0).select(
         F.lit(1000).alias("line_no"),
