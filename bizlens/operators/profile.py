@@ -153,8 +153,9 @@ def profile_likely_dates(df: DataFrame) -> DataFrame:
 def profile_target(df: DataFrame, target: str, top: int = 10) -> DataFrame:
     """Shares of the 10 most frequent target values, NULL included; is-binary flag."""
     counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    levels = df.agg(F.count_distinct(target)).scalar()
+    # total and distinct non-null levels both come from the one per-value aggregate
+    total = counts.agg(F.sum("n")).scalar()
+    levels = counts.where(F.col(target).isNotNull()).agg(F.count(F.lit(1))).scalar()
     topk = counts.orderBy(F.desc("n"), F.asc_nulls_first(target)).limit(top)
     return topk.select(F.col(target).cast("string").alias("value"),
                        rnd(F.col("n") / total, 4).alias("share"),
