@@ -31,6 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import small_batches, written_table
 from .components import components
@@ -244,18 +245,44 @@ def near_links(points: DataFrame, radius: int = 4, shard_points: int = SHARD_POI
     return tasks.groupBy("leaf", "s", "q").applyInPandas(solve, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
-                    shard_points: int = SHARD_POINTS, sample: int = SAMPLE) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for every row: the smallest doc_id of all rows
-    reachable through fingerprints that differ in ``radius`` bits or fewer."""
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = written_table(fingerprints(slim, "text", width), "fingerprints")
+def grouped(rows: DataFrame, radius: int = 4, shard_points: int = SHARD_POINTS, sample: int = SAMPLE) -> DataFrame:
+    """``(point, component, component_id)`` for every distinct fingerprint of ``rows`` (doc_id, _fp; a
+    written table): its group, and the smallest doc_id in the group."""
     points = written_table(rows.groupBy("_fp").agg(F.min("doc_id").alias("least")), "points")
     linked = components(near_links(points.select("_fp"), radius, shard_points, sample))
     named = points.join(linked, points["_fp"] == linked["node"], "left") \
         .select(points["_fp"].alias("point"), "least", F.coalesce("component", points["_fp"]).alias("component"))
     named = written_table(named, "named-points")
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_point = named.join(smallest, "component").select("point", "component_id")
-    return rows.join(of_point, rows["_fp"] == of_point["point"], "left") \
+    return named.join(smallest, "component").select("point", "component", "component_id")
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
+                    **options) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for every row: the smallest doc_id of all rows
+    reachable through fingerprints that differ in ``radius`` bits or fewer."""
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows = written_table(fingerprints(slim, "text", width), "fingerprints")
+    groups = grouped(rows, radius, **options)
+    return rows.join(groups, rows["_fp"] == groups["point"], "left") \
         .select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 4, radius: int = 4, doc_id: str = "doc_id", text: str = "text",
+             **options) -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest doc_id (a null
+    one last); where rows share it, the first by (fingerprint, hashes of the row); of equal rows
+    one.  Columns are unchanged.
+
+    Only ids, fingerprints and hashes are grouped; the texts meet the decisions in one join."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+    hashes = [F.xxhash64(*plain).alias("_row_1"), F.xxhash64(F.lit("second"), *plain).alias("_row_2")]
+    rows = fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *hashes), "text", width)
+    rows = written_table(rows, "fingerprints")
+    groups = grouped(rows.select("doc_id", "_fp"), radius, **options)
+    best = rows.join(groups, rows["_fp"] == groups["point"]).groupBy("component").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_fp", "_row_1", "_row_2")).alias("m")) \
+        .select(F.col("m._row_1").alias("_best_1"), F.col("m._row_2").alias("_best_2"))
+    hashed = docs.select("*", *hashes)
+    return hashed.join(best, (F.col("_row_1") == F.col("_best_1")) & (F.col("_row_2") == F.col("_best_2")), "left_semi") \
+        .dropDuplicates(["_row_1", "_row_2"]).drop("_row_1", "_row_2")
