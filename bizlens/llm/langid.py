@@ -29,6 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import pieces, small_batches
 
@@ -278,11 +279,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
                     out[names[2]] = spans
                 yield out
 
-    schema = docs.schema
-    for f in [f.name for f in schema.fields]:
-        if f in names:
-            raise ValueError(f"column {f} is there already")
-    schema = schema.add(names[0], "string").add(names[1], "double")
+    if clash := set(names) & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are there already")
+    schema = StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double")
     if with_spans:
         schema = schema.add(names[2], "array<struct<start:bigint,end:bigint,lang:string>>")
     return docs.mapInPandas(run, schema)

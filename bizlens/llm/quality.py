@@ -55,14 +55,11 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     equal hashes are compared word by word; the union of the windows' places is then measured."""
     shift = F.call_function
 
-    def solve(w: Column) -> Column:
-        n = F.size(w) - (width - 1)
-        bits = F.length(F.bin(n.cast("bigint"))).cast("int")          # room for a place
-        packed = let(bits, lambda b: F.sort_array(F.transform(
+    def solve(w: Column, n: Column, bits: Column, mask: Column) -> Column:
+        packed = F.sort_array(F.transform(
             F.sequence(F.lit(0), n - 1),
-            lambda i: shift("shiftleft", shift("shiftright", F.xxhash64(*[F.get(w, i + k) for k in range(width)]), b), b)
-            .bitwiseOR(i.cast("bigint")))))
-        mask = shift("shiftleft", F.lit(1).cast("bigint"), bits) - 1
+            lambda i: shift("shiftleft", shift("shiftright", F.xxhash64(*[F.get(w, i + k) for k in range(width)]), bits), bits)
+            .bitwiseOR(i.cast("bigint"))))
 
         def same(x: Column, y: Column) -> Column:
             """Whether two packed windows (y null past the ends) are the same words."""
@@ -83,8 +80,14 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
                                    (acc["sum"] + F.least(F.lit(width), x + width - acc["end"])).cast("bigint").alias("sum"),
                                    (x + width).alias("end")))["sum"]
 
-        return F.when(n < 2, F.lit(0).cast("bigint")).otherwise(let(let(packed, places), covered))
-    return let(words, solve)
+        return let(let(packed, places), covered)
+
+    def sized(w: Column) -> Column:
+        # windows, bits that hold a place, mask of a place: evaluated once a text
+        return let(F.size(w) - (width - 1), lambda n: F.when(n < 2, F.lit(0).cast("bigint")).otherwise(
+            let(F.length(F.bin(n.cast("bigint"))), lambda bits: let(
+                shift("shiftleft", F.lit(1).cast("bigint"), bits) - 1, lambda mask: solve(w, n, bits, mask)))))
+    return let(words, sized)
 
 
 def line_fails(line: Column, n_words: Column) -> Column:
