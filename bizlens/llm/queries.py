@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, mixing, pii, simhash
+from . import bpe, embeddings, langid, mixing, pii, simhash
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,29 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+@query("op4_embeddings")
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op4_embeddings"] = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+pairs AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT p.y, r.root FROM reach r JOIN pairs p ON p.x = r.node),
+least AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node),
+degree AS (SELECT x, count(*) AS n FROM pairs GROUP BY x)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, l.component_id, e.vec_id = l.component_id AS kept
+FROM embeddings e JOIN least l ON l.node = e.vec_id LEFT JOIN degree d ON d.x = e.vec_id
+"""
+
+
 @query("op5_pii")
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
