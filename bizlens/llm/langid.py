@@ -29,7 +29,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from .common import pieces, small_batches
 
@@ -276,12 +276,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
                 lang, score, spans = label_texts(shared.value, texts[a:b], with_spans)
                 out[names[0]], out[names[1]] = lang, score
                 if with_spans:
-                    out[names[2]] = spans
+                    out[names[2]] = pd.Series(spans, index=out.index, dtype=object)
                 yield out
 
     if clash := set(names) & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
-    schema = StructType(list(docs.schema.fields)).add(names[0], "string").add(names[1], "double")
-    if with_spans:
-        schema = schema.add(names[2], "array<struct<start:bigint,end:bigint,lang:string>>")
-    return docs.mapInPandas(run, schema)
+    span = StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("lang", StringType())])
+    added = [StructField(names[0], StringType()), StructField(names[1], DoubleType()), StructField(names[2], ArrayType(span))]
+    return docs.mapInPandas(run, StructType([*docs.schema.fields, *added[:2 + with_spans]]))

@@ -10,7 +10,7 @@ documents that are still undecided span a null space of the two balancing constr
 and documents: columns (1, size)); their probabilities move along it, up or down with
 chances that keep every expectation, until one is 0 or 1.  Documents are dealt to blocks inside their source,
 each block flies alone and leaves two documents undecided at most; what is left meets in
-ever fewer blocks until one block a source is left, and its last two are landed by rounding.
+ever fewer blocks until one block a source is left, whose last two are landed near the token total.
 
 All draws are hashes of the documents' keys, so reruns agree.
 
@@ -22,7 +22,8 @@ to the first of them; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from functools import reduce
+import itertools
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -97,6 +98,40 @@ def flight(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> np.ndarray:
     return np.array(p)
 
 
+def landing(p: np.ndarray, size: np.ndarray, moved: np.ndarray) -> np.ndarray:
+    """Whole decisions for a source's last block: the documents still inside after the flight are
+    rounded to the choice nearest the token total that ``p`` stands for; while that
+    leaves a gap, the change of one decision, or the exchange of two, that narrows it most is made."""
+    want = float((p * size).sum())
+    inside = np.flatnonzero((moved > 0) & (moved < 1))
+    best = None
+    for choice in itertools.product((0.0, 1.0), repeat=len(inside)):
+        x = moved.copy()
+        x[inside] = choice
+        gap = want - float((x * size).sum())
+        if best is None or abs(gap) < abs(best[0]):
+            best = (gap, x)
+    gap, x = best
+    for _ in range(len(p)):
+        out, taken = np.flatnonzero(x == 0), np.flatnonzero(x == 1)
+        change = np.where(x == 0, size, -size)
+        i = int(np.abs(gap - change).argmin())
+        options = [(abs(gap - change[i]), [i])]
+        if len(out) and len(taken):
+            out = out[np.argsort(size[out], kind="stable")]
+            for shift in (-1, 0):
+                at = np.clip(np.searchsorted(size[out], size[taken] + gap) + shift, 0, len(out) - 1)
+                left = np.abs(gap - (size[out[at]] - size[taken]))
+                k = int(left.argmin())
+                options.append((left[k], [out[at[k]], taken[k]]))
+        left, flip = min(options, key=lambda o: (o[0], -len(o[1])))
+        if left >= abs(gap) - 0.5:
+            break
+        gap -= sum(change[f] for f in flip)
+        x[flip] = 1 - x[flip]
+    return x
+
+
 def _unit_hash(*columns):
     """A number in [0, 1) from a hash of the columns."""
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 40)).cast("double") / float(1 << 40)
@@ -108,12 +143,11 @@ def cube(units: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     schema = "source string, doc_id bigint, size bigint, j bigint, p double, n bigint"
     state = units.select("source", "doc_id", "size", "j", F.col("p").cast("double"), F.col("n").cast("bigint"))
 
-    def fly(frame: pd.DataFrame) -> pd.DataFrame:
+    def fly(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
         frame = frame.sort_values(["turn", "doc_id", "size", "j"], kind="stable")
-        moved = frame["p"].to_numpy(np.float64).copy()
-        inside = (moved > 0) & (moved < 1)
-        moved[inside] = flight(moved[inside], frame["size"].to_numpy()[inside], frame["draw"].to_numpy()[inside])
-        frame = frame.assign(p=moved)
+        p, size = frame["p"].to_numpy(np.float64), frame["size"].to_numpy(np.int64)
+        moved = flight(p, size, frame["draw"].to_numpy())
+        frame = frame.assign(p=landing(p, size, moved) if last else moved)
         return frame[["source", "doc_id", "size", "j", "p", "n"]]
 
     largest = state.agg(F.max("n")).first()[0] or 0
@@ -125,10 +159,10 @@ def cube(units: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
         dealt = state.withColumn("block", F.pmod(F.xxhash64(*key, F.lit(level)), own)) \
             .withColumn("turn", _unit_hash(*key, F.lit("turn"), F.lit(level))) \
             .withColumn("draw", _unit_hash(*key, F.lit("draw"), F.lit(level)))
-        moved = dealt.groupBy("source", "block").applyInPandas(fly, schema)
-        if blocks <= 1:
-            # landing: two units a source at most are still inside; the nearest whole number
-            decided.append(moved.select(*key, F.when(F.col("p") >= 0.5, 1).otherwise(0).alias("extra")))
+        last = blocks <= 1
+        moved = dealt.groupBy("source", "block").applyInPandas(partial(fly, last=last), schema)
+        if last:
+            decided.append(moved.select(*key, F.col("p").cast("int").alias("extra")))
             break
         moved = written_table(moved, "cube")
         whole = (F.col("p") == 0) | (F.col("p") == 1)
@@ -173,7 +207,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = docs.select(F.struct("*").alias("_mix_row"), F.struct(*key).alias("_mix_key"))
     # rows that agree in the key are numbered; the key is the document's id, so groups are small
     rows = rows.withColumn("_mix_j", F.row_number().over(
-        Window.partitionBy("_mix_key").orderBy(F.xxhash64(F.col(text)))).cast("bigint"))
+        Window.partitionBy("_mix_key").orderBy(F.xxhash64(F.col("_mix_row").getField(text)))).cast("bigint"))
     wanted = planned.where("copies > 0").select(
         F.struct(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("size").alias("z")).alias("_mix_k"),
         F.col("j").alias("_mix_n"), "copies")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, mixing, pii, simhash
+from . import bpe, embeddings, langid, mixing, pii, simhash, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,24 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.size("_pii_kinds").alias("n_found"), F.col("_pii_kinds").alias("kinds"))
 
 
+@query("op6_warc")
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, records = warc.archive(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op6_warc"] = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+  FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first_id FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN p.page_id <> f.first_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
+FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
+"""
+
+
 @query("op8_simhash")
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)

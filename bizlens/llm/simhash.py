@@ -31,7 +31,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType
+from pyspark.sql.types import LongType, MapType, StructField, StructType
 
 from .common import small_batches, written_table
 from .components import components
@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFra
             frame["_fp"] = np.array([fingerprint(t, width) for t in texts], np.int64)
             yield frame
 
-    schema = source.drop("_text").schema.add("_fp", "bigint")
+    schema = StructType([*source.drop("_text").schema.fields, StructField("_fp", LongType())])
     return source.mapInPandas(run, schema)
 
 
