@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, mixing, pii, simhash, warc
+from . import bpe, embeddings, langid, mainblocks, mixing, pii, simhash, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +102,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.tokenize(docs, tokenizer_path())
+
+
+@query("op10_html")
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainblocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
