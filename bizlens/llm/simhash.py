@@ -37,8 +37,8 @@ from .common import small_batches, written_table
 from .components import components
 
 SAMPLE = 8192            # points the upper tree is built on
-SHARD_POINTS = 20_000    # points stored in a block of a shard, about
-RINGS = 8                # rings of a node of the upper tree
+SHARD_POINTS = 64_000    # points stored in a block of a shard, about
+RINGS = 8                # rings of a node of the upper tree at most: no more than it has shards
 FEW_PAIRS = 1 << 18      # pairs compared without a further split
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SLICE = 1 << 15
@@ -100,7 +100,8 @@ def build_tree(sample: np.ndarray, total: int, target: int) -> tuple[dict, int]:
             step = max(1, len(points) // 16)
             vantage = int(max(points[::step][:16], key=lambda v: hamming(points, int(v)).std()))
             d = hamming(points, vantage)
-            cuts = np.unique(np.quantile(d, np.arange(1, RINGS) / RINGS, method="lower"))
+            rings = min(RINGS, max(2, round(len(points) * per_point / target)))
+            cuts = np.unique(np.quantile(d, np.arange(1, rings) / rings, method="lower"))
             ring = np.searchsorted(cuts, d, side="right")     # ring k: cuts[k-1] <= d < cuts[k]
             if ring.max() > ring.min():
                 return {"vantage": vantage, "cuts": cuts, "rings": [node(points[ring == k]) for k in range(len(cuts) + 1)]}
