@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, small_batches
+from .common import pieces, ready_python
 
 SHORT = 64
 CHUNK_CHARS = 2_000_000      # characters whose distinct words are encoded together
@@ -188,7 +188,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, text: str = "text", with_ids:
     where asked for); the text column itself is not returned.  No shuffle: each task encodes its
     rows.  The tokenizer file is read on the driver and broadcast once (about 1.5 MB)."""
     spark = docs.sparkSession
-    small_batches(spark)
+    ready_python(spark)
     with open(tokenizer_path, encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
     others = [c for c in docs.columns if c != text]

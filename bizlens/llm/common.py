@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +20,28 @@ WORD = rf"[^{SPACE_CLASS}]+"
 #: Rows per Arrow batch sent to Python, so that a batch of long texts stays small.
 BATCH_ROWS = 256
 _BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of Python stages: texts may be long, and a batch is
-    held whole in a worker.  A smaller value set by the user stays."""
+def ready_python(spark: SparkSession) -> None:
+    """Prepare a session for Python stages: bound their Arrow batches (texts may be long, and a
+    batch is held whole in a worker; a smaller value set by the user stays), and ship this package
+    to the executors, which may not have it installed."""
     if int(spark.conf.get(_BATCH_CONF, "10000")) > BATCH_ROWS:
         spark.conf.set(_BATCH_CONF, str(BATCH_ROWS))
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        root = Path(__file__).resolve().parents[1]
+        bundle = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}-package.zip"
+        with zipfile.ZipFile(bundle, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(bundle))       # Spark sends it from the driver to every executor
+        _SHIPPED.add(sc.applicationId)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,5 +63,5 @@ def pieces(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-__all__ = ["SPACE_CLASS", "WORD", "ensure_checkpoint_dir", "held_out", "pieces", "scratch_path",
-           "small_batches", "table", "written_table"]
+__all__ = ["SPACE_CLASS", "WORD", "ensure_checkpoint_dir", "held_out", "pieces", "ready_python", "scratch_path",
+           "table", "written_table"]

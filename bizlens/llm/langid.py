@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import pieces, small_batches
+from .common import pieces, ready_python
 
 TABLE_BITS = 16
 TRAIN_DOCS = 4000
@@ -225,7 +225,7 @@ def label_texts(model: Model, texts: list[str], with_spans: bool) -> tuple[list[
 def train(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
           per_language: int = TRAIN_DOCS) -> Model:
     """Trigram and script counts of each language over a sample of about ``per_language`` texts of it."""
-    small_batches(labelled.sparkSession)
+    ready_python(labelled.sparkSession)
     known = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()) \
         .select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l"))
     sizes = {r["l"]: r["count"] for r in known.groupBy("l").count().collect()}   # one row a language
@@ -265,7 +265,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", with_spans: bool
              names: tuple[str, str, str] = ("lang_pred", "score", "spans")) -> DataFrame:
     """Adds the predicted language, the share of letters in its spans and, where asked for, the
     spans (start, end: places in the lower-cased text).  Only the text is read."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

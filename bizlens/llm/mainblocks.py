@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import ready_python
 
 #: Elements of HTML by their part in a page.
 SKIPPED = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select",
@@ -302,7 +302,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """``pages`` with the html column replaced by text and n_chars."""
-    small_batches(pages.sparkSession)
+    ready_python(pages.sparkSession)
     source = pages.select(*[c for c in pages.columns if c != html and c not in ("text", "n_chars")],
                           F.coalesce(F.col(html), F.lit("")).alias("_html"))
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, written_table
+from .common import WORD, ready_python, written_table
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
@@ -140,6 +140,7 @@ def _unit_hash(*columns):
 def cube(units: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     """``units``: source, doc_id, size, j (key of a unit), p (inclusion probability), n (units of the
     source).  Returns the key columns and ``extra`` (0 or 1)."""
+    ready_python(units.sparkSession)
     schema = "source string, doc_id bigint, size bigint, j bigint, p double, n bigint"
     state = units.select("source", "doc_id", "size", "j", F.col("p").cast("double"), F.col("n").cast("bigint"))
 

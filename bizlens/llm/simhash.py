@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, MapType, StructField, StructType
 
-from .common import small_batches, written_table
+from .common import ready_python, written_table
 from .components import components
 
 SAMPLE = 8192            # points the upper tree is built on
@@ -68,7 +68,7 @@ def fingerprint(text: str, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = 4) -> DataFrame:
     """``docs`` without its text column, plus ``_fp`` (bigint)."""
-    small_batches(docs.sparkSession)
+    ready_python(docs.sparkSession)
     source = docs.select(*[c for c in docs.columns if c != text], F.coalesce(F.col(text), F.lit("")).alias("_text"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

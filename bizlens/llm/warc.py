@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
-from .common import scratch_path, small_batches, written_table
+from .common import ready_python, scratch_path, written_table
 
 MIN_REVISIT = 100
 GAP = 1 << 16            # bytes read in vain rather than asked for apart
@@ -109,7 +109,7 @@ def planned(pages: DataFrame) -> DataFrame:
 
 def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write one record a page under ``folder``; returns the index (a written table)."""
-    small_batches(pages.sparkSession)
+    ready_python(pages.sparkSession)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = name = None
@@ -158,7 +158,7 @@ READ = ("page_id bigint, url string, payload_bytes bigint, payload_digest string
 def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Read the records of ``index`` (any selection of its rows) back from the archives.  The
     payload of a response is checked against its digest; a revisit has the digest of its header."""
-    small_batches(index.sparkSession)
+    ready_python(index.sparkSession)
     stretched = index.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
     # the rows of a stretch stand together and in order: one file is open at a time
     dealt = stretched.repartition("file", "stretch").sortWithinPartitions("file", "offset")
