@@ -20,6 +20,7 @@ empty; repeated rows stay; a single very long line is one line; extra columns ma
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,10 @@ BOILERPLATE = (r"(?i)\b(?:all rights reserved|licen[sc]ed under|public license|c
                r"cookie policy|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|"
                r"subscribe to our newsletter|sign up for our newsletter|copyright \(c\)|javascript is disabled)\b|©")
 
+#: Stems of which every phrase above has one, in lower case.
+STEMS = ("rights reserved", "license", "licence", "creative commons", "cookie", "privacy policy", "terms of",
+         "newsletter", "copyright", "javascript", "©")
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once."""
@@ -90,16 +95,17 @@ def repeated_window_words(words: Column, width: int = 3) -> Column:
     return let(words, sized)
 
 
-def line_fails(line: Column, n_words: Column) -> Column:
-    """Whether a line with ``n_words`` words breaks a rule (repetition aside)."""
+def line_fails(line: Column, n_words: Column, signs: Column, phrases: Column) -> Column:
+    """Whether a line with ``n_words`` words breaks a rule.  ``signs``, ``phrases``: whether the text has any
+    sign, any stem of a phrase, that the rules look for; without, its lines need no look."""
     chars = F.length(F.regexp_replace(line, rf"[{SPACE_CLASS}]+", ""))
     symbols = F.regexp_count(line, F.lit(SYMBOLS))
     separators = F.regexp_count(line, F.lit(SEPARATOR_WORD))
     shouted = F.regexp_count(line, F.lit(SHOUTED_WORD))
     punctuation = (symbols > chars * MAX_SYMBOL_SHARE) | (shouted * 2 > n_words)
-    navigation = (separators >= MIN_SEPARATORS) & (separators * WORDS_PER_SEPARATOR >= n_words)
+    navigation = let(separators, lambda k: (k >= MIN_SEPARATORS) & (k * WORDS_PER_SEPARATOR >= n_words))
     boilerplate = (n_words <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    return punctuation | navigation | boilerplate
+    return (signs & (punctuation | navigation)) | (phrases & boilerplate)
 
 
 def judge(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
@@ -109,14 +115,21 @@ def judge(docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
     p = "_quality_"
     x = docs.withColumn(p + "words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0))) \
         .withColumn(p + "lines", F.transform(F.split(t, "\n", -1), lambda s: F.struct(
-            s.alias("s"), F.regexp_count(s, F.lit(WORD)).alias("n"))))
+            s.alias("s"), F.regexp_count(s, F.lit(WORD)).alias("n")))) \
+        .withColumn(p + "symbols", F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint"))
+    low = F.lower(t)
     x = x.withColumn(p + "n", F.size(p + "words").cast("bigint")) \
-        .withColumn(p + "chars", F.length(F.regexp_replace(t, rf"[{SPACE_CLASS}]+", "")).cast("bigint")) \
-        .withColumn(p + "symbols", F.regexp_count(t, F.lit(SYMBOLS)).cast("bigint")) \
+        .withColumn(p + "chars", F.length(F.array_join(p + "words", "")).cast("bigint")) \
         .withColumn(p + "repeats", repeated_window_words(F.col(p + "words"))) \
         .withColumn(p + "full", F.filter(p + "lines", lambda s: s["n"] > 0)) \
-        .withColumn(p + "distinct", F.array_distinct(F.transform(p + "full", lambda s: s["s"])))
-    good = F.filter(p + "lines", lambda s: (s["n"] == 0) | ~line_fails(s["s"], s["n"]))
+        .withColumn(p + "distinct", F.array_distinct(F.transform(p + "full", lambda s: s["s"]))) \
+        .withColumn(p + "signs", (F.col(p + "symbols") > 0) | reduce(
+            lambda a, b: a | b, [F.contains(t, F.lit(sign)) for sign in ("!!", "»", "·", "•")])) \
+        .withColumn(p + "phrases", let(low, lambda y: reduce(
+            lambda a, b: a | b, [F.contains(y, F.lit(stem)) for stem in STEMS])))
+    # bound here: the optimizer would move a column's expression into the lambda, once a line
+    good = let(F.struct(F.col(p + "signs").alias("signs"), F.col(p + "phrases").alias("phrases")), lambda g: F.filter(
+        p + "lines", lambda s: (s["n"] == 0) | ~line_fails(s["s"], s["n"], g["signs"], g["phrases"])))
     x = x.withColumn(p + "good", good)
     x = x.withColumn(p + "left", F.aggregate(p + "good", F.lit(0).cast("bigint"), lambda a, s: a + s["n"])) \
         .withColumn(p + "failed", (F.col(p + "n") < MIN_WORDS)

@@ -45,6 +45,50 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source")
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_words_kept")
+
+
+#: The rules of op3 written out for DuckDB; white space is a blank and the code points 9 to 13.
+ORACLE_SQL["op3_quality"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, string_split(t, chr(10)) AS lines, t FROM d),
+line AS (
+  SELECT doc_id, i, s, regexp_extract_all(s, '[^\x20\x09-\x0D]+') AS lw
+  FROM (SELECT doc_id, unnest(lines) AS s, generate_subscripts(lines, 1) AS i FROM w)),
+judged AS (
+  SELECT doc_id, s, len(lw) AS n,
+         len(regexp_extract_all(s, '[#*$%&|<>]')) > length(array_to_string(lw, '')) * 0.1
+         OR len(list_filter(lw, lambda x: regexp_matches(x, '(!!+|[#*$%&][#*$%&]+)[.,;:]?$'))) * 2 > len(lw)
+         OR (len(list_filter(lw, lambda x: regexp_full_match(x, '[|>»·•]+'))) >= 3
+             AND len(list_filter(lw, lambda x: regexp_full_match(x, '[|>»·•]+'))) * 3 >= len(lw))
+         OR (len(lw) <= 30 AND regexp_matches(s, '(?i)\b(?:all rights reserved|licen[sc]ed under|public license|creative commons|cookie policy|privacy policy|terms of (?:use|service)|accept (?:all )?cookies|subscribe to our newsletter|sign up for our newsletter|copyright \(c\)|javascript is disabled)\b|©'))
+         AS fails
+  FROM line WHERE len(lw) > 0),
+per_line AS (
+  SELECT doc_id, count(*) - count(DISTINCT s) AS n_dup_lines, sum(CASE WHEN fails THEN 0 ELSE n END) AS n_words_kept
+  FROM judged GROUP BY doc_id),
+win AS (
+  SELECT doc_id, p, ws[p] AS a, ws[p + 1] AS b, ws[p + 2] AS c
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w WHERE len(ws) > 2)),
+twice AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM win) WHERE k > 1),
+covered AS (
+  SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM twice) GROUP BY doc_id),
+all_of AS (
+  SELECT w.doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+         len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(covered.n, 0) AS n_repeat_words, coalesce(n_words_kept, 0)::BIGINT AS n_words_kept
+  FROM w LEFT JOIN per_line USING (doc_id) LEFT JOIN covered USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - n_words_kept <= 0.5 * n_words AS kept
+FROM all_of
+"""
+
+
 @query("op4_embeddings")
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.link_embeddings(table(spark, sf_dir, "embeddings"))
@@ -53,8 +97,8 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["op4_embeddings"] = """
 WITH RECURSIVE sound AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 pairs AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
