@@ -23,7 +23,7 @@ to the first of them; an empty table gives an empty result.
 from __future__ import annotations
 
 import itertools
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -144,12 +144,14 @@ def cube(units: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
     schema = "source string, doc_id bigint, size bigint, j bigint, p double, n bigint"
     state = units.select("source", "doc_id", "size", "j", F.col("p").cast("double"), F.col("n").cast("bigint"))
 
-    def fly(frame: pd.DataFrame, last: bool) -> pd.DataFrame:
-        frame = frame.sort_values(["turn", "doc_id", "size", "j"], kind="stable")
-        p, size = frame["p"].to_numpy(np.float64), frame["size"].to_numpy(np.int64)
-        moved = flight(p, size, frame["draw"].to_numpy())
-        frame = frame.assign(p=landing(p, size, moved) if last else moved)
-        return frame[["source", "doc_id", "size", "j", "p", "n"]]
+    def fly(last: bool):
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values(["turn", "doc_id", "size", "j"], kind="stable")
+            p, size = frame["p"].to_numpy(np.float64), frame["size"].to_numpy(np.int64)
+            moved = flight(p, size, frame["draw"].to_numpy())
+            frame = frame.assign(p=landing(p, size, moved) if last else moved)
+            return frame[["source", "doc_id", "size", "j", "p", "n"]]
+        return run
 
     largest = state.agg(F.max("n")).first()[0] or 0
     decided, level, blocks = [], 0, max(1, -(-largest // block))
@@ -161,7 +163,7 @@ def cube(units: DataFrame, block: int = BLOCK, fan: int = FAN) -> DataFrame:
             .withColumn("turn", _unit_hash(*key, F.lit("turn"), F.lit(level))) \
             .withColumn("draw", _unit_hash(*key, F.lit("draw"), F.lit(level)))
         last = blocks <= 1
-        moved = dealt.groupBy("source", "block").applyInPandas(partial(fly, last=last), schema)
+        moved = dealt.groupBy("source", "block").applyInPandas(fly(last), schema)
         if last:
             decided.append(moved.select(*key, F.col("p").cast("int").alias("extra")))
             break
