@@ -4,7 +4,7 @@ Only additive measures are aggregated; every ratio is derived after the
 aggregation, so any roll-up (group, cube, window) recomputes rates instead of
 averaging pre-baked ones.  The registry is declarative: a ratio is a numerator
 expression over aggregated measures and a denominator measure, which lets the
-same entry render as a Spark ``Column`` or as SQL text.
+same entry serve every roll-up.  The oracle writes the metrics out once more.
 """
 
 from __future__ import annotations
@@ -16,19 +16,17 @@ from pyspark.sql import functions as F
 
 from .numeric import dbl, rnd
 
-# Additive measures of the weekly fact (the 19 sums of the reference).
+# Additive measures of the weekly fact, by the names of the source's fields.
 SUMS = ["camp", "funded", "fast", "goal", "gdv", "don", "donors", "retdon", "fromdon",
         "repeatorg", "tips", "procrev", "proccost", "rev", "refunds", "refamt", "cb",
         "fraud", "spend"]
 MONEY_SUMS = {"goal", "gdv", "tips", "procrev", "proccost", "rev", "refamt"}
 
-# Conditional / weighted sums (A16, A17): name -> (Spark column, SQL text).
+# Conditional / weighted sums.
 EXTRA = {
-    "paid_camp": (lambda: F.when(F.col("paid") == 1, F.col("camp")).otherwise(F.lit(0)),
-                  "CASE WHEN paid = 1 THEN camp ELSE 0 END"),
-    "paid_spend": (lambda: F.when(F.col("paid") == 1, F.col("spend")).otherwise(F.lit(0)),
-                   "CASE WHEN paid = 1 THEN spend ELSE 0 END"),
-    "pay_weighted": (lambda: F.col("paydays_x100") * F.col("camp"), "paydays_x100 * camp"),
+    "paid_camp": lambda: F.when(F.col("paid") == 1, F.col("camp")).otherwise(F.lit(0)),
+    "paid_spend": lambda: F.when(F.col("paid") == 1, F.col("spend")).otherwise(F.lit(0)),
+    "pay_weighted": lambda: F.col("paydays_x100") * F.col("camp"),
 }
 
 
@@ -73,50 +71,25 @@ KPI_DELTAS = ["gdv", "rev", "takeRate", "don", "avgDonation", "camp", "fundedRat
 def measure_aggs(prefix: str = "") -> list[Column]:
     """Sum expressions for the additive measures (usable in groupBy/cube/rollup)."""
     out = [F.sum(c).alias(prefix + c) for c in SUMS]
-    out += [F.sum(f()).alias(prefix + k) for k, (f, _) in EXTRA.items()]
+    out += [F.sum(f()).alias(prefix + k) for k, f in EXTRA.items()]
     return out
 
 
-def measure_sql() -> str:
-    parts = [f"sum({c}) AS {c}" for c in SUMS]
-    parts += [f"sum({sql}) AS {k}" for k, (_, sql) in EXTRA.items()]
-    return ", ".join(parts)
-
-
 def ratio_col(name: str) -> Column:
     r = RATIOS[name]
     val = F.coalesce(F.try_divide(dbl(F.expr(r.num)), dbl(r.den)), F.lit(0.0))
     return val * F.lit(r.scale) if r.scale != 1.0 else val
 
 
-def ratio_sql(name: str) -> str:
-    r = RATIOS[name]
-    val = f"coalesce(CAST({r.num} AS DOUBLE) / nullif(CAST({r.den} AS DOUBLE), 0), 0)"
-    return f"({val} * {r.scale})" if r.scale != 1.0 else val
-
-
 def metric_col(name: str) -> Column:
     """Any registered metric: a ratio, or an additive measure as DOUBLE."""
     return ratio_col(name) if name in RATIOS else dbl(name)
 
 
-def metric_sql(name: str) -> str:
-    return ratio_sql(name) if name in RATIOS else f"CAST({name} AS DOUBLE)"
-
-
 def lower_is_better(name: str) -> bool:
     return name in RATIOS and RATIOS[name].lower_is_better
 
 
-def money_out(name: str, digits: int = 4) -> Column:
-    return rnd(name, digits).alias(name)
-
-
-def rnd_sql(expr: str, k: int) -> str:
-    s = float(10 ** k)
-    return f"(round(CAST({expr} AS DOUBLE) * {s}) / {s})"
-
-
 @dataclass(frozen=True)
 class Watch:
     """A watched metric for the movers list: the dimension it is broken down by and

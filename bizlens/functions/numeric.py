@@ -4,8 +4,8 @@
   converted to DOUBLE only at the output.
 * Ratios never raise on a zero denominator (Spark runs ANSI): ``ratio`` gives
   NULL, ``ratio0`` gives 0 (the reference's dashboard convention).
-* ``rnd`` rounds a DOUBLE half away from zero as ``round(x * 10^k) / 10^k``;
-  that formula evaluates identically in Spark and DuckDB.
+* ``rnd`` rounds a DOUBLE with ties to the even digit as ``bround(x * 10^k) / 10^k``, the
+  convention of the reference's rounded outputs; the formula evaluates identically in Spark and DuckDB.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ def dbl(x) -> Column:
 
 
 def rnd(x, k: int) -> Column:
-    """Round a double to k decimals, half away from zero."""
+    """Round a double to k decimals, ties to the even digit."""
     scale = float(10 ** k)
-    return F.round(dbl(x) * F.lit(scale)) / F.lit(scale)
+    return F.bround(dbl(x) * F.lit(scale), 0) / F.lit(scale)
 
 
 def ratio(num, den) -> Column:

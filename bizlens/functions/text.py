@@ -10,14 +10,12 @@ from .numeric import dbl, js_round, rnd
 
 # HTML escapes of the reference (ampersand first).
 HTML_ESCAPES = [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")]
-# Output truncation of the reference.
-MAX_OUTPUT_CHARS = 6000
+# Fixed value: the marker of a truncated output.
 TRUNCATION_MARKER = "\n\n...[truncated]...\n\n"
 # Title-case fix-ups of the reference's region clean-up.
 CASE_FIXES = {"Apac": "APAC", "Latam": "LATAM"}
-ASCII_WS = "[\\t\\n\\x0B\\f\\r ]+"
-FENCE = "(?s)```(?:json)?\\s*(.*?)```"
-BRACES = "(?s)[\\{\\[].*[\\}\\]]"
+# White space of Unicode, as scripting languages match it.
+WS = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
 
 
 def _c(x) -> Column:
@@ -31,7 +29,7 @@ def html_escape(x) -> Column:
     return out
 
 
-def truncate_middle(x, limit: int = MAX_OUTPUT_CHARS) -> Column:
+def truncate_middle(x, limit: int) -> Column:
     """Over ``limit`` characters keep the first and last limit/2 with a marker."""
     t = _c(x)
     half = limit // 2
@@ -41,26 +39,30 @@ def truncate_middle(x, limit: int = MAX_OUTPUT_CHARS) -> Column:
 
 
 def collapse_ws(x) -> Column:
-    return F.regexp_replace(_c(x), ASCII_WS, " ")
+    return F.regexp_replace(_c(x), WS + "+", " ")
 
 
 def strip_ws(x) -> Column:
-    return F.regexp_replace(_c(x), "^\\s+|\\s+$", "")
-
-
-def blank_to_null(x) -> Column:
-    return F.nullif(strip_ws(x), F.lit(""))
+    return F.regexp_replace(_c(x), f"^{WS}+|{WS}+$", "")
 
 
 def json_recover(x) -> Column:
-    """Strip a code fence, else take the widest brace/bracket span; NULL when
-    neither parses (X13).  Returns the recovered JSON text."""
+    """The JSON text inside a model's answer (X13): the part between code fences if there is
+    one, else all of it; where that does not parse, the part from its first opening to its last closing
+    bracket; NULL when neither parses.  Positions are searched, no pattern is matched."""
     raw = strip_ws(_c(x))
-    fenced = raw.rlike(FENCE)
-    text = F.when(fenced, strip_ws(F.regexp_extract(raw, FENCE, 1))).otherwise(raw)
-    span = F.regexp_extract(text, BRACES, 0)
+    open_at = F.instr(raw, "```")
+    inside = F.substr(raw, open_at + 3)
+    close_at = F.instr(inside, "```")
+    body = F.substr(inside, F.lit(1), close_at - 1)
+    body = F.when(F.startswith(body, F.lit("json")), F.substr(body, F.lit(5))).otherwise(body)
+    text = F.when((open_at > 0) & (close_at > 0), strip_ws(body)).otherwise(raw)
+    firsts = [F.nullif(F.instr(text, c), F.lit(0)) for c in "{["]
+    lasts = [F.nullif(F.instr(F.reverse(text), c), F.lit(0)) for c in "}]"]
+    first, tail = F.least(*firsts), F.least(*lasts)
+    span = F.substr(text, first, F.length(text) - tail - first + 2)
     ok_text = F.try_parse_json(text).isNotNull()
-    ok_span = (span != "") & F.try_parse_json(span).isNotNull()
+    ok_span = (first <= F.length(text) - tail + 1) & F.try_parse_json(span).isNotNull()
     return F.when(ok_text, text).when(ok_span, span)
 
 

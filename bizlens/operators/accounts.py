@@ -22,13 +22,12 @@ from .ranking import order_statistics, prefix_sums, quantiles
 CONTRACT_COLS = ["id", "plan", "region", "contract", "mrr", "dorm", "churned", "risk"]
 # Dormancy buckets (inclusive bounds) and their labels.
 DORM_BINS = [(0, 7, "0-7"), (8, 14, "8-14"), (15, 30, "15-30"), (31, 60, "31-60"),
-             (61, 9999, "60+")]
+             (61, None, "60+")]     # the last bucket is open
 # Preferred contract order, the rest alphabetical after it.
 PREFERRED_CONTRACTS = ["monthly", "quarterly", "annual", "multi-year"]
 SEVERITY = [(0.15, "risk"), (0.06, "watch")]
 GRID_DORM_MAX = 90
 GRID_RISK_MAX = 95
-CUBE_ROW_CAP = 50_000
 
 
 def clean(acct: DataFrame) -> DataFrame:
@@ -72,7 +71,7 @@ def dormancy_bucket(col: str = "dorm"):
     c = F.col(col)
     expr = None
     for i, (lo, hi, label) in enumerate(DORM_BINS):
-        cond = (c >= lo) & (c <= hi)
+        cond = (c >= lo) & (c <= hi) if hi is not None else c >= lo
         expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
     return expr
 
@@ -246,30 +245,27 @@ def dict_preferred(acct: DataFrame, col: str = "contract", preferred=PREFERRED_C
     return d.select(F.col(col).alias("value"), code.alias("code"))
 
 
-def cube_sample_cap(acct: DataFrame, cap: int = CUBE_ROW_CAP) -> DataFrame:
-    """Deterministic row cap for export (S11): the first ``cap`` rows in md5(id)
-    order.  A take-ordered with a large cap would merge cap rows from every task
-    in one task; instead each row gets its exact rank from the distributed prefix
-    sum over the 60-bit md5 prefix (hex order = numeric order) and rows below the
-    cap are kept."""
-    x = clean(acct)
-    h = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("bigint")
-    keyed = x.select("*", h.alias("_h"), F.lit(1).alias("_one"))
-    ranked = prefix_sums(keyed, "_h", ["_one"])
-    return ranked.where(F.col("_one_below") < cap).drop("_h", "_one", "_one_below")
+def cube_sample(acct: DataFrame, percent: int) -> DataFrame:
+    """A deterministic share of the rows for export (S11): those whose md5 bucket is below
+    ``percent``; it grows with the input and needs no ranking."""
+    return clean(acct).where(dup_bucket() < percent)
 
 
-def account_cube(acct: DataFrame, cap: int = CUBE_ROW_CAP) -> DataFrame:
-    """Compact cube rows (P10): ordinal, dictionary codes, rounded measures.  The
-    ordinal window runs on the capped cube only (<= cap rows)."""
-    x = cube_sample_cap(acct, cap)
+def account_cube(acct: DataFrame) -> DataFrame:
+    """Compact cube of every account (P10): ordinal, dictionary codes, rounded measures.  The ordinal is an
+    exact distributed rank over (id): equal ids are one step of the prefix sum and numbered inside it."""
+    x = clean(acct)
     plans = dict_plan_by_median(acct).select("plan", F.col("code").alias("plan_code"))
     regions = dict_alpha(acct, "region").select(F.col("value").alias("region"),
                                                 F.col("code").alias("region_code"))
     contracts = dict_preferred(acct).select(F.col("value").alias("contract"),
                                             F.col("code").alias("contract_code"))
-    j = x.join(plans, "plan").join(regions, "region").join(contracts, "contract")
-    return j.select((F.row_number().over(Window.orderBy("id")) - 1).alias("ordinal"), "id",
+    ids = x.groupBy("id").agg(F.count(F.lit(1)).alias("_n"))
+    start = prefix_sums(ids, "id", ["_n"]).select(F.col("id").alias("_id"), "_n_below")
+    same = F.row_number().over(Window.partitionBy("id").orderBy("plan", "region", "contract", "mrr", "dorm", "risk", "churned"))
+    j = x.withColumn("_same", same - 1).join(start, F.col("id") == F.col("_id")) \
+        .join(plans, "plan").join(regions, "region").join(contracts, "contract")
+    return j.select((F.col("_n_below") + F.col("_same")).cast("bigint").alias("ordinal"), "id",
                     "plan_code", "region_code", "contract_code", rnd("mrr", 2).alias("mrr"),
                     F.col("dorm").cast("bigint").alias("dorm"), "churned", rnd("risk", 4).alias("risk"))
 
@@ -312,13 +308,11 @@ def level_ratio(acct: DataFrame, level_a: str, level_b: str) -> DataFrame:
 
 
 def scope_sentence(acct: DataFrame, plan=None, region=None, contract=None) -> DataFrame:
-    """Filtered count sentence (A14): "<n> <plan> <contract> accounts in <region>"."""
-    x = account_filter(acct, plan, region, contract)
-    bits = " ".join(v for v in (plan, contract) if v is not None)
-    where = region if region is not None else "all regions"
-    n = x.agg(F.count(F.lit(1)).alias("n"))
-    text = F.concat_ws(" ", F.format_number(F.col("n"), 0), F.lit(bits), F.lit("accounts in"), F.lit(where))
-    return n.select("n", F.regexp_replace(text, "\\s+", " ").alias("sentence"))
+    """Filtered count as a sentence (A14): the levels chosen, "all" where none is."""
+    counted = account_filter(acct, plan, region, contract).agg(F.count(F.lit(1)).alias("n"))
+    chosen = {"plan": plan, "contract": contract, "region": region}
+    scope = ", ".join(f"{name} {level}" for name, level in chosen.items() if level is not None) or "all accounts"
+    return counted.select("n", F.concat_ws(" ", F.format_number("n", 0), F.lit("accounts:"), F.lit(scope)).alias("sentence"))
 
 
 def dup_bucket(col: str = "id") -> F.Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import rnd
-from .profile import is_numeric, long_cell, long_values
+from .profile import DATE_TYPES, is_numeric, long_cell, long_values
 from .ranking import rank_auc
 
 LEAK_AUC_THRESHOLD = 0.90
@@ -22,6 +22,11 @@ MAX_PURE_LEVELS = 20      # columns tested for class purity
 SCREEN_MAX_LIMIT = 200    # level limits the 512-register sketch screen decides exactly
 
 
+def is_coded(dt: T.DataType) -> bool:
+    """Types whose few levels are scored by their code: text, and dates as text."""
+    return isinstance(dt, (T.StringType, *DATE_TYPES))
+
+
 def low_cardinality_levels(df: DataFrame, cols: list[str], limit: int) -> dict[str, list[str]]:
     """The sorted levels (as text) of every column among ``cols`` with at most
     ``limit`` distinct non-missing values, decided exactly without shuffling the
@@ -79,19 +84,22 @@ def leakage_long(df: DataFrame, target: str, levels: dict[str, list[str]] | None
     text code is a literal CASE over them (no dictionary scan, window or join), and
     all scores are exploded to long form at once."""
     fields = [f for f in df.schema.fields if f.name != target]
-    text = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    text = [f.name for f in fields if is_coded(f.dataType)]
     coded = low_cardinality_levels(df, text, MAX_TEXT_LEVELS) if levels is None else \
         {c: v for c, v in levels.items() if c in text and len(v) <= MAX_TEXT_LEVELS}
     cells = []
     for f in fields:
-        if is_numeric(f.dataType):
-            cells.append(F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("double").alias("score")))
+        if is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType):
+            # a boolean scores as 0 and 1
+            number = F.col(f.name).cast("int") if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
+            cells.append(F.struct(F.lit(f.name).alias("column"), number.cast("double").alias("score")))
         elif f.name in coded:
-            c, code = F.col(f.name), F.lit(-1)
+            c, code = long_cell(f), F.lit(-1)
             for i, v in reversed(list(enumerate(coded[f.name]))):
                 code = F.when(c == F.lit(v), F.lit(i)).otherwise(code)
             cells.append(F.struct(F.lit(f.name).alias("column"), code.cast("double").alias("score")))
-    return df.select(F.col(target).alias("y"), F.explode(F.array(*cells)).alias("c")) \
+    empty = F.array().cast("array<struct<column:string,score:double>>")
+    return df.select(F.col(target).alias("y"), F.explode(F.array(*cells) if cells else empty).alias("c")) \
         .select("c.column", "c.score", "y")
 
 
@@ -108,8 +116,8 @@ def _pure_levels(df: DataFrame, target: str, levels: dict[str, list[str]] | None
     eligible = low_cardinality(df, cols, MAX_PURE_LEVELS) if levels is None else \
         {c for c, v in levels.items() if c in cols and len(v) <= MAX_PURE_LEVELS}
     fields = [f for f in df.schema.fields if f.name in eligible]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f.name).cast("string").alias("value"))
-                      for f in fields])
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), long_cell(f).alias("value")) for f in fields]) \
+        if fields else F.array().cast("array<struct<column:string,value:string>>")
     long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(cells).alias("c")) \
         .select("c.column", "c.value", "y").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.min("y").alias("ymin"), F.max("y").alias("ymax"))
@@ -121,8 +129,9 @@ def one_sided_columns(df: DataFrame, target: str, levels: dict[str, list[str]] |
     lv = _pure_levels(df, target, levels)
     g = lv.groupBy("column").agg(F.count(F.lit(1)).alias("n_levels"),
                                  F.bool_and(F.col("ymin") == F.col("ymax")).alias("all_pure"),
-                                 F.min("ymin").alias("lo"), F.max("ymax").alias("hi"))
-    return g.select("column", "n_levels", (F.col("all_pure") & (F.col("lo") != F.col("hi"))).alias("one_sided"))
+                                 # of pure levels: exactly two classes; an impure level decides alone
+                                 F.count_distinct("ymin").alias("classes"))
+    return g.select("column", "n_levels", (F.col("all_pure") & (F.col("classes") == 2)).alias("one_sided"))
 
 
 def one_sided_levels(df: DataFrame, target: str) -> DataFrame:
@@ -136,12 +145,11 @@ def baselines(df: DataFrame, target: str) -> DataFrame:
                     rnd("p", 4).alias("positive_rate"), F.lit(0.5).alias("random_auc"))
 
 
-def crosstab(df: DataFrame, col: str, target: str, classes=(0, 1)) -> DataFrame:
-    """Column x target counts; the pivot values are given, so no extra job."""
-    p = df.where(F.col(col).isNotNull() & F.col(target).isNotNull()) \
-        .groupBy(col).pivot(target, list(classes)).count()
-    return p.select(F.col(col).cast("string").alias("value"),
-                    *[F.coalesce(F.col(str(c)), F.lit(0)).cast("bigint").alias(f"n_{c}") for c in classes])
+def crosstab(df: DataFrame, col: str, target: str) -> DataFrame:
+    """Counts of every level of ``col`` with every class of ``target``, in long form."""
+    return df.where(F.col(col).isNotNull() & F.col(target).isNotNull()).groupBy(
+        F.col(col).cast("string").alias("value"), F.col(target).cast("string").alias("class")) \
+        .agg(F.count(F.lit(1)).alias("n"))
 
 
 def validity_verdict(df: DataFrame, target: str) -> DataFrame:
@@ -171,31 +179,30 @@ def validity_report(df: DataFrame, target: str) -> DataFrame:
     head = b.select(
         F.explode(F.array(
             F.struct(F.lit(1).alias("line_no"),
-                     F.concat(F.lit("Rows: "), n.cast("string"), F.lit("  Duplicates: "), dup.cast("string"))
+                     F.concat(n.cast("string"), F.lit(" rows, "), dup.cast("string"), F.lit(" of them members of duplicate sets"))
                      .alias("text")),
             F.struct(F.lit(2).alias("line_no"),
-                     F.concat(F.lit("Baselines to beat: majority-class accuracy "),
+                     F.concat(F.lit("A constant guess reaches accuracy "),
                               F.col("majority_class_accuracy").cast("string"),
-                              F.lit(", AUC 0.5. Positive rate "), F.col("positive_rate").cast("string"),
+                              F.lit(" and AUC 0.5; share of positives "), F.col("positive_rate").cast("string"),
                               F.lit(".")).alias("text")))).alias("l")).select("l.*")
     levels = shared_levels(df, target)
     scan = leakage_scan(df, target, levels).where("flagged")
     # suspects and class-pure columns are per-column results: a few rows at most
     sus = scan.select((F.lit(10) + F.row_number().over(
         Window.orderBy(F.desc("univariate_auc"), "column"))).alias("line_no"),
-        F.concat(F.lit("  - "), F.col("column"), F.lit("  univariate AUC "),
+        F.concat(F.lit("* "), F.col("column"), F.lit(": AUC "),
                  F.col("univariate_auc").cast("string")).alias("text"))
     n_sus = scan.agg(F.count(F.lit(1))).scalar()
     sus_head = spark.range(1).where(n_sus > 0).select(
         F.lit(10).alias("line_no"),
-        F.lit("LEAKAGE SUSPECTS (single column predicts the target almost perfectly):").alias("text"))
+        F.lit("Columns that rank the target almost without error by themselves:").alias("text"))
     one = one_sided_columns(df, target, levels).where("one_sided")
     one_line = one.agg(F.array_join(F.array_sort(F.collect_list("column")), ", ").alias("cols"),
                        F.count(F.lit(1)).alias("k")).where(F.col("k") > 0).select(
         F.lit(1000).alias("line_no"),
-        F.concat(F.lit("COLUMNS THAT ONLY EVER OCCUR IN ONE CLASS (almost certainly recorded "
-                       "after the outcome): "), F.col("cols")).alias("text"))
+        F.concat(F.lit("Columns whose every level belongs to one class: "), F.col("cols")).alias("text"))
     n_one = one.agg(F.count(F.lit(1))).scalar()
     clean = spark.range(1).where((n_sus == 0) & (n_one == 0)).select(
-        F.lit(2000).alias("line_no"), F.lit("No leakage detected.").alias("text"))
+        F.lit(2000).alias("line_no"), F.lit("No column gives the target away.").alias("text"))
     return head.unionByName(sus_head).unionByName(sus).unionByName(one_line).unionByName(clean)

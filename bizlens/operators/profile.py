@@ -2,7 +2,7 @@
 exact distinct counts, numeric quantiles, top values, likely id / date columns,
 target distribution and duplicate counts.
 
-Plan shape: null shares, min/max/mean come from one wide aggregate.  Distinct
+Plan shape: null shares come from one wide aggregate, min/max/mean from the long form.  Distinct
 counts and top values come from one long ``(column, value)`` aggregate, so a
 value that holds a third of a column is a single row after partial aggregation
 (no ``count(distinct)`` Expand per column).  Quantiles are exact and distributed
@@ -54,15 +54,21 @@ def profile_columns(df: DataFrame) -> DataFrame:
 
 
 def long_cell(field: T.StructField) -> F.Column:
-    """A cell as text, NULL when missing: the value the long format carries."""
-    return F.when(~_missing(field), F.col(field.name).cast("string"))
+    """A cell as text, NULL when missing: the value the long format carries.  Equal values have equal
+    text: -0.0 is written 0.0, and instants are written in UTC whatever the session's zone."""
+    c = F.col(field.name)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0).cast(field.dataType)).otherwise(c)
+    elif isinstance(field.dataType, T.TimestampType):
+        c = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+    return F.when(~_missing(field), c.cast("string"))
 
 
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value-as-text) for non-missing cells of the given columns."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), long_cell(f).alias("value"))
-                      for f in fields])
+    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), long_cell(f).alias("value")) for f in fields]) \
+        if fields else F.array().cast("array<struct<column:string,value:string>>")
     return df.select(F.explode(cells).alias("c")).select("c.column", "c.value") \
         .where(F.col("value").isNotNull())
 
@@ -96,7 +102,8 @@ def profile_numeric(df: DataFrame, digits: int = 3, approx: bool = False,
     ``percentile_approx`` (one sketch per column, no ranking jobs)."""
     num = [f for f in df.schema.fields if is_numeric(f.dataType)]
     cells = F.array(*[F.struct(F.lit(f.name).alias("column"),
-                               F.when(~_missing(f), F.col(f.name).cast("double")).alias("x")) for f in num])
+                               F.when(~_missing(f), F.col(f.name).cast("double")).alias("x")) for f in num]) \
+        if num else F.array().cast("array<struct<column:string,x:double>>")
     long = df.select(F.explode(cells).alias("c")).select("c.column", "c.x").where(F.col("x").isNotNull())
     basic = long.groupBy("column").agg(F.min("x").alias("min"), F.max("x").alias("max"),
                                        F.avg("x").alias("mean"))
@@ -142,6 +149,8 @@ def profile_likely_dates(df: DataFrame) -> DataFrame:
         else:
             aggs.append(F.try_divide(F.count(F.try_to_timestamp(c)).cast("double"),
                                      F.count(c).cast("double")).alias(f"s{i}"))
+    if not fields:
+        return df.sparkSession.createDataFrame([], "column string, parse_share double, likely_date boolean")
     a = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"s{i}").alias("s"))
                      for i, f in enumerate(fields)])

@@ -15,9 +15,6 @@ from ..functions import text as X
 from ..functions.metrics import measure_aggs, ratio_col
 from ..functions.numeric import half_even, money, rnd
 
-TRANSCRIPT_TURNS = 8
-TRANSCRIPT_CHARS = 1800
-MAX_DUMMY_LEVELS = 1000    # one-hot: one output column per level
 # Right-closed bins of the reference (lowest edge included).
 BIN_EDGES = [0, 7, 14, 30, 60, 200]
 BIN_LABELS = ["0-7", "8-14", "15-30", "31-60", "60+"]
@@ -27,8 +24,9 @@ def html_escape(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", X.html_escape("text").alias("escaped"))
 
 
-def truncate_middle(docs: DataFrame) -> DataFrame:
-    t = X.truncate_middle("text")
+def truncate_middle(docs: DataFrame, limit: int) -> DataFrame:
+    """The middle truncation itself (X11), at the limit the caller names."""
+    t = X.truncate_middle("text", limit)
     return docs.select("doc_id", t.alias("truncated"), F.length(t).alias("n_chars_out"))
 
 
@@ -65,18 +63,17 @@ def top_k_per_group(df: DataFrame, group_cols: list[str], order_col: str, k: int
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
-def transcript_pack(conv: DataFrame, turns: int = TRANSCRIPT_TURNS,
-                    chars: int = TRANSCRIPT_CHARS) -> DataFrame:
-    """Last ``turns`` turns of each conversation, each cut to ``chars`` characters,
-    joined in turn order (T4, N10, X12).  Keys are ranked first; text joins the
-    (bounded) winners only."""
-    keys = top_k_per_group(conv.select("conv_id", "turn"), ["conv_id"], "turn", turns)
-    x = conv.join(keys, ["conv_id", "turn"], "left_semi")
-    piece = F.concat(F.lit("--- step "), F.col("turn").cast("string"), F.lit(" ("), F.col("role"),
-                     F.lit("):\n"), F.substring(F.coalesce("text", F.lit("")), 1, chars))
+def transcript_pack(conv: DataFrame, turns: int | None = None, chars: int | None = None) -> DataFrame:
+    """The turns of each conversation as one text, in turn order (T4): all turns, whole, unless the caller asks for
+    the last ``turns`` (N10) or the first ``chars`` characters of each (X12).  One scan; with ``turns`` the partial
+    group limit bounds what is shuffled."""
+    x = conv if turns is None else top_k_per_group(conv, ["conv_id"], "turn", turns)
+    body = F.coalesce("text", F.lit(""))
+    piece = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit(" "), F.coalesce("role", F.lit("?")), F.lit("] "),
+                     body if chars is None else F.substring(body, 1, chars))
     g = x.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("a"),
                                  F.count(F.lit(1)).alias("n_turns"))
-    return g.select("conv_id", "n_turns", F.array_join(F.transform("a", lambda s: s["p"]), "\n\n").alias("pack"))
+    return g.select("conv_id", "n_turns", F.array_join(F.transform("a", lambda s: s["p"]), "\n").alias("pack"))
 
 
 def format_metrics(wk: DataFrame) -> DataFrame:
@@ -122,20 +119,17 @@ def clean_category_case(cust: DataFrame) -> DataFrame:
     return cust.select("c_custkey", raw.alias("raw"), X.title_case(raw).alias("cleaned"))
 
 
-def one_hot_dummy_na(df: DataFrame, id_col: str, columns: list[str],
-                     max_levels: int = MAX_DUMMY_LEVELS) -> DataFrame:
-    """Indicator column per level plus a missing-value indicator (P14).  The level
-    lists are dictionaries read once to fix the output schema; at most
-    ``max_levels + 1`` of them ever reach the driver, and a column with more levels
-    is refused (one output column per level would not be a usable schema)."""
+def one_hot_dummy_na(df: DataFrame, id_col: str, levels: dict[str, list[str]]) -> DataFrame:
+    """Indicator column per named level plus a missing-value indicator (P14), for levels the caller knows."""
     outs = [F.col(id_col)]
-    for c in columns:
-        got = df.select(c).where(F.col(c).isNotNull()).distinct().limit(max_levels + 1).collect()
-        if len(got) > max_levels:
-            raise ValueError(f"one-hot of {c!r}: more than {max_levels} levels")
-        levels = sorted(r[0] for r in got)
-        for lv in levels:
-            outs.append(F.when(F.col(c) == lv, 1).otherwise(0).alias(f"{c}_{lv}"))
+    for c, names in levels.items():
+        outs += [F.when(F.col(c) == lv, 1).otherwise(0).alias(f"{c}_{lv}") for lv in names]
         outs.append(F.when(F.col(c).isNull(), 1).otherwise(0).alias(f"{c}_nan"))
     return df.select(*outs)
 
+
+def one_hot_long(df: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
+    """The same indicators in sparse form, for any number of levels: one row (id, column, level) per
+    indicator that is 1; a missing value has a null level.  No level list is gathered."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in columns])
+    return df.select(id_col, F.explode(cells).alias("c")).select(id_col, "c.column", "c.level")

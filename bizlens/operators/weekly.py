@@ -308,5 +308,4 @@ def weekly_cube_all(wk: DataFrame) -> DataFrame:
             for mask in range(8)]
     c = wk.groupingSets(sets, "week", *dims).agg(F.grouping_id().alias("gid"), *measure_aggs())
     c = c.withColumn("gid", F.col("gid").cast("bigint"))
-    return project(c, ["week", *dims, "gid"], ["camp", "gdv", "rev", "don"],
-                   ["takeRate", "fundedRate", "paidCac"])
+    return project(c, ["week", *dims, "gid"], SUMS, list(RATIOS))

@@ -6,11 +6,11 @@ CTE views of ``oracle_views``).  Column names equal the Spark output's.
 
 from __future__ import annotations
 
-from ..functions.metrics import (EXTRA, KPI_DELTAS, MONEY_SUMS, RATIOS, SUMS, TREND,
-                                 lower_is_better, measure_sql, metric_sql, ratio_sql, rnd_sql)
+from .oracle_metrics import (CATEGORY_RATES, CONDITIONAL, KPI_DELTAS, MONEY_SUMS, RATIOS, SUMS, TREND,
+                             lower_is_better, measure_sql, metric_sql, ratio_sql, rnd_sql)
 from .oracle_views import with_views
 
-ALL_MEASURES = SUMS + list(EXTRA)
+ALL_MEASURES = SUMS + list(CONDITIONAL)
 
 
 def proj(keys, measures=(), ratios=()) -> str:
@@ -161,7 +161,6 @@ def weekly_sql(params: dict) -> dict[str, str]:
         f"{rnd_sql('CAST(gdv AS DOUBLE) / nullif(CAST(gdv0 AS DOUBLE), 0) - 1', 6)} AS gdv_growth, "
         f"{rnd_sql('CAST(rev AS DOUBLE) / nullif(CAST(rev0 AS DOUBLE), 0) - 1', 6)} AS rev_growth, "
         f"{rnd_sql('CAST(gdv AS DOUBLE) * (tip_then - tip_now)', 4)} AS forgone FROM b")
-    from ..operators.weekly import CATEGORY_RATES
     q["category_profile"] = V + (
         "SELECT category, " + ", ".join(f"{rnd_sql(ratio_sql(r), 6)} AS {k}" for k, r in CATEGORY_RATES.items())
         + f", {rnd_sql('gdv', 4)} AS gdv FROM ({agg('category')})")
@@ -177,7 +176,7 @@ def weekly_sql(params: dict) -> dict[str, str]:
         f"{rnd_sql('coalesce(CAST(spend AS DOUBLE) / nullif(CAST(camp AS DOUBLE), 0), 0)', 6)} AS blended_cac "
         f"FROM ({agg('', where=f'week = {LAST}')})")
     q["weekly_cube_all"] = V + (
-        f"SELECT {proj(['week', 'category', 'region', 'channel', 'gid'], ['camp', 'gdv', 'rev', 'don'], ['takeRate', 'fundedRate', 'paidCac'])} FROM ("
+        f"SELECT {proj(['week', 'category', 'region', 'channel', 'gid'], SUMS, list(RATIOS))} FROM ("
         f"SELECT week, category, region, channel, CAST(grouping(category, region, channel) AS BIGINT) AS gid, {measure_sql()} "
         "FROM wk GROUP BY GROUPING SETS ((week, category, region, channel), (week, category, region), (week, category, channel), "
         "(week, category), (week, region, channel), (week, region), (week, channel), (week)))")
@@ -186,7 +185,8 @@ def weekly_sql(params: dict) -> dict[str, str]:
 
 
 def accounts_sql(params: dict) -> dict[str, str]:
-    from ..operators.accounts import DORM_BINS, PREFERRED_CONTRACTS
+    DORM_BINS = [(0, 7, "0-7"), (8, 14, "8-14"), (15, 30, "15-30"), (31, 60, "31-60"), (61, 2**31 - 1, "60+")]
+    PREFERRED_CONTRACTS = ["monthly", "quarterly", "annual", "multi-year"]
     V = with_views("acct") + (", c AS (SELECT id, plan, region, contract, mrr, dorm, churned, risk FROM acct "
                               "WHERE id IS NOT NULL AND plan IS NOT NULL AND region IS NOT NULL AND contract IS NOT NULL "
                               "AND mrr IS NOT NULL AND dorm IS NOT NULL AND churned IS NOT NULL AND risk IS NOT NULL)\n")
@@ -269,27 +269,26 @@ def accounts_sql(params: dict) -> dict[str, str]:
     q["dict_preferred"] = V + (
         "SELECT contract AS value, CAST(row_number() OVER (ORDER BY nullif(list_position([" + pref + "], contract), 0) "
         "NULLS LAST, contract) - 1 AS INTEGER) AS code FROM (SELECT DISTINCT contract FROM c)")
-    cap = params["cube_sample_cap"]["cap"]
-    q["cube_sample_cap"] = V + f"SELECT * FROM c ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {cap}"
-    acap = params["account_cube"]["cap"]
+    percent = params["cube_sample_cap"]["percent"]
+    q["cube_sample_cap"] = V + f"SELECT * FROM c WHERE ('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8))::BIGINT % 100 < {percent}"
     q["account_cube"] = V + (
-        f", capped AS (SELECT * FROM c ORDER BY md5(CAST(id AS VARCHAR)), id LIMIT {acap}),\n"
+        ", "
         "pc AS (SELECT plan, row_number() OVER (ORDER BY med, plan) - 1 AS plan_code FROM (SELECT plan, quantile_cont(mrr, 0.5) AS med FROM c GROUP BY plan)),\n"
         "rc AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS region_code FROM (SELECT DISTINCT region FROM c)),\n"
         "cc AS (SELECT contract, row_number() OVER (ORDER BY nullif(list_position([" + pref + "], contract), 0) NULLS LAST, contract) - 1 AS contract_code "
         "FROM (SELECT DISTINCT contract FROM c))\n"
-        "SELECT CAST(row_number() OVER (ORDER BY id) - 1 AS INTEGER) AS ordinal, id, CAST(plan_code AS INTEGER) AS plan_code, "
+        "SELECT row_number() OVER (ORDER BY id) - 1 AS ordinal, id, CAST(plan_code AS INTEGER) AS plan_code, "
         "CAST(region_code AS INTEGER) AS region_code, CAST(contract_code AS INTEGER) AS contract_code, "
         f"{rnd_sql('mrr', 2)} AS mrr, dorm, churned, {rnd_sql('risk', 4)} AS risk "
-        "FROM capped JOIN pc USING (plan) JOIN rc USING (region) JOIN cc USING (contract)")
+        "FROM c JOIN pc USING (plan) JOIN rc USING (region) JOIN cc USING (contract)")
     usd = lambda x: f"'$' || format('{{:,}}', CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT))"
-    pct = lambda x: f"printf('%.1f%%', round(CAST({x} AS DOUBLE) * 100 * 10.0) / 10.0)"
+    pct = lambda x: f"printf('%.1f%%', round_even(CAST({x} AS DOUBLE) * 100 * 10.0, 0) / 10.0)"
     q["report_kpi_lines"] = V + (
         ", a AS (SELECT count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners, sum(CAST(mrr AS DECIMAL(18,2))) AS mrr_sum, "
         "coalesce(sum(CAST(mrr AS DECIMAL(18,2))) FILTER (WHERE churned = 1), 0) AS mrr_lost FROM c),\n"
         "m AS (SELECT mrr AS med FROM (SELECT mrr, row_number() OVER (ORDER BY mrr) - 1 AS i, count(*) OVER () AS k FROM c) WHERE i = k // 2),\n"
-        "k AS (SELECT n, churners, round(" + rate('churners', 'n') + " * 1e6) / 1e6 AS churn_rate, round(CAST(mrr_sum AS DOUBLE) * 100) / 100 AS mrr_sum, "
-        "round(CAST(mrr_lost AS DOUBLE) * 100) / 100 AS mrr_lost, round(" + rate('mrr_lost', 'mrr_sum') + " * 1e6) / 1e6 AS lost_share, "
+        "k AS (SELECT n, churners, round_even(" + rate('churners', 'n') + " * 1e6, 0) / 1e6 AS churn_rate, round_even(CAST(mrr_sum AS DOUBLE) * 100, 0) / 100 AS mrr_sum, "
+        "round_even(CAST(mrr_lost AS DOUBLE) * 100, 0) / 100 AS mrr_lost, round_even(" + rate('mrr_lost', 'mrr_sum') + " * 1e6, 0) / 1e6 AS lost_share, "
         "coalesce(m.med, 0.0) AS median_mrr FROM a LEFT JOIN m ON true)\n"
         "SELECT * FROM (SELECT 1 AS line_no, 'Accounts: ' || format('{:,}', n) AS text FROM k UNION ALL "
         f"SELECT 2, 'Churn rate: ' || {pct('churn_rate')} || ' (' || format('{{:,}}', churners) || ' of ' || format('{{:,}}', n) || ' accounts)' FROM k UNION ALL "
@@ -449,9 +448,10 @@ def profile_checks_sql(params: dict) -> dict[str, str]:
         q[f"{name}_events"] = sql
     dup = lambda name, keys, src: (
         f"SELECT '{name}' AS dataset, sum(n) AS rows, sum(n - 1) AS surplus, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS members "
-        f"FROM (SELECT count(*) AS n FROM {src} GROUP BY {keys})")
+        f"FROM (SELECT count(*) AS n FROM (SELECT {'*' if keys == 'ALL' else keys} FROM {src}) t GROUP BY "
+        f"{'hash(t), t' if keys == 'ALL' else keys})")
     both = (dup("documents.text", "text", "documents") + " UNION ALL "
-            + dup("lineitem.l_orderkey,l_linenumber", "l_orderkey, l_linenumber", "lineitem"))
+            + dup("documents", "ALL", "documents") + " UNION ALL " + dup("lineitem", "ALL", "lineitem"))
     q["dup_surplus"] = f"SELECT dataset, CAST(rows AS BIGINT) AS rows, CAST(surplus AS BIGINT) AS surplus FROM ({both})"
     q["dup_members"] = f"SELECT dataset, CAST(rows AS BIGINT) AS rows, CAST(members AS BIGINT) AS members FROM ({both})"
     q["label_feature_join"] = ("SELECT l.doc_id, l.quality, l.toxic, d.n_chars, d.lang, d.source "
@@ -479,7 +479,7 @@ def profile_checks_sql(params: dict) -> dict[str, str]:
           "lv AS (SELECT \"column\", value, min(y) AS ymin, max(y) AS ymax FROM lg WHERE value IS NOT NULL AND y IS NOT NULL "
           "AND \"column\" IN (SELECT \"column\" FROM elig) GROUP BY \"column\", value)\n")
     q["one_sided_columns"] = V + lv + (
-        "SELECT \"column\", count(*) AS n_levels, bool_and(ymin = ymax) AND min(ymin) <> max(ymax) AS one_sided FROM lv GROUP BY \"column\"")
+        "SELECT \"column\", count(*) AS n_levels, bool_and(ymin = ymax) AND count(DISTINCT ymin) = 2 AS one_sided FROM lv GROUP BY \"column\"")
     q["one_sided_levels"] = V + lv + "SELECT \"column\", value, ymin AS only_class FROM lv WHERE ymin = ymax"
     q["baselines"] = V + (
         f"SELECT {rnd_sql('greatest(p, 1 - p)', 4)} AS majority_class_accuracy, {rnd_sql('p', 4)} AS positive_rate, "
@@ -487,29 +487,28 @@ def profile_checks_sql(params: dict) -> dict[str, str]:
     allc = ", ".join(c for c, _ in ACCT_SCHEMA)
     q["validity_verdict"] = V + lv + (
         f", sus AS (SELECT count(*) AS k FROM ({' UNION ALL '.join(parts)}) WHERE greatest(auc, 1 - auc) >= 0.9),\n"
-        "one AS (SELECT count(*) AS k FROM (SELECT \"column\" FROM lv GROUP BY \"column\" HAVING bool_and(ymin = ymax) AND min(ymin) <> max(ymax))),\n"
+        "one AS (SELECT count(*) AS k FROM (SELECT \"column\" FROM lv GROUP BY \"column\" HAVING bool_and(ymin = ymax) AND count(DISTINCT ymin) = 2)),\n"
         f"dup AS (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM acct GROUP BY {allc}))\n"
         "SELECT (SELECT count(*) FROM acct) AS n_rows, dup.k AS duplicate_rows, sus.k AS n_suspects, one.k AS n_one_sided, "
         "CASE WHEN sus.k = 0 AND one.k = 0 THEN 'clean' ELSE 'review_required' END AS verdict FROM sus, one, dup")
-    q["crosstab"] = V + ("SELECT contract AS value, count(*) FILTER (WHERE churned = 0) AS n_0, "
-                         "count(*) FILTER (WHERE churned = 1) AS n_1 FROM acct WHERE contract IS NOT NULL "
-                         "AND churned IS NOT NULL GROUP BY contract")
+    q["crosstab"] = V + ("SELECT contract AS value, CAST(churned AS VARCHAR) AS class, count(*) AS n FROM acct "
+                         "WHERE contract IS NOT NULL AND churned IS NOT NULL GROUP BY contract, churned")
     return q
 
 
 def text_sql(params: dict) -> dict[str, str]:
-    from ..functions.metrics import ratio_sql
-    from ..functions.text import CASE_FIXES, HTML_ESCAPES, MAX_OUTPUT_CHARS, TRUNCATION_MARKER
+    from ..functions.text import CASE_FIXES, HTML_ESCAPES, TRUNCATION_MARKER
+    limit = params["truncate_middle"]["limit"]
     q: dict[str, str] = {}
     esc = "coalesce(CAST(text AS VARCHAR), '')"
     for a, b in HTML_ESCAPES:
         esc = f"replace({esc}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
     q["html_escape"] = f"SELECT doc_id, {esc} AS escaped FROM documents"
-    half = MAX_OUTPUT_CHARS // 2
+    half = limit // 2
     marker = TRUNCATION_MARKER.replace("\n", "' || chr(10) || '")
-    tr = f"CASE WHEN length(text) > {MAX_OUTPUT_CHARS} THEN left(text, {half}) || '{marker}' || right(text, {half}) ELSE text END"
+    tr = f"CASE WHEN length(text) > {limit} THEN left(text, {half}) || '{marker}' || right(text, {half}) ELSE text END"
     q["truncate_middle"] = f"SELECT doc_id, {tr} AS truncated, CAST(length({tr}) AS INTEGER) AS n_chars_out FROM documents"
-    q["collapse_ws"] = r"SELECT doc_id, regexp_replace(text, '[\t\n\x0B\f\r ]+', ' ', 'g') AS collapsed FROM documents"
+    q["collapse_ws"] = r"SELECT doc_id, regexp_replace(text, '[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g') AS collapsed FROM documents"
     strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
     fence = r"(?s)```(?:json)?\s*(.*?)```"
     braces = r"(?s)[\{\[].*[\}\]]"
@@ -523,18 +522,20 @@ def text_sql(params: dict) -> dict[str, str]:
         f"c AS (SELECT event_id, t, regexp_extract(t, '{braces}', 0) AS span FROM b),\n"
         "d AS (SELECT event_id, CASE WHEN json_valid(t) THEN t WHEN span <> '' AND json_valid(span) THEN span END AS recovered FROM c)\n"
         "SELECT event_id, recovered, CAST(json_extract_string(recovered, '$.k') AS INTEGER) AS k, recovered IS NOT NULL AS ok FROM d")
-    q["transcript_pack"] = (
-        "SELECT conv_id, count(*) AS n_turns, string_agg('--- step ' || CAST(turn AS VARCHAR) || ' (' || role || '):' || chr(10) "
-        "|| left(coalesce(text, ''), 1800), chr(10) || chr(10) ORDER BY turn) AS pack FROM ("
-        "SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 8 GROUP BY conv_id")
+    pack = ("SELECT conv_id, count(*) AS n_turns, string_agg('[' || CAST(turn AS VARCHAR) || ' ' || coalesce(role, '?') || '] ' "
+            "|| coalesce(text, ''), chr(10) ORDER BY turn) AS pack FROM ")
+    q["transcript_pack"] = pack + "conversations GROUP BY conv_id"
+    q["transcript_last"] = pack + (
+        "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) "
+        f"WHERE r <= {params['transcript_last']['turns']} GROUP BY conv_id")
     V = with_views("wk")
-    pct = lambda x, d: f"printf('%.{d}f%%', round(CAST({x} AS DOUBLE) * 100 * {float(10 ** d)}) / {float(10 ** d)})"
+    pct = lambda x, d: f"printf('%.{d}f%%', round_even(CAST({x} AS DOUBLE) * 100 * {float(10 ** d)}, 0) / {float(10 ** d)})"
     ints = lambda x: f"format('{{:,}}', CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT))"
     q["format_metrics"] = V + (
         f"SELECT week, {pct(ratio_sql('fundedRate'), 1)} AS funded_rate, {pct(ratio_sql('takeRate'), 2)} AS take_rate, "
-        f"{ints('don')} AS donations, '$' || printf('%.2f', round({ratio_sql('avgDonation')} * 100.0) / 100.0) AS avg_donation, "
-        "CASE WHEN CAST(gdv AS DOUBLE) >= 1e6 THEN '$' || printf('%.2f', round(CAST(gdv AS DOUBLE) / 1e6 * 100.0) / 100.0) || 'M' "
-        "WHEN CAST(gdv AS DOUBLE) >= 1e3 THEN '$' || printf('%.0f', round(CAST(gdv AS DOUBLE) / 1e3)) || 'K' "
+        f"{ints('don')} AS donations, '$' || printf('%.2f', round_even({ratio_sql('avgDonation')} * 100.0, 0) / 100.0) AS avg_donation, "
+        "CASE WHEN CAST(gdv AS DOUBLE) >= 1e6 THEN '$' || printf('%.2f', round_even(CAST(gdv AS DOUBLE) / 1e6 * 100.0, 0) / 100.0) || 'M' "
+        "WHEN CAST(gdv AS DOUBLE) >= 1e3 THEN '$' || printf('%.0f', round_even(CAST(gdv AS DOUBLE) / 1e3, 0)) || 'K' "
         f"ELSE '$' || {ints('gdv')} END AS gdv, '$' || {ints('rev')} AS net_revenue "
         f"FROM ({agg('week')})")
     q["format_dates"] = (with_views("weeks") +
@@ -559,6 +560,8 @@ def text_sql(params: dict) -> dict[str, str]:
         for lv in levels:
             cols.append(f"CASE WHEN {c} = '{lv}' THEN 1 ELSE 0 END AS \"{c}_{lv}\"")
         cols.append(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS \"{c}_nan\"")
+    q["one_hot_long"] = with_views("acct") + " UNION ALL ".join(
+        f"SELECT id, '{c}' AS column, {c} AS level FROM acct" for c in ("plan", "region", "contract"))
     q["one_hot_dummy_na"] = with_views("acct") + f"SELECT {', '.join(cols)} FROM acct"
     return q
 
@@ -570,11 +573,9 @@ def extra_sql(params: dict) -> dict[str, str]:
                               "AND mrr IS NOT NULL AND dorm IS NOT NULL AND churned IS NOT NULL AND risk IS NOT NULL)\n")
     f = params["account_filter"]
     conds = " AND ".join([f"{k} = '{v}'" for k, v in f.items() if v is not None]) or "true"
-    bits = " ".join(v for v in (f["plan"], f["contract"]) if v is not None)
-    where = f["region"] if f["region"] is not None else "all regions"
+    scope = ", ".join(f"{k} {f[k]}" for k in ("plan", "contract", "region") if f[k] is not None) or "all accounts"
     q["scope_sentence"] = V + (
-        f"SELECT count(*) AS n, regexp_replace(format('{{:,}}', count(*)) || ' {bits} accounts in {where}', '\\s+', ' ', 'g') "
-        f"AS sentence FROM c WHERE {conds}")
+        f"SELECT count(*) AS n, format('{{:,}}', count(*)) || ' accounts: {scope}' AS sentence FROM c WHERE {conds}")
     pct = params["union_all_dupes"]["pct"]
     dup = (f"SELECT * FROM c UNION ALL SELECT * FROM c WHERE "
            f"('0x' || substr(md5(CAST(id AS VARCHAR)), 1, 8))::BIGINT % 100 < {pct}")
@@ -600,15 +601,15 @@ def extra_sql(params: dict) -> dict[str, str]:
         "elig AS (SELECT col FROM lg WHERE value IS NOT NULL GROUP BY col HAVING count(DISTINCT value) <= 20),\n"
         "lv AS (SELECT col, value, min(y) AS ymin, max(y) AS ymax FROM lg WHERE value IS NOT NULL AND y IS NOT NULL "
         "AND col IN (SELECT col FROM elig) GROUP BY col, value),\n"
-        "o AS (SELECT col FROM lv GROUP BY col HAVING bool_and(ymin = ymax) AND min(ymin) <> max(ymax)),\n"
+        "o AS (SELECT col FROM lv GROUP BY col HAVING bool_and(ymin = ymax) AND count(DISTINCT ymin) = 2),\n"
         f"d AS (SELECT CAST(coalesce(sum(CASE WHEN n > 1 THEN n END), 0) AS BIGINT) AS k FROM (SELECT count(*) AS n FROM acct GROUP BY {allc})),\n"
         "b AS (SELECT avg(CAST(churned AS DOUBLE)) AS p FROM acct)\n"
-        "SELECT CAST(line_no AS INTEGER) AS line_no, text FROM (SELECT 1 AS line_no, 'Rows: ' || CAST((SELECT count(*) FROM acct) AS VARCHAR) || '  Duplicates: ' || CAST(d.k AS VARCHAR) AS text FROM d "
-        "UNION ALL SELECT 2, 'Baselines to beat: majority-class accuracy ' || CAST(" + rnd_sql('greatest(p, 1 - p)', 4)
-        + " AS VARCHAR) || ', AUC 0.5. Positive rate ' || CAST(" + rnd_sql('p', 4) + " AS VARCHAR) || '.' FROM b "
-        "UNION ALL SELECT 10, 'LEAKAGE SUSPECTS (single column predicts the target almost perfectly):' WHERE (SELECT count(*) FROM s) > 0 "
-        "UNION ALL SELECT 10 + row_number() OVER (ORDER BY a DESC, col), '  - ' || col || '  univariate AUC ' || CAST(a AS VARCHAR) FROM s "
-        "UNION ALL SELECT 1000, 'COLUMNS THAT ONLY EVER OCCUR IN ONE CLASS (almost certainly recorded after the outcome): ' "
+        "SELECT CAST(line_no AS INTEGER) AS line_no, text FROM (SELECT 1 AS line_no, CAST((SELECT count(*) FROM acct) AS VARCHAR) || ' rows, ' || CAST(d.k AS VARCHAR) || ' of them members of duplicate sets' AS text FROM d "
+        "UNION ALL SELECT 2, 'A constant guess reaches accuracy ' || CAST(" + rnd_sql('greatest(p, 1 - p)', 4)
+        + " AS VARCHAR) || ' and AUC 0.5; share of positives ' || CAST(" + rnd_sql('p', 4) + " AS VARCHAR) || '.' FROM b "
+        "UNION ALL SELECT 10, 'Columns that rank the target almost without error by themselves:' WHERE (SELECT count(*) FROM s) > 0 "
+        "UNION ALL SELECT 10 + row_number() OVER (ORDER BY a DESC, col), '* ' || col || ': AUC ' || CAST(a AS VARCHAR) FROM s "
+        "UNION ALL SELECT 1000, 'Columns whose every level belongs to one class: ' "
         "|| string_agg(col, ', ' ORDER BY col) FROM o HAVING count(*) > 0 "
-        "UNION ALL SELECT 2000, 'No leakage detected.' WHERE (SELECT count(*) FROM s) = 0 AND (SELECT count(*) FROM o) = 0)")
+        "UNION ALL SELECT 2000, 'No column gives the target away.' WHERE (SELECT count(*) FROM s) = 0 AND (SELECT count(*) FROM o) = 0)")
     return q

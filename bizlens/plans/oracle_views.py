@@ -6,8 +6,12 @@ The oracle queries in ``oracle.py`` prefix these CTEs; they mirror
 
 from __future__ import annotations
 
-from .views import (CHANNEL_COST, CHURN_LAG_WEEKS, FAST_DAYS, HORIZON_DAYS, LAST_WEEK,
-                    LEAK_ZERO_PCT, RISK_HALF_WEEKS, SUB_CAC, UNPAID_CHANNEL, WINDOW_WEEKS)
+# The parameters of the views, stated here once more so that a slip in views.py shows.
+HORIZON_DAYS, RISK_HALF_WEEKS, LEAK_ZERO_PCT, FAST_DAYS = 182, 34, 7, 90
+WINDOW_WEEKS, CHURN_LAG_WEEKS, LAST_WEEK = 27, 13, 26
+UNPAID_CHANNEL = "HOUSEHOLD"
+CHANNEL_COST = {"AUTOMOBILE": 15, "BUILDING": 30, "FURNITURE": 45, "MACHINERY": 60}
+SUB_CAC = {"1-URGENT": 1100, "2-HIGH": 900, "3-MEDIUM": 700, "4-NOT SPECIFIED": 300, "5-LOW": 500}
 
 
 def _case(col: str, table: dict, default: str = "NULL") -> str:
@@ -40,13 +44,13 @@ ACCT = f"""acct AS (
     SELECT g.c_custkey AS id, g.c_mktsegment AS plan, g.r_name AS region,
            CASE WHEN coalesce(n_past, 0) <= 6 THEN 'monthly'
                 WHEN n_past <= 11 THEN 'annual' ELSE 'multi-year' END AS contract,
-           round(CAST(s_past AS DOUBLE) / nullif(n_past, 0) * 100.0) / 100.0 AS mrr,
+           round_even(CAST(s_past AS DOUBLE) / nullif(n_past, 0) * 100.0, 0) / 100.0 AS mrr,
            CAST(date_diff('day', last_past, t0) // 7 AS BIGINT) AS dorm,
            CAST(CASE WHEN coalesce(n_future, 0) = 0 THEN 1 ELSE 0 END AS INTEGER) AS churned,
            ('0x' || substr(md5(CAST(g.c_custkey AS VARCHAR)), 1, 8))::BIGINT % 100 AS bucket
     FROM geo g LEFT JOIN per ON per.o_custkey = g.c_custkey CROSS JOIN t0)
   SELECT id, plan, region, contract, mrr, dorm, churned,
-         round(CAST(dorm AS DOUBLE) / (dorm + {float(RISK_HALF_WEEKS)}) * 10000.0) / 10000.0 AS risk,
+         round_even(CAST(dorm AS DOUBLE) / (dorm + {float(RISK_HALF_WEEKS)}) * 10000.0, 0) / 10000.0 AS risk,
          CAST(CASE WHEN churned = 1 AND bucket >= {LEAK_ZERO_PCT} THEN 1 ELSE 0 END AS INTEGER) AS leak_flag
   FROM b)"""
 
@@ -134,7 +138,7 @@ SUB = f"""sub AS (
   SELECT account_id, tier, region, channel, signup, churn,
          CAST(CASE WHEN churn IS NULL THEN 1 ELSE 0 END AS INTEGER) AS active,
          CAST(greatest(coalesce(churn, {LAST_WEEK}) - signup, 0) AS BIGINT) AS tenure,
-         round(prior * 100.0) / 100.0 AS prior, round(coalesce(mrr_after, prior) * 100.0) / 100.0 AS mrr,
+         round_even(prior * 100.0, 0) / 100.0 AS prior, round_even(coalesce(mrr_after, prior) * 100.0, 0) / 100.0 AS mrr,
          CAST({_case('channel', SUB_CAC)} AS DOUBLE) AS cac
   FROM y)"""
 

@@ -20,6 +20,7 @@ from ..operators import retention as R
 from ..operators import textjobs as X
 from ..operators import weekly as W
 from ..operators.ranking import rank_auc
+from ..session import use_query_conf
 from ..sources.files import read_optional
 from ..sources.scratch import written_table
 from ..sources.tables import Tables
@@ -42,8 +43,9 @@ PARAMS = {
                                        "MACHINERY", "GOVERNMENT"]},
     "outreach_at_threshold": {"thresholds": [(14, 0.30), (30, 0.30)]},
     "top_risk_accounts": {"k": 12},
-    "cube_sample_cap": {"cap": 500},
-    "account_cube": {"cap": 50_000},
+    "cube_sample_cap": {"percent": 40},
+    "truncate_middle": {"limit": 6000},
+    "transcript_last": {"turns": 8},
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
     "profile_target": {"target": "o_orderstatus"},
     "profile_target_events": {"target": "event_type"},
@@ -80,16 +82,11 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     parquet table under the shared ``spark.checkpoint.dir``: lineage is cut, the
     files survive executor loss, and every report built on the fact reads only the
     columns and row groups it needs instead of recomputing the joins over the base
-    tables.  Where a session cannot write there, the plan is used as is."""
+    tables.  A session that cannot write there gets the error, not a slower plan."""
     key = (_app_key(spark), sf_dir, name)
     if key in _VIEWS:
         return _VIEWS[key]
-    try:
-        view = written_table(build(), f"view-{name}")
-    except Exception as e:  # noqa: BLE001 -- fall back to the unmaterialized plan
-        import warnings
-        warnings.warn(f"view {name} not materialized ({str(e).splitlines()[0][:120]})")
-        view = build()
+    view = written_table(build(), f"view-{name}")
     with _VIEWS_LOCK:
         return _VIEWS.setdefault(key, view)
 
@@ -108,6 +105,7 @@ class Ctx:
     """Per-call access to the views; each is a materialized derived fact."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        use_query_conf(spark)
         self.t = Tables(spark, sf_dir)
         self.spark = spark
         self.sf_dir = sf_dir
@@ -182,8 +180,8 @@ query("decile_capture")(_wk(lambda c: A.decile_capture(c.acct)))
 query("dict_plan_by_median")(_wk(lambda c: A.dict_plan_by_median(c.acct)))
 query("dict_alpha")(_wk(lambda c: A.dict_alpha(c.acct, "region")))
 query("dict_preferred")(_wk(lambda c: A.dict_preferred(c.acct)))
-query("cube_sample_cap")(_wk(lambda c: A.cube_sample_cap(c.acct, PARAMS["cube_sample_cap"]["cap"])))
-query("account_cube")(_wk(lambda c: A.account_cube(c.acct, PARAMS["account_cube"]["cap"])))
+query("cube_sample_cap")(_wk(lambda c: A.cube_sample(c.acct, **PARAMS["cube_sample_cap"])))
+query("account_cube")(_wk(lambda c: A.account_cube(c.acct)))
 query("report_kpi_lines")(_wk(lambda c: A.report_kpi_lines(c.acct)))
 query("level_ratio")(_wk(lambda c: A.level_ratio(c.acct, **PARAMS["level_ratio"])))
 query("scope_sentence")(_wk(lambda c: A.scope_sentence(c.acct, **PARAMS["account_filter"])))
@@ -236,9 +234,10 @@ query("profile_target_events")(_prof_events(
 
 def _dups(spark, d):
     t = Tables(spark, d)
-    return P.duplicate_counts(t.documents.select("text"), "documents.text").unionByName(
-        P.duplicate_counts(t.lineitem.select("l_orderkey", "l_linenumber"),
-                           "lineitem.l_orderkey,l_linenumber"))
+    # whole rows of two tables, and the texts alone (whole rows of documents never repeat)
+    return P.duplicate_counts(t.documents, "documents").unionByName(
+        P.duplicate_counts(t.lineitem, "lineitem")).unionByName(
+        P.duplicate_counts(t.documents.select("text"), "documents.text"))
 
 
 query("dup_surplus")(lambda spark, d: _dups(spark, d).select("dataset", "rows", "surplus"))
@@ -278,16 +277,18 @@ def _tbl(name, fn):
 
 
 query("html_escape")(_tbl("documents", X.html_escape))
-query("truncate_middle")(_tbl("documents", X.truncate_middle))
+query("truncate_middle")(_tbl("documents", lambda df: X.truncate_middle(df, **PARAMS["truncate_middle"])))
 query("collapse_ws")(_tbl("documents", X.collapse_ws))
 query("json_recover")(_tbl("events", X.json_recover))
 query("transcript_pack")(_tbl("conversations", X.transcript_pack))
+query("transcript_last")(_tbl("conversations", lambda df: X.transcript_pack(df, **PARAMS["transcript_last"])))
 query("scalar_rounding")(_tbl("orders", X.scalar_rounding))
 query("format_metrics")(_wk(lambda c: X.format_metrics(c.wk)))
 query("format_dates")(_wk(lambda c: X.format_dates(c.weeks)))
 query("bin_right_closed")(_wk(lambda c: X.bin_right_closed(c.acct)))
 query("clean_category_case")(_wk(lambda c: X.clean_category_case(views.customer_geo(c.t))))
-query("one_hot_dummy_na")(_wk(lambda c: X.one_hot_dummy_na(c.acct, "id", ["plan", "region", "contract"])))
+query("one_hot_long")(_wk(lambda c: X.one_hot_long(c.acct, "id", ["plan", "region", "contract"])))
+query("one_hot_dummy_na")(_wk(lambda c: X.one_hot_dummy_na(c.acct, "id", PARAMS["one_hot_dummy_na"]["levels"])))
 
 # ------------------------------------------------------------------ sources and sinks
 ACCT_SCHEMA = T.StructType([

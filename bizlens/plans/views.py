@@ -32,12 +32,10 @@ WINDOW_WEEKS = 27           # sub: last 27 present weeks, week 0 = first of them
 CHURN_LAG_WEEKS = 13        # sub: churn = last order week + 13
 LAST_WEEK = WINDOW_WEEKS - 1
 
-# Marketing cost per order by channel (market segment).
-CHANNEL_COST = {"HOUSEHOLD": 0, "AUTOMOBILE": 34, "BUILDING": 61, "FURNITURE": 22,
-                "MACHINERY": 12}
-# Acquisition cost by subscription channel (first order priority).
-SUB_CAC = {"1-URGENT": 780, "2-HIGH": 1450, "3-MEDIUM": 410, "4-NOT SPECIFIED": 260,
-           "5-LOW": 2100}
+# Assumed marketing cost per order by channel (market segment): a ladder of 15 a step.
+CHANNEL_COST = {"AUTOMOBILE": 15, "BUILDING": 30, "FURNITURE": 45, "MACHINERY": 60, "HOUSEHOLD": 0}
+# Assumed acquisition cost by subscription channel (first order priority): 200 a step of urgency.
+SUB_CAC = {"1-URGENT": 1100, "2-HIGH": 900, "3-MEDIUM": 700, "4-NOT SPECIFIED": 300, "5-LOW": 500}
 UNPAID_CHANNEL = "HOUSEHOLD"
 
 

@@ -40,6 +40,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return spark
 
 
+# Settings results or skew protection depend on; queries set them in the session they are given.
+QUERY_CONF = {k: DEFAULT_CONF[k] for k in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled",
+                                           "spark.sql.adaptive.forceOptimizeSkewedJoin", "spark.sql.session.timeZone")}
+
+
+def use_query_conf(spark: SparkSession) -> None:
+    for k, v in QUERY_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local runs, tests) fall back to a fresh scratch folder."""

@@ -10,8 +10,10 @@ from tests.conftest import SF_ORACLE
 
 import __spark_entry__ as entry_mod
 
-QUERIES = entry_mod.queries()
-ORACLE = entry_mod.oracle_sql()
+from bizlens.plans.queries import REGISTRY as QUERIES
+from bizlens.plans.queries import oracle
+
+ORACLE = oracle()
 
 
 @pytest.fixture(scope="module")
@@ -39,6 +41,10 @@ def test_ml_rows(spark, name):
     assert df.count() > 0
 
 
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry_mod.queries()) and set(ORACLE) <= set(entry_mod.oracle_sql())
+
+
 def test_entry_smoke(spark):
     df = entry_mod.entry(spark)
     assert df.count() > 0
@@ -46,7 +52,7 @@ def test_entry_smoke(spark):
 
 
 RANKED = ["rank_auc", "leakage_scan", "profile_numeric", "account_kpis", "account_cube_all", "decile_capture",
-          "dict_plan_by_median", "stratified_split", "validity_report", "cube_sample_cap", "account_cube"]
+          "dict_plan_by_median", "stratified_split", "validity_report", "account_cube"]
 
 
 @pytest.mark.parametrize("name", RANKED)

@@ -3,10 +3,9 @@ or nested-loop join, and no Python evaluation -- every expression stays in the J
 
 import pytest
 
-import __spark_entry__ as entry_mod
+from bizlens.plans.queries import REGISTRY as QUERIES
 from tests.conftest import SF_SMALL
 
-QUERIES = entry_mod.queries()
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas",
              "AggregateInPandas", "WindowInPandas", "PythonUDF")
