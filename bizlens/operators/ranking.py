@@ -25,6 +25,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import bounded_broadcast
+
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 MAX_BUCKETS = 4096         # bounds compiled into the bucket CASE, all groups together
 ROWS_PER_BUCKET_CONF = "bizlens.ranking.rowsPerBucket"
@@ -58,7 +60,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "inner", broadcast_right: bool = False) -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL (grouping-set keys)."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") for c in keys],
-                     *[c for c in right.columns if c not in keys])
+                     *[c for c in right.columns if c not in keys])   # keeps a broadcast hint of ``right``
     if broadcast_right:
         r = F.broadcast(r)
     cond = None
@@ -89,7 +91,8 @@ def bucket_column(df: DataFrame, order_col: str, part_cols: Sequence[str],
         return None
     sub = df
     if part_cols:
-        big = df.sparkSession.createDataFrame(list(nbs), df.select(*part_cols).schema)
+        # only groups that are cut: the quantiles collected are (cut groups) x (grid)
+        big = df.sparkSession.createDataFrame([k for k, nb in nbs.items() if nb > 1], df.select(*part_cols).schema)
         sub = join_null_safe(df, big, part_cols, "left_semi", broadcast_right=True)
     probs = [i / grid for i in range(1, grid)]
     accuracy = max(10_000, 10 * grid)
@@ -131,8 +134,8 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
     off_w = Window.partitionBy(*part_cols).orderBy("_b").rowsBetween(_UNB, -1)
     off = tot.select(*part_cols, "_b", *[F.coalesce(F.sum(f"_{w}_bt").over(off_w), F.lit(0))
                                          .alias(f"_{w}_off") for w in weights])
-    # ``off`` has (#groups x #buckets) rows, both known on the driver: a bounded broadcast.
-    y = join_null_safe(x, off, [*part_cols, "_b"], broadcast_right=True)
+    # ``off`` has a row for every group and bucket: broadcast under a checked size, else shuffled
+    y = join_null_safe(x, bounded_broadcast(off), [*part_cols, "_b"])
     return y.select(*df.columns, *[(F.col(f"_{w}_off") + F.col(f"_{w}_loc")).alias(f"{w}_below")
                                    for w in weights])
 
@@ -148,7 +151,8 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
     ps = prefix_sums(counts, value_col, ["_n"], part_cols, rows_per_bucket=rows_per_bucket)
     if part_cols:
         totals = counts.groupBy(*part_cols).agg(F.sum("_n").alias("n"))
-        j = join_null_safe(ps, totals, part_cols)
+        # one row a group: under a checked size the distinct values of a column are not gathered for it
+        j = join_null_safe(ps, bounded_broadcast(totals), part_cols)
     else:  # one group: its size is a scalar subquery, no join at all
         n_all = F.coalesce(counts.agg(F.sum("_n")).scalar(), F.lit(0).cast("bigint"))
         j = ps.withColumn("n", n_all)

@@ -4,33 +4,34 @@ importance and the scored rows.
 
 Everything is distributed: the split ranks rows inside each class with the
 two-level prefix sum (no single-task window), the model is ``GBTClassifier``
-(JVM), AUCs use ``rank_auc``, and permutation importance shuffles each feature
-inside random buckets of bounded size with one window + one join for all
-(feature, repeat) variants, then scores them in a single ``transform``.
+(JVM), AUCs use ``rank_auc``, and permutation importance joins the rows' places in two exact
+hash orders, one permutation per repeat for all features, then scores all variants in a single
+``transform``.
 """
 
 from __future__ import annotations
 
-import math
 from decimal import Decimal
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import rnd
 from ..sources.scratch import written_table
-from .checks import leakage_scan
+from .checks import leakage_scan, low_cardinality
+from .joins import bounded_broadcast
 from .ranking import prefix_sums, rank_auc
 
 TEST_FRACTION = Decimal("0.25")
-GBT_PARAMS = {"maxIter": 40, "stepSize": 0.08, "maxDepth": 4, "seed": 42}
+GBT_PARAMS = {"maxIter": 250, "stepSize": 0.08, "maxDepth": 4, "seed": 42}
 PERM_REPEATS = 6
-PERM_BUCKET_ROWS = 10_000
+FIT_PARTITION_ROWS = 50_000
+MAX_TEXT_FEATURE_LEVELS = 1000   # a text column with more levels is no feature: its dictionary would be on the driver
 
 
 def split_hash(id_col: str) -> F.Column:
@@ -38,16 +39,27 @@ def split_hash(id_col: str) -> F.Column:
     return F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
-def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction=TEST_FRACTION) -> DataFrame:
-    """Per class, the first ceil(test_fraction * n_class) rows in md5(id) order are
-    the test split (F2).  Exact per-class shares without a global window."""
-    x = df.select(id_col, label, split_hash(id_col).alias("_h"), F.lit(1).alias("_one"))
+def _order_key(df: DataFrame, id_col: str, first: F.Column) -> F.Column:
+    """(first, id) as one ordered number, so that equal hashes are told apart by their ids."""
+    integral = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    tie = F.col(id_col).cast("bigint") if integral else F.xxhash64(id_col)
+    shift = F.lit(Decimal(2 ** 63))
+    high = first.cast("decimal(19,0)").cast("decimal(38,0)") * F.lit(Decimal(2 ** 64)).cast("decimal(20,0)")
+    return (high.cast("decimal(38,0)") + F.coalesce(tie, F.lit(0)).cast("decimal(20,0)") + shift).cast("decimal(38,0)")
+
+
+def stratified_split(df: DataFrame, id_col: str, label: str, test_fraction=TEST_FRACTION, keep: bool = False) -> DataFrame:
+    """Per class, the first ceil(test_fraction * n_class) rows in (md5(id), id) order are
+    the test split (F2).  Exact per-class shares without a global window; with ``keep`` all columns
+    go through the ranking, so rows that share an id are split on their own."""
+    columns = df.columns if keep else [id_col, label]
+    x = df.select(*columns, _order_key(df, id_col, split_hash(id_col)).alias("_h"), F.lit(1).alias("_one"))
     ranked = prefix_sums(x, "_h", ["_one"], [label])
     sizes = x.groupBy(label).agg(F.count(F.lit(1)).alias("_nc"))
-    # one row per class: a bounded broadcast
-    j = ranked.join(F.broadcast(sizes), label)
+    # one row per class: broadcast under a checked size
+    j = ranked.join(bounded_broadcast(sizes), label)
     cut = F.ceil(F.col("_nc").cast("decimal(20,0)") * F.lit(Decimal(str(test_fraction))))
-    return j.select(id_col, label, F.when(F.col("_one_below") < cut, "test").otherwise("train").alias("split"))
+    return j.select(*columns, F.when(F.col("_one_below") < cut, "test").otherwise("train").alias("split"))
 
 
 def feature_columns(df: DataFrame, label: str, id_col: str, exclude: list[str]) -> tuple[list[str], list[str]]:
@@ -101,11 +113,15 @@ class ChurnModel:
         self.num, self.cat = feature_columns(base, label, id_col, self.excluded)
         for c in self.num:
             base = base.withColumn(c, F.col(c).cast("double"))
-        split = stratified_split(base, id_col, label).select(id_col, "split")
+        few = low_cardinality(base, self.cat, MAX_TEXT_FEATURE_LEVELS)
+        self.cat = [c for c in self.cat if c in few]
         # one written table: fitting, scoring and the permutation variants all read
         # the split feature frame instead of recomputing the ranking jobs
-        self.data = written_table(with_missing_flags(base.join(split, id_col), self.num), "churn-features")
+        split = stratified_split(base, id_col, label, keep=True)
+        self.data = written_table(with_missing_flags(split, self.num), "churn-features")
         train = self.data.where(F.col("split") == "train")
+        # a boosting round is several jobs: a small frame in many partitions is mostly scheduling
+        train = train.coalesce(max(1, -(-train.count() // FIT_PARTITION_ROWS)))
         self.model: PipelineModel = build_pipeline(self.num, self.cat, label).fit(train)
 
     def score(self, df: DataFrame | None = None) -> DataFrame:
@@ -118,31 +134,38 @@ class ChurnModel:
         return s.select(self.id_col, "split", F.col(self.label).cast("int").alias(self.label),
                         rnd("p", 6).alias("p"))
 
+    def invariants(self) -> DataFrame:
+        """What must hold of any fit: every row scored once, probabilities in [0, 1], the test share exact."""
+        s = self.score()
+        return s.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(self.id_col).alias("n_ids"),
+                     F.count_if(F.col("p").between(0, 1)).alias("n_scored"),
+                     F.count_if(F.col("split") == "test").alias("n_test"))
+
     def holdout_auc(self) -> DataFrame:
         s = self.score().where(F.col("split") == "test")
         a = rank_auc(s, "p", self.label)
         return a.select(rnd("auc", 6).alias("auc"), "n_pos", "n_neg", (F.col("auc") > 0.5).alias("beats_baseline"))
 
     def permutation_importance(self, repeats: int = PERM_REPEATS, top: int = 10) -> DataFrame:
-        """Mean held-out AUC drop when one raw feature is shuffled."""
+        """Mean held-out AUC drop when one raw feature is shuffled (F6, F7).  A repeat's permutation is one exact
+        shuffle of all test rows, the same for every feature: the row at place k of one hash order gives
+        its values to the row at place k of another."""
         test = self.data.where(F.col("split") == "test")
         feats = self.num + self.cat
-        n_test = test.count()
-        buckets = max(1, math.ceil(n_test / PERM_BUCKET_ROWS))
-        variants = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(r).alias("rep"))
-                             for f in feats for r in range(repeats)])
-        v = test.select("*", F.explode(variants).alias("_v")).select("*", "_v.feature", "_v.rep").drop("_v")
-        key = [F.col(self.id_col), F.col("feature"), F.col("rep")]
-        v = v.withColumn("_b", F.pmod(F.xxhash64(*key, F.lit(3)), F.lit(buckets)))
-        wb = Window.partitionBy("feature", "rep", "_b")
-        v = v.withColumn("_r1", F.row_number().over(wb.orderBy(F.xxhash64(*key, F.lit(1)), self.id_col)))
-        v = v.withColumn("_r2", F.row_number().over(wb.orderBy(F.xxhash64(*key, F.lit(2)), self.id_col)))
-        donors = v.select("feature", "rep", "_b", F.col("_r2").alias("_r1"),
-                          *[F.col(c).alias(f"_d_{c}") for c in feats])
-        j = v.join(donors, ["feature", "rep", "_b", "_r1"])
-        shuffled = j.select(self.id_col, self.label, "feature", "rep",
-                            *[F.when(F.col("feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c)
-                              for c in feats])
+        reps = F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep")
+
+        def placed(seed: int, columns: list) -> DataFrame:
+            x = test.select(*columns, reps)
+            h = F.shiftrightunsigned(F.xxhash64(self.id_col, "rep", F.lit(seed)), 4)
+            x = x.withColumn("_k", _order_key(x, self.id_col, h)).withColumn("_one", F.lit(1))
+            return prefix_sums(x, "_k", ["_one"], ["rep"]).withColumnRenamed("_one_below", "_place").drop("_k", "_one")
+
+        donors = placed(2, [self.id_col, *[F.col(c).alias(f"_d_{c}") for c in feats]]).drop(self.id_col)
+        j = placed(1, [self.id_col, self.label, *feats]).join(donors, ["rep", "_place"])
+        variants = j.select("*", F.explode(F.array(*[F.lit(f) for f in feats])).alias("feature"))
+        shuffled = variants.select(self.id_col, self.label, "feature", "rep",
+                                   *[F.when(F.col("feature") == c, F.col(f"_d_{c}")).otherwise(F.col(c)).alias(c)
+                                     for c in feats])
         shuffled = with_missing_flags(shuffled, self.num)
         scored = self.score(shuffled)
         aucs = rank_auc(scored, "p", self.label, ["feature", "rep"])

@@ -340,6 +340,7 @@ def _split(spark, d):
 
 query("stratified_split")(_split)
 query("churn_model_scores")(lambda spark, d: churn_model(spark, d).scores())
+query("model_invariants")(lambda spark, d: churn_model(spark, d).invariants())
 query("model_auc")(lambda spark, d: churn_model(spark, d).holdout_auc())
 query("permutation_importance")(lambda spark, d: churn_model(spark, d).permutation_importance())
 
@@ -354,6 +355,11 @@ def oracle() -> dict[str, str]:
     out.update(profile_checks_sql(PARAMS))
     out.update(text_sql(PARAMS))
     out.update(extra_sql(PARAMS))
+    out["model_invariants"] = with_views("acct") + (
+        "SELECT count(*) AS n_rows, count(DISTINCT id) AS n_ids, count(*) AS n_scored, "
+        "CAST(t AS BIGINT) AS n_test FROM (SELECT DISTINCT * FROM acct) "
+        "JOIN (SELECT sum(t) AS t FROM (SELECT ceil(count(*) * 0.25) AS t FROM (SELECT DISTINCT * FROM acct) GROUP BY churned)) ON true "
+        "GROUP BY t")
     out["scan_csv_roundtrip"] = out["contract_dropna"]
     out["scan_json_roundtrip"] = out["weekly_measures"]
     out["stratified_split"] = with_views("acct") + (

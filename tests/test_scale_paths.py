@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from bizlens.operators import ranking
 from bizlens.operators.checks import low_cardinality
 from bizlens.operators.ranking import prefix_sums
-from bizlens.operators.textjobs import one_hot_dummy_na
+from bizlens.operators.textjobs import one_hot_dummy_na, one_hot_long
 
 
 def test_low_cardinality_exact_at_the_limit(spark):
@@ -79,11 +79,12 @@ def test_bucket_bounds_one_job_per_call(spark):
     assert all(nb == math.ceil(50 / 10) - 1 for nb in got.values())
 
 
-def test_one_hot_refuses_unbounded_levels(spark):
-    df = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "id long, c string")
-    assert len(one_hot_dummy_na(df, "id", ["c"], max_levels=20).columns) == 22
-    with pytest.raises(ValueError, match="more than 19 levels"):
-        one_hot_dummy_na(df, "id", ["c"], max_levels=19)
+def test_one_hot_of_any_number_of_levels(spark):
+    df = spark.range(3000).selectExpr("id", "CASE WHEN id < 2999 THEN concat('v', id) END AS c")
+    long = one_hot_long(df, "id", ["c"])
+    assert long.count() == 3000 and long.where("level IS NULL").count() == 1
+    assert one_hot_dummy_na(df, "id", {"c": ["v1", "v2"]}).columns == ["id", "c_v1", "c_v2", "c_nan"]
+
 
 
 def test_bounded_broadcast_checks_the_size(spark):

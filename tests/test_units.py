@@ -169,7 +169,7 @@ def test_text_functions(spark):
                                "h string, j string, r string, t string")
     r = df.select(X.html_escape("h").alias("h"), X.json_recover("j").alias("j"),
                   X.title_case(F.lit("apac")).alias("a"), X.collapse_ws("r").alias("c"),
-                  F.length(X.truncate_middle("t")).alias("n")).first()
+                  F.length(X.truncate_middle("t", 6000)).alias("n")).first()
     import html
     assert r["h"] == html.escape("<a href='x'>&\"</a>")
     assert r["j"] == '{"k": 1}' and r["a"] == "APAC" and r["c"] == "apac region"
@@ -248,10 +248,14 @@ def test_skewed_group_top_k_and_aggregates(spark):
     rows = [(0, t, "user", f"t{t}") for t in range(3000)]
     rows += [(c, t, "assistant", f"c{c}t{t}") for c in range(1, 601) for t in range(10)]
     conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in transcript_pack(conv).collect()}
+    got = {r["conv_id"]: r for r in transcript_pack(conv, turns=8).collect()}
     assert got[0]["n_turns"] == 8
-    assert [ln.split("\n")[1] for ln in got[0]["pack"].split("\n\n")] == [f"t{t}" for t in range(2992, 3000)]
-    assert got[5]["n_turns"] == 8 and got[5]["pack"].startswith("--- step 2 (assistant):\nc5t2")
+    assert got[0]["pack"].split("\n") == [f"[{t} user] t{t}" for t in range(2992, 3000)]
+    assert got[5]["n_turns"] == 8 and got[5]["pack"].startswith("[2 assistant] c5t2")
+    whole = {r["conv_id"]: r for r in transcript_pack(conv).collect()}
+    assert whole[0]["n_turns"] == 3000 and whole[0]["pack"].endswith("[2999 user] t2999")
+    cut = transcript_pack(conv.where("conv_id = 7"), turns=1, chars=2).first()
+    assert cut["pack"] == "[9 assistant] c7"
 
 
 def test_skewed_value_profile_and_auc(spark):
