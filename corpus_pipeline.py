@@ -14,18 +14,16 @@ from bizlens.llm import bpe, langid, mixing, pii, simhash
 from bizlens.llm.common import held_out, scratch_path, table
 from bizlens.llm.queries import tokenizer_path
 
-#: Language predictions surer than this are believed over the label; a document without a letter goes.
-SURE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any letter, and those where no language holds ``SURE`` of the letters, go;
-    the others keep all columns.  The model learns from the labelled rows of ``documents``."""
+    """Documents in which no language is found (no text, or no letter in it) go; the others, texts of
+    several languages among them, keep all columns.  The model learns from the labelled rows of
+    ``documents``."""
     labelled = table(spark, sf_dir, "documents")
     model = langid.train(labelled.where(~held_out(F.col("doc_id"))))
-    names = ("_pipeline_lang", "_pipeline_score", "_pipeline_spans")
+    names = ("_found_lang", "_found_share", "_found_spans")
     judged = langid.identify(docs, model, names=names)
-    return judged.where((F.col(names[0]) != langid.UNKNOWN) & (F.col(names[1]) >= SURE)).drop(*names)
+    return judged.where(F.col(names[0]) != langid.UNKNOWN).drop(*names)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
