@@ -86,6 +86,17 @@ def churn_by_dormancy(acct: DataFrame) -> DataFrame:
                     rnd(_rate("churners", "n"), 6).alias("churn_rate"))
 
 
+def dormancy_cube(acct: DataFrame) -> DataFrame:
+    """Dormancy buckets (A11) under every filter combination of plan, region and contract."""
+    dims = ["plan", "region", "contract"]
+    x = clean(acct).withColumn("bin", dormancy_bucket()).where(F.col("bin").isNotNull())
+    sets = [["bin"] + [d for i, d in enumerate(dims) if not (mask >> (2 - i)) & 1] for mask in range(8)]
+    a = x.groupingSets(sets, "bin", *dims).agg(
+        F.grouping_id().cast("bigint").alias("gid"), F.count(F.lit(1)).alias("n"), F.sum("churned").cast("bigint").alias("churners"))
+    return a.select(F.col("bin").cast("int").alias("bin"), "gid", *dims, "n", "churners",
+                    rnd(_rate("churners", "n"), 6).alias("churn_rate"))
+
+
 def outreach_at_threshold(acct: DataFrame, thresholds: list[tuple[int, float]]) -> DataFrame:
     """The simulator for a few (dormancy, risk) settings as conditional aggregates
     of one scan (A12, W8: inclusive predicates)."""

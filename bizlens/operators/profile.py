@@ -21,6 +21,7 @@ from .ranking import quantiles
 MAX_LEVELS = 8
 ID_SHARE = 0.95
 DATE_SHARE = 0.9
+DATE_FORMATS = ("MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd")    # besides ISO text
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -147,7 +148,8 @@ def profile_likely_dates(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, DATE_TYPES):
             aggs.append(F.when(F.count(c) > 0, F.lit(1.0)).alias(f"s{i}"))
         else:
-            aggs.append(F.try_divide(F.count(F.try_to_timestamp(c)).cast("double"),
+            parsed = F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
+            aggs.append(F.try_divide(F.count(parsed).cast("double"),
                                      F.count(c).cast("double")).alias(f"s{i}"))
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, parse_share double, likely_date boolean")

@@ -140,6 +140,44 @@ def wow_delta(wk: DataFrame, weeks: DataFrame, dim: str = "region",
                     direction.alias("direction"))
 
 
+CUBE_DIMS = ["category", "region", "channel"]
+
+
+def filter_sets() -> list[list[str]]:
+    """(week + every subset of the filter dimensions): one grouping set per filter combination."""
+    return [["week"] + [d for i, d in enumerate(CUBE_DIMS) if not (mask >> (2 - i)) & 1] for mask in range(8)]
+
+
+def dense_cube(wk: DataFrame, weeks: DataFrame) -> DataFrame:
+    """Every present week x every filter combination that occurs (``gid`` marks the "All" levels); a
+    combination's empty weeks have zero measures."""
+    a = wk.groupingSets(filter_sets(), "week", *CUBE_DIMS).agg(F.grouping_id().cast("bigint").alias("gid"), *measure_aggs())
+    key = ["gid", *CUBE_DIMS]
+    # one array of present weeks (calendar-bounded), exploded per combination
+    every_week = weeks.agg(F.array_sort(F.collect_set(F.struct("week", "week_idx")))).scalar()
+    grid = a.select(*key).distinct().select(*key, F.explode(every_week).alias("w")).select(*key, "w.week", "w.week_idx")
+    filled = join_null_safe(grid, a, ["week", *key], "left")
+    return filled.select("week", "week_idx", *key, *[F.coalesce(F.col(m), F.lit(0)).alias(m) for m in ALL_MEASURES])
+
+
+def wow_cube(wk: DataFrame, weeks: DataFrame, metrics: list[str] = KPI_DELTAS) -> DataFrame:
+    """The week-over-week change of every KPI under every filter combination (N2 with the filters of the report):
+    all metrics lag in one window, one column each."""
+    x = dense_cube(wk, weeks).select("week", "week_idx", "gid", *CUBE_DIMS, *[metric_col(m).alias(m) for m in metrics])
+    w = Window.partitionBy("gid", *CUBE_DIMS).orderBy("week_idx")
+    x = x.select("*", *[F.lag(m).over(w).alias(f"_p_{m}") for m in metrics])
+    return x.select("week", "gid", *CUBE_DIMS, *[
+        rnd(F.when(F.col(f"_p_{m}") != 0, (F.col(m) - F.col(f"_p_{m}")) / F.col(f"_p_{m}")), 6).alias(f"wow_{m}")
+        for m in metrics])
+
+
+def trailing_cube(wk: DataFrame, weeks: DataFrame) -> DataFrame:
+    """The trailing mean of up to four weeks (N3) under every filter combination."""
+    w = Window.partitionBy("gid", *CUBE_DIMS).orderBy("week_idx").rowsBetween(-4, -1)
+    return dense_cube(wk, weeks).select("week", "gid", *CUBE_DIMS, *[
+        rnd(F.avg(dbl(m)).over(w), 4).alias(f"{m}_4wk") for m in ("gdv", "rev", "camp", "don")])
+
+
 def wow_by_segment(wk: DataFrame, weeks: DataFrame, dim: str = "category") -> DataFrame:
     """Current vs previous present week per segment (J4); absent previous = 0."""
     grid = dense_grid(aggregate(wk, ["week", dim]), weeks, dim)
@@ -303,9 +341,7 @@ def weekly_cube_all(wk: DataFrame) -> DataFrame:
     """Every filter combination at once (A20): per week, CUBE over the three filter
     dimensions of the additive partials (the fact already is the base grain);
     ``gid`` (grouping_id bits category, region, channel) marks the "All" levels."""
-    dims = ["category", "region", "channel"]
-    sets = [["week"] + [d for i, d in enumerate(dims) if not (mask >> (2 - i)) & 1]
-            for mask in range(8)]
-    c = wk.groupingSets(sets, "week", *dims).agg(F.grouping_id().alias("gid"), *measure_aggs())
+    dims = CUBE_DIMS
+    c = wk.groupingSets(filter_sets(), "week", *dims).agg(F.grouping_id().alias("gid"), *measure_aggs())
     c = c.withColumn("gid", F.col("gid").cast("bigint"))
     return project(c, ["week", *dims, "gid"], SUMS, list(RATIOS))

@@ -180,6 +180,25 @@ def weekly_sql(params: dict) -> dict[str, str]:
         f"SELECT week, category, region, channel, CAST(grouping(category, region, channel) AS BIGINT) AS gid, {measure_sql()} "
         "FROM wk GROUP BY GROUPING SETS ((week, category, region, channel), (week, category, region), (week, category, channel), "
         "(week, category), (week, region, channel), (week, region), (week, channel), (week)))")
+    by_cell = ("PARTITION BY gid, category, region, channel ORDER BY week_idx")
+    fill = ", ".join(f"coalesce(a.{m}, 0) AS {m}" for m in ALL_MEASURES)
+    cube = V + (
+        f", a AS (SELECT week, category, region, channel, CAST(grouping(category, region, channel) AS BIGINT) AS gid, {measure_sql()} "
+        "FROM wk GROUP BY GROUPING SETS ((week, category, region, channel), (week, category, region), (week, category, channel), "
+        "(week, category), (week, region, channel), (week, region), (week, channel), (week))),\n"
+        "cell AS (SELECT DISTINCT gid, category, region, channel FROM a),\n"
+        f"filled AS (SELECT w.week, w.week_idx, c.gid, c.category, c.region, c.channel, {fill} FROM weeks w CROSS JOIN cell c "
+        "LEFT JOIN a ON a.week = w.week AND a.gid = c.gid AND a.category IS NOT DISTINCT FROM c.category "
+        "AND a.region IS NOT DISTINCT FROM c.region AND a.channel IS NOT DISTINCT FROM c.channel)\n")
+    now = ", ".join(f"{metric_sql(m)} AS {m}" for m in KPI_DELTAS)
+    prev = ", ".join(f"lag({m}) OVER ({by_cell}) AS p_{m}" for m in KPI_DELTAS)
+    change = ", ".join(f"{rnd_sql(f'CASE WHEN p_{m} <> 0 THEN ({m} - p_{m}) / p_{m} END', 6)} AS wow_{m}" for m in KPI_DELTAS)
+    q["wow_cube"] = cube + (
+        f"SELECT week, gid, category, region, channel, {change} FROM (SELECT *, {prev} FROM ("
+        f"SELECT week, week_idx, gid, category, region, channel, {now} FROM filled))")
+    q["trailing_cube"] = cube + "SELECT week, gid, category, region, channel, " + ", ".join(
+        f"{rnd_sql(f'avg(CAST({m} AS DOUBLE)) OVER ({by_cell} ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)', 4)} AS {m}_4wk"
+        for m in ("gdv", "rev", "camp", "don")) + " FROM filled"
     q["week_index"] = with_views("weeks") + "SELECT week, CAST(week_idx AS INTEGER) AS week_idx FROM weeks"
     return q
 
@@ -212,6 +231,11 @@ def accounts_sql(params: dict) -> dict[str, str]:
         f"SELECT CAST(bin AS INTEGER) AS bin, CASE {labs} END AS bucket, n, churners, {rnd_sql(rate('churners', 'n'), 6)} AS churn_rate "
         f"FROM (SELECT CASE {arms} END AS bin, count(*) AS n, CAST(sum(churned) AS BIGINT) AS churners FROM c "
         f"WHERE (CASE {arms} END) IS NOT NULL GROUP BY 1)")
+    q["dormancy_cube"] = V + (
+        f"SELECT CAST(bin AS INTEGER) AS bin, gid, plan, region, contract, n, churners, {rnd_sql(rate('churners', 'n'), 6)} AS churn_rate "
+        f"FROM (SELECT bin, plan, region, contract, CAST(grouping(plan, region, contract) AS BIGINT) AS gid, count(*) AS n, "
+        f"CAST(sum(churned) AS BIGINT) AS churners FROM (SELECT *, CASE {arms} END AS bin FROM c) WHERE bin IS NOT NULL "
+        "GROUP BY bin, CUBE (plan, region, contract))")
     parts = []
     for d, r in params["outreach_at_threshold"]["thresholds"]:
         hit = f"dorm >= {d} AND risk >= {float(r)}"
@@ -433,7 +457,7 @@ def profile_sql(table: str, cols: list, target: str) -> dict[str, str]:
     q["profile_likely_dates"] = " UNION ALL ".join(
         (f"SELECT '{c}' AS column, {rnd_sql('coalesce(s, 0.0)', 4)} AS parse_share, coalesce(s, 0.0) > 0.9 AS likely_date FROM ("
          + (f"SELECT CASE WHEN count({c}) > 0 THEN 1.0 END AS s FROM {T}" if t != "string" else
-            f"SELECT CAST(count(try_cast({c} AS TIMESTAMP)) AS DOUBLE) / nullif(CAST(count({c}) AS DOUBLE), 0) AS s FROM {T}")
+            f"SELECT CAST(count(coalesce(try_cast({c} AS TIMESTAMP), try_strptime({c}, ['%m/%d/%Y', '%d.%m.%Y', '%Y/%m/%d', '%Y%m%d']))) AS DOUBLE) / nullif(CAST(count({c}) AS DOUBLE), 0) AS s FROM {T}")
          + ")") for c, t in dates)
     q["profile_target"] = (
         f"SELECT CAST({target} AS VARCHAR) AS value, {rnd_sql(f'count(*) / (SELECT count(*) FROM {T})', 4)} AS share, "

@@ -162,6 +162,9 @@ query("liquidity_latest")(_wk(lambda c: W.latest_kpis(
 query("paid_vs_blended_cac")(_wk(lambda c: W.paid_vs_blended_cac(c.wk, c.weeks)))
 query("weekly_cube_all")(_wk(lambda c: W.weekly_cube_all(c.wk)))
 
+query("wow_cube")(_wk(lambda c: W.wow_cube(c.wk, c.weeks)))
+query("trailing_cube")(_wk(lambda c: W.trailing_cube(c.wk, c.weeks)))
+
 
 # ------------------------------------------------------------------ accounts (family C)
 query("contract_dropna")(_wk(lambda c: A.clean(c.acct)))
@@ -170,6 +173,7 @@ query("churn_by_plan")(_wk(lambda c: A.churn_by_plan(c.acct)))
 query("churn_by_plan_fixed")(_wk(lambda c: A.churn_by_plan_fixed(c.spark, c.acct,
                                                                  PARAMS["churn_by_plan_fixed"]["levels"])))
 query("churn_by_dormancy")(_wk(lambda c: A.churn_by_dormancy(c.acct)))
+query("dormancy_cube")(_wk(lambda c: A.dormancy_cube(c.acct)))
 query("outreach_at_threshold")(_wk(lambda c: A.outreach_at_threshold(
     c.acct, PARAMS["outreach_at_threshold"]["thresholds"])))
 query("outreach_grid")(_wk(lambda c: A.outreach_grid(c.spark, c.acct)))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 class MissingColumnsError(ValueError):
@@ -21,15 +22,20 @@ def require_columns(df: DataFrame, columns: Iterable[str], what: str = "input")
     return df
 
 
+# Cells that stand for a missing value, in any column.
+MISSING_TOKENS = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None"]
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """Header CSV.  An explicit schema is the production path; without one the
-    schema is inferred (the profiler's generic entry)."""
+    """Header CSV.  An explicit schema is the production path: cells are read as text, missing-value
+    tokens become null, the rest is cast (a cell that is no number in a number column fails the job).  Without
+    one the schema is inferred (the profiler's generic entry)."""
     reader = spark.read.option("header", True).option("mode", "FAILFAST")
-    if schema is not None:
-        reader = reader.schema(schema)
-    else:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(path)
+    if schema is None:
+        return reader.option("inferSchema", True).option("nullValue", "NA").option("nanValue", "NaN").csv(path)
+    text = reader.schema(StructType([StructField(f.name, StringType()) for f in schema.fields])).csv(path)
+    return text.select(*[F.when(F.trim(F.col(f"`{f.name}`")).isin(MISSING_TOKENS), None)
+                         .otherwise(F.col(f"`{f.name}`")).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -4,11 +4,13 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bizlens.functions.numeric import rnd
 from bizlens.operators import accounts as A
 from bizlens.operators import checks as C
 from bizlens.operators import profile as P
+from bizlens.sources.files import read_csv
 
 DAY = dt.date(2024, 1, 1)
 
@@ -61,6 +63,21 @@ def test_equal_values_have_one_text(spark):
     assert P.profile_distinct(df).first()["n_unique"] == 2
 
 
+def test_csv_missing_tokens(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("n,x,s\n1,2.5,a\nNA,NaN,null\n,None,\n3,4,N/A\n")
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("x", T.DoubleType()), T.StructField("s", T.StringType())])
+    rows = [tuple(r) for r in read_csv(spark, str(tmp_path / "a.csv"), schema).collect()]
+    assert rows == [(1, 2.5, "a"), (None, None, None), (None, None, None), (3, 4.0, None)]
+    (tmp_path / "b.csv").write_text("n\nx\n")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        read_csv(spark, str(tmp_path / "b.csv"), T.StructType([T.StructField("n", T.LongType())])).collect()
+
+
+def test_dates_in_other_formats(spark):
+    df = spark.createDataFrame([("12/25/2024", "25.12.2024", "2024-12-25", "x")] * 3, "a string, b string, c string, d string")
+    assert {r["column"]: r["likely_date"] for r in P.profile_likely_dates(df).collect()} == {"a": True, "b": True, "c": True, "d": False}
+
+
 def test_cube_has_every_account(spark):
     n = 60_000
     acct = spark.range(n).selectExpr("id", "concat('p', id % 3) AS plan", "concat('r', id % 5) AS region", "'annual' AS contract",
