@@ -156,10 +156,9 @@ def _iban_ok(m: Column) -> Column:
 def _iban(key: str, m: Column) -> Column:
     def permuted(x: Column) -> Column:
         account = F.substr(x, F.lit(5))
+        # all digits at once: of the 30 an account part may have, each Feistel half holds 15
         moved = F.when(F.length(digits_of(account)) >= 2, let(digits_of(account), lambda d: put_digits(
-            # an account part may have more digits than a Feistel half holds: eighteen at a time
-            account, F.concat(permute_digits(key, "iban", F.substr(d, F.lit(1), F.least(F.length(d), F.lit(18)))),
-                              F.substr(d, F.lit(19)))))).otherwise(account)
+            account, permute_digits(key, "iban", d)))).otherwise(account)
         return let(moved, lambda a: F.concat(
             F.substr(x, F.lit(1), F.lit(2)),
             F.lpad((98 - mod97(F.concat(a, F.substr(x, F.lit(1), F.lit(2)), F.lit("00")))).cast("string"), 2, "0"), a))

@@ -198,6 +198,20 @@ def test_pseudonyms_keep_format_validity_and_links(spark, odd):
     assert [x._pii_text for x in got] == [t for _, t in ODD] and len(got) == len(ODD)
 
 
+def pseudonyms_of(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    return {r.text: (r._pii_text, r._pii_kinds) for r in pii.pseudonymise(rows).collect()}
+
+
+def test_all_digits_of_long_ibans_are_permuted(spark):
+    ibans = ["PL61109010140000071219812874", "HU42117730161111101800000000", "ES9121000418450200051332", "DE89370400440532013000"]
+    got = pseudonyms_of(spark, ibans)
+    for iban in ibans:
+        out, kinds = got[iban]
+        assert kinds == ["iban"] and out[4:] == plain_permutation(pii.DEFAULT_KEY, "iban", iban[4:])
+        assert int("".join(str(int(c, 36)) for c in out[4:] + out[:4])) % 97 == 1
+
+
 def test_digit_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = df.select("d", pii.permute_digits("k", "test", F.col("d")).alias("p")).collect()
