@@ -2,7 +2,8 @@
 
 One pass of a combined pattern cuts a text into the pieces between candidates and the
 candidates themselves.  Candidates are validated by kind; those that fail stay as they are.
-The others are replaced by a keyed permutation of their own format, so that equal values get
+Card numbers and IBANs are looked for in whole runs of groups of digits and capitals, at every
+group, so that other numbers or capitals beside a valid one do not hide it.  The others are replaced by a keyed permutation of their own format, so that equal values get
 equal pseudonyms in every document, different values different ones, and a pseudonym is
 valid again:
 
@@ -40,8 +41,24 @@ IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,
 DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\p{L}\p{N}]|[./-][0-9])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
-PHONE = r"(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])"
-ANY = "|".join([EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD])
+NATIONAL = r"(?<![\p{L}\p{N}])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])"
+#: Countries whose numbers have one length: a number that follows is not part of the telephone number.
+FIXED = r"(?<![\p{L}\p{N}])\+(?:" + "|".join(rf"(?:{codes})(?:[ .()-]{{0,2}}[0-9]){{{digits}}}" for digits, codes in (
+    (10, "1|7|44|91"), (9, r"32(?=[ .()-]{0,2}4[5-9])|31|33|34|41|48|61|351|420|421"), (8, "32|45|47|65|852"))) + r")(?![\p{L}\p{N}])"
+PHONE = FIXED + r"|(?<![\p{L}\p{N}])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}(?![\p{L}\p{N}])|" + NATIONAL
+#: Groups of digits and capitals from a digit or the start of an IBAN on, up to a value of another kind.
+_GROUP = rf"(?!{'|'.join([EMAIL, SECRET, IPV4, DATE, SSN, NATIONAL])})[A-Z0-9]++(?![\p{{L}}\p{{N}}])"
+RUN = rf"(?<![\p{{L}}\p{{N}}])(?=[0-9]|[A-Z]{{2}}[0-9]{{2}})(?=(?:[ -]?[A-Z0-9]){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
+ANY = "|".join([EMAIL, SECRET, IPV4, DATE, SSN, PHONE, RUN])
+
+#: How cards are written, and the length of IBANs by country.
+CARD_SHAPE = r"\A(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})\z"
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+                25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+                29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+IBAN_SHAPE = r"\A(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}[A-Z0-9]{{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + r")\z"
+_IBAN_GROUPS, _CARD_GROUPS = 34, 19      # most groups a value can have
 
 _DAYS = 73049                      # days of 1900 to 2099
 _DAY_HALVES = (271, 270)           # 271 * 270 = 73170, little over the days
@@ -153,6 +170,10 @@ def _iban_ok(m: Column) -> Column:
                lambda x: mod97(F.concat(F.substr(x, F.lit(5)), F.substr(x, F.lit(1), F.lit(4)))) == 1)
 
 
+def _iban_shaped(m: Column) -> Column:
+    return F.replace(m, F.lit(" "), F.lit("")).rlike(IBAN_SHAPE)
+
+
 def _iban(key: str, m: Column) -> Column:
     def permuted(x: Column) -> Column:
         account = F.substr(x, F.lit(5))
@@ -244,7 +265,7 @@ def _secret(key: str, m: Column) -> Column:
 KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[str, Column], Column]]] = {
     "email": (lambda m: F.contains(m, F.lit("@")), _email),
     "secret": (_is(SECRET), _secret),
-    "iban": (lambda m: _is(IBAN)(m) & _iban_ok(m), _iban),
+    "iban": (lambda m: m.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9 ]*\z") & (m.rlike(rf"\A(?:{IBAN})\z") | _iban_shaped(m)) & _iban_ok(m), _iban),
     "ip": (_is(IPV4), _ip),
     "date": (lambda m: _is(DATE)(m) & _date_ok(m), _date),
     "ssn": (lambda m: _is(SSN)(m) & _ssn_ok(m), _ssn),
@@ -253,6 +274,49 @@ KINDS: dict[str, tuple[Callable[[Column], Column], Callable[[str, Column], Colum
 }
 
 
+#: Kinds found at the groups of a run.
+IN_RUNS = ("iban", "card")
+
+
+def run_pieces(m: Column) -> Column:
+    """A candidate cut into structs (m, k): valid IBANs and cards with their kind, what is between them without.
+    Where valid values overlap, IBANs of their country's length go first, other IBANs next, then cards as they
+    are usually written, then other cards, the longer and earlier before the others."""
+    none = F.lit(None).cast("string")
+
+    def judged(s: Column, i: Column, j: Column) -> Column:
+        iban, card = (KINDS[k][0](s) for k in IN_RUNS)
+        usual = F.when(s.rlike(CARD_SHAPE), 2).otherwise(4) + F.when(s.rlike("\\A[2-6]"), 0).otherwise(1)
+        rank = F.when(iban, F.when(_iban_shaped(s), 0).otherwise(1)).when(card, usual)
+        return let(rank, lambda r: F.struct(r.alias("r"), (-F.length(s)).alias("n"), i.alias("i"), j.alias("j"),
+                                            F.when(r < 2, F.lit("iban")).otherwise(F.lit("card")).alias("k"), s.alias("m")))
+
+    def spans(tokens: Column, i: Column) -> Column:
+        first = F.get(tokens, i)
+        reach = F.when(first.rlike(r"\A[A-Z]{2}[0-9]{2}"), 2 * _IBAN_GROUPS - 2).when(first.rlike(r"\A[0-9]+\z"), 2 * _CARD_GROUPS - 2)
+        found = F.transform(F.sequence(i, F.least(i + reach, F.size(tokens) - 1)),
+                            lambda j: let(F.array_join(F.slice(tokens, i + 1, j - i + 1), ""), lambda s: judged(s, i, j)))
+        return F.when(reach.isNotNull(), F.filter(found, lambda x: x["r"].isNotNull())).otherwise(F.slice(found, 1, 0))
+
+    def cut(tokens: Column, kept: Column) -> Column:
+        def at(i: Column) -> Column:
+            over = F.get(F.filter(kept, lambda x: (x["i"] <= i) & (i <= x["j"])), F.lit(0))
+            return let(over, lambda x: F.when(x.isNull(), F.struct(F.get(tokens, i).alias("m"), none.alias("k")))
+                       .when(x["i"] == i, F.struct(x["m"].alias("m"), x["k"].alias("k"))))
+        return F.filter(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), at), lambda p: p.isNotNull())
+
+    def choose(found: Column) -> Column:
+        return F.aggregate(F.array_sort(found), F.slice(found, 1, 0), lambda kept, x: F.when(
+            F.exists(kept, lambda y: (y["i"] <= x["j"]) & (x["i"] <= y["j"])), kept).otherwise(F.concat(kept, F.array(x))))
+
+    def of(tokens: Column) -> Column:
+        found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: spans(tokens, i)))
+        return let(found, lambda x: F.when(F.size(x) == 0, F.array(F.struct(m.alias("m"), none.alias("k"))))
+                   .otherwise(let(choose(x), lambda kept: cut(tokens, kept))))
+
+    return let(F.regexp_extract_all(m, F.lit("([A-Z0-9]+|[^A-Z0-9]+)"), F.lit(0)), of)
+
+
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY,
                  names: tuple[str, str] = ("_pii_text", "_pii_kinds")) -> DataFrame:
     """Adds the text with pseudonyms and the array of the kinds found, one entry a value replaced."""
@@ -262,7 +326,8 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY,
     def kind(m: Column) -> Column:
         c = None
         for name, (valid, _) in KINDS.items():
-            c = F.when(valid(m), name) if c is None else c.when(valid(m), name)
+            if name not in IN_RUNS:
+                c = F.when(valid(m), name) if c is None else c.when(valid(m), name)
         return c
 
     def pseudonym(x: Column) -> Column:
@@ -272,11 +337,14 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY,
             c = F.when(hit, make(key, x["m"])) if c is None else c.when(hit, make(key, x["m"]))
         return c.otherwise(x["m"])
 
-    known = F.transform("_pii_found", lambda m: F.struct(m.alias("m"), kind(m).alias("k")))
+    def pieces(m: Column) -> Column:
+        return let(kind(m), lambda k: F.when(k.isNotNull(), F.array(F.struct(m.alias("m"), k.alias("k")))).otherwise(run_pieces(m)))
+
+    known = F.transform("_pii_found", pieces)
     found = found.withColumn("_pii_known", known)
-    done = F.transform("_pii_known", pseudonym)
+    done = F.transform("_pii_known", lambda p: F.array_join(F.transform(p, pseudonym), ""))
     between = F.split(F.col(text), ANY, -1)
     joined = F.array_join(F.zip_with(between, F.concat(done, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     out = found.withColumn(names[0], F.when(F.size("_pii_found") == 0, F.col(text)).otherwise(joined)) \
-        .withColumn(names[1], F.filter(F.transform("_pii_known", lambda x: x["k"]), lambda k: k.isNotNull()))
+        .withColumn(names[1], F.filter(F.transform(F.flatten("_pii_known"), lambda x: x["k"]), lambda k: k.isNotNull()))
     return out.drop("_pii_found", "_pii_known")

@@ -212,6 +212,28 @@ def test_all_digits_of_long_ibans_are_permuted(spark):
         assert int("".join(str(int(c, 36)) for c in out[4:] + out[:4])) % 97 == 1
 
 
+def test_values_beside_other_numbers_and_capitals(spark):
+    card, iban, phone = "4111 1111 1111 1111", "BE68 5390 0754 7034", "+1 974 555 3436"
+    beside = {card: ["{}", "{} 12/27", "7 {}", "{} 123", "12 345 {} 99 1234", "NO 5 {} EUR", "2024-02-29 {}", "5-{}-7", "+{}"],
+              "4111111111111111": ["{} 123", "1 {} 12", "{} 4111111111111112"],
+              iban: ["{}", "{} EUR", "{} 12 EUR", "AB12 {}", "7 {} BIC", "IBAN {} NR 5"],
+              "PL61109010140000071219812874": ["{} PLN", "AB12 {} 4"],
+              phone: ["{}", "{} 12", "{} 1234", "tel {} 123 4567"]}
+    got = pseudonyms_of(spark, [t.format(v) for v, forms in beside.items() for t in forms])
+    alone = pseudonyms_of(spark, list(beside))
+    for value, forms in beside.items():
+        assert alone[value][0] != value
+        for form in forms:
+            out, kinds = got[form.format(value)]
+            if form.startswith("2024"):
+                assert out.endswith(alone[value][0]) and kinds == ["date", alone[value][1][0]]
+            else:
+                assert (out, kinds) == (form.format(alone[value][0]), alone[value][1]), form
+    both = f"7 {iban} {card} 12 974-555-3436 123-45-6789"
+    out, kinds = pseudonyms_of(spark, [both])[both]
+    assert kinds == ["iban", "card", "phone", "ssn"] and out.startswith(f"7 {alone[iban][0]} {alone[card][0]} 12 ")
+
+
 def test_digit_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = df.select("d", pii.permute_digits("k", "test", F.col("d")).alias("p")).collect()
