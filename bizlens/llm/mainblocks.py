@@ -12,7 +12,8 @@ Character references are decoded, white space in a block becomes one space, bloc
 joined by two line feeds in page order.
 
 Defined results: a null, empty or blank page and a page without content have an empty text; tags cut off at
-the end of a page are dropped, unclosed elements end with their parents, end tags without a start are
+the end of a page are dropped, unclosed elements end with their parents, a head at the latest where something
+starts that cannot stand in one, end tags without a start are
 ignored; repeated rows stay; extra columns may have any name.
 """
 
@@ -38,6 +39,9 @@ BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption
          "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
          "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup",
          "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: What may stand in a head; anything else, and text, ends an open one.
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template",
+           "title"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements a start tag ends where they are open in the same parent.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
@@ -128,6 +132,8 @@ def blocks(html: str) -> list[Block]:
 
     def say(raw: str) -> None:
         if raw:
+            if stack[-1].tag == "head" and raw.strip():
+                leave_head()
             text = unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if state["links"]:
@@ -137,6 +143,12 @@ def blocks(html: str) -> list[Block]:
         state["links"] -= sum(e.tag == "a" for e in stack[at:])
         del stack[at:]
 
+    def leave_head() -> None:
+        at = next((i for i, e in enumerate(stack) if e.tag == "head"), 0)
+        if at:
+            flush()
+            close(at)
+
     pos, end = 0, len(html)
     while True:
         m = _TAG.search(html, pos)
@@ -159,6 +171,8 @@ def blocks(html: str) -> list[Block]:
                 if stack[i].tag in WALLS and tag not in BLOCK:
                     break
             continue
+        if tag not in IN_HEAD:
+            leave_head()
         if tag in SKIPPED:
             if not m[3].endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)

@@ -226,6 +226,17 @@ def test_odd_pages(spark):
     assert mainblocks.extract(pages.where("false")).count() == 0
 
 
+ARTICLE = " ".join(f"This is sentence {i} of the article and it says a little more." for i in range(9))
+
+
+@pytest.mark.parametrize("head", ["<head><title>T</title>{}", "<head><meta charset=utf-8><link rel=x href=y>{}", "<head>{}</head>"])
+@pytest.mark.parametrize("start", ["<body>", "", "<body class=x>\n", "<!-- c -->"])
+@pytest.mark.parametrize("inside", ["<div class=content><p>{}</p><p>{}</p></div>", "<article><p>{}</article><p>{}", "{}<p>{}"])
+def test_a_head_without_end_tag_ends_where_the_body_starts(head, start, inside):
+    body = start + inside.format(ARTICLE, "A short end.")
+    assert mainblocks.main_text("<html>" + head.format(body)) == f"{ARTICLE}\n\nA short end."
+
+
 def test_minimum_cut_is_the_smallest():
     rng = np.random.default_rng(6)
     for _ in range(80):
