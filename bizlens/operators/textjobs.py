@@ -1,19 +1,20 @@
 """Batch text and scalar jobs over the driver tables: escaping, truncation,
 whitespace, JSON recovery, transcript packs, display formatting, rounding,
 binning, case clean-up and one-hot encoding.  Whole texts are processed; every
-job is a projection except the transcript pack (a group-limited top-k per
-conversation, so a huge conversation never lands in one task)."""
+job is a projection except the transcripts: the pack is one value a conversation, so a conversation has to fit one
+task there (with ``turns`` a group-limited top-k bounds it); the parts have no such bound."""
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.metrics import measure_aggs, ratio_col
 from ..functions.numeric import half_even, money, rnd
+from .ranking import join_null_safe, prefix_sums
 
 # Right-closed bins of the reference (lowest edge included).
 BIN_EDGES = [0, 7, 14, 30, 60, 200]
@@ -68,12 +69,38 @@ def transcript_pack(conv: DataFrame, turns: int | None = None, chars: int | None
     the last ``turns`` (N10) or the first ``chars`` characters of each (X12).  One scan; with ``turns`` the partial
     group limit bounds what is shuffled."""
     x = conv if turns is None else top_k_per_group(conv, ["conv_id"], "turn", turns)
+    g = x.groupBy("conv_id").agg(_in_turn_order(_piece(chars)), F.count(F.lit(1)).alias("n_turns"))
+    return g.select("conv_id", "n_turns", _joined())
+
+
+def _piece(chars: int | None = None) -> Column:
     body = F.coalesce("text", F.lit(""))
-    piece = F.concat(F.lit("["), F.col("turn").cast("string"), F.lit(" "), F.coalesce("role", F.lit("?")), F.lit("] "),
-                     body if chars is None else F.substring(body, 1, chars))
-    g = x.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("a"),
-                                 F.count(F.lit(1)).alias("n_turns"))
-    return g.select("conv_id", "n_turns", F.array_join(F.transform("a", lambda s: s["p"]), "\n").alias("pack"))
+    return F.concat(F.lit("["), F.col("turn").cast("string"), F.lit(" "), F.coalesce("role", F.lit("?")), F.lit("] "),
+                    body if chars is None else F.substring(body, 1, chars))
+
+
+def _in_turn_order(piece: Column) -> Column:
+    return F.array_sort(F.collect_list(F.struct("turn", piece.alias("p")))).alias("a")
+
+
+def _joined() -> Column:
+    return F.array_join(F.transform("a", lambda s: s["p"]), "\n").alias("pack")
+
+
+def transcript_parts(conv: DataFrame, part_chars: int) -> DataFrame:
+    """Whole transcripts of conversations of any length, one row a part: a turn is in part ``p`` if the turns before it
+    have between ``p`` and ``p + 1`` times ``part_chars`` characters, so the packs of a conversation joined by line feeds in
+    the order of ``part`` are its transcript, and a part is at most one turn longer than ``part_chars``.  Numbers are
+    left out after a turn longer than a part.  Sizes are ranked by ``prefix_sums`` without the texts; texts are
+    shuffled by (conv_id, turn) and (conv_id, part), never by conversation.  ``turn`` numbers the turns of a
+    conversation: rows that repeat one stay together."""
+    x = conv.select("conv_id", "turn", F.coalesce(F.col("turn").cast("bigint"), F.lit(-2 ** 63)).alias("_t"), "role", "text")
+    sizes = x.groupBy("conv_id", "_t").agg(F.sum(F.length(F.coalesce(_piece(), F.lit(""))) + 1).alias("_size"))
+    below = prefix_sums(sizes, "_t", ["_size"], ["conv_id"])
+    part = below.select("conv_id", "_t", F.floor(F.col("_size_below") / F.lit(part_chars)).cast("bigint").alias("part"))
+    g = join_null_safe(x, part, ["conv_id", "_t"]).groupBy("conv_id", "part").agg(
+        _in_turn_order(_piece()), F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return g.select("conv_id", "part", "n_turns", "first_turn", "last_turn", _joined())
 
 
 def format_metrics(wk: DataFrame) -> DataFrame:

@@ -552,6 +552,13 @@ def text_sql(params: dict) -> dict[str, str]:
     q["transcript_last"] = pack + (
         "(SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) "
         f"WHERE r <= {params['transcript_last']['turns']} GROUP BY conv_id")
+    q["transcript_parts"] = (
+        "WITH t AS (SELECT *, '[' || CAST(turn AS VARCHAR) || ' ' || coalesce(role, '?') || '] ' || coalesce(text, '') AS p FROM conversations),\n"
+        "s AS (SELECT conv_id, turn, sum(length(p) + 1) AS n FROM t GROUP BY conv_id, turn),\n"
+        "b AS (SELECT conv_id, turn, CAST(coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING "
+        f"AND 1 PRECEDING), 0) // {params['transcript_parts']['part_chars']} AS BIGINT) AS part FROM s)\n"
+        "SELECT conv_id, part, count(*) AS n_turns, min(turn) AS first_turn, max(turn) AS last_turn, "
+        "string_agg(p, chr(10) ORDER BY turn) AS pack FROM t JOIN b USING (conv_id, turn) GROUP BY conv_id, part")
     V = with_views("wk")
     pct = lambda x, d: f"printf('%.{d}f%%', round_even(CAST({x} AS DOUBLE) * 100 * {float(10 ** d)}, 0) / {float(10 ** d)})"
     ints = lambda x: f"format('{{:,}}', CAST(floor(CAST({x} AS DOUBLE) + 0.5) AS BIGINT))"

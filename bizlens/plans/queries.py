@@ -46,6 +46,7 @@ PARAMS = {
     "cube_sample_cap": {"percent": 40},
     "truncate_middle": {"limit": 6000},
     "transcript_last": {"turns": 8},
+    "transcript_parts": {"part_chars": 2_000_000},
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
     "profile_target": {"target": "o_orderstatus"},
     "profile_target_events": {"target": "event_type"},
@@ -286,6 +287,7 @@ query("collapse_ws")(_tbl("documents", X.collapse_ws))
 query("json_recover")(_tbl("events", X.json_recover))
 query("transcript_pack")(_tbl("conversations", X.transcript_pack))
 query("transcript_last")(_tbl("conversations", lambda df: X.transcript_pack(df, **PARAMS["transcript_last"])))
+query("transcript_parts")(_tbl("conversations", lambda df: X.transcript_parts(df, **PARAMS["transcript_parts"])))
 query("scalar_rounding")(_tbl("orders", X.scalar_rounding))
 query("format_metrics")(_wk(lambda c: X.format_metrics(c.wk)))
 query("format_dates")(_wk(lambda c: X.format_dates(c.weeks)))

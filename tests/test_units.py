@@ -258,6 +258,46 @@ def test_skewed_group_top_k_and_aggregates(spark):
     assert cut["pack"] == "[9 assistant] c7"
 
 
+def test_transcript_parts_of_a_hot_conversation(spark):
+    """A conversation with a third of all rows comes whole, in many parts of bounded size that are grouped by
+    (conversation, part), also where its sizes are ranked in many buckets."""
+    from bizlens.operators.ranking import ROWS_PER_BUCKET_CONF
+    from bizlens.operators.textjobs import transcript_pack, transcript_parts
+    rows = [(0, t, "user", f"t{t}" * (1 + t % 7)) for t in range(3000)] + [(0, 3000, None, "x" * 900), (0, 3001, "user", None)]
+    rows += [(c, t, "assistant", f"c{c}t{t}") for c in range(1, 601) for t in range(10)] + [(None, 0, "user", "a")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(8, "text")
+    whole = {r["conv_id"]: (r["n_turns"], r["pack"]) for r in transcript_pack(conv).collect()}
+    for rows_per_bucket in ("2000000", "97"):
+        spark.conf.set(ROWS_PER_BUCKET_CONF, rows_per_bucket)
+        try:
+            parts = sorted(transcript_parts(conv, 500).collect(), key=lambda r: (r["conv_id"] is None, r["conv_id"], r["part"]))
+        finally:
+            spark.conf.unset(ROWS_PER_BUCKET_CONF)
+        got = {}
+        for r in parts:
+            got.setdefault(r["conv_id"], []).append(r)
+        assert {c: (sum(r["n_turns"] for r in p), "\n".join(r["pack"] for r in p)) for c, p in got.items()} == whole
+        assert len(got[0]) > 80 and len(got[1]) == 1
+        for r in got[0]:
+            assert r["last_turn"] - r["first_turn"] + 1 == r["n_turns"]
+            assert r["n_turns"] == 1 or len(r["pack"].rsplit("\n", 1)[0]) < 500
+
+
+def test_transcript_parts_match_sql(spark):
+    from bizlens.operators.textjobs import transcript_parts
+    from bizlens.plans.queries import PARAMS, oracle
+    from bizlens.sources.tables import Tables
+    from tests.compare import compare, duck
+    from tests.conftest import SF_ORACLE
+    size = PARAMS["transcript_parts"]["part_chars"]
+    sql = oracle()["transcript_parts"]
+    assert sql.count(f"// {size}") == 1
+    df = transcript_parts(Tables(spark, SF_ORACLE).conversations, 700)
+    assert df.where("part > 0").count() > 50
+    ok, msg = compare(df, duck(SF_ORACLE), sql.replace(f"// {size}", "// 700"))
+    assert ok, msg
+
+
 def test_skewed_value_profile_and_auc(spark):
     """A value holding a third of a column is one row after partial aggregation; the
     exact quantiles and AUC stay exact with many range buckets."""
