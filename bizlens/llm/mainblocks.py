@@ -13,7 +13,8 @@ joined by two line feeds in page order.
 
 Defined results: a null, empty or blank page and a page without content have an empty text; tags cut off at
 the end of a page are dropped, unclosed elements end with their parents, a head at the latest where something
-starts that cannot stand in one, end tags without a start are
+starts that cannot stand in one; the text of scripts and the like goes to their end tag or the page's end, that
+of hidden elements (svg, select, video and the like) as far as the element, none if its end tag is nowhere; end tags without a start are
 ignored; repeated rows stay; extra columns may have any name.
 """
 
@@ -32,8 +33,10 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .common import ready_python
 
 #: Elements of HTML by their part in a page.
-SKIPPED = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object", "select",
-           "canvas", "audio", "video", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "iframe", "textarea", "title", "xmp", "noembed", "noframes"}
+HIDDEN = {"noscript", "template", "svg", "select", "audio", "video"}
+#: Elements in which a block cannot stand, with what may hold one or be one there.
+NO_BLOCKS = {"svg": {"foreignobject", "desc"}, "select": {"option", "optgroup", "hr", "legend", "button"}}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog",
          "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
@@ -120,9 +123,12 @@ def blocks(html: str) -> list[Block]:
     stack = [root]
     found: list[Block] = []
     pieces: list[str] = []
-    state = {"linked": 0, "links": 0}
+    state = {"linked": 0, "links": 0, "hidden": 0}      # hidden: place in the stack of the outermost hidden element
+    endless: set[str] = set()
 
     def flush() -> None:
+        if state["hidden"]:
+            close(state["hidden"])
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
@@ -131,7 +137,7 @@ def blocks(html: str) -> list[Block]:
         state["linked"] = 0
 
     def say(raw: str) -> None:
-        if raw:
+        if raw and not state["hidden"]:
             if stack[-1].tag == "head" and raw.strip():
                 leave_head()
             text = unescape(raw) if "&" in raw else raw
@@ -142,6 +148,13 @@ def blocks(html: str) -> list[Block]:
     def close(at: int) -> None:
         state["links"] -= sum(e.tag == "a" for e in stack[at:])
         del stack[at:]
+        if at <= state["hidden"]:
+            state["hidden"] = 0
+
+    def ends_later(tag: str) -> bool:
+        if tag not in endless and not re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, pos):
+            endless.add(tag)
+        return tag not in endless
 
     def leave_head() -> None:
         at = next((i for i, e in enumerate(stack) if e.tag == "head"), 0)
@@ -164,21 +177,37 @@ def blocks(html: str) -> list[Block]:
         if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    if tag in BLOCK or any(e.tag in BLOCK for e in stack[i:]):
+                    if not 0 < state["hidden"] <= i and (tag in BLOCK or any(e.tag in BLOCK for e in stack[i:])):
                         flush()
                     close(i)
                     break
-                if stack[i].tag in WALLS and tag not in BLOCK:
+                if stack[i].tag in WALLS and tag not in BLOCK and tag not in HIDDEN:
                     break
             continue
-        if tag not in IN_HEAD:
+        if state["hidden"] and tag in BLOCK:
+            outer = stack[state["hidden"]].tag
+            holds = NO_BLOCKS.get(outer, {tag})
+            if tag not in holds and not any(e.tag in holds - BLOCK for e in stack[state["hidden"] + 1:]):
+                close(state["hidden"])
+        if tag not in IN_HEAD and not state["hidden"]:
             leave_head()
-        if tag in SKIPPED:
+        if tag in RAW:
             if not m[3].endswith("/"):
                 over = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, pos)
                 pos = over.end() if over else end
             pieces.append(" ")
             continue
+        if state["hidden"]:
+            if tag not in VOID and (tag in BLOCK or not m[3].endswith("/")):
+                stack.append(Element(tag, "", stack[state["hidden"]]))
+                state["links"] += tag == "a"
+            continue
+        if tag in HIDDEN:
+            pieces.append(" ")
+            if not m[3].endswith("/") and ends_later(tag):
+                state["hidden"] = len(stack)
+                stack.append(Element(tag, "", stack[-1]))
+            continue
         if tag in BLOCK:
             flush()
             # a block ends an open paragraph; list items, cells and the like end their own kind

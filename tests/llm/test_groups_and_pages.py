@@ -237,6 +237,27 @@ def test_a_head_without_end_tag_ends_where_the_body_starts(head, start, inside):
     assert mainblocks.main_text("<html>" + head.format(body)) == f"{ARTICLE}\n\nA short end."
 
 
+def test_unclosed_hidden_elements_do_not_swallow_the_page():
+    page = "<body><div>{}</div><article><p>%s</p></article></body>" % ARTICLE
+    for tag in ("svg", "math", "select", "object", "video", "audio", "canvas", "noscript", "template"):
+        for more in ("", f"<div><{tag}>x</{tag}></div>"):
+            assert ARTICLE in mainblocks.main_text(page.format(f"<{tag}>") + more), tag
+    assert ARTICLE in mainblocks.main_text(f"<body><svg><path><p>{ARTICLE}</p><svg></svg>")
+    for tag in ("script", "style", "textarea", "title", "iframe"):
+        assert mainblocks.main_text(page.format(f"<{tag}>")) == ""
+    for tag in ("svg", "select", "video", "audio", "noscript", "template"):
+        hidden = f"<p>{ARTICLE} <{tag}><div><b>hidden words</div></{tag}>end of it.</p>"
+        if tag not in ("svg", "select"):
+            assert mainblocks.main_text(hidden) == f"{ARTICLE} end of it."
+    assert mainblocks.main_text(f"<p>{ARTICLE} <svg><text>hid</text><foreignObject><div>den</div></foreignObject></svg>end.") == f"{ARTICLE} end."
+    assert mainblocks.main_text(f"<p>{ARTICLE} <select><option>a<option>b</select>end.") == f"{ARTICLE} end."
+
+
+def test_text_of_formulas_and_fallbacks_stays():
+    for tag in ("math", "object", "canvas"):
+        assert mainblocks.main_text(f"<article><p>{ARTICLE} So <{tag}><mi>x</mi> = 2</{tag}> it is.</p>") == f"{ARTICLE} So x = 2 it is."
+
+
 def test_minimum_cut_is_the_smallest():
     rng = np.random.default_rng(6)
     for _ in range(80):
