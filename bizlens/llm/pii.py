@@ -36,9 +36,9 @@ ROUNDS = 8
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+"
 IPV4 = r"(?<![\p{L}\p{N}.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])(?![\p{L}])"
-SECRET = r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,64}(?![\p{L}\p{N}])"
+SECRET = r"(?<![\p{L}\p{N}])(?=[A-Fa-f]*[0-9])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{32,}+(?![\p{L}\p{N}])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
-DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![\p{L}\p{N}]|[./-][0-9])"
+DATE = r"(?<![\p{L}\p{N}./-])(?:[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})(?!(?![Tt][0-9]{2}:?[0-9]{2})[\p{L}\p{N}]|[./-][0-9])"
 SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])"
 CARD = r"(?<![\p{L}\p{N}])[0-9](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}])"
 NATIONAL = r"(?<![\p{L}\p{N}])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![\p{L}\p{N}])"
@@ -202,12 +202,23 @@ def _ssn(key: str, m: Column) -> Column:
     return let(walk(digits_of(m), lambda d: permute_digits(key, "ssn", d), _ssn_ok), lambda d: put_digits(m, d))
 
 
+def _date_parts(m: Column) -> Column:
+    """Struct of year, month, day (strings), and whether day and month stand the other way round than is usual: day.month.year,
+    month/day/year, unless the month would be over 12."""
+    at = [F.get(F.split(m, "[./-]"), F.lit(i)) for i in range(3)]
+    a, b, c = at
+
+    def read(y: Column, mo: Column, d: Column, turned: bool) -> Column:
+        return F.struct(y.alias("y"), mo.alias("m"), d.alias("d"), F.lit(turned).alias("turned"))
+
+    dotted = F.contains(m, F.lit("."))
+    return F.when(F.length(a) == 4, read(a, b, c, False)) \
+        .when(dotted & (b.cast("int") > 12), read(c, a, b, True)).when(dotted, read(c, b, a, False)) \
+        .when(a.cast("int") > 12, read(c, b, a, True)).otherwise(read(c, a, b, False))
+
+
 def _date_of(m: Column) -> Column:
-    iso = m.substr(5, 1) == "-"
-    # day.month.year, month/day/year
-    shape = F.when(iso, m).when(m.substr(3, 1) == ".", F.concat_ws("-", m.substr(7, 4), m.substr(4, 2), m.substr(1, 2))) \
-        .otherwise(F.concat_ws("-", m.substr(7, 4), m.substr(1, 2), m.substr(4, 2)))
-    return F.try_to_date(shape, "yyyy-MM-dd")
+    return let(_date_parts(m), lambda p: F.try_to_date(F.concat_ws("-", p["y"], F.lpad(p["m"], 2, "0"), F.lpad(p["d"], 2, "0")), "yyyy-MM-dd"))
 
 
 def _date_ok(m: Column) -> Column:
@@ -224,8 +235,21 @@ def _date(key: str, m: Column) -> Column:
 
     day = let(walk(F.datediff(_date_of(m), first).cast("bigint"), step, lambda n: n < _DAYS),
               lambda n: F.date_add(first, n.cast("int")))
-    return let(day, lambda d: F.when(m.substr(5, 1) == "-", F.date_format(d, "yyyy-MM-dd"))
-               .when(m.substr(3, 1) == ".", F.date_format(d, "dd.MM.yyyy")).otherwise(F.date_format(d, "MM/dd/yyyy")))
+    # 1-digit months and days stay without zeros; the other way round only where it can be read no other way
+    short = m.rlike(r"(?<![0-9])[0-9](?![0-9])")
+
+    def written(d: Column) -> Column:
+        turned = _date_parts(m)["turned"] & (F.dayofmonth(d) > 12)
+
+        def form(padded: str, plain: str) -> Column:
+            return F.when(short, F.date_format(d, plain)).otherwise(F.date_format(d, padded))
+
+        dotted = F.contains(m, F.lit("."))
+        return F.when(m.rlike(r"\A[0-9]{4}"), form("yyyy-MM-dd", "yyyy-M-d")) \
+            .when(dotted & turned, form("MM.dd.yyyy", "M.d.yyyy")).when(dotted, form("dd.MM.yyyy", "d.M.yyyy")) \
+            .when(turned, form("dd/MM/yyyy", "d/M/yyyy")).otherwise(form("MM/dd/yyyy", "M/d/yyyy"))
+
+    return let(day, written)
 
 
 def _phone_ok(m: Column) -> Column:
@@ -257,7 +281,10 @@ def _email(key: str, m: Column) -> Column:
 
 
 def _secret(key: str, m: Column) -> Column:
-    token = F.substr(_digest(key, "secret", F.lower(m)), F.lit(1), F.length(m))
+    # one digest for each 64 digits, the first without a number
+    digests = F.transform(F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64)), lambda i: _digest(
+        key, "secret", F.when(i == 0, F.lower(m)).otherwise(F.concat_ws("|", i.cast("string"), F.lower(m)))))
+    token = F.substr(F.array_join(digests, ""), F.lit(1), F.length(m))
     return F.when(F.upper(m) == m, F.upper(token)).otherwise(token)
 
 

@@ -234,6 +234,27 @@ def test_values_beside_other_numbers_and_capitals(spark):
     assert kinds == ["iban", "card", "phone", "ssn"] and out.startswith(f"7 {alone[iban][0]} {alone[card][0]} 12 ")
 
 
+def test_long_secrets_and_more_dates(spark):
+    token = "0123456789abcdef" * 8
+    texts = [token, token[:70].upper(), token[:64], "at 2024-05-01T10:00:00Z", "2024-5-1", "1.5.2024", "01.05.2024", "5/1/2024",
+             "05/01/2024", "25/12/2024", "12/25/2024", "12.25.2024", "2024-12-25", "2024-05-01x", "31/31/2024", "2024-05-01Tue"]
+    got = {t: out for t, (out, _) in pseudonyms_of(spark, texts).items()}
+    for t in (token, token[:70].upper(), token[:64]):
+        assert re.fullmatch(rf"[0-9a-fA-F]{{{len(t)}}}", got[t]) and got[t] != t
+        assert (got[t].upper() if t.isupper() else got[t].lower()) == got[t] and not any(t[i:i + 16] in got[t] for i in range(0, len(t) - 15, 16))
+    assert got[token][64:] != got[token][:64]
+    y, m, d = re.fullmatch(r"at (\d{4})-(\d\d)-(\d\d)T10:00:00Z", got["at 2024-05-01T10:00:00Z"]).groups()
+    assert (y, m, d) != ("2024", "05", "01")
+    assert got["2024-5-1"] == f"{y}-{int(m)}-{int(d)}" and got["1.5.2024"] == f"{int(d)}.{int(m)}.{y}"
+    assert got["01.05.2024"] == f"{d}.{m}.{y}" and got["5/1/2024"] == f"{int(m)}/{int(d)}/{y}" and got["05/01/2024"] == f"{m}/{d}/{y}"
+    y, m, d = got["2024-12-25"].split("-")
+    assert got["12/25/2024"] == f"{m}/{d}/{y}"
+    assert got["25/12/2024"] == (f"{d}/{m}/{y}" if int(d) > 12 else f"{m}/{d}/{y}")
+    assert got["12.25.2024"] == (f"{m}.{d}.{y}" if int(d) > 12 else f"{d}.{m}.{y}")
+    for t in texts[-3:]:
+        assert got[t] == t
+
+
 def test_digit_permutation_is_one_to_one(spark):
     df = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d"))
     got = df.select("d", pii.permute_digits("k", "test", F.col("d")).alias("p")).collect()
