@@ -15,7 +15,7 @@ from decimal import Decimal
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, Imputer, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +31,8 @@ TEST_FRACTION = Decimal("0.25")
 GBT_PARAMS = {"maxIter": 250, "stepSize": 0.08, "maxDepth": 4, "seed": 42}
 PERM_REPEATS = 6
 FIT_PARTITION_ROWS = 50_000
-MAX_TEXT_FEATURE_LEVELS = 1000   # a text column with more levels is no feature: its dictionary would be on the driver
+MAX_TEXT_FEATURE_LEVELS = 1000   # a text column with more levels is hashed: its dictionary would be on the driver
+HASHED_FEATURES = 1024           # slots that the levels of all hashed columns share
 
 
 def split_hash(id_col: str) -> F.Column:
@@ -79,9 +80,9 @@ def leak_suspects(df: DataFrame, label: str) -> list[str]:
     return [r["column"] for r in leakage_scan(df, label).where("flagged").select("column").collect()]
 
 
-def build_pipeline(num: list[str], cat: list[str], label: str) -> Pipeline:
+def build_pipeline(num: list[str], cat: list[str], label: str, wide: list[str] = ()) -> Pipeline:
     """Median imputation plus missing indicators (GBT has no NaN routing), one-hot
-    with a slot for unseen/missing levels, boosted trees."""
+    with a slot for unseen/missing levels, hashed slots without a dictionary for ``wide`` text columns, boosted trees."""
     stages = []
     imputed = [f"{c}_imp" for c in num]
     if num:
@@ -93,7 +94,10 @@ def build_pipeline(num: list[str], cat: list[str], label: str) -> Pipeline:
                                     stringOrderType="alphabetAsc"))
         stages.append(OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=False, handleInvalid="keep"))
     miss = [f"{c}_missing" for c in num]
-    stages.append(VectorAssembler(inputCols=imputed + miss + ohe, outputCol="features"))
+    hashed = ["hashed_levels"] if wide else []
+    if wide:
+        stages.append(FeatureHasher(inputCols=list(wide), outputCol=hashed[0], numFeatures=HASHED_FEATURES))
+    stages.append(VectorAssembler(inputCols=imputed + miss + ohe + hashed, outputCol="features"))
     stages.append(GBTClassifier(featuresCol="features", labelCol=label, **GBT_PARAMS))
     return Pipeline(stages=stages)
 
@@ -114,6 +118,7 @@ class ChurnModel:
         for c in self.num:
             base = base.withColumn(c, F.col(c).cast("double"))
         few = low_cardinality(base, self.cat, MAX_TEXT_FEATURE_LEVELS)
+        self.wide = [c for c in self.cat if c not in few]
         self.cat = [c for c in self.cat if c in few]
         # one written table: fitting, scoring and the permutation variants all read
         # the split feature frame instead of recomputing the ranking jobs
@@ -122,7 +127,7 @@ class ChurnModel:
         train = self.data.where(F.col("split") == "train")
         # a boosting round is several jobs: a small frame in many partitions is mostly scheduling
         train = train.coalesce(max(1, -(-train.count() // FIT_PARTITION_ROWS)))
-        self.model: PipelineModel = build_pipeline(self.num, self.cat, label).fit(train)
+        self.model: PipelineModel = build_pipeline(self.num, self.cat, label, self.wide).fit(train)
 
     def score(self, df: DataFrame | None = None) -> DataFrame:
         d = self.data if df is None else df
@@ -151,7 +156,7 @@ class ChurnModel:
         shuffle of all test rows, the same for every feature: the row at place k of one hash order gives
         its values to the row at place k of another."""
         test = self.data.where(F.col("split") == "test")
-        feats = self.num + self.cat
+        feats = self.num + self.cat + self.wide
         reps = F.explode(F.array(*[F.lit(r) for r in range(repeats)])).alias("rep")
 
         def placed(seed: int, columns: list) -> DataFrame:

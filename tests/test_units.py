@@ -298,6 +298,20 @@ def test_transcript_parts_match_sql(spark):
     assert ok, msg
 
 
+def test_text_columns_with_many_levels_are_features(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from bizlens.operators import scoring
+    monkeypatch.setattr(scoring, "MAX_TEXT_FEATURE_LEVELS", 40)
+    monkeypatch.setattr(scoring, "GBT_PARAMS", {**scoring.GBT_PARAMS, "maxIter": 20, "stepSize": 0.5})
+    level = F.pmod(F.xxhash64("id"), F.lit(60))
+    df = spark.range(3000).select("id", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50)).alias("x"), F.when(level != 7, F.concat(F.lit("level "), level)).alias("name"),
+                                  F.when(level < 20, 1).otherwise(0).alias("churned"))
+    model = scoring.ChurnModel(df)
+    assert model.wide == ["name"] and model.cat == []
+    assert model.holdout_auc().first()["auc"] > 0.7
+    assert model.permutation_importance(repeats=1).first()["feature"] == "name"
+
+
 def test_skewed_value_profile_and_auc(spark):
     """A value holding a third of a column is one row after partial aggregation; the
     exact quantiles and AUC stay exact with many range buckets."""
