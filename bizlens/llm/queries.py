@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, langid, mainblocks, mixing, pii, quality, simhash, toxicity, warc
+from . import bpe, embeddings, importance, langid, mainblocks, mixing, pii, quality, simhash, toxicity, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -161,3 +161,57 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html")
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mainblocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+@query("op11_importance")
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"), order=1, buckets=10_000,
+                               min_words=20, share=(10, 100), seed=2024) \
+        .select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: CRC-32 (the reflected polynomial 0xEDB88320) is written out over the distinct words' bytes.
+ORACLE_SQL["op11_importance"] = r"""
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS (
+  SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents),
+b AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark),
+raw AS (SELECT rid, w, count(*) AS n FROM (SELECT rid, unnest(ws) AS w FROM d) GROUP BY rid, w),
+raw_all AS (SELECT w, sum(n)::BIGINT AS n FROM raw GROUP BY w),
+aim_all AS (SELECT w, count(*) AS n FROM (SELECT unnest(ws) AS w FROM b) GROUP BY w),
+hexed AS (SELECT w, hex(encode(w)) AS hx FROM (SELECT w FROM raw_all UNION SELECT w FROM aim_all)),
+bucket AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(hx), 2), lambda i:
+      16 * (instr('0123456789ABCDEF', substr(hx, i, 1)) - 1) + instr('0123456789ABCDEF', substr(hx, i + 1, 1)) - 1)),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bk
+  FROM hexed, crc_table),
+s AS (SELECT bk, sum(n)::BIGINT AS s FROM raw_all JOIN bucket USING (w) GROUP BY bk),
+t AS (SELECT bk, sum(n)::BIGINT AS t FROM aim_all JOIN bucket USING (w) GROUP BY bk),
+sums AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::BIGINT AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::BIGINT AS t_all),
+gain AS (
+  SELECT bk, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000))
+                             / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000))))::BIGINT AS g
+  FROM s FULL JOIN t USING (bk), sums),
+mean AS (
+  SELECT rid, floor(sum(n * g)::DOUBLE / sum(n))::BIGINT AS weight
+  FROM raw JOIN bucket USING (w) JOIN gain USING (bk) GROUP BY rid),
+scored AS (
+  SELECT d.rid, d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    (list_reduce(list_prepend(0::BIGINT, list_transform(range(1, 9), lambda i: instr('0123456789abcdef',
+        substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), i, 1)) - 1)), lambda a, x: 16 * a + x) + 0.5)::DOUBLE AS h
+  FROM d LEFT JOIN mean USING (rid)),
+noisy AS (SELECT rid, doc_id, n_features, weight, weight + floor(-1000 * ln(-ln(h / 4294967296)))::BIGINT AS score FROM scored),
+ranked AS (
+  SELECT rid, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS r, count(*) OVER () AS n
+  FROM noisy WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
+FROM noisy LEFT JOIN ranked USING (rid)
+"""
