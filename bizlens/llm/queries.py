@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embeddings, importance, langid, mainblocks, mixing, pii, quality, simhash, toxicity, warc
+from . import bpe, embeddings, importance, langid, mainblocks, mixing, phrases, pii, quality, simhash, toxicity, warc
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,39 @@ ranked AS (
 SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank
 FROM noisy LEFT JOIN ranked USING (rid)
 """
+
+
+@query("op12_phrases")
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents").select("lang", "text"), least=30, longest=4, top=2000)
+
+
+ORACLE_SQL["op12_phrases"] = r"""
+WITH w AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+')), '[^\x20\x09]+') AS ws
+  FROM documents),
+spot AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+runs AS (
+  SELECT lang, k AS size, ws[i:i + k - 1] AS p FROM spot, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(ws)),
+f AS (SELECT lang, size, p, count(*) AS f FROM runs GROUP BY lang, size, p),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+cand AS (SELECT lang, size, p, f AS a FROM f WHERE size > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.size, c.p, c.a, k, x.f AS l, y.f AS r, ((2000000::HUGEINT * c.a) // (x.f + y.f))::BIGINT AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.p = c.p[1:k] JOIN f y ON y.lang = c.lang AND y.p = c.p[k + 1:c.size]),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, q, max(a) AS longer FROM (
+    SELECT lang, a, p[1:2] AS q FROM cand WHERE size > 2 UNION ALL SELECT lang, a, p[2:3] FROM cand WHERE size > 2
+    UNION ALL SELECT lang, a, p[3:4] FROM cand WHERE size > 3
+    UNION ALL SELECT lang, a, p[1:3] FROM cand WHERE size > 3 UNION ALL SELECT lang, a, p[2:4] FROM cand WHERE size > 3)
+  GROUP BY lang, q),
+kept AS (
+  SELECT b.lang, array_to_string(b.p, ' ') AS phrase, b.a, b.l, b.r, b.score
+  FROM best b LEFT JOIN inside s ON s.lang = b.lang AND s.q = b.p
+  WHERE s.longer IS NULL OR 100 * s.longer < 80 * b.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
