@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import use_query_conf
 from .common import ready_python
-from .templates import FILTERS, Output, Template, loop_state
+from .templates import Output, Template, as_text, loop_state
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -50,8 +50,15 @@ def unguard_line(text: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m.group(1) == "n" else m.group(1), unguard(text), flags=re.S)
 
 
-CHAT_FILTERS = {"guard": lambda v: guard("" if v is None else str(v)),
-                "guard_line": lambda v: guard_line("" if v is None else str(v))}
+def _guard_value(v) -> str:
+    return guard(as_text(v))
+
+
+def _guard_line_value(v) -> str:
+    return guard_line(as_text(v))
+
+
+CHAT_FILTERS = {"guard": _guard_value, "guard_line": _guard_line_value}
 
 CHATML = """
 {%- for m in messages -%}
@@ -205,4 +212,4 @@ def _batch(rows: list[tuple], names: list[str], id_type: pa.DataType) -> pa.Reco
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
-__all__ = ["CHATML", "FILTERS", "compile_chat", "format_turns", "guard", "read_back", "unguard"]
+__all__ = ["CHATML", "compile_chat", "format_turns", "guard", "read_back", "unguard"]
