@@ -27,6 +27,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column name as ``F.col`` reads it, dots and back-ticks included."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, lengthened until no column of ``df`` is called so (whatever the case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)
+
+
 def ready_python(spark: SparkSession) -> None:
     """Prepare a session for Python stages: bound their Arrow batches (texts may be long, and a
     batch is held whole in a worker; a smaller value set by the user stays), and ship this package
@@ -63,5 +80,5 @@ def pieces(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-__all__ = ["SPACE_CLASS", "WORD", "ensure_checkpoint_dir", "held_out", "pieces", "ready_python", "scratch_path",
-           "table", "written_table"]
+__all__ = ["SPACE_CLASS", "WORD", "ensure_checkpoint_dir", "held_out", "pieces", "quoted", "ready_python",
+           "scratch_path", "table", "unused", "written_table"]

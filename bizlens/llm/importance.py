@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from ..operators.ranking import join_null_safe, prefix_sums
 from ..session import use_query_conf
-from .common import ready_python, written_table
+from .common import quoted, ready_python, written_table
 
 #: Most frequent words and pairs, each, that get a look-up entry (some 10 MB on an executor).
 HEAD = 65_536
@@ -144,7 +144,7 @@ def head_features(docs: DataFrame, text_col: str, order: int, limit: int) -> tup
                 [pa.array([size] * len(top), pa.int32()), pa.array([k for k, _ in top], pa.binary()),
                  pa.array([v for _, v in top], pa.int64())], names=["size", "feature", "n"])
 
-    parts = docs.select(F.col(_quoted(text_col)).cast("binary").alias("t")) \
+    parts = docs.select(F.col(quoted(text_col)).cast("binary").alias("t")) \
         .mapInArrow(summarise, "size int, feature binary, n bigint")
     merged = parts.groupBy("size", "feature").agg(F.sum("n").alias("n"))
     words: dict = {}
@@ -160,10 +160,6 @@ def head_features(docs: DataFrame, text_col: str, order: int, limit: int) -> tup
     return words, pairs
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def bucket_totals(docs: DataFrame, text_col: str, order: int, buckets: int, head) -> np.ndarray:
     """Exact count of features in each bucket over all rows: one array a task, added up."""
 
@@ -179,7 +175,7 @@ def bucket_totals(docs: DataFrame, text_col: str, order: int, buckets: int, head
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())],
                                          names=["bucket", "n"])
 
-    rows = docs.select(F.col(_quoted(text_col)).cast("binary").alias("t")) \
+    rows = docs.select(F.col(quoted(text_col)).cast("binary").alias("t")) \
         .mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(buckets, np.int64)
     for r in rows:
@@ -219,8 +215,8 @@ def weights(docs: DataFrame, id_col: str, text_col: str, order: int, head, gains
 
     schema = T.StructType([T.StructField("_id", T.LongType())]
                           + [T.StructField(n, T.LongType()) for n in ("n_words", "n_features", "weight")])
-    return docs.select(F.col(_quoted(id_col)).cast("bigint").alias("_id"),
-                       F.col(_quoted(text_col)).cast("binary").alias("_text")).mapInArrow(weigh, schema)
+    return docs.select(F.col(quoted(id_col)).cast("bigint").alias("_id"),
+                       F.col(quoted(text_col)).cast("binary").alias("_text")).mapInArrow(weigh, schema)
 
 
 def gumbel(doc_id: Column, seed: int) -> Column:

@@ -3,16 +3,18 @@
 One pass of a combined pattern cuts a text into the pieces between candidates and the
 candidates themselves.  Candidates are validated by kind; those that fail stay as they are.
 Card numbers and IBANs are looked for in whole runs of groups of digits and capitals, at every
-group, so that other numbers or capitals beside a valid one do not hide it.  The others are replaced by a keyed permutation of their own format, so that equal values get
+group, so that other numbers or capitals beside a valid one do not hide it; a run takes time in proportion to its groups.
+The others are replaced by a keyed permutation of their own format, so that equal values get
 equal pseudonyms in every document, different values different ones, and a pseudonym is
 valid again:
 
-* payment card numbers (13 to 19 digits, Luhn): the digits before the check digit are permuted by a
-  Feistel network over decimal halves, the check digit is computed anew;
+* payment card numbers (an issuer's prefix and one of its lengths, Luhn): the digits before the check digit are
+  permuted by a Feistel network over decimal halves, the check digit is computed anew;
 * IBANs (mod 97): digits of the account part, check digits anew;
 * social security numbers and dates: permuted, walking on until the value is a valid one again
   (dates between 1900-01-01 and 2099-12-31);
-* telephone numbers: all digits after the country code; IPv4 addresses: their 32 bits;
+* telephone numbers: all digits after the country code, which is read from the list of codes, so that one number has one
+  pseudonym however it is spaced; IPv4 addresses: their 32 bits;
 * e-mail addresses and secret tokens have no number format; they get a keyed digest in the shape of an
   address and of a hexadecimal token.
 
@@ -30,6 +32,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted, unused
+
 #: Key of the pseudonyms; production passes its own secret.
 DEFAULT_KEY = "bizlens-pseudonyms"
 ROUNDS = 8
@@ -51,6 +55,15 @@ _GROUP = rf"(?!{'|'.join([EMAIL, SECRET, IPV4, DATE, SSN, NATIONAL])})[A-Z0-9]++
 RUN = rf"(?<![\p{{L}}\p{{N}}])(?=[0-9]|[A-Z]{{2}}[0-9]{{2}})(?=(?:[ -]?[A-Z0-9]){{12}}){_GROUP}(?:[ -]{_GROUP})*+"
 ANY = "|".join([EMAIL, SECRET, IPV4, DATE, SSN, PHONE, RUN])
 
+#: Country codes of telephone numbers (others have three digits).
+COUNTRY_CODE = r"\A\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+#: Prefixes and lengths of the card issuers.
+ISSUERS = {"4": "13|16|19", "5[1-5]": "16", "222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720": "16", "3[47]": "15",
+           "30[0-5]|3095|36|3[89]": "14|16|17|18|19", "6011|64[4-9]|65": "16|17|18|19", "35(?:2[89]|[3-8][0-9])": "16|17|18|19",
+           "62|81": "16|17|18|19", "50(?:18|20|38)|5893|6304|6759|676[1-3]": "13|14|15|16|17|18|19", "220[0-4]": "16|17|18|19"}
+CARD_PREFIX = r"\A(?:" + "|".join(ISSUERS) + ")"
+CARD_NUMBER = r"\A(?:" + "|".join(rf"(?=(?:{prefix}))(?:{'|'.join(f'[0-9]{{{n}}}' for n in lengths.split('|'))})\z"
+                                  for prefix, lengths in ISSUERS.items()) + ")"
 #: How cards are written, and the length of IBANs by country.
 CARD_SHAPE = r"\A(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})\z"
 IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
@@ -155,8 +168,8 @@ def _is(pattern: str) -> Callable[[Column], Column]:
 
 
 def _card_ok(m: Column) -> Column:
-    return F.coalesce(let(digits_of(m), lambda d: F.substr(d, F.length(d), F.lit(1)).cast("bigint")
-                          == luhn(F.substr(d, F.lit(1), F.length(d) - 1))), F.lit(False))
+    return F.coalesce(let(digits_of(m), lambda d: d.rlike(CARD_NUMBER) & (
+        F.substr(d, F.length(d), F.lit(1)).cast("bigint") == luhn(F.substr(d, F.lit(1), F.length(d) - 1)))), F.lit(False))
 
 
 def _card(key: str, m: Column) -> Column:
@@ -257,7 +270,7 @@ def _phone_ok(m: Column) -> Column:
 
 
 def _phone(key: str, m: Column) -> Column:
-    code = F.regexp_extract(m, r"\A\+[0-9]{1,3}(?=[ .(-])", 0)
+    code = F.regexp_extract(m, COUNTRY_CODE, 0)
     rest = F.substr(m, F.length(code) + 1)
     return F.concat(code, let(rest, lambda r: put_digits(r, permute_digits(key, "phone", digits_of(r)))))
 
@@ -313,42 +326,69 @@ def run_pieces(m: Column) -> Column:
 
     def judged(s: Column, i: Column, j: Column) -> Column:
         iban, card = (KINDS[k][0](s) for k in IN_RUNS)
-        usual = F.when(s.rlike(CARD_SHAPE), 2).otherwise(4) + F.when(s.rlike("\\A[2-6]"), 0).otherwise(1)
+        usual = F.when(s.rlike(CARD_SHAPE), 2).otherwise(3)
         rank = F.when(iban, F.when(_iban_shaped(s), 0).otherwise(1)).when(card, usual)
         return let(rank, lambda r: F.struct(r.alias("r"), (-F.length(s)).alias("n"), i.alias("i"), j.alias("j"),
                                             F.when(r < 2, F.lit("iban")).otherwise(F.lit("card")).alias("k"), s.alias("m")))
 
-    def spans(tokens: Column, i: Column) -> Column:
-        first = F.get(tokens, i)
-        reach = F.when(first.rlike(r"\A[A-Z]{2}[0-9]{2}"), 2 * _IBAN_GROUPS - 2).when(first.rlike(r"\A[0-9]+\z"), 2 * _CARD_GROUPS - 2)
-        found = F.transform(F.sequence(i, F.least(i + reach, F.size(tokens) - 1)),
-                            lambda j: let(F.array_join(F.slice(tokens, i + 1, j - i + 1), ""), lambda s: judged(s, i, j)))
-        return F.when(reach.isNotNull(), F.filter(found, lambda x: x["r"].isNotNull())).otherwise(F.slice(found, 1, 0))
+    def numbers(a: Column, b: Column, step: int = 1) -> Column:
+        return F.when(a <= b, F.sequence(a, b, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
-    def cut(tokens: Column, kept: Column) -> Column:
-        def at(i: Column) -> Column:
-            over = F.get(F.filter(kept, lambda x: (x["i"] <= i) & (i <= x["j"])), F.lit(0))
-            return let(over, lambda x: F.when(x.isNull(), F.struct(F.get(tokens, i).alias("m"), none.alias("k")))
-                       .when(x["i"] == i, F.struct(x["m"].alias("m"), x["k"].alias("k"))))
-        return F.filter(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), at), lambda p: p.isNotNull())
+    def of(tokens: Column) -> Column:
+        # groups are at even places, what stands between them at odd ones; single look-ups only, a slice copies the whole array
+        last = F.size(tokens) - 1
+
+        def text(i: Column, j: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(i, j), lambda k: F.get(tokens, k)), "")
+
+        def spans(i: Column) -> Column:
+            first = F.get(tokens, i)
+            start = F.regexp_replace(text(i, F.least(i + 6, last)), "[ -]", "")
+            reach = F.when(first.rlike(r"\A[A-Z]{2}[0-9]{2}"), 2 * _IBAN_GROUPS - 2) \
+                .when(first.rlike(r"\A[2-8][0-9]{0,18}\z") & start.rlike(CARD_PREFIX), 2 * _CARD_GROUPS - 2)
+            return let(reach, lambda r: F.filter(F.transform(
+                F.when(r.isNull(), F.array().cast("array<int>")).otherwise(numbers(i, F.least(i + r, last), 2)),
+                lambda j: let(text(i, j), lambda s: judged(s, i, j))), lambda x: x["r"].isNotNull()))
+
+        def cut(at: Column, s: Column, e: Column) -> Column:
+            """Pieces of the tokens s to e; no value reaches across their ends."""
+            found = F.flatten(F.transform(numbers(s + F.pmod(s, F.lit(2)), e, 2), lambda k: F.get(at, (k / 2).cast("int"))))
+
+            def placed(kept: Column) -> Column:
+                def piece(i: Column) -> Column:
+                    over = F.get(F.filter(kept, lambda x: (x["i"] <= i) & (i <= x["j"])), F.lit(0))
+                    return let(over, lambda x: F.when(x.isNull(), F.struct(F.get(tokens, i).alias("m"), none.alias("k")))
+                               .when(x["i"] == i, F.struct(x["m"].alias("m"), x["k"].alias("k"))))
+                return F.filter(F.transform(F.sequence(s, e), piece), lambda p: p.isNotNull())
+
+            return let(found, lambda x: F.when(F.size(x) == 0, F.array(F.struct(text(s, e).alias("m"), none.alias("k"))))
+                       .otherwise(let(choose(x), placed)))
+
+        def resolve(at: Column) -> Column:
+            # where no value found reaches across, the run falls apart into stretches that decide for themselves
+            inside = F.flatten(F.transform(F.flatten(at), lambda x: numbers(x["i"] + 1, x["j"])))
+            starts = F.concat(F.array(F.lit(0)), F.array_except(numbers(F.lit(1), last), inside))
+            return let(starts, lambda a: F.flatten(F.transform(
+                a, lambda s, n: cut(at, s, F.coalesce(F.get(a, n + 1) - 1, last)))))
+
+        return let(F.transform(F.sequence(F.lit(0), last, F.lit(2)), spans), lambda at: F.when(
+            F.forall(at, lambda x: F.size(x) == 0), F.array(F.struct(m.alias("m"), none.alias("k")))).otherwise(resolve(at)))
 
     def choose(found: Column) -> Column:
         return F.aggregate(F.array_sort(found), F.slice(found, 1, 0), lambda kept, x: F.when(
             F.exists(kept, lambda y: (y["i"] <= x["j"]) & (x["i"] <= y["j"])), kept).otherwise(F.concat(kept, F.array(x))))
 
-    def of(tokens: Column) -> Column:
-        found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(tokens) - 1), lambda i: spans(tokens, i)))
-        return let(found, lambda x: F.when(F.size(x) == 0, F.array(F.struct(m.alias("m"), none.alias("k"))))
-                   .otherwise(let(choose(x), lambda kept: cut(tokens, kept))))
-
-    return let(F.regexp_extract_all(m, F.lit("([A-Z0-9]+|[^A-Z0-9]+)"), F.lit(0)), of)
+    tokens = F.regexp_extract_all(m, F.lit("([A-Z0-9]+|[^A-Z0-9]+)"), F.lit(0))
+    return let(F.when(m.rlike("\\A[A-Z0-9]"), tokens).otherwise(F.concat(F.array(F.lit("")), tokens)), of)
 
 
 def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY,
                  names: tuple[str, str] = ("_pii_text", "_pii_kinds")) -> DataFrame:
     """Adds the text with pseudonyms and the array of the kinds found, one entry a value replaced."""
+    text = quoted(text)
     candidate = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(0)))
-    found = docs.withColumn("_pii_found", F.coalesce(candidate, F.array().cast("array<string>")))
+    inner = unused(docs, "_pii_found", "_pii_known")
+    found = docs.withColumn(inner[0], F.coalesce(candidate, F.array().cast("array<string>")))
 
     def kind(m: Column) -> Column:
         c = None
@@ -367,11 +407,11 @@ def pseudonymise(docs: DataFrame, text: str = "text", key: str = DEFAULT_KEY,
     def pieces(m: Column) -> Column:
         return let(kind(m), lambda k: F.when(k.isNotNull(), F.array(F.struct(m.alias("m"), k.alias("k")))).otherwise(run_pieces(m)))
 
-    known = F.transform("_pii_found", pieces)
-    found = found.withColumn("_pii_known", known)
-    done = F.transform("_pii_known", lambda p: F.array_join(F.transform(p, pseudonym), ""))
+    known = F.transform(inner[0], pieces)
+    found = found.withColumn(inner[1], known)
+    done = F.transform(inner[1], lambda p: F.array_join(F.transform(p, pseudonym), ""))
     between = F.split(F.col(text), ANY, -1)
     joined = F.array_join(F.zip_with(between, F.concat(done, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    out = found.withColumn(names[0], F.when(F.size("_pii_found") == 0, F.col(text)).otherwise(joined)) \
-        .withColumn(names[1], F.filter(F.transform(F.flatten("_pii_known"), lambda x: x["k"]), lambda k: k.isNotNull()))
-    return out.drop("_pii_found", "_pii_known")
+    out = found.withColumn(names[0], F.when(F.size(inner[0]) == 0, F.col(text)).otherwise(joined)) \
+        .withColumn(names[1], F.filter(F.transform(F.flatten(inner[1]), lambda x: x["k"]), lambda k: k.isNotNull()))
+    return out.drop(inner[0], inner[1])

@@ -234,6 +234,41 @@ def test_values_beside_other_numbers_and_capitals(spark):
     assert kinds == ["iban", "card", "phone", "ssn"] and out.startswith(f"7 {alone[iban][0]} {alone[card][0]} 12 ")
 
 
+def test_runs_of_numbers_take_linear_time(spark):
+    import time
+    rng = np.random.default_rng(5)
+    groups = [f"{x:04d}" for x in rng.integers(0, 10_000, 100_000)]
+    cards = " ".join(["4111 1111 1111 1111 5500 0000 0000 0004 3782 822463 10005"] * 3_000)
+    texts = [" ".join(groups[:10]), " ".join(groups), cards]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    t0 = time.time()
+    got = {r.doc_id: (r._pii_text, r._pii_kinds) for r in pii.pseudonymise(rows).collect()}
+    assert time.time() - t0 < 90
+    alone = pseudonyms_of(spark, ["4111 1111 1111 1111 5500 0000 0000 0004 3782 822463 10005"])
+    (out, kinds), = alone.values()
+    assert kinds == ["card"] * 3 and got[2] == (" ".join([out] * 3_000), ["card"] * 9_000)
+    # an issuer prefix and length (a quarter of all) and a right check digit
+    assert len(got[1][1]) < 0.04 * len(groups) and len(got[1][0]) == len(texts[1])
+
+
+def test_one_pseudonym_for_all_spellings_of_a_telephone_number(spark):
+    same = ["+12125551234", "+1 212 555 1234", "+1-212-555-1234", "+1 (212) 555-1234", "+1.212.555.1234"]
+    got = pseudonyms_of(spark, [*same, "212-555-1234", "+49301234567", "+49 30 1234567", "+420 601 123 456", "+420601123456"])
+    digits = {re.sub(r"\D", "", got[t][0]) for t in same}
+    assert len(digits) == 1 and all(got[t][0].startswith("+1") and got[t][1] == ["phone"] for t in same)
+    assert "1" + re.sub(r"\D", "", got["212-555-1234"][0]) in digits
+    for a, b in (("+49301234567", "+49 30 1234567"), ("+420 601 123 456", "+420601123456")):
+        assert re.sub(r"\D", "", got[a][0]) == re.sub(r"\D", "", got[b][0]) != re.sub(r"\D", "", a)
+        assert got[a][0][:3] == a[:3]
+
+
+def test_pseudonyms_beside_any_columns_and_no_rows(spark):
+    df = spark.createDataFrame([("4111 1111 1111 1111", 7)], "text string, _PII_found int").withColumn("a.b", F.lit(1))
+    (r,) = pii.pseudonymise(df).collect()
+    assert r["_PII_found"] == 7 and r["a.b"] == 1 and r["_pii_kinds"] == ["card"]
+    assert pii.pseudonymise(df.limit(0)).collect() == []
+
+
 def test_long_secrets_and_more_dates(spark):
     token = "0123456789abcdef" * 8
     texts = [token, token[:70].upper(), token[:64], "at 2024-05-01T10:00:00Z", "2024-5-1", "1.5.2024", "01.05.2024", "5/1/2024",
