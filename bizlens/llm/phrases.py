@@ -5,8 +5,9 @@ position has a suffix: the words from there on, to the end of the piece and at m
 The tree of these suffixes holds every phrase as a node; the number of suffixes below a node is the phrase's count.
 
 1. *Words.*  Exact counts of all words per language (partial counts in tasks, then added up).
-2. *Pairs.*  Counts of 64-bit pair hashes; those that reach the minimum set bits of a filter of fixed size.  A hash
-   counts at least what its pair does, so the filter never misses a frequent pair; false positives cost work, not rightness.
+2. *Pairs.*  Frequent words set bits of a filter of fixed size.  Pairs of words that pass are counted by 64-bit hashes, and
+   those that reach the minimum set bits of a second filter.  A hash counts at least what its pair does and a rare
+   word is in no frequent pair, so the filters never miss one; false positives cost work, not rightness.
 3. *Suffixes.*  A position whose first pair passes gives its suffix, cut before the first pair that does not
    (no frequent phrase can cross it).  Equal suffixes are counted inside the task before they move.
 4. *Vertical partitioning.*  A word prefix with more distinct rows than the memory budget is split
@@ -29,19 +30,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast
 from ..session import use_query_conf
-from .common import ready_python, written_table
+from .common import quoted, ready_python, written_table
 
 #: Bytes of text looked at together; words and phrases that cross a border are whole.
 STRETCH = 1 << 20
-#: Distinct words or suffixes a task counts before it hands them on.
-HELD = 400_000
-#: Pair hashes a task sorts at a time.
-HELD_PAIRS = 2_000_000
+#: Distinct words or suffixes a task counts before it hands them on (some 150 MB).
+HELD = 800_000
+#: Pair hashes a task sorts at a time (some 100 MB).
+HELD_PAIRS = 4_000_000
 #: The filter over pair hashes has 2^FILTER_BITS bits (8 MB), whatever the corpus.
 FILTER_BITS = 26
 #: Suffix rows one group of prefixes should not pass.
@@ -92,8 +94,6 @@ def _rows(names: list[str], types: list, *columns) -> pa.RecordBatch:
 
 
 def _input(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
-    def quoted(c: str) -> str:
-        return "`" + c.replace("`", "``") + "`"
     return docs.select(F.coalesce(F.col(quoted(lang_col)).cast("string"), F.lit("und")).alias("lang"),
                        F.col(quoted(text_col)).cast("binary").alias("text"))
 
@@ -126,14 +126,23 @@ def word_counts(texts: DataFrame, least: int) -> DataFrame:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, 0 for what stands between pieces; forgotten when there are many."""
+    """64-bit hashes of the words that pass a filter, 0 for others and for what stands between pieces; forgotten
+    when there are many."""
+
+    def __init__(self, passing: np.ndarray, bits: int):
+        super().__init__()
+        self.passing, self.mask = passing, (1 << bits) - 1
 
     def __missing__(self, word: bytes) -> int:
         if word[0] == 10:
             return 0
         if len(self) > HELD:
             self.clear()
-        h = self[word] = _hash(word)
+        h = _hash(word)
+        at = h & self.mask
+        if not (int(self.passing[at >> 6]) >> (at & 63)) & 1:
+            h = 0
+        self[word] = h
         return h
 
 
@@ -156,12 +165,33 @@ def pair_hashes(hashes: np.ndarray, lang_hash: int) -> tuple[np.ndarray, np.ndar
     return h, (a != 0) & (b != 0)
 
 
-def pair_filter(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """Bit array (64-bit words) with a bit for every pair hash that counts ``least`` or more."""
+def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
+    """Bit array (64-bit words) in which the low ``bits`` bits of every hash ``h`` are set."""
+    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
+    words = hashes.groupBy(F.shiftright(place, 6).cast("int").alias("at")) \
+        .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("set")).toPandas()   # at most 2^(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["at"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def word_filter(words: DataFrame, bits: int) -> np.ndarray:
+    """Filter of the counted words, of whatever language."""
+
+    def hashes(batches):
+        for batch in batches:
+            yield _rows(["h"], [pa.int64()], np.array([_hash(w) for w in batch.column(0).to_pylist()], np.uint64).view(np.int64))
+
+    return bit_filter(words.where(F.col("word").isNotNull()).select(F.col("word").cast("binary"))
+                      .mapInArrow(hashes, "h bigint"), bits)
+
+
+def pair_filter(texts: DataFrame, passing, least: int, bits: int) -> np.ndarray:
+    """Filter of the pairs of passing words that count ``least`` or more."""
     names, types = ["h", "n"], [pa.int64(), pa.int64()]
 
     def count(batches):
-        known = WordHashes()
+        known = WordHashes(passing.value, bits)
         held: list[np.ndarray] = []
         size = 0
 
@@ -184,21 +214,16 @@ def pair_filter(texts: DataFrame, least: int, bits: int) -> np.ndarray:
             yield out()
 
     often = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    place = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
-    words = often.groupBy(F.shiftright(place, 6).cast("int").alias("at")) \
-        .agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("set")).toPandas()   # at most 2^(bits - 6) rows
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words["at"].to_numpy(np.int64)] = words["set"].to_numpy(np.int64)
-    return out.view(np.uint64)
+    return bit_filter(often, bits)
 
 
-def suffix_counts(texts: DataFrame, passing, bits: int, longest: int) -> DataFrame:
+def suffix_counts(texts: DataFrame, passing, pairs, bits: int, longest: int) -> DataFrame:
     """``(lang, suffix, n)``: the suffixes of two words and more that can hold a frequent phrase, counted per task."""
     names, types = ["lang", "suffix", "n"], [pa.string(), pa.binary(), pa.int64()]
 
     def count(batches):
-        known = WordHashes()
-        table = passing.value
+        known = WordHashes(passing.value, bits)
+        table = pairs.value
         mask = np.uint64((1 << bits) - 1)
         found: dict[str, Counter] = {}
 
@@ -232,7 +257,7 @@ def suffix_counts(texts: DataFrame, passing, bits: int, longest: int) -> DataFra
     return texts.mapInArrow(count, "lang string, suffix binary, n bigint")
 
 
-def grouped(suffixes: DataFrame, longest: int, budget: int) -> tuple[DataFrame, int]:
+def grouped(suffixes: DataFrame, longest: int, budget: int) -> DataFrame:
     """Vertical partitioning: adds ``depth`` (words of the prefix a row is filed under) and ``grp``."""
     x = suffixes.withColumn("depth", F.lit(1))
     for d in range(1, longest):
@@ -247,49 +272,53 @@ def grouped(suffixes: DataFrame, longest: int, budget: int) -> tuple[DataFrame,
             .select(*suffixes.columns, "depth")
     n_groups = max(1, -(-suffixes.count() // budget))
     prefix = F.expr("substring_index(suffix, ' ', depth)")
-    return x.withColumn("grp", F.pmod(F.xxhash64("lang", prefix), F.lit(n_groups)).cast("int")), n_groups
+    return x.withColumn("grp", F.pmod(F.xxhash64("lang", prefix), F.lit(n_groups)).cast("int"))
+
+
+def leaf_matrix(langs: pa.Array, suffixes: pa.Array, longest: int) -> np.ndarray:
+    """One row a suffix: codes of its language and of its words, -1 behind its end."""
+    lists = pc.split_pattern(suffixes, " ")
+    words = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    length = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    leaf = np.full((len(suffixes), 1 + longest), -1, np.int32)
+    leaf[:, 0] = langs.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    first = np.cumsum(length) - length
+    leaf[np.repeat(np.arange(len(length)), length), 1 + np.arange(len(words)) - np.repeat(first, length)] = words
+    return leaf
 
 
-def subtree_counts(words: list[list[str]], counts: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Leaves (word lists) of one subtree sorted, then each depth from 2: (depth, first leaf of each node, its total)."""
-    codes: dict[str, int] = {}
-    leaf = np.full((len(words), longest), -1, np.int64)
-    for i, w in enumerate(words):
-        leaf[i, :len(w)] = [codes.setdefault(x, len(codes)) for x in w]
+def subtree_counts(leaf: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sorts the leaves and reads off each depth from 2 words: (depth, a leaf below each node, the node's total)."""
     order = np.lexsort(leaf.T[::-1])
     leaf, total = leaf[order], counts[order]
-    for depth in range(2, longest + 1):
-        deep = np.flatnonzero(leaf[:, depth - 1] >= 0)
+    for depth in range(2, leaf.shape[1]):
+        deep = np.flatnonzero(leaf[:, depth] >= 0)
         if not len(deep):
             return
-        part = leaf[deep, :depth]
+        part = leaf[deep, :depth + 1]
         first = np.flatnonzero(np.concatenate(([True], (part[1:] != part[:-1]).any(axis=1))))
         yield depth, order[deep[first]], np.add.reduceat(total[deep], first)
 
 
 def phrase_counts(suffixes: DataFrame, least: int, longest: int, budget: int) -> DataFrame:
     """``(lang, phrase, size, f)`` of all phrases of 2 to ``longest`` words found ``least`` times."""
-    x, n_groups = grouped(suffixes, longest, budget)
+    x = grouped(suffixes, longest, budget)
     names = ["lang", "phrase", "size", "f"]
     types = [pa.string(), pa.string(), pa.int32(), pa.int64()]
 
     def build(table: pa.Table) -> pa.Table:
-        out = []
-        langs = table.column("lang").to_pylist()
-        suffix = table.column("suffix").to_pylist()
-        counts = table.column("n").to_numpy()
+        langs, suffix = (table.column(c).combine_chunks() for c in ("lang", "suffix"))
         filed = table.column("depth").to_numpy()
-        for lang in sorted(set(langs)):
-            at = np.array([i for i, x in enumerate(langs) if x == lang], np.int64)
-            words = [suffix[i].split(" ") for i in at.tolist()]
-            for depth, leaf, total in subtree_counts(words, counts[at], longest):
-                # a node at or below the prefix it is filed under is whole here; one above it is a part
-                keep = (total >= least) | (filed[at[leaf]] > depth)
-                rows = [" ".join(words[i][:depth]) for i in leaf[keep].tolist()]
-                out.append(_rows(names, types, [lang] * len(rows), rows, [depth] * len(rows), total[keep]))
+        out = []
+        for depth, leaf, total in subtree_counts(leaf_matrix(langs, suffix, longest), table.column("n").to_numpy()):
+            # a node at or below the prefix it is filed under is whole here; one above it is a part
+            keep = (total >= least) | (filed[leaf] > depth)
+            at = pa.array(leaf[keep])
+            phrases = [" ".join(s.split(" ", depth)[:depth]) for s in suffix.take(at).to_pylist()]
+            out.append(_rows(names, types, langs.take(at), phrases, [depth] * len(phrases), total[keep]))
         return pa.Table.from_batches(out, schema=pa.schema(list(zip(names, types))))
 
-    parts = x.select("grp", "lang", F.col("suffix"), "n", "depth").groupBy("grp") \
+    parts = x.select("grp", "lang", "suffix", "n", "depth").groupBy("grp") \
         .applyInArrow(build, "lang string, phrase string, size int, f bigint")
     return parts.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
@@ -310,8 +339,9 @@ def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, share: tuple[int
     use_query_conf(spark)
     texts = _input(docs, lang_col, text_col)
     words = written_table(word_counts(texts, least).withColumn("word", F.col("word").cast("string")), "phrase-words")
-    passing = spark.sparkContext.broadcast(pair_filter(texts, least, filter_bits))
-    suffixes = written_table(suffix_counts(texts, passing, filter_bits, longest)
+    passing = spark.sparkContext.broadcast(word_filter(words, filter_bits))
+    pairs = spark.sparkContext.broadcast(pair_filter(texts, passing, least, filter_bits))
+    suffixes = written_table(suffix_counts(texts, passing, pairs, filter_bits, longest)
                              .withColumn("suffix", F.col("suffix").cast("string")), "phrase-suffixes")
     found = written_table(phrase_counts(suffixes, least, longest, budget), "phrases")
 
