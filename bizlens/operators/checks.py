@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import position, positional, quoted
 from ..functions.numeric import rnd
-from .profile import DATE_TYPES, is_numeric, long_cell, long_values
+from .profile import DATE_TYPES, duplicate_rows, is_numeric, long_cell, long_values
 from .ranking import rank_auc
 
 LEAK_AUC_THRESHOLD = 0.90
@@ -44,10 +45,11 @@ def low_cardinality_levels(df: DataFrame, cols: list[str], limit: int) -> dict[s
     per column: the registers are inlined into the aggregation buffer.)"""
     if not cols:
         return {}
-    fields = {f.name: f for f in df.schema.fields}
+    plain, label = positional(df)
+    fields = {label[f.name]: f for f in plain.schema.fields}
     cand = list(cols)
     if limit <= SCREEN_MAX_LIMIT:
-        est = df.agg(*[F.approx_count_distinct(long_cell(fields[c]), 0.05).alias(f"e{i}")
+        est = plain.agg(*[F.approx_count_distinct(long_cell(fields[c]), 0.05).alias(f"e{i}")
                        for i, c in enumerate(cols)]).first()
         cand = [c for i, c in enumerate(cols) if est[f"e{i}"] <= 2 * limit]
     if not cand:
@@ -83,8 +85,10 @@ def leakage_long(df: DataFrame, target: str, levels: dict[str, list[str]] | None
     scan: the level lists come back from the exact level check (<= 30 each), so a
     text code is a literal CASE over them (no dictionary scan, window or join), and
     all scores are exploded to long form at once."""
-    fields = [f for f in df.schema.fields if f.name != target]
-    text = [f.name for f in fields if is_coded(f.dataType)]
+    y = position(df, target)
+    plain, label = positional(df)
+    fields = [f for f in plain.schema.fields if f.name != y]
+    text = [label[f.name] for f in fields if is_coded(f.dataType)]
     coded = low_cardinality_levels(df, text, MAX_TEXT_LEVELS) if levels is None else \
         {c: v for c, v in levels.items() if c in text and len(v) <= MAX_TEXT_LEVELS}
     cells = []
@@ -92,14 +96,14 @@ def leakage_long(df: DataFrame, target: str, levels: dict[str, list[str]] | None
         if is_numeric(f.dataType) or isinstance(f.dataType, T.BooleanType):
             # a boolean scores as 0 and 1
             number = F.col(f.name).cast("int") if isinstance(f.dataType, T.BooleanType) else F.col(f.name)
-            cells.append(F.struct(F.lit(f.name).alias("column"), number.cast("double").alias("score")))
-        elif f.name in coded:
+            cells.append(F.struct(F.lit(label[f.name]).alias("column"), number.cast("double").alias("score")))
+        elif label[f.name] in coded:
             c, code = long_cell(f), F.lit(-1)
-            for i, v in reversed(list(enumerate(coded[f.name]))):
+            for i, v in reversed(list(enumerate(coded[label[f.name]]))):
                 code = F.when(c == F.lit(v), F.lit(i)).otherwise(code)
-            cells.append(F.struct(F.lit(f.name).alias("column"), code.cast("double").alias("score")))
+            cells.append(F.struct(F.lit(label[f.name]).alias("column"), code.cast("double").alias("score")))
     empty = F.array().cast("array<struct<column:string,score:double>>")
-    return df.select(F.col(target).alias("y"), F.explode(F.array(*cells) if cells else empty).alias("c")) \
+    return plain.select(F.col(y).alias("y"), F.explode(F.array(*cells) if cells else empty).alias("c")) \
         .select("c.column", "c.score", "y")
 
 
@@ -115,10 +119,12 @@ def _pure_levels(df: DataFrame, target: str, levels: dict[str, list[str]] | None
     cols = [c for c in df.columns if c != target]
     eligible = low_cardinality(df, cols, MAX_PURE_LEVELS) if levels is None else \
         {c for c, v in levels.items() if c in cols and len(v) <= MAX_PURE_LEVELS}
-    fields = [f for f in df.schema.fields if f.name in eligible]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), long_cell(f).alias("value")) for f in fields]) \
+    y = position(df, target)
+    plain, label = positional(df)
+    fields = [f for f in plain.schema.fields if label[f.name] in eligible]
+    cells = F.array(*[F.struct(F.lit(label[f.name]).alias("column"), long_cell(f).alias("value")) for f in fields]) \
         if fields else F.array().cast("array<struct<column:string,value:string>>")
-    long = df.where(F.col(target).isNotNull()).select(F.col(target).alias("y"), F.explode(cells).alias("c")) \
+    long = plain.where(F.col(y).isNotNull()).select(F.col(y).alias("y"), F.explode(cells).alias("c")) \
         .select("c.column", "c.value", "y").where(F.col("value").isNotNull())
     return long.groupBy("column", "value").agg(F.min("y").alias("ymin"), F.max("y").alias("ymax"))
 
@@ -140,21 +146,21 @@ def one_sided_levels(df: DataFrame, target: str) -> DataFrame:
 
 
 def baselines(df: DataFrame, target: str) -> DataFrame:
-    a = df.agg(F.avg(F.col(target).cast("double")).alias("p"))
+    a = df.agg(F.avg(F.col(quoted(target)).cast("double")).alias("p"))
     return a.select(rnd(F.greatest("p", 1 - F.col("p")), 4).alias("majority_class_accuracy"),
                     rnd("p", 4).alias("positive_rate"), F.lit(0.5).alias("random_auc"))
 
 
 def crosstab(df: DataFrame, col: str, target: str) -> DataFrame:
     """Counts of every level of ``col`` with every class of ``target``, in long form."""
-    return df.where(F.col(col).isNotNull() & F.col(target).isNotNull()).groupBy(
-        F.col(col).cast("string").alias("value"), F.col(target).cast("string").alias("class")) \
+    level, y = F.col(position(df, col)), F.col(position(df, target))
+    return positional(df)[0].where(level.isNotNull() & y.isNotNull()).groupBy(
+        level.cast("string").alias("value"), y.cast("string").alias("class")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
 
 def validity_verdict(df: DataFrame, target: str) -> DataFrame:
-    dup = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")) \
-        .agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("duplicate_rows"))
+    dup = duplicate_rows(df).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("duplicate_rows"))
     levels = shared_levels(df, target)
     sus = leakage_scan(df, target, levels).where("flagged").agg(F.count(F.lit(1)).alias("n_suspects"))
     one = one_sided_columns(df, target, levels).where("one_sided").agg(F.count(F.lit(1)).alias("n_one_sided"))
@@ -172,8 +178,7 @@ def validity_report(df: DataFrame, target: str) -> DataFrame:
     check results only (a handful of rows)."""
     from pyspark.sql import Window
     n = df.agg(F.count(F.lit(1))).scalar()
-    dup = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")) \
-        .agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0))).scalar()
+    dup = duplicate_rows(df).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
     b = baselines(df, target)
     spark = df.sparkSession
     head = b.select(

@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.names import position, positional
 from ..functions.numeric import rnd
+from .dateformats import readable
 from .ranking import quantiles
 
 MAX_LEVELS = 8
 ID_SHARE = 0.95
+ID_MARGIN = 0.3            # share of the bound within which a sketch does not decide
 DATE_SHARE = 0.9
-DATE_FORMATS = ("MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "yyyyMMdd")    # besides ISO text
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -45,9 +47,10 @@ def profile_shape(df: DataFrame, name: str) -> DataFrame:
 
 def profile_columns(df: DataFrame) -> DataFrame:
     """dtype and percent missing (2 dp) of every column, in one aggregate."""
+    df, label = positional(df)
     fields = df.schema.fields
     a = df.agg(*[F.avg(_missing(f).cast("double")).alias(f"m{i}") for i, f in enumerate(fields)])
-    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("column"),
+    rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(label[f.name]).alias("column"),
                               F.lit(f.dataType.simpleString()).alias("dtype"),
                               F.col(f"m{i}").alias("m")) for i, f in enumerate(fields)])
     return a.select(F.explode(rows).alias("r")).select(
@@ -67,8 +70,9 @@ def long_cell(field: T.StructField) -> F.Column:
 
 def long_values(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(column, value-as-text) for non-missing cells of the given columns."""
-    fields = [f for f in df.schema.fields if columns is None or f.name in columns]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), long_cell(f).alias("value")) for f in fields]) \
+    df, label = positional(df)
+    fields = [f for f in df.schema.fields if columns is None or label[f.name] in columns]
+    cells = F.array(*[F.struct(F.lit(label[f.name]).alias("column"), long_cell(f).alias("value")) for f in fields]) \
         if fields else F.array().cast("array<struct<column:string,value:string>>")
     return df.select(F.explode(cells).alias("c")).select("c.column", "c.value") \
         .where(F.col("value").isNotNull())
@@ -83,10 +87,11 @@ def profile_distinct(df: DataFrame, approx: bool = False, rsd: float = 0.01) ->
     """Exact distinct counts from the long (column, value) aggregate; ``approx`` uses
     HyperLogLog++ sketches in one wide aggregate instead (no shuffle of values)."""
     if approx:
+        df, label = positional(df)
         fields = df.schema.fields
         a = df.agg(*[F.approx_count_distinct(F.when(~_missing(f), F.col(f.name)), rsd).alias(f"d{i}")
                      for i, f in enumerate(fields)])
-        rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(f.name).alias("column"),
+        rows = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(label[f.name]).alias("column"),
                                   F.col(f"d{i}").alias("n_unique")) for i, f in enumerate(fields)])
         return a.select(F.explode(rows).alias("r")).select("r.pos", "r.column", "r.n_unique")
     counts = value_counts(df).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
@@ -101,8 +106,9 @@ def profile_numeric(df: DataFrame, digits: int = 3, approx: bool = False,
     """min, quartiles (linear interpolation), max and mean of numeric columns that
     have any value; rounded to ``digits``.  ``approx`` swaps the exact quartiles for
     ``percentile_approx`` (one sketch per column, no ranking jobs)."""
+    df, label = positional(df)
     num = [f for f in df.schema.fields if is_numeric(f.dataType)]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"),
+    cells = F.array(*[F.struct(F.lit(label[f.name]).alias("column"),
                                F.when(~_missing(f), F.col(f.name).cast("double")).alias("x")) for f in num]) \
         if num else F.array().cast("array<struct<column:string,x:double>>")
     long = df.select(F.explode(cells).alias("c")).select("c.column", "c.x").where(F.col("x").isNotNull())
@@ -133,14 +139,19 @@ def profile_top_values(df: DataFrame, k: int = MAX_LEVELS) -> DataFrame:
 
 
 def profile_likely_ids(df: DataFrame) -> DataFrame:
-    n = df.agg(F.count(F.lit(1))).scalar()
-    d = profile_distinct(df)
-    return d.where(F.col("n_unique") > n * F.lit(ID_SHARE)).select("column", "n_unique")
+    """Columns whose distinct values exceed 95 % of the rows.  A sketch of every column decides where it is far from that share
+    (more than ``ID_MARGIN``, six standard errors); only the values of the others are counted exactly."""
+    rough = profile_distinct(df, approx=True, rsd=ID_MARGIN / 6)
+    rows = df.count()
+    near = [r["column"] for r in rough.collect() if r["n_unique"] >= rows * ID_SHARE * (1 - ID_MARGIN)]
+    counts = value_counts(df, near).groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    return counts.where(F.col("n_unique") > F.lit(rows * ID_SHARE)).select("column", "n_unique")
 
 
 def profile_likely_dates(df: DataFrame) -> DataFrame:
     """Typed date/timestamp columns count at once; text columns when more than 90 %
-    of their non-null values parse as a timestamp (all values, not a head sample)."""
+    of their non-null values parse as a timestamp or in one of the forms of ``dateformats`` (all values, not a head sample)."""
+    df, label = positional(df)
     fields = [f for f in df.schema.fields if isinstance(f.dataType, (T.StringType,) + DATE_TYPES)]
     aggs = []
     for i, f in enumerate(fields):
@@ -148,13 +159,13 @@ def profile_likely_dates(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, DATE_TYPES):
             aggs.append(F.when(F.count(c) > 0, F.lit(1.0)).alias(f"s{i}"))
         else:
-            parsed = F.coalesce(F.try_to_timestamp(c), *[F.try_to_timestamp(c, F.lit(f)) for f in DATE_FORMATS])
-            aggs.append(F.try_divide(F.count(parsed).cast("double"),
+            parsed = F.coalesce(F.try_to_timestamp(c).isNotNull(), F.lit(False)) | readable(c)
+            aggs.append(F.try_divide(F.count(F.when(parsed, F.lit(1))).cast("double"),
                                      F.count(c).cast("double")).alias(f"s{i}"))
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, parse_share double, likely_date boolean")
     a = df.agg(*aggs)
-    rows = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"s{i}").alias("s"))
+    rows = F.array(*[F.struct(F.lit(label[f.name]).alias("column"), F.col(f"s{i}").alias("s"))
                      for i, f in enumerate(fields)])
     e = a.select(F.explode(rows).alias("r")).select("r.column", "r.s")
     return e.select("column", rnd(F.coalesce("s", F.lit(0.0)), 4).alias("parse_share"),
@@ -163,21 +174,42 @@ def profile_likely_dates(df: DataFrame) -> DataFrame:
 
 def profile_target(df: DataFrame, target: str, top: int = 10) -> DataFrame:
     """Shares of the 10 most frequent target values, NULL included; is-binary flag."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    key = position(df, target)
+    df, _ = positional(df)
+    counts = df.groupBy(F.col(key).alias("level")).agg(F.count(F.lit(1)).alias("n"))
     # total and distinct non-null levels both come from the one per-value aggregate
     total = counts.agg(F.sum("n")).scalar()
-    levels = counts.where(F.col(target).isNotNull()).agg(F.count(F.lit(1))).scalar()
-    topk = counts.orderBy(F.desc("n"), F.asc_nulls_first(target)).limit(top)
-    return topk.select(F.col(target).cast("string").alias("value"),
+    levels = counts.where(F.col("level").isNotNull()).agg(F.count(F.lit(1))).scalar()
+    topk = counts.orderBy(F.desc("n"), F.asc_nulls_first("level")).limit(top)
+    return topk.select(F.col("level").cast("string").alias("value"),
                        rnd(F.col("n") / total, 4).alias("share"),
                        (levels == 2).alias("is_binary"))
 
 
+def row_digest(df: DataFrame) -> list[F.Column]:
+    """Two 64-bit hashes of a whole row with different seeds.  Equal rows (nulls equal, as in a group-by) have equal digests."""
+    cells = [F.col(c) for c in df.columns]
+    return [F.xxhash64(*cells).alias("_h1"), F.xxhash64(F.lit(2), *cells, F.lit(3)).alias("_h2")]
+
+
+def duplicate_rows(df: DataFrame) -> DataFrame:
+    """``(n)``: the size of every group of equal rows with two members and more.
+
+    Rows are first counted by their digest: 16 bytes a row move, whatever its width.  Only rows whose digest
+    occurs twice are then grouped by their whole values, so that a collision of digests cannot count as a duplicate."""
+    df, _ = positional(df)
+    digests = df.select(*row_digest(df)).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    again = df.select("*", *row_digest(df)).join(digests.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
+    return again.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("n")
+
+
 def duplicate_counts(df: DataFrame, name: str, columns: list[str] | None = None) -> DataFrame:
     """Surplus copies (keep-first duplicates, A6) and duplicate members (every copy,
     C1) over the given columns; NULLs compare equal, as in a group-by."""
-    cols = columns or df.columns
-    g = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
-    return g.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("surplus"),
-                 F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("members")) \
-        .select(F.lit(name).alias("dataset"), "rows", "surplus", "members")
+    if columns is not None:
+        keys = [position(df, c) for c in columns]
+        df = positional(df)[0].select(*keys)
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    g = duplicate_rows(df).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("surplus"),
+                               F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
+    return g.select(F.lit(name).alias("dataset"), rows.alias("rows"), "surplus", "members")

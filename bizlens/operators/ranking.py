@@ -142,12 +142,16 @@ def prefix_sums(df: DataFrame, order_col: str, weights: Sequence[str],
 
 def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[Column], Column]],
                      part_cols: Sequence[str] = (),
-                     rows_per_bucket: int | None = None) -> DataFrame:
+                     rows_per_bucket: int | None = None, counted: str | None = None) -> DataFrame:
     """For each group, the values at 0-based ranks ``picks[name](N)`` (ascending,
-    nulls excluded).  Returns ``part_cols + [n] + picks``."""
+    nulls excluded).  Returns ``part_cols + [n] + picks``.  With ``counted`` the rows are
+    distinct per group and value already and that column holds how often each occurs."""
     part_cols = list(part_cols)
-    counts = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double"))) \
-        .groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
+    if counted:
+        counts = counts.select(*part_cols, value_col, F.col(counted).alias("_n"))
+    else:
+        counts = counts.groupBy(*part_cols, value_col).agg(F.count(F.lit(1)).alias("_n"))
     ps = prefix_sums(counts, value_col, ["_n"], part_cols, rows_per_bucket=rows_per_bucket)
     if part_cols:
         totals = counts.groupBy(*part_cols).agg(F.sum("_n").alias("n"))
@@ -170,13 +174,13 @@ def order_statistics(df: DataFrame, value_col: str, picks: dict[str, Callable[[C
 
 
 def quantiles(df: DataFrame, value_col: str, qs: dict[str, float], part_cols: Sequence[str] = (),
-              rows_per_bucket: int | None = None) -> DataFrame:
+              rows_per_bucket: int | None = None, counted: str | None = None) -> DataFrame:
     """Exact quantiles with linear interpolation (pandas/NumPy default)."""
     picks = {}
     for name, q in qs.items():
         picks[f"_{name}_lo"] = (lambda q: lambda n: F.floor((n - 1) * F.lit(q)))(q)
         picks[f"_{name}_hi"] = (lambda q: lambda n: F.ceil((n - 1) * F.lit(q)))(q)
-    st = order_statistics(df, value_col, picks, part_cols, rows_per_bucket)
+    st = order_statistics(df, value_col, picks, part_cols, rows_per_bucket, counted)
     out = [*part_cols, "n"]
     for name, q in qs.items():
         lo, hi = F.col(f"_{name}_lo").cast("double"), F.col(f"_{name}_hi").cast("double")

@@ -407,6 +407,7 @@ ORDERS_SCHEMA = [("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_ordersta
                  ("o_totalprice", "double"), ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")]
 EVENTS_SCHEMA = [("event_id", "bigint"), ("ts", "timestamp_ntz"), ("user_id", "bigint"), ("event_type", "string"),
                  ("value", "double"), ("props", "string")]
+DOCUMENTS_SCHEMA = [("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")]
 ACCT_SCHEMA = [("id", "bigint"), ("plan", "string"), ("region", "string"), ("contract", "string"),
                ("mrr", "double"), ("dorm", "bigint"), ("churned", "int"), ("risk", "double"), ("leak_flag", "int")]
 
@@ -466,10 +467,103 @@ def profile_sql(table: str, cols: list, target: str) -> dict[str, str]:
     return q
 
 
+def card_sql(table: str, cols: list, target: str) -> str:
+    """The sections of one table's data card below each other."""
+    q = profile_sql(table, cols, target)
+    whole = ", ".join(c for c, _ in cols)
+    numeric = " UNION ALL ".join(
+        f"SELECT 'numeric' AS section, \"column\", '{k}' AS key, NULL::BIGINT AS n, {k} AS x FROM ({q['profile_numeric']})"
+        for k in ("min", "p25", "median", "p75", "max", "mean"))
+    dup = f"(SELECT count(*) AS k FROM {table} GROUP BY {whole} HAVING count(*) > 1)"
+    parts = [
+        f"SELECT 'shape' AS section, NULL::VARCHAR AS \"column\", 'rows' AS key, count(*) AS n, NULL::DOUBLE AS x FROM {table}",
+        f"SELECT 'shape', NULL, 'columns', {len(cols)}, NULL",
+        f"SELECT 'columns', \"column\", dtype, pos, null_pct FROM ({q['profile_columns']})",
+        f"SELECT 'distinct', \"column\", NULL, n_unique, NULL FROM ({q['profile_distinct']})",
+        f"SELECT 'likely id', \"column\", NULL, n_unique, NULL FROM ({q['profile_likely_ids']})",
+        f"SELECT 'top values', \"column\", value, count, NULL FROM ({q['profile_top_values']})",
+        f"SELECT 'likely date', \"column\", CAST(likely_date AS VARCHAR), NULL, parse_share FROM ({q['profile_likely_dates']})",
+        f"SELECT 'target', '{target}', value, NULL, share FROM ({q['profile_target']})",
+        f"SELECT 'duplicates', NULL, 'surplus', coalesce(sum(k - 1), 0)::BIGINT, NULL FROM {dup}",
+        f"SELECT 'duplicates', NULL, 'members', coalesce(sum(k), 0)::BIGINT, NULL FROM {dup}", numeric]
+    return f"SELECT '{table}' AS dataset, * FROM ({' UNION ALL '.join(parts)})"
+
+
+def date_format_sql() -> str:
+    """Shapes and readings of the dated orders, from the same texts made with strftime."""
+    mixed = ("CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%b %d, %Y') "
+             "WHEN 2 THEN strftime(o_orderdate, '%d %B %Y') ELSE strftime(o_orderdate, '%Y%m%d') END")
+    two = "(CASE WHEN len(y) > 2 THEN try_cast(y AS INT) WHEN try_cast(y AS INT) < 69 THEN y::INT + 2000 ELSE y::INT + 1900 END)"
+    day = lambda y, m, d: f"(try_cast(lpad(({y})::VARCHAR, 4, '0') || '-' || lpad(({m})::VARCHAR, 2, '0') || '-' || lpad(({d})::VARCHAR, 2, '0') AS DATE) IS NOT NULL)"
+    return f"""
+WITH c AS (
+  SELECT 'us' AS col, strftime(o_orderdate, '%m/%d/%Y') AS v FROM orders
+  UNION ALL SELECT 'eu', strftime(o_orderdate, '%d.%m.%y') FROM orders
+  UNION ALL SELECT 'early', strftime(o_orderdate, '%d-%m-%Y') FROM orders WHERE day(o_orderdate) <= 12
+  UNION ALL SELECT 'mixed', {mixed} FROM orders
+  UNION ALL SELECT 'o_orderpriority', o_orderpriority FROM orders),
+s AS (
+  SELECT col, v, CASE
+    WHEN regexp_full_match(v, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}') THEN 'year-month-day'
+    WHEN regexp_full_match(v, '[0-9]{{8}}') THEN 'yearmonthday'
+    WHEN regexp_full_match(v, '[0-9]{{1,2}}/[0-9]{{1,2}}/([0-9]{{4}}|[0-9]{{2}})') THEN 'n/n/year'
+    WHEN regexp_full_match(v, '[0-9]{{1,2}}[.][0-9]{{1,2}}[.]([0-9]{{4}}|[0-9]{{2}})') THEN 'n.n.year'
+    WHEN regexp_full_match(v, '[0-9]{{1,2}}-[0-9]{{1,2}}-([0-9]{{4}}|[0-9]{{2}})') THEN 'n-n-year'
+    WHEN regexp_full_match(v, '[0-9]{{1,2}} [A-Z][a-z]+ [0-9]{{4}}') THEN 'day name year'
+    WHEN regexp_full_match(v, '[A-Z][a-z]+ [0-9]{{1,2}}, [0-9]{{4}}') THEN 'name day year' END AS shape
+  FROM c WHERE v IS NOT NULL),
+p AS (
+  SELECT col, shape, regexp_extract_all(v, '[0-9]+|[A-Za-z]+') AS t, v FROM s),
+r AS (
+  SELECT col, shape,
+    CASE WHEN shape LIKE 'n%' AND shape <> 'name day year' THEN (SELECT {day(two, 'try_cast(t[2] AS INT)', 'try_cast(t[1] AS INT)')} FROM (SELECT t[3] AS y))
+         WHEN shape IS NOT NULL THEN true END AS dmy,
+    CASE WHEN shape LIKE 'n%' AND shape <> 'name day year' THEN (SELECT {day(two, 'try_cast(t[1] AS INT)', 'try_cast(t[2] AS INT)')} FROM (SELECT t[3] AS y))
+         WHEN shape IS NOT NULL THEN true END AS mdy
+  FROM p),
+g AS (
+  SELECT col, CASE WHEN dmy OR mdy THEN shape END AS shape, count(*) AS n,
+    count(*) FILTER (dmy AND NOT mdy) AS only_d, count(*) FILTER (mdy AND NOT dmy) AS only_m
+  FROM r GROUP BY 1, 2),
+o AS (
+  SELECT *, sum(n) OVER (PARTITION BY col) AS whole,
+    CASE WHEN shape NOT IN ('n/n/year', 'n.n.year', 'n-n-year') THEN '' WHEN only_d > only_m THEN 'day first' ELSE 'month first' END AS ord
+  FROM g),
+z AS (
+  SELECT col, shape, ord, whole, n - CASE ord WHEN 'day first' THEN only_m WHEN 'month first' THEN only_d ELSE 0 END AS n,
+    CASE ord WHEN 'day first' THEN only_d WHEN 'month first' THEN only_m ELSE 0 END AS decisive
+  FROM o WHERE shape IS NOT NULL)
+SELECT col AS "column", shape AS format, ord AS "order", n, decisive, {rnd_sql('n::DOUBLE / whole', 4)} AS share,
+  row_number() OVER (PARTITION BY col ORDER BY n DESC, shape) = 1 AS chosen
+FROM z"""
+
+
 def profile_checks_sql(params: dict) -> dict[str, str]:
     q: dict[str, str] = profile_sql("orders", ORDERS_SCHEMA, params["profile_target"]["target"])
     for name, sql in profile_sql("events", EVENTS_SCHEMA, params["profile_target_events"]["target"]).items():
         q[f"{name}_events"] = sql
+    q["data_card"] = " UNION ALL ".join(card_sql(t, cols, params["data_card"][t]) for t, cols in (
+        ("orders", ORDERS_SCHEMA), ("events", EVENTS_SCHEMA), ("documents", DOCUMENTS_SCHEMA)))
+    q["profile_date_format"] = date_format_sql()
+    price = ("CASE WHEN o_orderkey % 13 = 0 THEN ['', 'NA', 'N/A', 'NaN', 'nan', 'NULL', 'null', 'None'][o_orderkey % 8 + 1] "
+             "WHEN o_orderkey % 103 = 0 THEN 'about 5' ELSE CAST(o_totalprice AS VARCHAR) END")
+    broken = "o_orderkey % 101 = 0"
+    unfit = "(o_orderkey % 103 = 0 AND o_orderkey % 13 <> 0)"
+    types = (("key", "bigint"), ("price", "string"), ("day", "date"), ("even", "boolean"), ("note", "string"),
+             ("amount", "double"), ("kind", "string"), ("nothing", "string"))
+    q["scan_csv_schema"] = " UNION ALL ".join(
+        f"SELECT {i} AS pos, '{c}' AS \"column\", '{t}' AS type" for i, (c, t) in enumerate(types)) \
+        + " FROM (SELECT count(*) AS n FROM orders) WHERE n > 0"
+    q["scan_csv_inferred"] = (
+        "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS price, CAST(o_orderdate AS DATE) AS day, "
+        "o_orderkey % 2 = 0 AS even, o_orderpriority || ', \"x\"' AS note, "
+        "CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE 1500.0 END::DOUBLE AS amount, 'a' AS kind, NULL::VARCHAR AS nothing "
+        f"FROM orders WHERE NOT ({broken}) AND NOT {unfit}")
+    q["scan_csv_rejects"] = (
+        f"SELECT CASE WHEN {broken} THEN 'fields' ELSE 'type: price' END AS reason, o_orderkey || ',' || {price} || ',' || "
+        "strftime(o_orderdate, '%Y-%m-%d') || ',' || CASE WHEN o_orderkey % 2 = 0 THEN 'True' ELSE 'false' END || ',\"' || o_orderpriority "
+        "|| ', \"\"x\"\"\",' || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '1.5e3' END || ',' || "
+        f"CASE WHEN {broken} THEN 'a,b' ELSE 'a' END || ',None' AS record FROM orders WHERE {broken} OR {unfit}")
     dup = lambda name, keys, src: (
         f"SELECT '{name}' AS dataset, sum(n) AS rows, sum(n - 1) AS surplus, sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS members "
         f"FROM (SELECT count(*) AS n FROM (SELECT {'*' if keys == 'ALL' else keys} FROM {src}) t GROUP BY "

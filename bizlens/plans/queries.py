@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.metrics import scaled_watch
@@ -50,6 +51,7 @@ PARAMS = {
     "level_ratio": {"level_a": "AUTOMOBILE", "level_b": "BUILDING"},
     "profile_target": {"target": "o_orderstatus"},
     "profile_target_events": {"target": "event_type"},
+    "data_card": {"orders": "o_orderstatus", "events": "event_type", "documents": "lang"},
     "union_all_dupes": {"pct": 5},
     # TPC-H market segments and region names, and the contract classes.
     "one_hot_dummy_na": {"levels": {
@@ -237,6 +239,33 @@ query("profile_target_events")(_prof_events(
     lambda df: P.profile_target(df, PARAMS["profile_target_events"]["target"])))
 
 
+def _data_card(spark, d):
+    """The whole card of three tables, one below the other."""
+    from functools import reduce
+
+    from ..operators.datacard import data_card
+    use_query_conf(spark)
+    cards = [data_card(getattr(Tables(spark, d), t), t, target) for t, target in PARAMS["data_card"].items()]
+    return reduce(DataFrame.unionByName, cards)
+
+
+query("data_card")(_data_card)
+
+
+def _date_formats(spark, d):
+    """Order dates as people write them: American, European with two-digit years, ambiguous ones only, mixed."""
+    from ..operators.dateformats import profile_date_format
+    day, key = F.col("o_orderdate"), F.col("o_orderkey") % 4
+    mixed = F.when(key == 0, F.date_format(day, "yyyy-MM-dd")).when(key == 1, F.date_format(day, "MMM dd, yyyy")) \
+        .when(key == 2, F.date_format(day, "dd MMMM yyyy")).otherwise(F.date_format(day, "yyyyMMdd"))
+    return profile_date_format(Tables(spark, d).orders.select(
+        "o_orderkey", F.date_format(day, "MM/dd/yyyy").alias("us"), F.date_format(day, "dd.MM.yy").alias("eu"),
+        F.when(F.dayofmonth(day) <= 12, F.date_format(day, "dd-MM-yyyy")).alias("early"), mixed.alias("mixed"), "o_orderpriority"))
+
+
+query("profile_date_format")(_date_formats)
+
+
 def _dups(spark, d):
     t = Tables(spark, d)
     # whole rows of two tables, and the texts alone (whole rows of documents never repeat)
@@ -323,6 +352,51 @@ def _json_roundtrip(spark, d):
     return read_json(spark, path, df.schema).select(*df.columns)
 
 
+#: Every 13th order lacks its price (each of the missing tokens in turn), every 101st line has a field too many,
+#: every 103rd a price that is no number.
+MISSING = ["", "NA", "N/A", "NaN", "nan", "NULL", "null", "None"]
+
+
+def _untidy_csv(spark, d) -> str:
+    """A CSV of the orders as files arrive: missing tokens, quoted commas, broken lines; no types are known."""
+    from ..sources.scratch import scratch_path
+    key = F.col("o_orderkey")
+    token = F.get(F.array(*[F.lit(t) for t in MISSING]), (key % len(MISSING)).cast("int"))
+    price = F.when(key % 13 == 0, token).when(key % 103 == 0, "about 5").otherwise(F.col("o_totalprice").cast("string"))
+    line = F.concat_ws(",", key.cast("string"), price, F.date_format("o_orderdate", "yyyy-MM-dd"),
+                       F.when(key % 2 == 0, "True").otherwise("false"), F.concat(F.lit('"'), "o_orderpriority", F.lit(', ""x"""')),
+                       F.when(key % 2 == 0, F.col("o_custkey").cast("string")).otherwise("1.5e3"),
+                       F.when(key % 101 == 0, "a,b").otherwise("a"), F.lit("None"))
+    path = scratch_path(spark, "orders-untidy")
+    # one text column whose name is the header line, written without quoting
+    Tables(spark, d).orders.select(line.alias("key,price,day,even,note,amount,kind,nothing")).write.option("header", True) \
+        .option("sep", "\u0001").option("quote", "").option("escapeQuotes", False).option("emptyValue", "").csv(path)
+    return path
+
+
+def _csv_schema(spark, d):
+    """Inferred types of the untidy CSV."""
+    from ..sources.infer import infer_schema
+    schema = infer_schema(spark, _untidy_csv(spark, d))
+    return spark.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(schema.fields)],
+                                 "pos int, column string, type string")
+
+
+def _csv_inferred(spark, d):
+    """Typed rows of the untidy CSV, its price given as a number."""
+    from ..sources.infer import read_csv_inferred
+    return read_csv_inferred(spark, _untidy_csv(spark, d), {"price": T.DoubleType()})[0]
+
+
+def _csv_rejects(spark, d):
+    """Rejected lines of the untidy CSV with their reasons."""
+    from ..sources.infer import read_csv_inferred
+    return read_csv_inferred(spark, _untidy_csv(spark, d), {"price": T.DoubleType()})[1].select("reason", "record")
+
+
+query("scan_csv_schema")(_csv_schema)
+query("scan_csv_inferred")(_csv_inferred)
+query("scan_csv_rejects")(_csv_rejects)
 query("scan_csv_roundtrip")(_csv_roundtrip)
 query("scan_json_roundtrip")(_json_roundtrip)
 
