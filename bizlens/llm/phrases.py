@@ -5,11 +5,12 @@ position has a suffix: the words from there on, to the end of the piece and at m
 The tree of these suffixes holds every phrase as a node; the number of suffixes below a node is the phrase's count.
 
 1. *Words.*  Exact counts of all words per language (partial counts in tasks, then added up).
-2. *Pairs.*  Frequent words set bits of a filter of fixed size.  Pairs of words that pass are counted by 64-bit hashes, and
-   those that reach the minimum set bits of a second filter.  A hash counts at least what its pair does and a rare
-   word is in no frequent pair, so the filters never miss one; false positives cost work, not rightness.
-3. *Suffixes.*  A position whose first pair passes gives its suffix, cut before the first pair that does not
-   (no frequent phrase can cross it).  Equal suffixes are counted inside the task before they move.
+2. *Runs.*  Frequent words set bits of a filter of fixed size.  Pairs of words that pass are counted by 64-bit hashes, and
+   those that reach the minimum set bits of a second filter; so do, in turn, the longer runs both of whose parts pass, up to
+   one word less than a suffix.  A hash counts at least what its run does and a rare run is in no frequent one, so
+   the filters never miss one; false positives cost work, not rightness.
+3. *Suffixes.*  A position whose first pair passes gives its suffix, cut before the first word that would bring in a run that
+   does not (no frequent phrase can hold it).  Equal suffixes are counted inside the task before they move.
 4. *Vertical partitioning.*  A word prefix with more distinct rows than the memory budget is split
    into prefixes one word longer, down to whole suffixes; the prefixes are packed into groups of about the budget.
 5. *Subtrees.*  Each group is read by one task, sorted, and its subtree is read off the sorted leaves: a node is a
@@ -42,9 +43,9 @@ from .common import quoted, ready_python, written_table
 STRETCH = 1 << 20
 #: Distinct words or suffixes a task counts before it hands them on (some 150 MB).
 HELD = 800_000
-#: Pair hashes a task sorts at a time (some 100 MB).
-HELD_PAIRS = 4_000_000
-#: The filter over pair hashes has 2^FILTER_BITS bits (8 MB), whatever the corpus.
+#: Run hashes a task sorts at a time (some 100 MB).
+HELD_RUNS = 4_000_000
+#: Each filter over hashes has 2^FILTER_BITS bits (8 MB), whatever the corpus.
 FILTER_BITS = 26
 #: Suffix rows one group of prefixes should not pass.
 GROUP_ROWS = 400_000
@@ -154,15 +155,22 @@ def _hash(word: bytes) -> int:
     return h or 1
 
 
-def pair_hashes(hashes: np.ndarray, lang_hash: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each token with its follower, and whether both are words."""
-    a, b = hashes[:-1], hashes[1:]
-    with np.errstate(over="ignore"):
-        h = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(lang_hash))
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(29)
-    return h, (a != 0) & (b != 0)
+def run_levels(hashes: np.ndarray, salt: int, filters: list[np.ndarray], bits: int,
+               longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 2 to ``longest`` words: the hash of the run at each token, and whether it may be frequent: both its
+    parts may, and it passes the filter of its length, where there is one."""
+    run, on = hashes, hashes != 0
+    for k in range(2, longest + 1):
+        with np.errstate(over="ignore"):
+            run = (run[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (hashes[k - 1:] + np.uint64(salt))
+            run ^= run >> np.uint64(32)
+            run *= np.uint64(0xD6E8FEB86659FD93)
+            run ^= run >> np.uint64(29)
+        on = on[:-1] & on[1:]
+        if k - 2 < len(filters):
+            at = run & np.uint64((1 << bits) - 1)
+            on &= ((filters[k - 2][at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+        yield run, on
 
 
 def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -186,14 +194,17 @@ def word_filter(words: DataFrame, bits: int) -> np.ndarray:
                       .mapInArrow(hashes, "h bigint"), bits)
 
 
-def pair_filter(texts: DataFrame, passing, least: int, bits: int) -> np.ndarray:
-    """Filter of the pairs of passing words that count ``least`` or more."""
+def run_filter(texts: DataFrame, passing, filters: list, least: int, bits: int) -> np.ndarray:
+    """Filter of the runs one word longer than those of the last filter (pairs, if there is none) that count
+    ``least`` or more.  ``passing`` and ``filters`` are broadcast."""
     names, types = ["h", "n"], [pa.int64(), pa.int64()]
+    size = len(filters) + 2
 
     def count(batches):
         known = WordHashes(passing.value, bits)
+        tables = [f.value for f in filters]
         held: list[np.ndarray] = []
-        size = 0
+        waiting = 0
 
         def out():
             h, n = np.unique(np.concatenate(held), return_counts=True)
@@ -201,30 +212,30 @@ def pair_filter(texts: DataFrame, passing, least: int, bits: int) -> np.ndarray:
 
         for lang, data in _texts(batches):
             salt = _hash(lang.encode())
-            for tokens, here in stretches(data, 1):
-                if len(tokens) < 2:
+            for tokens, here in stretches(data, size - 1):
+                if len(tokens) < size:
                     continue
-                h, valid = pair_hashes(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), salt)
-                held.append(h[:here][valid[:here]])
-                size += len(held[-1])
-                if size > HELD_PAIRS:
+                *_, (run, on) = run_levels(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), salt, tables,
+                                           bits, size)
+                held.append(run[:here][on[:here]])
+                waiting += len(held[-1])
+                if waiting > HELD_RUNS:
                     yield out()
-                    held, size = [], 0
-        if size:
+                    held, waiting = [], 0
+        if waiting:
             yield out()
 
     often = texts.mapInArrow(count, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return bit_filter(often, bits)
 
 
-def suffix_counts(texts: DataFrame, passing, pairs, bits: int, longest: int) -> DataFrame:
+def suffix_counts(texts: DataFrame, passing, filters: list, bits: int, longest: int) -> DataFrame:
     """``(lang, suffix, n)``: the suffixes of two words and more that can hold a frequent phrase, counted per task."""
     names, types = ["lang", "suffix", "n"], [pa.string(), pa.binary(), pa.int64()]
 
     def count(batches):
         known = WordHashes(passing.value, bits)
-        table = pairs.value
-        mask = np.uint64((1 << bits) - 1)
+        tables = [f.value for f in filters]
         found: dict[str, Counter] = {}
 
         def out(lang):
@@ -236,16 +247,10 @@ def suffix_counts(texts: DataFrame, passing, pairs, bits: int, longest: int) ->
             for tokens, here in stretches(data, longest - 1):
                 if len(tokens) < 2:
                     continue
-                h, valid = pair_hashes(np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens)), salt)
-                h &= mask
-                on = valid & ((table[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1)).astype(bool)
-                # reach[i]: words of the suffix at i, as long as its pairs pass
-                reach = np.ones(len(on), np.int64)
-                going = np.ones(len(on), bool)
-                for step in range(longest - 1):
-                    going[:len(on) - step] &= on[step:]
-                    going[max(0, len(on) - step):] = False
-                    reach += going
+                hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+                reach = np.ones(len(tokens), np.int64)      # words of the suffix at each token
+                for _, on in run_levels(hashes, salt, tables, bits, min(longest, len(tokens))):
+                    reach[:len(on)] += on
                 starts = np.flatnonzero(reach[:here] > 1)
                 found.setdefault(lang, Counter()).update(
                     [b" ".join(tokens[i:j]) for i, j in zip(starts.tolist(), (starts + reach[starts]).tolist())])
@@ -340,8 +345,10 @@ def mine(docs: DataFrame, *, least: int = 30, longest: int = 4, share: tuple[int
     texts = _input(docs, lang_col, text_col)
     words = written_table(word_counts(texts, least).withColumn("word", F.col("word").cast("string")), "phrase-words")
     passing = spark.sparkContext.broadcast(word_filter(words, filter_bits))
-    pairs = spark.sparkContext.broadcast(pair_filter(texts, passing, least, filter_bits))
-    suffixes = written_table(suffix_counts(texts, passing, pairs, filter_bits, longest)
+    filters: list = []
+    for _ in range(2, longest):
+        filters.append(spark.sparkContext.broadcast(run_filter(texts, passing, filters, least, filter_bits)))
+    suffixes = written_table(suffix_counts(texts, passing, filters, filter_bits, longest)
                              .withColumn("suffix", F.col("suffix").cast("string")), "phrase-suffixes")
     found = written_table(phrase_counts(suffixes, least, longest, budget), "phrases")
 

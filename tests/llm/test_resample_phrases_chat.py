@@ -158,7 +158,7 @@ def test_phrases_across_stretches_and_flushes(spark, monkeypatch):
                 back += part[:here]
             assert back == tokens
     monkeypatch.setattr(phrases, "HELD", 5)
-    monkeypatch.setattr(phrases, "HELD_PAIRS", 5)
+    monkeypatch.setattr(phrases, "HELD_RUNS", 5)
     docs = [("one two three one two four one two three. five one two", "en")] * 9
     got = phrases.mine(spark.createDataFrame(docs, "text string, lang string"), least=9, longest=3)
     assert sorted(map(tuple, got.collect())) == sorted(plain_phrases(docs, 9, 3, 2000))
