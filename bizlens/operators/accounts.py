@@ -181,24 +181,94 @@ def account_kpis(acct: DataFrame) -> DataFrame:
 CUBE_DIMS = ["plan", "region", "contract"]
 
 
+MEDIAN_BUCKETS = 64         # a CASE of this many bounds still compiles to one small method
+
+
+def cell_upper_medians(x: DataFrame, col: str, dims: list[str], buckets: int = MEDIAN_BUCKETS) -> DataFrame:
+    """``gid, dims, median``: the value at index floor(n/2) of every cell of the cube over ``dims``, exact, by selection.
+
+    1. Bounds that cut all values into about equal ordered buckets (one sketch, one row).
+    2. Rows per (base cell, bucket); only these counts are rolled up to the grouping sets, and each cell finds the
+       bucket its median lies in.
+    3. Of the rows only those in a bucket some cell needs are counted by value and rolled up; each cell picks
+       by rank inside its bucket (``prefix_sums`` cuts a bucket that is large again).
+    The rows themselves are never repeated per grouping set."""
+    from .joins import bounded_broadcast
+    from .ranking import _bsearch, join_null_safe
+    found = x.agg(F.percentile_approx(col, [i / buckets for i in range(1, buckets)], 10 * buckets)).first()[0] or []
+    bounds = sorted(set(found))
+    placed = x.where(F.col(col).isNotNull()).select(*dims, F.col(col).alias("_v"),
+                                                    _bsearch(F.col(col), bounds, 0, len(bounds)).alias("_b"))
+    cells = [[d for i, d in enumerate(dims) if not (m >> (len(dims) - 1 - i)) & 1] for m in range(1 << len(dims))]
+
+    def rolled(h: DataFrame, inside: list[str]) -> DataFrame:
+        sets = [[*c, *inside] for c in cells]
+        # the grouping id counts the inside columns, which every set has, as low zero bits
+        return h.groupingSets(sets, *dims, *inside).agg(
+            F.shiftright(F.grouping_id(), len(inside)).cast("bigint").alias("gid"), F.sum("n").alias("n"))
+
+    cell = ["gid", *dims]
+    per = rolled(placed.groupBy(*dims, "_b").agg(F.count(F.lit(1)).alias("n")), ["_b"])
+    whole, up_to = Window.partitionBy(*cell), Window.partitionBy(*cell).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = per.select(*cell, "_b", "n", F.floor(F.sum("n").over(whole) / 2).alias("_want"),
+                        F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("_below"))
+    picks = bounded_broadcast(ranked.where((F.col("_below") <= F.col("_want")) & (F.col("_want") < F.col("_below") + F.col("n")))
+                              .select(*cell, "_b", (F.col("_want") - F.col("_below")).alias("_want")))
+    needed = placed.join(picks.select("_b").distinct(), "_b", "left_semi").groupBy(*dims, "_b", "_v").agg(F.count(F.lit(1)).alias("n"))
+    values = join_null_safe(rolled(needed, ["_b", "_v"]), picks, [*cell, "_b"])
+    at = prefix_sums(values, "_v", ["n"], cell)
+    return at.where((F.col("n_below") <= F.col("_want")) & (F.col("_want") < F.col("n_below") + F.col("n"))) \
+        .select(*cell, F.col("_v").alias("median"))
+
+
 def account_cube_all(acct: DataFrame) -> DataFrame:
     """KPI strip for every filter combination (A20).  Additive parts through
-    grouping sets; the upper median is not additive, so it is computed per cell
-    from the fact rows expanded to their 8 grouping sets."""
+    grouping sets; the upper median is not additive and is selected by rank per cell."""
+    from .ranking import join_null_safe
     x = clean(acct)
     sets = [[d for i, d in enumerate(CUBE_DIMS) if not (m >> (2 - i)) & 1] for m in range(8)]
     a = x.groupingSets(sets, *CUBE_DIMS).agg(F.grouping_id().cast("bigint").alias("gid"), *_kpi_aggs())
-    expanded = x.select("mrr", F.explode(F.array(*[
-        F.struct(F.lit(m).cast("bigint").alias("gid"),
-                 *[(F.lit(None).cast("string") if (m >> (2 - i)) & 1 else F.col(d)).alias(d)
-                   for i, d in enumerate(CUBE_DIMS)])
-        for m in range(8)])).alias("s")).select("mrr", "s.*")
-    med = upper_median(expanded, "mrr", ["gid", *CUBE_DIMS])
-    from .ranking import join_null_safe
+    med = cell_upper_medians(x, "mrr", CUBE_DIMS).withColumnRenamed("median", "median_mrr")
     j = join_null_safe(a, med, ["gid", *CUBE_DIMS], "left")
     return _kpi_out(j, ["gid", *CUBE_DIMS])
 
 
+def outreach_cube(acct: DataFrame, dmax: int = GRID_DORM_MAX, rmax: int = GRID_RISK_MAX, dorm_step: int = 1,
+                  risk_step: int = 1) -> DataFrame:
+    """The simulator's grid (A12) under every filter combination of plan, region and contract (W2): thresholds
+    0, step, 2 step ... on both axes.
+
+    Accounts are counted once per (base cell, capped dormancy, capped risk); those sparse counts are rolled up to
+    the grouping sets, filled up to a dense grid per cell, and summed over the larger thresholds along both
+    axes (a summed-area table a cell).  Its size depends on cells and thresholds, not on accounts."""
+    x = clean(acct)
+    risk_bp = F.round(F.col("risk") * F.lit(10000.0)).cast("long")
+    d = F.floor(F.least(F.col("dorm"), F.lit(dmax)) / dorm_step).cast("int").alias("d")
+    r = F.floor(F.least(F.floor(risk_bp / 100), F.lit(rmax)) / risk_step).cast("int").alias("r")
+    sums = ("hn", "hc", "hm")
+    base = x.groupBy(*CUBE_DIMS, d, r).agg(F.count(F.lit(1)).alias("hn"), F.sum("churned").alias("hc"), F.sum(money("mrr")).alias("hm"))
+    sets = [[c for i, c in enumerate(CUBE_DIMS) if not (m >> (2 - i)) & 1] + ["d", "r"] for m in range(8)]
+    cell = ["gid", *CUBE_DIMS]
+    sparse = base.groupingSets(sets, *CUBE_DIMS, "d", "r").agg(
+        F.shiftright(F.grouping_id(), 2).cast("bigint").alias("gid"), *[F.sum(c).cast("decimal(38,2)").alias(c) for c in sums])
+    axis = {"d": dmax // dorm_step, "r": rmax // risk_step}
+    zeros = sparse.select(*cell).distinct().withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(axis["d"])))) \
+        .withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(axis["r"])))) \
+        .select(*cell, "d", "r", *[F.lit(0).cast("decimal(38,2)").alias(c) for c in sums])
+    g = sparse.select(*cell, "d", "r", *sums).unionByName(zeros).groupBy(*cell, "d", "r") \
+        .agg(*[F.sum(c).cast("decimal(38,2)").alias(c) for c in sums])
+    all_of = Window.partitionBy(*cell)
+    g = g.select("*", F.sum("hn").over(all_of).alias("n"), F.sum("hc").over(all_of).alias("churners"))
+    for fixed, along in (("d", "r"), ("r", "d")):
+        w = Window.partitionBy(*cell, fixed).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, 0)
+        g = g.select(*cell, "d", "r", "n", "churners", *[F.sum(c).over(w).alias(c) for c in sums])
+    return g.where((F.col("d") >= 0) & (F.col("r") >= 0)).select(
+        *cell, (F.col("d") * dorm_step).alias("dorm_min"), (F.col("r") * risk_step).alias("risk_pct"),
+        F.col("hn").cast("bigint").alias("flagged"), rnd(_rate("hn", "n"), 6).alias("share_flagged"),
+        F.col("hc").cast("bigint").alias("caught"), rnd(_rate("hc", "churners"), 6).alias("capture"),
+        rnd(_rate("hc", "hn"), 6).alias("hit_rate"), rnd(dbl("hm"), 2).alias("mrr_covered"))
+
+
 def top_risk_accounts(acct: DataFrame, k: int = 12) -> DataFrame:
     """Top k by risk, ties by id (TakeOrderedAndProject: k rows per task, merged)."""
     return clean(acct).orderBy(F.desc("risk"), F.asc("id")).limit(k) \

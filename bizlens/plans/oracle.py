@@ -256,6 +256,19 @@ def accounts_sql(params: dict) -> dict[str, str]:
         f"{rnd_sql(rate('hn', 'n'), 6)} AS share_flagged, CAST(hc AS BIGINT) AS caught, "
         f"{rnd_sql(rate('hc', 'churners'), 6)} AS capture, {rnd_sql(rate('hc', 'hn'), 6)} AS hit_rate, "
         f"{rnd_sql('hm', 2)} AS mrr_covered FROM f, t")
+    p = params["outreach_cube"]
+    q["outreach_cube"] = V + (
+        f", g AS (SELECT d * {p['dorm_step']} AS d, r * {p['risk_step']} AS r FROM range(0, {90 // p['dorm_step'] + 1}) t(d), "
+        f"range(0, {95 // p['risk_step'] + 1}) u(r)),\n"
+        "e AS (SELECT CAST(m AS BIGINT) AS gid, CASE WHEN m & 4 = 0 THEN plan END AS plan, CASE WHEN m & 2 = 0 THEN region END AS region, "
+        "CASE WHEN m & 1 = 0 THEN contract END AS contract, dorm, risk, churned, CAST(mrr AS DECIMAL(18,2)) AS mrr FROM c, range(0, 8) t(m)),\n"
+        "f AS (SELECT gid, plan, region, contract, d, r, count(*) AS n, sum(churned) AS churners, "
+        "count(*) FILTER (dorm >= d AND risk >= r / 100.0) AS hn, coalesce(sum(churned) FILTER (dorm >= d AND risk >= r / 100.0), 0) AS hc, "
+        "coalesce(sum(mrr) FILTER (dorm >= d AND risk >= r / 100.0), 0) AS hm FROM e, g GROUP BY ALL)\n"
+        f"SELECT gid, plan, region, contract, CAST(d AS INTEGER) AS dorm_min, CAST(r AS INTEGER) AS risk_pct, CAST(hn AS BIGINT) AS flagged, "
+        f"{rnd_sql(rate('hn', 'n'), 6)} AS share_flagged, CAST(hc AS BIGINT) AS caught, "
+        f"{rnd_sql(rate('hc', 'churners'), 6)} AS capture, {rnd_sql(rate('hc', 'hn'), 6)} AS hit_rate, "
+        f"{rnd_sql('hm', 2)} AS mrr_covered FROM f")
     kpi = lambda keys, src, med: (
         f"SELECT {keys}n, churners, {rnd_sql(rate('churners', 'n'), 6)} AS churn_rate, {rnd_sql('mrr_sum', 2)} AS mrr_sum, "
         f"{rnd_sql('mrr_lost', 2)} AS mrr_lost, {rnd_sql(rate('mrr_lost', 'mrr_sum'), 6)} AS lost_share, "

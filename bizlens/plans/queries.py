@@ -43,6 +43,7 @@ PARAMS = {
     "churn_by_plan_fixed": {"levels": ["HOUSEHOLD", "AUTOMOBILE", "BUILDING", "FURNITURE",
                                        "MACHINERY", "GOVERNMENT"]},
     "outreach_at_threshold": {"thresholds": [(14, 0.30), (30, 0.30)]},
+    "outreach_cube": {"dorm_step": 10, "risk_step": 5},
     "top_risk_accounts": {"k": 12},
     "cube_sample_cap": {"percent": 40},
     "truncate_middle": {"limit": 6000},
@@ -181,6 +182,7 @@ query("outreach_at_threshold")(_wk(lambda c: A.outreach_at_threshold(
     c.acct, PARAMS["outreach_at_threshold"]["thresholds"])))
 query("outreach_grid")(_wk(lambda c: A.outreach_grid(c.spark, c.acct)))
 query("account_kpis")(_wk(lambda c: A.account_kpis(c.acct)))
+query("outreach_cube")(_wk(lambda c: A.outreach_cube(c.acct, **PARAMS["outreach_cube"])))
 query("account_cube_all")(_wk(lambda c: A.account_cube_all(c.acct)))
 query("top_risk_accounts")(_wk(lambda c: A.top_risk_accounts(c.acct, PARAMS["top_risk_accounts"]["k"])))
 query("decile_capture")(_wk(lambda c: A.decile_capture(c.acct)))

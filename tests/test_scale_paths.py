@@ -102,3 +102,31 @@ def test_bounded_broadcast_checks_the_size(spark):
             assert j.count() == 2000
     finally:
         spark.conf.set(conf, saved)
+
+
+@pytest.mark.parametrize("buckets", [2, 7, 64])
+def test_cell_medians_by_selection_equal_a_sort(spark, buckets):
+    import random
+    from bizlens.operators.accounts import cell_upper_medians
+    rng = random.Random(buckets)
+    rows = [(rng.choice("ab"), rng.choice(["x", None]), rng.choice([1.5, 2.5, rng.random() * 9])) for _ in range(500)] + [("c", "x", None)]
+    got = cell_upper_medians(spark.createDataFrame(rows, "p string, q string, v double"), "v", ["p", "q"], buckets).collect()
+    cells = {}
+    for p, q, v in rows:
+        if v is not None:
+            for gid in range(4):
+                cells.setdefault((gid, None if gid & 2 else p, None if gid & 1 else q), []).append(v)
+    assert {tuple(r)[:3]: r["median"] for r in got} == {k: sorted(v)[len(v) // 2] for k, v in cells.items()} and len(got) == len(cells)
+    empty = spark.createDataFrame([], "p string, q string, v double")
+    assert cell_upper_medians(empty, "v", ["p", "q"], buckets).collect() == []
+
+
+def test_outreach_cube_with_all_filters_off_is_the_grid(spark):
+    from bizlens.operators import accounts as A
+    from bizlens.plans.queries import Ctx
+    from tests.conftest import SF_SMALL
+    acct = Ctx(spark, SF_SMALL).acct
+    cube = A.outreach_cube(acct).where("gid = 7").drop("gid", "plan", "region", "contract")
+    grid = A.outreach_grid(spark, acct)
+    assert sorted(map(tuple, cube.collect())) == sorted(map(tuple, grid.collect())) and cube.columns == grid.columns
+    assert A.outreach_cube(acct.limit(0)).collect() == []
