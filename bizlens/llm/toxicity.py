@@ -2,13 +2,15 @@
 
 Voters are mined from a bounded sample of labelled rows: whole words (lexicon) and word beginnings
 (patterns) that stand in toxic texts far more often than chance, and a few fixed shape patterns.  A voter
-that fires says toxic, else it abstains; one more voter says clean where none of the mined ones fires.
+that fires says toxic, else it abstains; the classifier has one more input, that none of the mined ones fires.
 
-The label model takes a text's label as hidden.  By expectation maximisation it estimates every
-voter's accuracy (the chance that its label is right where it votes) and, from the votes left unexplained by
-the posterior, the correlations between voters; a voter's evidence counts less the more it says the
-same as others.  The posterior labels train a logistic regression on the votes, whose probability is the
-score.
+The label model takes a text's label as hidden: labels mine the voters, give the share of toxic texts and the start
+of the estimates, and no more.  Given the label, every voter fires with a chance that depends on whether its partner
+fires; the partners form a forest (the strongest pairs by their likelihood-ratio statistic given the label), so the
+model has a term for each strong correlation and its posterior is exact.  Expectation maximisation over the votes
+estimates the chances, the forest is drawn again from the posterior every few rounds, and a voter's accuracy is the
+posterior share of toxic texts among those it fires in.  The posterior labels train a logistic regression on the
+votes, whose probability is the score.
 
 Scoring reads a text once: words and their beginnings are hashed for a whole batch at a time and
 looked up among the voters, so it costs the same for a text of any length.
@@ -39,9 +41,10 @@ CANDIDATES = 4000            # words and beginnings weighed up for them
 PREFIXES = (3, 4, 5, 6, 7)
 MIN_TOXIC = 3                # toxic texts a voter stands in at least
 MIN_RATE = 0.75              # share of toxic texts among those it stands in, at least
-SAME_VOICE = 0.6             # correlation, given the label, from which voters say the same
-TRUST = 0.97                 # chance that a row's own label is right
-SEEN = 4.0                   # weight of the accuracies in the labelled rows against the votes'
+ANCHOR = 2.0                 # texts that a voter's rates in the labelled rows weigh against those in the posterior
+SHRINK = 0.5                 # texts that a voter's rate weighs against its rates where its partner fires or not
+TELLS = 0.2                  # share of what the less telling voter of a pair tells that the pair must share to be linked
+ROUNDS, REDRAW = 60, 10      # of the label model at most; rounds from one forest to the next
 THRESHOLD = 0.3
 CHUNK_CHARS = 1_000_000
 #: Shape voters: texts with at least so many runs of a sign.
@@ -131,45 +134,88 @@ def logit(p):
     return np.log(p) - np.log1p(-p)
 
 
-def label_model(votes: np.ndarray, prior: float, accuracy: np.ndarray, marked: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``votes``: rows x voters in {1 toxic, 0 abstains, -1 clean}; ``marked``: the rows' own labels, one
-    more voter right with probability TRUST.  Returns the posterior of each row, the accuracies, and
-    the discount each voter gets for its correlations."""
-    cast = votes != 0
-    n_cast = cast.sum(0)
-    base = logit(prior)
-    annotated = (2 * marked - 1) * logit(TRUST)
-    discount, first = np.ones(votes.shape[1]), accuracy
-    posterior = np.full(len(votes), prior)
-    speaks_for = np.where(votes.min(0) < 0, -1.0, 1.0)       # a voter always speaks for the same label
-    for turn in range(rounds):
-        # evidence of a vote: how far it moves the log-odds away from the prior's
-        evidence = votes * (discount * (logit(accuracy) - speaks_for * base))
-        posterior = 1 / (1 + np.exp(-np.clip(base + annotated + evidence.sum(1), -30, 30)))
-        right = np.where(votes > 0, posterior[:, None], 1 - posterior[:, None])
-        # the accuracies seen in the labelled rows are a prior, SEEN times as strong
-        new = np.clip(((right * cast).sum(0) + SEEN * (n_cast + 1) * first) / ((1 + SEEN) * n_cast + SEEN), 0.05, 0.995)
-        if turn % 5 == 0:
-            discount = 1 / correlated(votes, posterior)
-        if np.abs(new - accuracy).max() < 1e-4 and turn > 10:
+@dataclass
+class LabelModel:
+    """``partner``: the voter each voter depends on (-1: none); ``chance[label, partner fires, voter]``: how
+    often it fires; ``accuracy``: how often the hidden label is toxic where it fires."""
+
+    prior: float
+    partner: np.ndarray
+    chance: np.ndarray
+    accuracy: np.ndarray
+
+    def posterior(self, fires: np.ndarray) -> np.ndarray:
+        """Chance of the label toxic for each row of ``fires`` (rows x voters, 0 or 1)."""
+        with_partner = partner_fires(fires, self.partner) > 0
+        clean, toxic = (np.where(with_partner, c[1], c[0]) for c in self.chance)
+        evidence = np.where(fires > 0, np.log(toxic / clean), np.log((1 - toxic) / (1 - clean))).sum(1)
+        return 1 / (1 + np.exp(-np.clip(logit(self.prior) + evidence, -30, 30)))
+
+
+def partner_fires(fires: np.ndarray, partner: np.ndarray) -> np.ndarray:
+    return np.where(partner >= 0, fires[:, partner], 0).astype(np.float32)
+
+
+def chances(fires: np.ndarray, partner: np.ndarray, posterior: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How often each voter fires by label and by whether its partner does, from soft labels."""
+    out = np.empty((2, 2, fires.shape[1]))
+    held = partner_fires(fires, partner)
+    for label, weight in enumerate((1 - posterior, posterior)):
+        w = weight.astype(np.float32)
+        rows, own, on, both = float(w.sum()), w @ fires, w @ held, w @ (held * fires)
+        rate = (own + ANCHOR * start[label]) / (rows + ANCHOR)
+        out[label, 1] = (both + SHRINK * rate) / (on + SHRINK)
+        out[label, 0] = np.where(partner >= 0, (own - both + SHRINK * rate) / (rows - on + SHRINK), rate)
+    return np.clip(out, 1e-5, 1 - 1e-5)
+
+
+def correlated(fires: np.ndarray, posterior: np.ndarray) -> np.ndarray:
+    """Partner of each voter: the maximum spanning forest of the pairs whose likelihood-ratio statistic given the
+    label is more than chance makes among that many pairs, and at least TELLS of the most it could be."""
+    k = fires.shape[1]
+    strength, most = np.zeros((k, k)), np.zeros(k)
+    for weight in (1 - posterior, posterior):
+        w = weight.astype(np.float32)
+        rows, one, both = float(w.sum()), (w @ fires).astype(np.float64), ((fires * w[:, None]).T @ fires).astype(np.float64)
+        a, b = one[:, None], one[None, :]
+        for seen, x, y in ((both, a, b), (a - both, a, rows - b), (b - both, rows - a, b), (rows - a - b + both, rows - a, rows - b)):
+            due = np.maximum(x * y / max(rows, 1e-9), 1e-12)
+            strength += np.where(seen > 1e-9, 2 * seen * np.log(np.maximum(seen, 1e-9) / due), 0)
+        for seen in (one, rows - one):
+            most += np.where(seen > 1e-9, 2 * seen * np.log(max(rows, 1e-9) / np.maximum(seen, 1e-9)), 0)
+    strength[strength < TELLS * np.minimum(most[:, None], most[None, :])] = 0
+    np.fill_diagonal(strength, 0)
+    least = 2 * math.log(max(2, k * k)) + 4
+    partner, done = np.full(k, -1), np.zeros(k, bool)
+    pull, nearest, best = np.full(k, -1.0), np.full(k, -1), strength.max(1, initial=0)
+    for _ in range(k):
+        i = int(np.where(done, -2.0, pull).argmax())
+        if pull[i] < least:                      # the next tree begins with the voter of the strongest pair left
+            i = int(np.where(done, -2.0, best).argmax())
+        else:
+            partner[i] = nearest[i]
+        done[i] = True
+        closer = ~done & (strength[i] > pull)
+        pull[closer], nearest[closer] = strength[i, closer], i
+    return partner
+
+
+def label_model(fires: np.ndarray, prior: float, start: np.ndarray) -> tuple[LabelModel, np.ndarray]:
+    """Fit to votes without labels.  ``fires``: rows x voters, 0 or 1; ``start[label, voter]``: first guess of how
+    often each fires.  Returns the model and the posterior of each row."""
+    fires = fires.astype(np.float32)
+    partner = np.full(fires.shape[1], -1)
+    chance = np.clip(np.repeat(start[:, None, :], 2, axis=1), 1e-5, 1 - 1e-5)
+    posterior = None
+    for turn in range(ROUNDS):
+        before, posterior = posterior, LabelModel(prior, partner, chance, start[1]).posterior(fires)
+        if turn % REDRAW == REDRAW - 1 and turn + REDRAW < ROUNDS:
+            partner = correlated(fires, posterior)
+        elif turn + REDRAW >= ROUNDS and np.abs(posterior - before).max() < 1e-4:
             break
-        accuracy = new
-    return posterior, accuracy, discount
-
-
-def correlated(votes: np.ndarray, posterior: np.ndarray) -> np.ndarray:
-    """For each voter, 1 plus its positive correlations with the others given the label."""
-    fires = (votes != 0).astype(np.float32)
-    total = np.zeros((votes.shape[1],) * 2, np.float32)
-    for weight in (posterior, 1 - posterior):
-        w = (weight / max(1e-9, weight.sum())).astype(np.float32)
-        mean = w @ fires
-        cov = (fires * w[:, None]).T @ fires - np.outer(mean, mean)
-        spread = np.sqrt(np.maximum(np.diag(cov), 1e-8))
-        total = np.maximum(total, np.where(weight.sum() > 1, cov / np.outer(spread, spread), 0))
-    total[total < SAME_VOICE] = 0
-    np.fill_diagonal(total, 0)
-    return 1 + total.sum(1)
+        chance = chances(fires, partner, posterior, start)
+    accuracy = (posterior @ fires) / np.maximum(fires.sum(0), 1e-9)
+    return LabelModel(prior, partner, chance, accuracy), posterior
 
 
 def logistic(x: np.ndarray, target: np.ndarray, ridge: float = 0.5, rounds: int = 25) -> tuple[np.ndarray, float]:
@@ -259,18 +305,15 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     ballots = sample.mapInPandas(poll, "toxic int, ballot array<int>").toPandas()   # as many rows as drawn
     ballots = ballots.iloc[np.lexsort([ballots["ballot"].map(str).to_numpy(), ballots["toxic"].to_numpy()])]
-    width = len(hashes) + len(SHAPES) + 1
-    matrix = np.zeros((len(ballots), width), np.int8)
+    fires = np.zeros((len(ballots), len(hashes) + len(SHAPES)), np.float32)
     for i, b in enumerate(ballots["ballot"]):
-        matrix[i, np.asarray(b, np.int64)] = 1
-    mined = matrix[:, :len(hashes)].any(1)
-    matrix[~mined, -1] = -1
+        fires[i, np.asarray(b, np.int64)] = 1
     truth = ballots["toxic"].to_numpy(np.float64)
     prior = float(np.clip(truth.mean(), 0.001, 0.999))
-    right = np.where(matrix > 0, truth[:, None], 1 - truth[:, None]) * (matrix != 0)
-    start = np.clip((right.sum(0) + 1.0) / ((matrix != 0).sum(0) + 1.5), 0.05, 0.995)
-    posterior, _, _ = label_model(matrix, prior, start, truth)
-    weight, bias = logistic(np.abs(matrix), posterior)
+    start = np.stack([(fires[truth == y].sum(0) + 0.1) / ((truth == y).sum() + 1.0) for y in (0, 1)])
+    _, posterior = label_model(fires, prior, start)
+    none = ~fires[:, :len(hashes)].any(1, keepdims=True)
+    weight, bias = logistic(np.concatenate([fires, none], 1), posterior)
     return Model(votes, weight[:-1], float(weight[-1]), bias)
 
 

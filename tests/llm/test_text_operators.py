@@ -112,6 +112,59 @@ def test_toxicity_beats_chance_on_held_out_rows(spark):
     assert (ranks.sum() - n * (n + 1) / 2) / (n * (len(r) - n)) > 0.8
 
 
+def drawn_votes(rng, n):
+    """Votes of a known model: voter 1 repeats voter 0 nine times in ten, voter 5 repeats 4; the others fire alone."""
+    label = rng.random(n) < 0.3
+    rate = np.array([[0.05, 0.05, 0.03, 0.08, 0.10, 0.10, 0.02, 0.04], [0.5, 0.5, 0.4, 0.6, 0.3, 0.3, 0.5, 0.45]])
+    fires = rng.random((n, 8)) < rate[label.astype(int)]
+    for copy, of in ((1, 0), (5, 4)):
+        again = rng.random(n) < 0.9
+        fires[again, copy] = fires[again, of]
+    return label, fires.astype(np.float32), rate
+
+
+def test_label_model_finds_accuracies_and_correlations_without_labels():
+    label, fires, rate = drawn_votes(np.random.default_rng(5), 20_000)
+    model, posterior = toxicity.label_model(fires, 0.3, np.clip(rate * [[1.5], [0.7]], 0.01, 0.9))
+    true = np.array([label[fires[:, j] > 0].mean() for j in range(8)])
+    assert np.abs(model.accuracy - true).max() < 0.05
+    links = {frozenset((j, int(p))) for j, p in enumerate(model.partner) if p >= 0}
+    assert {frozenset((0, 1)), frozenset((4, 5))} <= links and len(links) <= 3
+    assert abs(posterior.mean() - 0.3) < 0.03
+    # the chances are right: of rows with a posterior near x about x are toxic
+    for low, high in ((0.0, 0.1), (0.3, 0.7), (0.9, 1.0)):
+        some = (posterior >= low) & (posterior <= high)
+        assert abs(label[some].mean() - posterior[some].mean()) < 0.06
+    # the correlation terms decide: without them doubled voices count twice and the log loss is worse
+    alone = toxicity.LabelModel(0.3, np.full(8, -1), toxicity.chances(fires, np.full(8, -1), posterior, rate), model.accuracy)
+    loss = lambda p: -np.mean(np.where(label, np.log(p), np.log1p(-p)))
+    assert loss(posterior) < loss(alone.posterior(fires)) - 0.01
+
+
+def test_label_model_reads_no_labels_and_takes_odd_votes():
+    for fires in (np.zeros((5, 3)), np.ones((5, 3)), np.zeros((1, 1)), np.zeros((4, 0))):
+        start = np.full((2, fires.shape[1]), 0.2)
+        model, posterior = toxicity.label_model(fires, 0.3, start)
+        assert np.isfinite(posterior).all() and len(posterior) == len(fires) and (model.partner < fires.shape[1]).all()
+
+
+def test_toxicity_of_odd_rows(spark, odd):
+    """Long and repeated texts, nulls, an empty table and extra columns."""
+    rows = [(i, f"{'a zorkish fool' if i % 4 == 0 else 'a quiet river'} {i}", int(i % 4 == 0)) for i in range(200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id bigint, toxic int"))
+    got = toxicity.score(odd, model)
+    assert got.columns == [*odd.columns, "score"] and got.count() == len(ODD)
+    scores = {}
+    for r in got.collect():
+        assert 0 <= r.score <= 1 and scores.setdefault(r.text, r.score) == r.score
+    assert toxicity.score(odd.where("false"), model).count() == 0
+    buried = spark.createDataFrame([(1, LONG + "a zorkish fool")], "doc_id bigint, text string")
+    assert toxicity.score(buried, model).first().score >= toxicity.THRESHOLD
+    none = toxicity.train(docs.where("false"), spark.createDataFrame([], "doc_id bigint, toxic int"))
+    assert toxicity.score(docs, none).agg({"score": "max"}).first()[0] < 0.01
+
+
 def test_hashes_of_words_and_features_agree():
     text, hashes = toxicity.word_hashes(["Idiot réeuxle", "", "x" * 200])
     expected = {toxicity.feature_hash(f) for f in ["=idiot", "^idi", "^idio", "=réeuxle", "^rée", "^réeuxl", "=" + "x" * 200]}
