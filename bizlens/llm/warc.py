@@ -6,8 +6,9 @@ The index is a written table, so it names the files of the tasks that ended well
 task leaves a file no index row points to.  Payloads equal to an earlier page's become ``revisit`` records,
 which hold no payload and name the page they refer to.
 
-Reading: index rows (all, or a selection) are sorted by file and offset, dealt to tasks by file and
-stretch of the file, and neighbours whose gap is at most ``GAP`` bytes are read in one range request.
+Reading: index rows (all, or a selection) are dealt to as many tasks as their bytes ask for (the index is small, so
+its own size says nothing of the work), by file and stretch of the file; a task sorts its rows by file and
+offset, and neighbours whose gap is at most ``GAP`` bytes are read in one range request.
 
 Files are opened through Arrow's file systems, so the folder may be on any store that both
 Spark and Arrow can reach; pages are read by Spark.
@@ -36,7 +37,8 @@ from .common import ready_python, scratch_path, written_table
 MIN_REVISIT = 100
 GAP = 1 << 16            # bytes read in vain rather than asked for apart
 MOST = 1 << 23           # bytes of one range request, unless one record is longer
-STRETCH = 1 << 26        # bytes of an archive one group of records covers
+STRETCH = 1 << 23        # bytes of an archive one group of records covers
+TASK = 1 << 26           # bytes of archives one task reads, about
 LEVEL = 6
 
 INDEX = ("page_id bigint, url string, file string, offset bigint, length bigint, payload_bytes bigint, "
@@ -155,13 +157,24 @@ READ = ("page_id bigint, url string, payload_bytes bigint, payload_digest string
         "refers_to bigint, payload binary")
 
 
+def _stretch():
+    return F.floor(F.col("offset") / STRETCH)
+
+
+def tasks(index: DataFrame) -> int:
+    """Tasks that read the rows' records: one for every TASK bytes, and no fewer than cores or stretches, whichever are fewer."""
+    total, stretches = index.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count_distinct("file", _stretch())).first()
+    cores = index.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-total // TASK), min(stretches, cores))
+
+
 def read(index: DataFrame, with_payload: bool = True) -> DataFrame:
     """Read the records of ``index`` (any selection of its rows) back from the archives.  The
     payload of a response is checked against its digest; a revisit has the digest of its header."""
     ready_python(index.sparkSession)
-    stretched = index.select("file", "offset", "length", F.floor(F.col("offset") / STRETCH).alias("stretch"))
-    # the rows of a stretch stand together and in order: one file is open at a time
-    dealt = stretched.repartition("file", "stretch").sortWithinPartitions("file", "offset")
+    stretched = index.select("file", "offset", "length", _stretch().alias("stretch"))
+    # a number given by hand is not coalesced; the rows of a stretch stand together and in order: one file is open at a time
+    dealt = stretched.repartition(tasks(index), "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name, source = None, None

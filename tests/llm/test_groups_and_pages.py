@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from bizlens.llm import embeddings, mainblocks, simhash, warc
+from bizlens.llm.common import scratch_path
 from bizlens.llm.components import components
 from bizlens.llm.queries import QUERIES
 from tests.conftest import SF_ORACLE, SF_SMALL
@@ -177,6 +178,20 @@ def test_warc_round_trip(spark):
     assert warc.archive(df.where("false"))[1].count() == 0
 
 
+def test_warc_reads_in_as_many_tasks_as_the_bytes_ask_for(spark, monkeypatch):
+    rows = [(i, "u", "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(3000)) + str(i)) for i in range(200)]
+    index = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1), scratch_path(spark, "w"))
+    assert warc.tasks(index) == 1 and warc.tasks(index.where("false")) == 1
+    total = index.agg({"length": "sum"}).first()[0]
+    monkeypatch.setattr(warc, "STRETCH", 2000)
+    monkeypatch.setattr(warc, "TASK", total // 20)
+    assert warc.tasks(index) >= 20
+    got = warc.read(index)
+    assert {r.page_id for r in got.collect()} == set(range(200)) and got.count() == 200
+    sizes = [r[0] for r in got.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) > 5 and max(sizes) < 100
+
+
 def test_neighbouring_records_are_read_together():
     offsets = [0, 10, 30, 30 + warc.GAP + 50, 30 + warc.GAP + 70]
     assert list(warc.ranges(offsets, [10, 10, 10, 20, 5])) == [(0, 3), (3, 5)]
