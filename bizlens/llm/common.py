@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..session import ensure_checkpoint_dir
 from ..sources.scratch import scratch_path, written_table
@@ -61,6 +63,20 @@ def ready_python(spark: SparkSession) -> None:
         _SHIPPED.add(sc.applicationId)
 
 
+def map_frames(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType) -> DataFrame:
+    """``mapInPandas`` for columns of any name (Spark's takes none with a dot or a back-tick): frames carry the names
+    of ``df``, rows travel under plain ones."""
+    given, out = df.columns, [f.name for f in schema.fields]
+    within, without = [f"c{i}" for i in range(len(given))], [f"c{i}" for i in range(len(out))]
+
+    def renamed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for done in run(f.set_axis(given, axis=1) for f in frames):
+            yield done[out].set_axis(without, axis=1)
+
+    inner = StructType([StructField(n, f.dataType) for n, f in zip(without, schema.fields)])
+    return df.toDF(*within).mapInPandas(renamed, inner).toDF(*out)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold kept out of training: crc32(doc_id as text) mod 4 is 2
     (a null doc_id counts as the empty text)."""
@@ -80,5 +96,5 @@ def pieces(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-__all__ = ["SPACE_CLASS", "WORD", "ensure_checkpoint_dir", "held_out", "pieces", "quoted", "ready_python",
+__all__ = ["SPACE_CLASS", "WORD", "ensure_checkpoint_dir", "held_out", "map_frames", "pieces", "quoted", "ready_python",
            "scratch_path", "table", "unused", "written_table"]

@@ -17,7 +17,8 @@ looked up among the voters, so it costs the same for a text of any length.
 
 Defined results: a null or empty text is scored like one in which no voter fires; without any labelled
 row, or with rows of one label only, every score is the share of toxic rows (0 without rows); rows with a
-null label are not learned from; repeated rows stay; extra columns may have any name.
+null label are not learned from; repeated rows stay; extra columns may have any name (one called like the
+result gives way to it).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import pieces, ready_python, written_table
+from .common import map_frames, pieces, quoted, ready_python, unused, written_table
 from .langid import code_points, is_letter
 
 TRAIN_DOCS = 10_000          # labelled rows learned from, about
@@ -318,16 +319,17 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` plus the score of each text."""
+    """``docs`` plus the score of each text, in place of a column of that name."""
     ready_python(docs.sparkSession)
-    if name in docs.columns:
-        raise ValueError(f"column {name} is there already")
+    (inner,) = unused(docs, "_text")
+    kept = [f for f in docs.schema.fields if f.name.lower() != name.lower()]
+    source = docs.select(*[F.col(quoted(f.name)) for f in kept], F.col(quoted(text)).alias(inner))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            texts = [t if isinstance(t, str) else "" for t in frame[text]]
+            texts = [t if isinstance(t, str) else "" for t in frame.pop(inner)]
             for a, b in pieces(map(len, texts), CHUNK_CHARS):
                 yield frame.iloc[a:b].assign(**{name: shared.value.score(texts[a:b])})
 
-    return docs.mapInPandas(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
+    return map_frames(source, run, StructType([*kept, StructField(name, DoubleType())]))

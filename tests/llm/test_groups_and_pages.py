@@ -2,6 +2,8 @@
 
 import hashlib
 import re
+import time
+import tracemalloc
 from html import unescape
 
 import numpy as np
@@ -319,3 +321,61 @@ def test_pipeline_on_an_empty_table(spark):
         out = stage(spark, now, SF_ORACLE)
         assert out.count() == 0
         now = spark.createDataFrame([], out.schema)
+
+
+SHARED_NAMES = ("search-results", "social-science", "legal", "discussion", "menu-planning", "notice-board-history", "banner",
+                "widget", "related-work", "toc", "share")
+PLAIN_NAMES = ("comments", "comment-thread", "ad", "ad-slot-300", "cookie-law-info", "sidebar", "newsletter-cta", "nav", "site-nav",
+               "footer", "promo-box")
+
+
+def named_page(name, inside, kind):
+    """A page whose part of class ``name`` stands inside or behind the article: prose or a list of links."""
+    whole = " ".join(f"sentence {i} of the part tells more about rivers." for i in range(8))
+    links = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(6))
+    part = f'<div class="{name}"><h2>A part</h2><p>{whole}</p><p>{whole}</p></div>' if kind == "prose" \
+        else f'<div class="{name}"><ul>{links}</ul></div>'
+    body = f"<h1>Title</h1><p>{ARTICLE}</p>"
+    return f"<body><article>{body}{part}<p>{ARTICLE}</p></article></body>" if inside \
+        else f"<body><article>{body}</article>{part}</body>", whole
+
+
+def test_names_that_articles_use_too():
+    """Precision and recall of parts, by names that articles and boilerplate share and names of boilerplate alone."""
+    right = wrong = missed = 0
+    for names, shared in ((SHARED_NAMES, True), (PLAIN_NAMES, False)):
+        for name in names:
+            for inside in (True, False):
+                for kind in ("prose", "links"):
+                    page, whole = named_page(name, inside, kind)
+                    text = mainblocks.main_text(page)
+                    assert ARTICLE in text and "Title" in text
+                    kept = (whole if kind == "prose" else "Link number 3") in text
+                    wanted = shared and inside and kind == "prose"
+                    right, wrong, missed = right + (kept and wanted), wrong + (kept and not wanted), missed + (wanted and not kept)
+                    if kept and wanted:
+                        assert text.count(whole) == 2 and "A part" in text
+    assert (right, wrong, missed) == (len(SHARED_NAMES), 0, 0)
+
+
+def test_deep_and_broken_pages_take_linear_time_and_memory():
+    for many in ("<font>x ", "<a ", "<div>w ", "<svg>", "<p>", "<b></i>"):
+        start = time.perf_counter()
+        mainblocks.main_text(f"<p>{ARTICLE}</p>" + many * 20_000)
+        assert time.perf_counter() - start < 10, many
+    tracemalloc.start()
+    mainblocks.main_text("<font>x " * 20_000)
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+def test_comment_without_an_end_is_dropped():
+    assert mainblocks.main_text(f"<p>{ARTICLE}</p><!-- so > it <b> goes") == ARTICLE
+    assert mainblocks.main_text(f"<p>{ARTICLE}</p><!-- so") == ARTICLE
+
+
+def test_pages_with_clashing_columns(spark):
+    df = spark.createDataFrame([(1, f"<p>{ARTICLE}</p>", "x", 2, "y", "z")], "page_id int, html string, _html string, `a.b` int, text string, `c``d` string")
+    got = mainblocks.extract(df)
+    assert got.columns == ["page_id", "_html", "a.b", "c`d", "text", "n_chars"]
+    assert tuple(got.first()) == (1, "x", 2, "z", ARTICLE, len(ARTICLE))

@@ -159,6 +159,8 @@ def test_toxicity_of_odd_rows(spark, odd):
     for r in got.collect():
         assert 0 <= r.score <= 1 and scores.setdefault(r.text, r.score) == r.score
     assert toxicity.score(odd.where("false"), model).count() == 0
+    clash = toxicity.score(spark.createDataFrame([(1, "a zorkish fool", "s", "t")], "`a.b` int, text string, score string, _text string"), model)
+    assert clash.columns == ["a.b", "text", "_text", "score"] and tuple(clash.first())[:3] == (1, "a zorkish fool", "t")
     buried = spark.createDataFrame([(1, LONG + "a zorkish fool")], "doc_id bigint, text string")
     assert toxicity.score(buried, model).first().score >= toxicity.THRESHOLD
     none = toxicity.train(docs.where("false"), spark.createDataFrame([], "doc_id bigint, toxic int"))
