@@ -26,6 +26,11 @@ def aggregate(wk: DataFrame, by: list[str]) -> DataFrame:
     return wk.groupBy(*by).agg(*measure_aggs())
 
 
+def measure_columns() -> dict:
+    """The additive measures as expressions over a row of the fact."""
+    return {m: F.col(m) for m in SUMS} | {m: f() for m, f in EXTRA.items()}
+
+
 def project(df: DataFrame, keys: list[str], measures: list[str] = (),
             ratios: list[str] = ()) -> DataFrame:
     """Output projection: money to 4 dp doubles, counts as longs, ratios to 6 dp."""

@@ -402,6 +402,33 @@ query("scan_csv_rejects")(_csv_rejects)
 query("scan_csv_roundtrip")(_csv_roundtrip)
 query("scan_json_roundtrip")(_json_roundtrip)
 
+
+
+def _incremental(spark, d):
+    """The weekly measures from a folder that grows: even weeks first, then the others, only new files read each time."""
+    from ..sources.incremental import IncrementalSums
+    from ..sources.scratch import scratch_path
+    fact, folder, state = Ctx(spark, d).wk, scratch_path(spark, "grown"), scratch_path(spark, "grown-sums")
+    sums = IncrementalSums(spark, folder, state, fact.schema, ["week"], W.measure_columns())
+    for odd in (0, 1):
+        fact.where(F.pmod(F.weekofyear("week"), F.lit(2)) == odd).write.mode("append").parquet(folder)
+        sums.refresh()
+    return W.project(sums.view(), ["week"], W.ALL_MEASURES)
+
+
+def _published(spark, d):
+    """The weekly measures read back from the latest of two copies."""
+    from ..sources.publish import publish_all, read_latest
+    from ..sources.scratch import scratch_path
+    path, fact = scratch_path(spark, "published"), Ctx(spark, d).wk
+    publish_all({"weekly": W.weekly_measures(fact.where("paid = 1"))}, path)
+    publish_all({"weekly": W.weekly_measures(fact), "paid": W.paid_cac(fact)}, path)
+    return read_latest(spark, path, "weekly")
+
+
+query("weekly_incremental")(_incremental)
+query("weekly_published")(_published)
+
 # ------------------------------------------------------------------ scoring (family F)
 _MODELS: dict = {}
 
@@ -443,7 +470,7 @@ def oracle() -> dict[str, str]:
         "JOIN (SELECT sum(t) AS t FROM (SELECT ceil(count(*) * 0.25) AS t FROM (SELECT DISTINCT * FROM acct) GROUP BY churned)) ON true "
         "GROUP BY t")
     out["scan_csv_roundtrip"] = out["contract_dropna"]
-    out["scan_json_roundtrip"] = out["weekly_measures"]
+    out["scan_json_roundtrip"] = out["weekly_incremental"] = out["weekly_published"] = out["weekly_measures"]
     out["stratified_split"] = with_views("acct") + (
         "SELECT id, churned, CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY h, id) - 1 < "
         "ceil(count(*) OVER (PARTITION BY churned) * 0.25) THEN 'test' ELSE 'train' END AS split FROM ("
