@@ -426,6 +426,32 @@ def _published(spark, d):
     return read_latest(spark, path, "weekly")
 
 
+def _order_profile(spark, d):
+    """User code per group (U4): per order status the orders, their value in cents, the dearest, and the commonest weekday."""
+    from ..operators.usercode import per_group
+    days = [f"d{i}" for i in range(7)]
+
+    def partial(rows):
+        day = rows["day"].value_counts()
+        return {"n": len(rows), "cents": int(rows["cents"].sum()), "most": int(rows["cents"].max()),
+                **{name: int(day.get(i, 0)) for i, name in enumerate(days)}}
+
+    def merge(states):
+        return {c: int(states[c].max() if c == "most" else states[c].sum()) for c in states.columns}
+
+    def finish(state):
+        return {"n": int(state["n"]), "cents": int(state["cents"]), "most": int(state["most"]),
+                "weekday": max(range(7), key=lambda i: (state[days[i]], -i))}
+
+    orders = Tables(spark, d).orders.select(
+        "o_orderstatus", (F.col("o_totalprice").cast("decimal(18,2)") * 100).cast("bigint").alias("cents"),
+        F.weekday("o_orderdate").alias("day"))
+    state = ", ".join(f"{c} bigint" for c in ("n", "cents", "most", *days))
+    return per_group(orders, ["o_orderstatus"], ["cents", "day"], partial, state, merge, finish,
+                     "n bigint, cents bigint, most bigint, weekday int")
+
+
+query("user_groups")(_order_profile)
 query("weekly_incremental")(_incremental)
 query("weekly_published")(_published)
 
@@ -471,6 +497,13 @@ def oracle() -> dict[str, str]:
         "GROUP BY t")
     out["scan_csv_roundtrip"] = out["contract_dropna"]
     out["scan_json_roundtrip"] = out["weekly_incremental"] = out["weekly_published"] = out["weekly_measures"]
+    out["user_groups"] = (
+        "WITH o AS (SELECT o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(18,2)) * 100 AS BIGINT) AS cents, "
+        "CAST(isodow(o_orderdate) - 1 AS INTEGER) AS day FROM orders), "
+        "days AS (SELECT o_orderstatus, day, row_number() OVER (PARTITION BY o_orderstatus ORDER BY count(*) DESC, day) AS r "
+        "FROM o GROUP BY o_orderstatus, day) "
+        "SELECT o.o_orderstatus, count(*) AS n, CAST(sum(cents) AS BIGINT) AS cents, max(cents) AS most, any_value(days.day) AS weekday "
+        "FROM o JOIN days ON days.o_orderstatus = o.o_orderstatus AND r = 1 GROUP BY o.o_orderstatus")
     out["stratified_split"] = with_views("acct") + (
         "SELECT id, churned, CASE WHEN row_number() OVER (PARTITION BY churned ORDER BY h, id) - 1 < "
         "ceil(count(*) OVER (PARTITION BY churned) * 0.25) THEN 'test' ELSE 'train' END AS split FROM ("
