@@ -1,5 +1,6 @@
 """Plan shape of every registered query (subqueries included): no cartesian product
-or nested-loop join, and no Python evaluation -- every expression stays in the JVM."""
+or nested-loop join, and no Python evaluation -- every expression stays in the JVM.  The one exception is the query whose
+feature is to run the user's own Python per group (U4): it may map Arrow batches, and nothing else of the list."""
 
 import pytest
 
@@ -9,13 +10,14 @@ from tests.conftest import SF_SMALL
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "MapInPandas", "MapInArrow", "FlatMapGroupsInPandas", "FlatMapCoGroupsInPandas",
              "AggregateInPandas", "WindowInPandas", "PythonUDF")
+USER_CODE = {"user_groups": {"MapInPandas", "FlatMapGroupsInPandas"}}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_shape(spark, name):
     df = QUERIES[name](spark, SF_SMALL)
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
-    found = [op for op in FORBIDDEN if op in plan]
+    found = [op for op in FORBIDDEN if op in plan and op not in USER_CODE.get(name, ())]
     assert not found, f"{name}: {found}"
 
 
