@@ -21,9 +21,9 @@ from ..operators import retention as R
 from ..operators import textjobs as X
 from ..operators import weekly as W
 from ..operators.ranking import rank_auc
-from ..session import use_query_conf
+from ..session import case_sensitive_session, use_query_conf
 from ..sources.files import read_optional
-from ..sources.scratch import written_table
+from ..sources.scratch import scratch_path
 from ..sources.tables import Tables
 from . import views
 
@@ -88,11 +88,14 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build) -> DataFram
     columns and row groups it needs instead of recomputing the joins over the base
     tables.  A session that cannot write there gets the error, not a slower plan."""
     key = (_app_key(spark), sf_dir, name)
-    if key in _VIEWS:
-        return _VIEWS[key]
-    view = written_table(build(), f"view-{name}")
-    with _VIEWS_LOCK:
-        return _VIEWS.setdefault(key, view)
+    if key not in _VIEWS:
+        path = scratch_path(spark, f"view-{name}")
+        view = build()
+        view.write.parquet(path)
+        with _VIEWS_LOCK:
+            _VIEWS.setdefault(key, (path, view.schema))
+    path, schema = _VIEWS[key]
+    return spark.read.schema(schema).parquet(path)    # in the session that asks, which may be another of the application
 
 
 def materialize_views(spark: SparkSession, sf_dir: str, names=("weeks", "wk", "acct", "sub")) -> None:
@@ -138,6 +141,11 @@ def _wk(fn):
     return lambda spark, d: fn(Ctx(spark, d))
 
 
+def _wk_cased(fn):
+    """For results in which the measure ``repeatorg`` stands beside the ratio ``repeatOrg``: another session could not write them."""
+    return lambda spark, d: fn(Ctx(case_sensitive_session(spark), d))
+
+
 # ------------------------------------------------------------------ weekly (family D)
 query("week_index")(_wk(lambda c: c.weeks.select("week", "week_idx")))
 query("weekly_measures")(_wk(lambda c: W.weekly_measures(c.wk)))
@@ -164,7 +172,7 @@ query("fast_attain_corr")(_wk(lambda c: W.fast_attain_corr(c.wk)))
 query("liquidity_latest")(_wk(lambda c: W.latest_kpis(
     c.wk, c.weeks, ["fundedRate", "attainment", "fastRate", "avgDonation"])))
 query("paid_vs_blended_cac")(_wk(lambda c: W.paid_vs_blended_cac(c.wk, c.weeks)))
-query("weekly_cube_all")(_wk(lambda c: W.weekly_cube_all(c.wk)))
+query("weekly_cube_all")(_wk_cased(lambda c: W.weekly_cube_all(c.wk)))
 
 query("wow_cube")(_wk(lambda c: W.wow_cube(c.wk, c.weeks)))
 query("trailing_cube")(_wk(lambda c: W.trailing_cube(c.wk, c.weeks)))
