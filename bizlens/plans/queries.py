@@ -151,7 +151,7 @@ query("week_index")(_wk(lambda c: c.weeks.select("week", "week_idx")))
 query("weekly_measures")(_wk(lambda c: W.weekly_measures(c.wk)))
 query("weekly_ratios")(_wk(lambda c: W.weekly_ratios(c.wk)))
 query("paid_cac")(_wk(lambda c: W.paid_cac(c.wk)))
-query("weekly_filter")(_wk(lambda c: W.weekly_filter(c.wk, c.weeks, **PARAMS["weekly_filter"])))
+query("weekly_filter")(_wk_cased(lambda c: W.weekly_filter(c.wk, c.weeks, **PARAMS["weekly_filter"])))
 query("week_endpoints")(_wk(lambda c: W.week_endpoints(c.wk, c.weeks)))
 query("fraud_early_late")(_wk(lambda c: W.fraud_early_late(c.wk, c.weeks, **PARAMS["fraud_early_late"])))
 query("wow_delta")(_wk(lambda c: W.wow_delta(c.wk, c.weeks, "region")))
