@@ -7,7 +7,7 @@
 Scale notes.  Every per-customer quantity is a ``groupBy`` with partial
 aggregation, so a customer holding a third of all orders costs one extra row per
 map task, not a hot reducer.  The only windows run over a customer's *distinct
-order dates* (bounded by the calendar) or over the distinct week list (a few
+order dates* and priorities (bounded by the calendar) or over the distinct week list (a few
 hundred rows per decade).  Dimension tables ``nation`` (25 rows) and ``region``
 (5 rows) are fixed-size by the TPC-H specification and broadcast explicitly;
 every other join is left to AQE, which broadcasts a side only after measuring it.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import dbl, money, rnd
+from ..operators.ranking import join_null_safe
 from ..sources.tables import Tables
 
 # Fixed parameters of the views (FIXTURES.md section 3).
@@ -105,7 +106,7 @@ WK_DIMS = ["week", "category", "region", "channel"]
 def order_lines(t: Tables, o: DataFrame | None = None) -> DataFrame:
     """Line measures rolled up to one row per order.  lineitem INNER JOIN orders
     keeps both sides splittable by AQE (an order holding a third of all lines is
-    cut into several tasks); the one-row-per-order result is then left-joined to
+    cut into several tasks); the one-row-per-order result is then joined to
     orders.  Folding both into orders LEFT JOIN lineitem would save one shuffle of
     orders but make lineitem the outer join's unsplittable side."""
     o = o if o is not None else _orders(t)
@@ -132,66 +133,73 @@ def order_lines(t: Tables, o: DataFrame | None = None) -> DataFrame:
         F.max(F.when(days <= FAST_DAYS, 1).otherwise(0)).alias("l_fast"))
 
 
-def customer_dates(o: DataFrame) -> DataFrame:
-    """Per (customer, distinct order date): previous date and first date.
-    Windows run over distinct dates, bounded by the calendar, never by order volume."""
-    d = o.select("o_custkey", "od").distinct()
-    w = Window.partitionBy("o_custkey").orderBy("od")
-    return d.select("o_custkey", "od",
-                    F.lag("od").over(w).alias("prev_od"),
-                    F.min("od").over(Window.partitionBy("o_custkey")).alias("first_od"))
-
-
-def wk(t: Tables) -> DataFrame:
-    o = _orders(t)
-    lines = order_lines(t, o)
+def order_cells(t: Tables, o: DataFrame) -> DataFrame:
+    """Order measures by week x category x region x channel.  Orders are summed per (customer, date, priority) before
+    they move to their customer, and without their lines: a customer holding a third of all orders has a row a date and
+    priority there, bounded by the calendar, and so have the windows."""
     cust = customer_geo(t)
-    x = (o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-         .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-         .join(customer_dates(o), ["o_custkey", "od"]))
-    repeat = F.col("prev_od").isNotNull() & (F.datediff("od", "prev_od") <= HORIZON_DAYS)
-    z = F.lit(0)
-    # Two-step aggregation instead of count(distinct): first per (cell, customer) --
-    # partial aggregation absorbs a hot customer -- then per cell, where distinct
-    # customers are plain counts (no Expand that multiplies the rows).
-    cell = [F.col("week"), F.col("o_orderpriority").alias("category"),
-            F.col("r_name").alias("region"), F.col("c_mktsegment").alias("channel")]
-    per_cust = x.groupBy(*cell, "o_custkey").agg(
+    day = F.unix_date("od")
+    per_date = (o.where(F.col("od").isNotNull()).groupBy("o_custkey", "od", "o_orderpriority").agg(
         F.count(F.lit(1)).alias("camp"),
         F.count_if(F.col("o_orderstatus") == "F").alias("funded"),
-        F.sum(F.coalesce("l_fast", z)).alias("fast"),
         F.sum("price").alias("goal"),
-        F.sum("l_gdv").alias("gdv"),
-        F.sum(F.coalesce("n_lines", z)).alias("don"),
+        F.count_if(F.col("o_orderstatus") == "P").alias("n_pending"))
+        .join(cust, F.col("o_custkey") == F.col("c_custkey"))
+        .withColumn("week", F.to_date(F.date_trunc("week", "od"))))
+    own = Window.partitionBy("o_custkey")
+    # rows of one date share it: the range ends a day before
+    before = own.orderBy(day).rangeBetween(Window.unboundedPreceding, -1)
+    dated = per_date.select("*", F.max(day).over(before).alias("prev"), F.min("od").over(own).alias("first_od"))
+    repeat = F.col("prev").isNotNull() & (day - F.col("prev") <= HORIZON_DAYS)
+    # Two-step aggregation instead of count(distinct): first per (cell, customer), where the rows are, then per
+    # cell, where distinct customers are plain counts (no Expand that multiplies the rows).
+    per_cust = dated.groupBy(F.col("week"), F.col("o_orderpriority").alias("category"), F.col("r_name").alias("region"),
+                             F.col("c_mktsegment").alias("channel"), "o_custkey").agg(
+        F.sum("camp").alias("camp"),
+        F.sum("funded").alias("funded"),
+        F.sum("goal").alias("goal"),
         F.max(F.when(F.col("od") > F.col("first_od"), 1).otherwise(0)).alias("returning"),
-        F.count_if(repeat).alias("repeatorg"),
-        F.sum("l_tips").alias("tips"),
-        F.sum("l_procrev").alias("procrev"),
-        F.sum("l_proccost").alias("proccost"),
-        F.sum(F.coalesce("l_refunds", z)).alias("refunds"),
-        F.sum("l_refamt").alias("refamt"),
-        F.sum(F.coalesce("l_cb", z)).alias("cb"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("n_pending"),
-        F.sum(F.coalesce("l_days", z)).alias("_days"))
-    g = per_cust.groupBy("week", "category", "region", "channel").agg(
+        F.sum(F.when(repeat, F.col("camp")).otherwise(0)).alias("repeatorg"),
+        F.sum("n_pending").alias("n_pending"))
+    return per_cust.groupBy(*WK_DIMS).agg(
         F.sum("camp").alias("camp"),
         F.sum("funded").alias("funded"),
-        F.sum("fast").alias("fast"),
         F.sum("goal").alias("goal"),
-        F.coalesce(F.sum("gdv"), money(z)).alias("gdv"),
-        F.sum("don").alias("don"),
         F.count(F.lit(1)).alias("donors"),
         F.sum("returning").alias("retdon"),
         F.sum(F.when(F.col("o_custkey") % 3 == 0, F.col("camp")).otherwise(0)).alias("fromdon"),
         F.sum("repeatorg").alias("repeatorg"),
-        F.coalesce(F.sum("tips"), money(z)).alias("tips"),
-        F.coalesce(F.sum("procrev"), money(z)).alias("procrev"),
-        F.coalesce(F.sum("proccost"), money(z)).alias("proccost"),
-        F.sum("refunds").alias("refunds"),
-        F.coalesce(F.sum("refamt"), money(z)).alias("refamt"),
-        F.sum("cb").alias("cb"),
-        F.sum(F.when(F.col("o_custkey") % 7 == 0, F.col("n_pending")).otherwise(0)).alias("fraud"),
-        F.sum("_days").alias("_days"))
+        F.sum(F.when(F.col("o_custkey") % 7 == 0, F.col("n_pending")).otherwise(0)).alias("fraud"))
+
+
+def line_cells(t: Tables, o: DataFrame) -> DataFrame:
+    """Line measures by the same cells: the orders carry their cell and nothing else to their lines' sums, which
+    are added up where they are made and never move on."""
+    orders = (o.where(F.col("od").isNotNull()).join(customer_geo(t), F.col("o_custkey") == F.col("c_custkey"))
+              .select("o_orderkey", "week", F.col("o_orderpriority").alias("category"), F.col("r_name").alias("region"),
+                      F.col("c_mktsegment").alias("channel")))
+    return (orders.join(order_lines(t, o), F.col("o_orderkey") == F.col("l_orderkey")).groupBy(*WK_DIMS).agg(
+        F.sum("l_fast").alias("fast"),
+        F.sum("l_gdv").alias("gdv"),
+        F.sum("n_lines").alias("don"),
+        F.sum("l_tips").alias("tips"),
+        F.sum("l_procrev").alias("procrev"),
+        F.sum("l_proccost").alias("proccost"),
+        F.sum("l_refunds").alias("refunds"),
+        F.sum("l_refamt").alias("refamt"),
+        F.sum("l_cb").alias("cb"),
+        F.sum("l_days").alias("_days")))
+
+
+def wk(t: Tables) -> DataFrame:
+    o = _orders(t)
+    z = F.lit(0)
+    # both sides have a row a cell; a cell without lines has zero line measures
+    x = join_null_safe(order_cells(t, o), line_cells(t, o), WK_DIMS, "left")
+    g = x.select(
+        *WK_DIMS, "camp", "funded", "goal", "donors", "retdon", "fromdon", "repeatorg", "fraud",
+        *[F.coalesce(F.col(c), z.cast("bigint")).alias(c) for c in ("fast", "don", "refunds", "cb", "_days")],
+        *[F.coalesce(F.col(c), money(z)).alias(c) for c in ("gdv", "tips", "procrev", "proccost", "refamt")])
     # mean |ship - order| days per line, kept as hundredths (integer, half up) so that
     # the campaign-weighted payout mean stays exact under any roll-up.
     pay = F.when(F.col("don") > 0,
