@@ -53,16 +53,18 @@ def data_card(df: DataFrame, name: str, target: str | None = None, digits: int =
     x, label = positional(df)
     fields = x.schema.fields
     counts = written_table(_value_counts(x), "card-values")
-    total = F.coalesce(counts.where(F.col("pos") == ROW).agg(F.sum("n")).scalar(), F.lit(0).cast("bigint"))
     columns = spark.createDataFrame(
         [(i, label[f.name], f.dataType.simpleString(), is_numeric(f.dataType), isinstance(f.dataType, DATE_TYPES),
           isinstance(f.dataType, T.StringType)) for i, f in enumerate(fields)],
         "pos int, column string, dtype string, numeric boolean, dated boolean, texts boolean")     # one row a column
     text = F.col("pos").isin([i for i, f in enumerate(fields) if isinstance(f.dataType, T.StringType)])
-    per = columns.join(F.broadcast(counts.where(F.col("pos") != ROW).groupBy("pos").agg(
+    # read by many sections: every value is tried as a date once, and the result, a row a column, is written
+    sums = written_table(counts.groupBy("pos").agg(
         F.count(F.lit(1)).alias("levels"), F.sum("n").alias("filled"),
         F.sum(F.when(text & (F.try_to_timestamp("value").isNotNull() | readable(F.col("value"))), F.col("n")).otherwise(0))
-        .alias("dates"))), "pos", "left").na.fill(0, ["levels", "filled", "dates"])
+        .alias("dates")), "card-columns")
+    total = F.coalesce(sums.where(F.col("pos") == ROW).agg(F.sum("filled")).scalar(), F.lit(0).cast("bigint"))
+    per = columns.join(F.broadcast(sums), "pos", "left").na.fill(0, ["levels", "filled", "dates"])
 
     parts: list[DataFrame] = []
 
