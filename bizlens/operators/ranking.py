@@ -191,17 +191,19 @@ def quantiles(df: DataFrame, value_col: str, qs: dict[str, float], part_cols: Se
 
 def rank_auc(long_df: DataFrame, score_col: str, label_col: str,
              part_cols: Sequence[str] = (),
-             rows_per_bucket: int | None = None) -> DataFrame:
+             rows_per_bucket: int | None = None, counted: str | None = None) -> DataFrame:
     """Mann-Whitney AUC with average ranks for ties, per group; 0.5 when a class
     is empty; NULL/NaN scores are dropped (pairwise deletion).  Exact integer
-    arithmetic: 2U = sum_pos(2*below + n + 1) - P(P+1)."""
+    arithmetic: 2U = sum_pos(2*below + n + 1) - P(P+1).  With ``counted`` a row stands for as many
+    as that column holds."""
     part_cols = list(part_cols)
     s = F.col(score_col)
     valid = s.isNotNull() & ~F.isnan(s.cast("double"))
     # masked scores collapse to one NULL row per group: the group still gets a row
     # (AUC 0.5, both classes empty) when none of its scores survive the mask
+    n = F.lit(1) if counted is None else F.col(counted)
     g_all = long_df.groupBy(*part_cols, F.when(valid, s).alias(score_col)).agg(
-        F.count(F.lit(1)).alias("_n"), F.sum(F.col(label_col).cast("long")).alias("_pos"))
+        F.sum(n).alias("_n"), F.sum(F.col(label_col).cast("long") * n).alias("_pos"))
     g = g_all.where(F.col(score_col).isNotNull())
     ps = prefix_sums(g, score_col, ["_n"], part_cols, rows_per_bucket=rows_per_bucket)
     a = ps.groupBy(*part_cols).agg(
