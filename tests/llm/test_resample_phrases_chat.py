@@ -171,6 +171,44 @@ def test_phrases_long_text_and_empty(spark, odd):
     assert phrases.mine(spark.createDataFrame([(None, None)], "text string, lang string")).collect() == []
 
 
+def phrase_cut(spark, docs, tasks, least):
+    """The subtree rows of a corpus dealt to some tasks, and its number of distinct frequent pairs."""
+    texts = phrases._input(spark.createDataFrame(docs, "text string, lang string").repartition(tasks), "lang", "text")
+    words = phrases.word_counts(texts, least).withColumn("word", F.col("word").cast("string"))
+    passing = spark.sparkContext.broadcast(phrases.word_filter(words, 20))
+    return phrases.suffix_counts(texts, passing, [], 20, 2).cache()
+
+
+def test_phrase_rows_of_a_task_follow_bins_not_phrases(spark):
+    phrases.ready_python(spark)
+    for size in (2_000, 8_000):
+        rare = " ".join(f"w{i} w{i + 1}." for i in range(0, 2 * size, 2))
+        rows = phrase_cut(spark, [(rare, "en"), (rare, "de")] * 4, 2, 4)
+        assert rows.count() <= 2 * 2 * phrases.BINS                       # two tasks, two languages
+        assert rows.select(F.sum(F.size("tails"))).first()[0] >= 2 * size       # and no phrase is lost
+        assert rows.select(F.sum(F.expr("aggregate(counts, 0L, (a, b) -> a + b)"))).first()[0] == 8 * size
+        rows.unpersist()
+
+
+def test_phrase_words_as_places_equal_tokens():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        data = bytes(rng.choice(list(b" \n\nab\x00\xc3"), 50))
+        for ahead in (0, 1, 3):
+            for size in (1, 7, 100):
+                found = []
+                for words, here in phrases.word_stretches(data, ahead, size):
+                    assert len(words.start) - here <= ahead
+                    found += [words.text[a:b].tobytes() for a, b in zip(words.start[:here], words.end[:here])]
+                    assert words.each().to_pylist() == [words.text[a:b].tobytes() + b" " for a, b in zip(words.start, words.end)]
+                assert found == [t for t in phrases.TOKEN.findall(data) if t[0] != 10]
+    long = [b"x" * n for n in (phrases.HASHED - 1, phrases.HASHED, phrases.HASHED + 9)] + [b"a", b"b", b"a"] * 30_000
+    words = phrases.cut_words(b" ".join(long))
+    once = phrases.word_hashes(words.text, words.start, words.end)
+    each = [phrases.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in long[:6]]
+    assert once[:6].tolist() == each and len(set(once.tolist())) == 4
+
+
 # ---- templates
 
 def test_template_statements_and_spans():
